@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import mixing, packing, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -23,6 +23,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -30,10 +38,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_mixing": op6_mixing,
+    "op7_warc_archive": op7_warc_archive,
+    "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
 
+_BASE32_SHA1 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + list_sum(list_transform(range(0, 5), lambda k: CAST(substr(bits, 1 + 5 * i + k, 1) AS INT) * CAST(pow(2, 4 - k) AS INT))) AS BIGINT), 1)), 'string_agg', '')"""
+
 ORACLE_SQL = {
+    "op7_warc_archive": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+o AS (SELECT body, max(page_id) AS owner, (unhex(sha1(body))::BIT)::VARCHAR AS bits FROM p GROUP BY body)
+SELECT page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes, {_BASE32_SHA1} AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to, true AS verified
+FROM p JOIN o ON p.body = o.body""",
     "op10_url_filter": r"""
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END AS raw,
