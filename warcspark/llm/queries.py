@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, url_filter, warc_archive
+from . import language_id, mixing, packing, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -18,6 +18,12 @@ URL_RULES = (
 )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identify(docs, language_id.fit_documents(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_warc_archive": op7_warc_archive,
     "op9_packing": op9_packing,
