@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, url_filter, warc_archive
+from . import language_id, mixing, packing, toxicity, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -18,6 +18,12 @@ URL_RULES = (
 )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit_documents(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.identify(docs, language_id.fit_documents(docs))
@@ -43,6 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_warc_archive": op7_warc_archive,
