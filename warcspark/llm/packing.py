@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, whose ids a worker remembers; beyond that it forgets them all and begins anew.
 CACHE = 500_000
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: str.split() takes these for white space, the tokenizer doesn't; on all else they agree.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Byte-level pieces write each byte as a character: printable ones of Latin-1 stay, the rest count up from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: The vocabulary's own split pattern, for the letters of ASCII and Latin-1 in lower case, which
 #: no normalization changes.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -52,13 +58,14 @@ class WordIds(dict):
     White space separates tokens in this vocabulary and is dropped, so a text's ids are its
     words' ids one after the other, and a plain word's those of its parts. Words with other
     letters or white space, or with `<`, which may begin a special token, and very long ones
-    go to the tokenizer whole.
+    go to the tokenizer whole; the parts of plain words need no more than its merges.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merges = self._tokenizer.model
         self._parts: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -69,7 +76,8 @@ class WordIds(dict):
         if ids is None:
             if len(self._parts) >= CACHE:
                 self._parts.clear()
-            ids = self._parts[part] = self._encode(part)
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = self._parts[part] = to_bytes("<%dI" % len(found := self._merges.tokenize(letters)), *[x.id for x in found])
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -82,7 +90,8 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SPACE.split(text)))
+        odd = any(c in text for c in _SEPARATORS)
+        return b"".join(map(self.__getitem__, _SPACE.split(text) if odd else text.split()))
 
 
 @lru_cache(maxsize=1)
