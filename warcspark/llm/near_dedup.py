@@ -13,14 +13,15 @@ of copies cost a row each. Then, instead of all pairs of a bucket:
 1. each member of a bucket is paired with one pivot of the bucket, drawn by hash. Pairs are
    estimated from both sketches and exact set sizes by maximum likelihood; those that lie below
    the threshold by more than SIGMAS standard errors go, the rest are checked on full sets;
-2. links give components. Where a bucket still holds several, only members outside the pivot's
-   component need others: they meet members of other components whose distance from the pivot
-   lies within the threshold of theirs, as the Jaccard distance is a metric; pairs seen before
-   are left out. What passes estimate and check is linked too, and components are taken again.
+2. links give components. Where a bucket still holds several, members outside the pivot's
+   component meet all of other components: the bucket's members are dealt to blocks, blocks
+   meet in pairs, and each pair of blocks is estimated and checked in place, so that only links
+   come out. A pair is looked at in the first band it shares. Then components are taken again.
 
 Pairs of a component never meet again, so no link between components is lost. Buckets are never
-gathered: pivots come from an aggregate and all pairs from joins that adaptive execution
-splits when a key is hot. Only the texts of documents in a pair are read a second time.
+gathered: pivots come from an aggregate, pairs from joins that adaptive execution splits when a
+key is hot, and no task holds more than two blocks of a bucket. Only the texts of documents
+that share a bucket are read a second time.
 
 Defined cases: null, empty and blank texts have an empty set, size 0, and link with nothing;
 rows with a null id keep their set's size, link with nothing and are kept; rows that repeat an
@@ -44,12 +45,14 @@ from .common import staged
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
-BASE, RATE, BANDS, ROWS, SIGMAS, SEED = 1.2, 20.0, 44, 5, 6, 20231
+BASE, RATE, BANDS, ROWS, SIGMAS, SEED = 1.2, 20.0, 44, 5, 5, 20231
 M = BANDS * ROWS
 #: Words whose hashes a worker remembers; beyond that it forgets them all and begins anew.
 CACHE = 600_000
 #: Ids that may be broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members of a bucket that are held together, about.
+BLOCK = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -162,9 +165,9 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     return both.select("x", "y", "nx", "rx", "ny", "ry").mapInArrow(run, "x long, y long, near double, open boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """x, y, exact similarity and whether it is a link, of pairs (x, y) of document ids."""
-    wanted = staged(pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y"))).distinct(), "near-ids")
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and its compressed text, for the given ids (doc_id)."""
+    wanted = staged(ids.distinct(), "near-ids")
     # ids only, and only as many as stated; beyond that the join shuffles
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
@@ -173,68 +176,132 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in b.column(1).to_pylist()], pa.binary())], ["node", "z"])
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").join(few, "doc_id", "left_semi")
-    texts = staged(d.mapInArrow(squeeze, "node long, z binary"), "near-texts")
+    return staged(d.mapInArrow(squeeze, "node long, z binary"), "near-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(z: bytes) -> np.ndarray:
-            return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"))
 
+def _set(z: bytes) -> np.ndarray:
+    return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of intersection and union."""
+    both = len(a) + len(b)
+    union = len(np.unique(np.concatenate([a, b])))
+    return both - union, union
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """x, y and whether they are linked, of pairs (x, y) of nodes, on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, np.empty(0, np.uint64)
         for b in batches:
-            out = []
+            linked = []
             for zx, zy in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if zy != last:
-                    last, right = zy, of(zy)
-                left = of(zx)
-                both = len(left) + len(right)
-                common = both - len(np.unique(np.concatenate([left, right])))
-                out.append((common, both - common))
-            i, n = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(i / np.maximum(n, 1)), pa.array((100 * i >= percent * n) & (n > 0))], ["x", "y", "exact", "linked"])
+                    last, right = zy, _set(zy)
+                common, union = _overlap(_set(zx), right)
+                linked.append(union > 0 and 100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
     both = pairs.select("x", "y").join(texts.select(F.col("node").alias("x"), F.col("z").alias("zx")), "x").join(texts.select(F.col("node").alias("y"), F.col("z").alias("zy")), "y")
-    return both.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long, exact double, linked boolean")
+    return both.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """x, y, distance, slack (of an estimated distance) and linked for every pair."""
-    guess = staged(plausible(pairs, classes, percent), "near-estimates")
+def _links_across(mine: dict, other: dict, same: bool, band: int, percent: int) -> list[tuple[int, int]]:
+    """Links between members of two blocks of a bucket whose components differ, one at least outside the
+    pivot's; a pair is looked at in the first of its bands only, and no more once its components are one."""
     t = percent / 100
-    checked = staged(verified(guess.where("open"), docs, percent), "near-checked")
-    sure = checked.groupBy("x", "y").agg((1 - F.max("exact")).alias("distance"), F.max("linked").alias("linked")).withColumn("slack", F.lit(0.0))
-    far = guess.where("not open").select("x", "y", (1 - F.col("near")).alias("distance"), F.lit(False).alias("linked"), F.lit(SIGMAS * (t * (1 - t) / M) ** 0.5).alias("slack"))
-    return sure.unionByName(far)
+    a, b = (np.frombuffer(b"".join(x["registers"]), np.uint8).reshape(-1, M) for x in (mine, other))
+    na, nb = (np.array(x["n"], float) for x in (mine, other))
+    ca, cb = (np.array(x["component"], np.int64) for x in (mine, other))
+    oa, ob = (np.array(x["outside"], bool) for x in (mine, other))
+    may = (ca[:, None] != cb[None, :]) & (oa[:, None] | ob[None, :])
+    may &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+    i, j = np.nonzero(np.triu(may, 1) if same else may)
+    keep: list[tuple[float, int, int]] = []
+    for at in range(0, len(i), 8192):
+        p, q = i[at : at + 8192], j[at : at + 8192]
+        first = (a[p] == b[q]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        p, q = p[first], q[first]
+        if len(p):
+            e = estimate(a[p], b[q], na[p], nb[q])
+            good = e >= t - SIGMAS * (t * (1 - t) / M) ** 0.5
+            keep += zip((-e[good]).tolist(), p[good].tolist(), q[good].tolist(), strict=True)
+    merged: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in merged:
+            c = merged[c]
+        return c
+
+    sets: dict[tuple[bool, int], np.ndarray] = {}
+
+    def of(left: bool, k: int) -> np.ndarray:
+        if (left, k) not in sets:
+            sets[left, k] = _set((mine if left else other)["z"][k])
+        return sets[left, k]
+
+    out = []
+    for _, p, q in sorted(keep):
+        u, v = top(int(ca[p])), top(int(cb[q]))
+        if u != v:
+            common, union = _overlap(of(True, p), of(False, q))
+            if 100 * common >= percent * union:
+                merged[max(u, v)] = min(u, v)
+                out.append((mine["node"][p], other["node"][q]))
+    return out
+
+
+def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between components that share a bucket.
+
+    members: band, node, component, outside, n, registers and z of all members of the buckets that hold
+    several components. They are dealt by hash to blocks of about BLOCK; blocks of a bucket meet in pairs.
+    """
+    count = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(count, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    fields = ["node", "component", "outside", "n", "registers", "z"]
+    block = staged(dealt.groupBy("band", "block").agg(F.max("blocks").alias("blocks"), F.max("outside").alias("any"), F.collect_list(F.struct(*fields)).alias("m")), "near-blocks")
+    right = block.select("band", F.col("block").alias("to"), F.col("any").alias("any2"), F.col("m").alias("m2"))
+    left = block.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    met = left.join(right, ["band", "to"]).where("any or any2").select((F.shiftright("band", 8 * ROWS)).cast("int").alias("at"), (F.col("block") == F.col("to")).alias("same"), "m", F.when(F.col("block") != F.col("to"), F.col("m2")).alias("m2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(rows: list[dict]) -> dict:
+            return {k: [r[k] for r in rows] for k in fields}
+
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for k in range(b.num_rows):
+                at, same, m, m2 = (b.column(c)[k].as_py() for c in range(4))
+                mine = columns(m)
+                out += _links_across(mine, mine if same else columns(m2), same, at, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
-    t = percent / 100
     rows = staged(sketched(docs), "near-sketches")
     classes = staged(rows.where("address is not null and doc_id is not null").groupBy("address").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.n_shingles", "s.registers", "address"), "near-classes")
     rough = bands(classes)
     pick = F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node"))
     shared = rough.groupBy("band").agg(pick["node"].alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     buckets = staged(rough.join(shared, "band"), "near-buckets")
-    first = staged(buckets.where("node <> pivot").select(F.greatest("node", "pivot").alias("x"), F.least("node", "pivot").alias("y")).distinct(), "near-pairs")
-    known = staged(_distances(first, classes, docs, percent), "near-distances")
-    links = known.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    texts = texts_of(buckets.select(F.col("node").alias("doc_id")), docs)
+    pairs = buckets.where("node <> pivot").select(F.greatest("node", "pivot").alias("x"), F.least("node", "pivot").alias("y")).distinct()
+    guess = staged(plausible(pairs, classes, percent), "near-estimates")
+    links = verified(guess.where("open"), texts, percent).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     part = staged(connected_components(links), "near-components")
 
-    # buckets with more than one component, and where each member stands to its pivot
     labelled = buckets.join(part, "node", "left").select("band", "node", "pivot", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
     pivots = part.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-    there = labelled.where("node <> pivot").join(mixed, "band", "left_semi").join(pivots, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    there = there.withColumn("x", F.greatest("node", "pivot")).withColumn("y", F.least("node", "pivot")).join(known, ["x", "y"]).join(classes.select("node", "n_shingles"), "node")
-    there = staged(there.select("band", "node", "component", (F.col("component") != F.col("home")).alias("outside"), "distance", "slack", F.col("n_shingles").alias("n")), "near-mixed")
-    out, in_ = there.where("outside").alias("o"), there.alias("i")
-    near = (F.abs(F.col("o.distance") - F.col("i.distance")) <= (1 - t) + F.col("o.slack") + F.col("i.slack") + 1e-9) & (100 * F.least("o.n", "i.n") >= percent * F.greatest("o.n", "i.n"))
-    # two members outside meet twice in a bucket: once is enough
-    once = ~F.col("i.outside") | (F.col("o.node") > F.col("i.node"))
-    second = out.join(in_, (F.col("o.band") == F.col("i.band")) & (F.col("o.component") != F.col("i.component")) & near & once)
-    second = second.select(F.greatest("o.node", "i.node").alias("x"), F.least("o.node", "i.node").alias("y")).distinct().join(known.select("x", "y"), ["x", "y"], "left_anti")
-    more = _distances(staged(second, "near-rest"), classes, docs, percent)
-    more = staged(more.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "near-links")
+    there = labelled.join(mixed, "band", "left_semi").join(pivots, "pivot", "left").withColumn("outside", F.col("component") != F.coalesce("home", "pivot"))
+    full = classes.select("node", F.col("n_shingles").alias("n"), "registers").join(texts, "node")
+    more = staged(across(there.join(full, "node").select("band", "node", "component", "outside", "n", "registers", "z"), percent), "near-links")
     if not more.isEmpty():
         part = connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
