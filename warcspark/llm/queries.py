@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
+from . import hnsw, language_id, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -24,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,6 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_hnsw": op2_hnsw,
     "op3_near_dedup": op3_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
