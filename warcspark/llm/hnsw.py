@@ -207,10 +207,10 @@ def nearest(df: DataFrame, *, every: int = EVERY, k: int = K, shard_rows: int =
                 shard = tuple(r[n].as_py() for n in SHARD)
                 if shard != at:
                     at, graph = shard, Graph.loads(*(r[n].as_py() for n in PARTS[:3]))
-                    x = np.frombuffer(r["original"].as_py()).reshape(len(graph.x), -1)
+                    x = np.frombuffer(r["original"].as_py()).reshape(len(graph.x), shard[0])
                     ids, starts = (np.frombuffer(r[n].as_py(), np.int64) for n in PARTS[4:])
                 asks = r["asks"].as_py()
-                q = np.frombuffer(b"".join(a["vec"] for a in asks)).reshape(len(asks), -1)
+                q = np.frombuffer(b"".join(a["vec"] for a in asks)).reshape(len(asks), shard[0])
                 out_ids, out_scores = [], []
                 for one, got in zip(q, graph.search(q, k + 1), strict=True):
                     got = got[got >= 0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language_id, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
+from . import ball_tree, hnsw, language_id, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -32,6 +32,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.identify(docs, language_id.fit_documents(docs))
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_hnsw": op2_hnsw,
     "op3_near_dedup": op3_near_dedup,
+    "op4_ball_tree": op4_ball_tree,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_warc_archive": op7_warc_archive,
@@ -71,6 +76,14 @@ _BASE32_SHA1 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('
   CAST(1 + list_sum(list_transform(range(0, 5), lambda k: CAST(substr(bits, 1 + 5 * i + k, 1) AS INT) * CAST(pow(2, 4 - k) AS INT))) AS BIGINT), 1)), 'string_agg', '')"""
 
 ORACLE_SQL = {
+    "op4_ball_tree": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+           AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_warc_archive": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 o AS (SELECT body, max(page_id) AS owner, (unhex(sha1(body))::BIT)::VARCHAR AS bits FROM p GROUP BY body)

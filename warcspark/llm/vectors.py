@@ -52,7 +52,7 @@ def vector_rows(df: DataFrame, prepare: Callable[[np.ndarray], np.ndarray | None
 @dataclass
 class Plan:
     """vectors: key, dim, band, shard, vec, ids (ascending). queries: query_id, key.
-    asks: each block of queries with each band and shard of its dimension."""
+    asks: each block of queries with each shard of its dimension, and how many shards its band has."""
 
     vectors: DataFrame
     asks: DataFrame
@@ -74,7 +74,7 @@ def plan(rows: DataFrame, *, every: int, k: int, shard_rows: int, block_rows: in
     n = max(1, -(-q.count() // block_rows))
     dealt = q.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n)).cast("int"))
     blocks = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("key", "vec")).alias("asks"))
-    asks = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    asks = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     vectors = vectors.join(shards, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
     return Plan(vectors, asks, asked.select(F.col("vec_id").alias("query_id"), "key"))
 
@@ -89,7 +89,7 @@ def by_shard(vectors: DataFrame, build: Callable[[np.ndarray, list[list[int]]],
         at, vecs, ids = None, [], []
 
         def made() -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
+            x = np.frombuffer(b"".join(vecs)).reshape(len(vecs), at[0])
             blob = build(x, ids)
             return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in at), *(pa.array([blob[p]], pa.binary()) for p in parts)], [*SHARD, *parts])
 
