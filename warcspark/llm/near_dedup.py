@@ -14,9 +14,10 @@ of copies cost a row each. Then, instead of all pairs of a bucket:
    estimated from both sketches and exact set sizes by maximum likelihood; those that lie below
    the threshold by more than SIGMAS standard errors go, the rest are checked on full sets;
 2. links give components. Where a bucket still holds several, members outside the pivot's
-   component meet all of other components: the bucket's members are dealt to blocks, blocks
-   meet in pairs, and each pair of blocks is estimated and checked in place, so that only links
-   come out. A pair is looked at in the first band it shares. Then components are taken again.
+   component meet all of other components: the bucket's members are dealt to blocks and blocks
+   meet in pairs. Sketches meet first; members that may have a link meet again with their texts
+   and are checked in place, so that only links come out. A pair is looked at in the first band
+   it shares. Then components are taken again.
 
 Pairs of a component never meet again, so no link between components is lost. Buckets are never
 gathered: pivots come from an aggregate, pairs from joins that adaptive execution splits when a
@@ -32,7 +33,7 @@ tables give empty results; other columns don't matter.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -208,9 +209,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _links_across(mine: dict, other: dict, same: bool, band: int, percent: int) -> list[tuple[int, int]]:
-    """Links between members of two blocks of a bucket whose components differ, one at least outside the
-    pivot's; a pair is looked at in the first of its bands only, and no more once its components are one."""
+def _candidates(mine: dict, other: dict, same: bool, band: int, percent: int) -> list[tuple[float, int, int]]:
+    """Pairs of members of two blocks of a bucket, as (-estimate, p, q) and likeliest first, whose components
+    differ, one at least outside the pivot's; a pair is looked at in the first of its bands only."""
     t = percent / 100
     a, b = (np.frombuffer(b"".join(x["registers"]), np.uint8).reshape(-1, M) for x in (mine, other))
     na, nb = (np.array(x["n"], float) for x in (mine, other))
@@ -228,44 +229,46 @@ def _links_across(mine: dict, other: dict, same: bool, band: int, percent: int)
             e = estimate(a[p], b[q], na[p], nb[q])
             good = e >= t - SIGMAS * (t * (1 - t) / M) ** 0.5
             keep += zip((-e[good]).tolist(), p[good].tolist(), q[good].tolist(), strict=True)
+    return sorted(keep)
+
+
+def _links(pairs: list[tuple[float, int, int]], mine: dict, other: dict, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs on full sets; components that a link has made one are not compared again."""
     merged: dict[int, int] = {}
+    sets: dict[tuple[bool, int], np.ndarray] = {}
 
     def top(c: int) -> int:
         while c in merged:
             c = merged[c]
         return c
 
-    sets: dict[tuple[bool, int], np.ndarray] = {}
-
     def of(left: bool, k: int) -> np.ndarray:
         if (left, k) not in sets:
             sets[left, k] = _set((mine if left else other)["z"][k])
         return sets[left, k]
 
     out = []
-    for _, p, q in sorted(keep):
-        u, v = top(int(ca[p])), top(int(cb[q]))
+    for _, p, q in pairs:
+        u, v = top(mine["component"][p]), top(other["component"][q])
         if u != v:
-            common, union = _overlap(of(True, p), of(False, q))
+            common, union = _overlap(of(True, p), of(same, q))
             if 100 * common >= percent * union:
                 merged[max(u, v)] = min(u, v)
                 out.append((mine["node"][p], other["node"][q]))
     return out
 
 
-def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) between components that share a bucket.
+def _meeting(members: DataFrame, fields: list[str], each: Callable[[dict, dict, bool, int], list[tuple[int, int]]], names: tuple[str, str]) -> DataFrame:
+    """What `each` makes of all pairs of blocks of every bucket.
 
-    members: band, node, component, outside, n, registers and z of all members of the buckets that hold
-    several components. They are dealt by hash to blocks of about BLOCK; blocks of a bucket meet in pairs.
+    Members (band, node and the fields) are dealt by hash to blocks of about BLOCK.
     """
     count = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(count, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    fields = ["node", "component", "outside", "n", "registers", "z"]
     block = staged(dealt.groupBy("band", "block").agg(F.max("blocks").alias("blocks"), F.max("outside").alias("any"), F.collect_list(F.struct(*fields)).alias("m")), "near-blocks")
     right = block.select("band", F.col("block").alias("to"), F.col("any").alias("any2"), F.col("m").alias("m2"))
     left = block.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    met = left.join(right, ["band", "to"]).where("any or any2").select((F.shiftright("band", 8 * ROWS)).cast("int").alias("at"), (F.col("block") == F.col("to")).alias("same"), "m", F.when(F.col("block") != F.col("to"), F.col("m2")).alias("m2"))
+    met = left.join(right, ["band", "to"]).where("any or any2").select("band", (F.col("block") == F.col("to")).alias("same"), "m", F.when(F.col("block") != F.col("to"), F.col("m2")).alias("m2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(rows: list[dict]) -> dict:
@@ -274,12 +277,33 @@ def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         for b in batches:
             out: list[tuple[int, int]] = []
             for k in range(b.num_rows):
-                at, same, m, m2 = (b.column(c)[k].as_py() for c in range(4))
+                band, same, m, m2 = (b.column(c)[k].as_py() for c in range(4))
                 mine = columns(m)
-                out += _links_across(mine, mine if same else columns(m2), same, at, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["u", "v"])
+                out += each(mine, mine if same else columns(m2), same, band)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], list(names))
+
+    return met.mapInArrow(run, f"{names[0]} long, {names[1]} long")
+
+
+def across(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between components that share a bucket.
+
+    members: band, node, component and outside of all members of the buckets that hold several
+    components. Sketches meet first; texts go only to members that some other one may be linked with.
+    """
+
+    def may(mine: dict, other: dict, same: bool, band: int) -> list[tuple[int, int]]:
+        found = _candidates(mine, other, same, band >> (8 * ROWS), percent)
+        return [(band, n) for n in {mine["node"][p] for _, p, _ in found} | {other["node"][q] for _, _, q in found}]
+
+    def link(mine: dict, other: dict, same: bool, band: int) -> list[tuple[int, int]]:
+        return _links(_candidates(mine, other, same, band >> (8 * ROWS), percent), mine, other, same, percent)
 
-    return met.mapInArrow(run, "u long, v long").distinct()
+    fields = ["node", "component", "outside", "n", "registers"]
+    full = members.join(sketches, "node")
+    left = staged(_meeting(full, fields, may, ("band", "node")).distinct(), "near-members")
+    rest = full.join(left, ["band", "node"], "left_semi").join(texts, "node")
+    return _meeting(rest, [*fields, "z"], link, ("u", "v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -297,11 +321,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     part = staged(connected_components(links), "near-components")
 
     labelled = buckets.join(part, "node", "left").select("band", "node", "pivot", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    # all pairs with a pivot are done
+    others = labelled.where("node <> pivot")
+    mixed = others.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
     pivots = part.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-    there = labelled.join(mixed, "band", "left_semi").join(pivots, "pivot", "left").withColumn("outside", F.col("component") != F.coalesce("home", "pivot"))
-    full = classes.select("node", F.col("n_shingles").alias("n"), "registers").join(texts, "node")
-    more = staged(across(there.join(full, "node").select("band", "node", "component", "outside", "n", "registers", "z"), percent), "near-links")
+    there = others.join(mixed, "band", "left_semi").join(pivots, "pivot", "left").select("band", "node", "component", (F.col("component") != F.coalesce("home", "pivot")).alias("outside"))
+    sketches = classes.select("node", F.col("n_shingles").alias("n"), "registers")
+    more = staged(across(staged(there, "near-mixed"), sketches, texts, percent), "near-links")
     if not more.isEmpty():
         part = connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
