@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, hnsw, language_id, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
+from . import ball_tree, hnsw, language_id, licenses, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -51,6 +51,10 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_warc_archive": op7_warc_archive,
+    "op8_licenses": op8_licenses,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
