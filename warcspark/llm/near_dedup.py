@@ -300,7 +300,7 @@ def across(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: i
         return _links(_candidates(mine, other, same, band >> (8 * ROWS), percent), mine, other, same, percent)
 
     fields = ["node", "component", "outside", "n", "registers"]
-    full = members.join(sketches, "node")
+    full = staged(members.join(sketches, "node"), "near-full")
     left = staged(_meeting(full, fields, may, ("band", "node")).distinct(), "near-members")
     rest = full.join(left, ["band", "node"], "left_semi").join(texts, "node")
     return _meeting(rest, [*fields, "z"], link, ("u", "v")).distinct()
