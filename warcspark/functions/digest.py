@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 #: Bytes of a digest for each algorithm.
 SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 #: The digits of conv() to base 32, and those of the base32 encoding.
@@ -86,23 +88,41 @@ def parse_field(field: Column | str, default_encoding: str | Column = "base16")
 
     Base16 values come out in lower case and base32 values in upper case.
     """
+    default = default_encoding if isinstance(default_encoding, Column) else F.lit(default_encoding)
+
+    def cut(f: Column) -> Column:
+        at = F.instr(f, ":")
+        name = normalize_algorithm(F.when(at > 0, F.substring(f, F.lit(1), at - 1)).otherwise(f))
+        return F.struct(name.alias("a"), F.when(at > 0, F.substring(f, at + 1, F.length(f))).otherwise(F.lit("")).alias("v"))
+
+    def coded(p: Column) -> Column:
+        encoding = F.when(p["v"] == "", default).otherwise(detect_encoding(p["a"], p["v"], default))
+        return F.struct(p["a"].alias("a"), p["v"].alias("v"), encoding.alias("e"))
+
+    def shaped(p: Column) -> Column:
+        cased = F.when(p["e"] == "base16", F.lower(p["v"])).when(p["e"] == "base32", F.upper(p["v"])).otherwise(p["v"])
+        return F.struct(F.when(p["a"].isin(*SIZES), p["a"]).alias("algorithm"), p["e"].alias("encoding"), cased.alias("value"))
+
     f = _c(field)
-    cut = F.instr(f, ":")
-    name = normalize_algorithm(F.when(cut > 0, F.substring(f, F.lit(1), cut - 1)).otherwise(f))
-    value = F.when(cut > 0, F.substring(f, cut + 1, F.length(f))).otherwise(F.lit(""))
-    encoding = F.when(value == "", _c(default_encoding) if isinstance(default_encoding, Column) else F.lit(default_encoding)).otherwise(detect_encoding(name, value, default_encoding))
-    cased = F.when(encoding == "base16", F.lower(value)).when(encoding == "base32", F.upper(value)).otherwise(value)
-    return F.when(f.isNotNull(), F.struct(F.when(name.isin(*SIZES), name).alias("algorithm"), encoding.alias("encoding"), cased.alias("value")))
+    return F.when(f.isNotNull(), let(let(let(f, cut), coded), shaped))
+
+
+def base32_any(hexed: Column) -> Column:
+    """Padded base32 of bytes given in base16, whatever their number."""
+    groups = F.ceil(F.length(hexed) / 10).cast("int")
+    filled = F.rpad(hexed, groups * 10, F.lit("0"))
+    part = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.lpad(F.conv(F.substring(filled, i * 10 + 1, F.lit(10)), 16, 32), 8, "0"))
+    text = F.translate(F.array_join(part, ""), _CONV32, _BASE32)
+    return F.rpad(F.substring(text, F.lit(1), F.ceil(F.length(hexed) * 4 / 5).cast("int")), groups * 8, F.lit("="))
 
 
 def compute(data: Column | str, algorithm: Column, encoding: Column) -> Column:
     """The digest value of data where algorithm and encoding vary by row; null for unsupported ones."""
-    out = None
+    hexed = None
     for a in SIZES:
-        for e in ("base16", "base32", "base64"):
-            cond = (algorithm == a) & (encoding == e)
-            out = F.when(cond, digest(data, a, e)) if out is None else out.when(cond, digest(data, a, e))
-    return out
+        h = hex_digest(data, a)
+        hexed = F.when(algorithm == a, h) if hexed is None else hexed.when(algorithm == a, h)
+    return let(hexed, lambda h: F.when(encoding == "base16", h).when(encoding == "base32", base32_any(h)).when(encoding == "base64", base64_of_hex(h)))
 
 
 def format_field(algorithm: Column | str, value: Column | str) -> Column:
@@ -114,12 +134,14 @@ def digest_field(data: Column | str, algorithm: str = "sha256", encoding: str |
     return F.concat(F.lit(f"{algorithm}:"), digest(data, algorithm, encoding or ("base32" if algorithm == "sha1" else "base16")))
 
 
+def same_value(a: Column, b: Column) -> Column:
+    """Equal but for padding."""
+    return F.regexp_replace(a, "=+$", "") == F.regexp_replace(b, "=+$", "")
+
+
 def matches(field: Column | str, data: Column | str, default_encoding: str = "base16") -> Column:
     """Whether the digest field is that of data: padding doesn't matter, nor does case but in base64.
 
     Null where the field is null, has no value, or names an unsupported algorithm.
     """
-    p = parse_field(field, default_encoding)
-    value = p["value"]
-    right = compute(data, p["algorithm"], p["encoding"])
-    return F.when(p["algorithm"].isNotNull() & (value != ""), F.regexp_replace(right, "=+$", "") == F.regexp_replace(value, "=+$", ""))
+    return let(parse_field(field, default_encoding), lambda p: F.when(p["algorithm"].isNotNull() & (p["value"] != ""), same_value(compute(data, p["algorithm"], p["encoding"]), p["value"])))

@@ -1 +1 @@
-
+"""DataFrame operators on records: parse, validate, repair, build, marshal, revisit, analyse."""
