@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW, COVERAGE, MAX_WORDS, CACHE = 3, 3, 0.75, 200_000, 500_000
+GRAM, WINDOW, COVERAGE, MAX_WORDS, CACHE = 3, 3, 0.75, 200_000, 150_000
 #: Opening notices of well-known licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",

@@ -49,7 +49,7 @@ WORDS, PERCENT = 5, 75
 BASE, RATE, BANDS, ROWS, SIGMAS, SEED = 1.2, 20.0, 44, 5, 5, 20231
 M = BANDS * ROWS
 #: Words whose hashes a worker remembers; beyond that it forgets them all and begins anew.
-CACHE = 600_000
+CACHE = 200_000
 #: Ids that may be broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket that are held together, about.

@@ -33,7 +33,7 @@ from .common import staged
 LENGTH, END_ID, SHARD_PIECES = 2048, 0, 16384
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, whose ids a worker remembers; beyond that it forgets them all and begins anew.
-CACHE = 500_000
+CACHE_WORDS, CACHE_PARTS = 200_000, 350_000
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: str.split() takes these for white space, the tokenizer doesn't; on all else they agree.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -74,7 +74,7 @@ class WordIds(dict):
     def _part(self, part: str) -> bytes:
         ids = self._parts.get(part)
         if ids is None:
-            if len(self._parts) >= CACHE:
+            if len(self._parts) >= CACHE_PARTS:
                 self._parts.clear()
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
             ids = self._parts[part] = to_bytes("<%dI" % len(found := self._merges.tokenize(letters)), *[x.id for x in found])
@@ -84,7 +84,7 @@ class WordIds(dict):
         plain = _PLAIN.fullmatch(word)
         ids = b"".join(map(self._part, _PARTS.findall(word.lower()))) if plain else self._encode(word)
         if plain:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE_WORDS:
                 self.clear()
             self[word] = ids
         return ids

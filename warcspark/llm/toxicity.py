@@ -37,7 +37,7 @@ from .common import crc_mod, hash_unit
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, SEED = 1500, 4500, 64_000_000, 11
 MIN_DOCS, MIN_GAIN, MIN_PRECISION, MAX_TERMS = 3, 11.5, 0.95, 2000
-STEM_FROM, STEM_TO, STEM_FORMS, FUZZY_FROM, WINDOW, CACHE = 4, 8, 3, 5, 6, 500_000
+STEM_FROM, STEM_TO, STEM_FORMS, FUZZY_FROM, WINDOW, CACHE = 4, 8, 3, 5, 6, 150_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’‚‹›…–—¡¿"
 _OPEN, _CLOSE = '"“„«‹‘', '"”“»›’'
 #: Words of reporting, in the languages of the tables.
