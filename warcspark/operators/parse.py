@@ -61,8 +61,8 @@ def frame(df: DataFrame, data: str, options: WarcOptions, *, base: str | None =
     return df.select(*args).mapInArrow(run, FRAMED)
 
 
-def typed(df: DataFrame, options: WarcOptions) -> DataFrame:
-    """All columns of records, from framed ones (or built ones that look alike)."""
+def typed(df: DataFrame, options: WarcOptions, *, keep: list[str] | None = None) -> DataFrame:
+    """All columns of records, from framed ones (or built ones that look alike), after those to keep."""
     code, type_found = V.resolve_type("headers", options)
     df = df.withColumn("record_type_code", code).withColumn("_type_found", type_found)
     kinds = H.get("headers", "Content-Type")
@@ -113,7 +113,7 @@ def typed(df: DataFrame, options: WarcOptions) -> DataFrame:
         "target_uri": H.get("headers", "WARC-Target-URI"),
         "content_type": H.get("headers", "Content-Type"),
     }
-    return df.withColumns(named).select(*RECORD_COLUMNS)
+    return df.withColumns(named).select(*(keep or []), *RECORD_COLUMNS)
 
 
 def parse_records(df: DataFrame, data: str = "content", options: WarcOptions | None = None, *, base: str | None = None, path: str | None = None, with_block: bool = True) -> DataFrame:

@@ -1 +1,38 @@
+"""Streams of archives: files as they arrive, with the batch parser; windows over capture times."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.parse import parse_records
+from ..options import WarcOptions
+
+
+def read_archive_stream(spark: SparkSession, folder: str, options: WarcOptions | None = None, *, pattern: str = "*.warc*", max_files: int = 100) -> DataFrame:
+    """Records of archive files as they appear in a folder."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).load(folder)
+    return parse_records(files, "content", options, path="path")
+
+
+def parse_stream(stream: DataFrame, data: str, options: WarcOptions | None = None) -> DataFrame:
+    """Records of archives that arrive as a binary column of any stream."""
+    return parse_records(stream, data, options)
+
+
+def windowed_counts(stream: DataFrame, time: str, width: str, keys: list[str], *, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Rows for each window and key; state goes once the watermark has passed a window."""
+    w = F.window(time, width, slide) if slide else F.window(time, width)
+    out = stream.withWatermark(time, late).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n")
+
+
+def sessions(stream: DataFrame, time: str, gap: str, keys: list[str], *, late: str = "10 minutes") -> DataFrame:
+    """Rows for each session of a key: runs of events closer than the gap."""
+    out = stream.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n")
+
+
+def first_captures(stream: DataFrame, time: str, keys: list[str], *, late: str = "10 minutes") -> DataFrame:
+    """The first row of each key within the watermark."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
