@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as H
+from ..functions import let
 from ..options import WarcOptions
 from ..schema import ERROR, FIELDS, FINDINGS, RECORD_TYPES
 from . import parse
@@ -38,9 +39,9 @@ def build_records(df: DataFrame, record_type: str | Column, block: str | Column,
     major, minor = options.version.split(".")
     d = df.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], content.alias("block"), F.filter(h, lambda x: x["value"].isNotNull()).alias("headers"))
     if options.add_missing_record_id:
-        d = d.withColumn("headers", F.when(H.has("headers", "WARC-Record-ID"), F.col("headers")).otherwise(H.add_id("headers", "WARC-Record-ID", _record_id(options))))
+        d = d.withColumn("_new_id", _record_id(options)).withColumn("headers", let(F.col("headers"), lambda h: F.when(H.has(h, "WARC-Record-ID"), h).otherwise(H.add_id(h, "WARC-Record-ID", F.col("_new_id")))))
     if options.add_missing_content_length:
-        d = d.withColumn("headers", F.when(H.has("headers", "Content-Length"), F.col("headers")).otherwise(H.add("headers", "Content-Length", F.octet_length("block").cast("string"))))
+        d = d.withColumn("headers", let(F.col("headers"), lambda h: F.when(H.has(h, "Content-Length"), h).otherwise(H.add(h, "Content-Length", F.octet_length("block").cast("string")))))
     none = {"file_path": "string", "record_offset": "long", "record_size": "long", "skipped_bytes": "long", "is_gzip": "boolean", "error": ERROR}
     d = d.withColumns({k: F.lit(None).cast(v) for k, v in none.items()} | {"version": F.lit(options.version), "version_major": F.lit(int(major)), "version_minor": F.lit(int(minor)), "block_truncated": F.lit(False), "before": F.array().cast(FINDINGS), "after": F.array().cast(FINDINGS)})
     return parse.typed(d, options, keep=[f"_keep_{c}" for c in keep]).withColumnsRenamed({f"_keep_{c}": c for c in keep})

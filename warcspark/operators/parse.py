@@ -21,7 +21,7 @@ from ..functions import digest as D
 from ..functions import fields as H
 from ..functions import let
 from ..options import IGNORE, WarcOptions
-from ..schema import FIELDS, FRAMED, RECORD_COLUMNS, framed_schema
+from ..schema import FIELDS, FRAMED, RECORD_COLUMNS
 from ..sources.framing import frames
 from . import validate as V
 
@@ -44,7 +44,7 @@ def batches_of(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBat
 
 def frame(df: DataFrame, data: str, options: WarcOptions, *, base: str | None = None, path: str | None = None, with_block: bool = True, one: bool = False) -> DataFrame:
     """Framed records of a binary column; `base` names a column of offsets, `path` one of file names."""
-    schema = to_arrow_schema(framed_schema())
+    schema = to_arrow_schema(FRAMED)
     plain = options.but(record_id=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +79,8 @@ def typed(df: DataFrame, options: WarcOptions, *, keep: list[str] | None = None)
     df = df.withColumn("error", F.coalesce(F.col("error"), F.when(short, F.struct(F.lit("http").alias("kind"), F.lit("not a http block").alias("msg")))))
     if options.fix_syntax_errors:
         fixable = F.col("_open") & ~short
-        length = F.coalesce(H.get_int64("headers", "Content-Length"), F.lit(0)) + 2
-        df = df.withColumn("headers", F.when(fixable, H.set_("headers", "Content-Length", length.cast("string"))).otherwise(F.col("headers")))
+        longer = lambda h: H.set_(h, "Content-Length", (F.coalesce(H.get_int64(h, "Content-Length"), F.lit(0)) + 2).cast("string"))
+        df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(fixable, longer(h)).otherwise(h)))
         df = df.withColumn("block", F.when(fixable, F.concat("block", F.lit(b"\r\n"))).otherwise(F.col("block")))
     offset = F.when(http, F.when(F.col("_open"), F.octet_length("block")).otherwise(F.col("_cut"))).when(F.col("block_kind") == "revisit", F.octet_length("block")).otherwise(0)
     df = df.withColumn("payload_offset", offset.cast("int")).withColumn("payload", B.payload("block", "payload_offset"))

@@ -7,12 +7,15 @@ an aggregate, which merges before the shuffle, however hot a payload is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import digest as D
 from ..functions import fields as H
+from ..functions import let
 from ..options import FAIL, WarcOptions
 from ..schema import IDENTICAL_PROFILES, PROFILE_IDENTICAL_1_1, PROFILES
 
@@ -44,24 +47,39 @@ def to_revisit(df: DataFrame, ref: str = "ref", options: WarcOptions | None = No
     options = options or WarcOptions()
     r, cols = F.col(ref), df.columns
     identical = r["profile"].isin(*IDENTICAL_PROFILES)
-    lent = F.when((F.col("record_type_code") == 4) & ~H.has("headers", "WARC-Payload-Digest"), H.get("headers", "WARC-Block-Digest"))
-    h = F.when(identical & lent.isNotNull(), H.set_("headers", "WARC-Payload-Digest", lent)).otherwise(F.col("headers"))
-    df = df.withColumn("_h", h)
+    lend = identical & (F.col("record_type_code") == 4)
+    has_digest = H.has("headers", "WARC-Payload-Digest") | ((F.col("record_type_code") == 4) & H.has("headers", "WARC-Block-Digest"))
     wrong = (
         F.when(~F.coalesce(r["profile"].isin(*PROFILES), F.lit(False)), _error("profile", "unknown revisit profile"))
-        .when(identical & ~H.has("_h", "WARC-Payload-Digest"), _error("digest", "missing payload digest"))
+        .when(identical & ~has_digest, _error("digest", "missing payload digest"))
         .when(~F.col("block_kind").isin("http_request", "http_response", "generic"), _error("block", "making a revisit of this block is not supported"))
     )
     df = df.withColumn("_wrong", F.when(r.isNotNull(), wrong)).withColumn("_do", r.isNotNull() & F.col("_wrong").isNull())
-    head = F.when(F.col("block_kind") == "generic", F.lit(b"")).otherwise(F.substring("block", F.lit(1), F.col("payload_offset")))
-    df = df.withColumn("_head", head)
-    n = H.set_(H.set_("_h", "WARC-Type", "revisit"), "WARC-Profile", r["profile"])
-    for name, value, put in (("WARC-Refers-To", r["target_record_id"], H.set_id), ("WARC-Refers-To-Target-URI", r["target_uri"], H.set_), ("WARC-Refers-To-Date", r["target_date"], H.set_)):
-        df = df.withColumn("_h", n) if name == "WARC-Refers-To" else df
-        df = df.withColumn("_h", F.when(F.coalesce(value, F.lit("")) == "", F.col("_h")).otherwise(put("_h", name, value)))
+    df = df.withColumn("_head", F.when(F.col("block_kind") == "generic", F.lit(b"")).otherwise(F.substring("block", F.lit(1), F.col("payload_offset"))))
     block_digest = D.digest_field("_head", options.default_algorithm, options.default_encoding)
-    done = H.set_(H.set_(H.set_("_h", "WARC-Truncated", "length"), "WARC-Block-Digest", block_digest), "Content-Length", F.octet_length("_head").cast("string"))
-    df = df.withColumn("headers", F.when(F.col("_do"), done).otherwise(F.col("headers")))
+
+    def unless_empty(value: Column, name: str, put: Callable) -> Callable[[Column], Column]:
+        return lambda h: F.when(F.coalesce(value, F.lit("")) == "", h).otherwise(put(h, name, value))
+
+    steps: list[Callable[[Column], Column]] = [
+        lambda h: F.when(lend & ~H.has(h, "WARC-Payload-Digest") & H.has(h, "WARC-Block-Digest"), H.set_(h, "WARC-Payload-Digest", H.get(h, "WARC-Block-Digest"))).otherwise(h),
+        lambda h: H.set_(h, "WARC-Type", "revisit"),
+        lambda h: H.set_(h, "WARC-Profile", r["profile"]),
+        unless_empty(r["target_record_id"], "WARC-Refers-To", H.set_id),
+        unless_empty(r["target_uri"], "WARC-Refers-To-Target-URI", H.set_),
+        unless_empty(r["target_date"], "WARC-Refers-To-Date", H.set_),
+        lambda h: H.set_(h, "WARC-Truncated", "length"),
+        lambda h: H.set_(h, "WARC-Block-Digest", block_digest),
+        lambda h: H.set_(h, "Content-Length", F.octet_length("_head").cast("string")),
+    ]
+
+    def all_steps(h: Column) -> Column:
+        new = h
+        for step in steps:
+            new = let(new, step)
+        return F.when(F.col("_do"), new).otherwise(h)
+
+    df = df.withColumn("headers", let(F.col("headers"), all_steps))
     size = F.octet_length("_head")
     changed = {
         "record_type": F.lit("revisit"), "record_type_code": F.lit(B.REVISIT), "block_kind": F.lit("revisit"), "block": F.col("_head"), "block_size": size.cast("long"),
@@ -105,13 +123,19 @@ def merge(revisits: DataFrame, records: DataFrame, options: WarcOptions | None =
     own = F.when(ends, F.col("block")).otherwise(F.concat("block", F.lit(b"\r\n")))
     d = d.withColumn("_block", F.concat(own, B.payload(r["block"], r["payload_offset"]))).withColumn("_cut", F.octet_length(own).cast("int"))
     length = open_.cast("long") + H.get_int64(r["headers"], "Content-Length") - r["payload_offset"]
-    h = H.set_(H.delete("headers", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Profile"), "WARC-Type", r["record_type"])
-    d = d.withColumn("_h", h)
     cut = H.get(r["headers"], "WARC-Truncated")
-    d = d.withColumn("_h", F.when(cut.isNotNull(), H.set_("_h", "WARC-Truncated", cut)).otherwise(H.delete("_h", "WARC-Truncated")))
     digest = H.get(r["headers"], "WARC-Block-Digest") if keep_block_digest else D.digest_field("_block", options.default_algorithm, options.default_encoding)
-    d = d.withColumn("_h", H.set_("_h", "Content-Length", length.cast("string")))
-    d = d.withColumn("_h", F.when(digest.isNotNull(), H.set_("_h", "WARC-Block-Digest", digest)).otherwise(H.delete("_h", "WARC-Block-Digest")))
+    steps: list[Callable[[Column], Column]] = [
+        lambda h: H.delete(h, "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Profile"),
+        lambda h: H.set_(h, "WARC-Type", r["record_type"]),
+        lambda h: F.when(cut.isNotNull(), H.set_(h, "WARC-Truncated", cut)).otherwise(H.delete(h, "WARC-Truncated")),
+        lambda h: H.set_(h, "Content-Length", length.cast("string")),
+        lambda h: F.when(digest.isNotNull(), H.set_(h, "WARC-Block-Digest", digest)).otherwise(H.delete(h, "WARC-Block-Digest")),
+    ]
+    h = F.col("headers")
+    for step in steps:
+        h = let(h, step)
+    d = d.withColumn("_h", h)
     new = {"headers": F.col("_h"), "block": F.col("_block"), "record_type": r["record_type"], "record_type_code": H.type_code(r["record_type"]), "block_kind": r["block_kind"], "content_length": length, "block_size": F.octet_length("_block").cast("long"), "payload_offset": F.col("_cut"), "block_digest": digest}
     if "http" in cols:
         new["http"] = B.http_struct("_block", F.col("_cut"), F.lit(False)).cast(revisits.schema["http"].dataType)

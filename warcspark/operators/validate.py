@@ -131,13 +131,32 @@ def blanked(headers: Column | str, code: Column, version_minor: Column, version_
     return F.transform(H._c(headers), lambda x: F.struct(x["name"].alias("name"), F.when(field_problem(x["name"], x["value"], code, bit).isNotNull(), F.lit("")).otherwise(x["value"]).alias("value")))
 
 
-def _digest_columns(df: DataFrame, name: str, field: str, data: Column, options: WarcOptions) -> DataFrame:
-    """Adds {name}_said (algorithm, encoding, value of the header field or the default), {name}_right and {name}_bad."""
-    given = F.coalesce(H.get("headers", field), F.lit(""))
-    df = df.withColumn(f"{name}_said", F.when(given != "", D.parse_field(given, options.default_encoding)).otherwise(F.struct(F.lit(options.default_algorithm).alias("algorithm"), F.lit(options.default_encoding).alias("encoding"), F.lit("").alias("value"))))
-    said = F.col(f"{name}_said")
-    df = df.withColumn(f"{name}_right", D.compute(data, said["algorithm"], said["encoding"]))
-    return df.withColumn(f"{name}_bad", said["algorithm"].isNotNull() & (said["value"] != "") & ~D.same_value(F.col(f"{name}_right"), said["value"]))
+def _digest_step(headers: Column, field: str, what: str, data: Column, where: Column, options: WarcOptions) -> Column:
+    """STRUCT<headers, finding, unsupported> after looking at one digest field; headers is used once only, so
+    that steps in a row stay small however the optimizer puts them together."""
+
+    def said(h: Column) -> Column:
+        given = F.coalesce(H.get(h, field), F.lit(""))
+        default = F.struct(F.lit(options.default_algorithm).alias("algorithm"), F.lit(options.default_encoding).alias("encoding"), F.lit("").alias("value"))
+        return F.struct(h.alias("h"), let(given, lambda g: F.when(g != "", D.parse_field(g, options.default_encoding)).otherwise(default)).alias("p"))
+
+    def done(s: Column) -> Column:
+        return F.struct(s["h"].alias("h"), s["p"].alias("p"), D.compute(data, s["p"]["algorithm"], s["p"]["encoding"]).alias("right"))
+
+    def judged(s: Column) -> Column:
+        p, right = s["p"], s["right"]
+        bad = where & p["algorithm"].isNotNull() & (p["value"] != "") & ~D.same_value(right, p["value"])
+        full, was = D.format_field(p["algorithm"], right), D.format_field(p["algorithm"], p["value"])
+        msg = F.concat(F.lit(f"{what}: wrong digest: expected "), was, F.lit(", computed: "), full)
+        change = F.lit(False)
+        if options.spec == WARN and options.fix_digest:
+            change = change | bad
+        if options.add_missing_digest:
+            change = change | (where & (p["value"] == "") & data.isNotNull())
+        found = F.when(bad, finding("spec", msg, kind="digest", field=field, expected=was, actual=full)) if options.spec != IGNORE else F.lit(None)
+        return F.struct(F.when(F.coalesce(change, F.lit(False)), H.set_(s["h"], field, full)).otherwise(s["h"]).alias("headers"), found.cast(FINDING).alias("finding"), p["algorithm"].isNull().alias("unsupported"))
+
+    return let(let(let(headers, said), done), judged)
 
 
 def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "validation") -> DataFrame:
@@ -146,35 +165,23 @@ def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "va
     Appends to the array column `findings`. Unsupported algorithms leave an error under any policy.
     """
     cols = df.columns
-    spec = options.spec
     size = F.octet_length("block").cast("long")
-    said = H.get("headers", "Content-Length")
-    if spec != IGNORE:
-        wrong = said.isNotNull() & F.col("block").isNotNull() & (said != size.cast("string"))
-        msg = F.concat(F.lit("content length mismatch: header "), F.coalesce(H.as_int(said, "long"), F.lit(0)).cast("string"), F.lit(", actual "), size.cast("string"))
-        df = df.withColumn(findings, F.concat(findings, _some(F.when(wrong, finding("spec", msg, kind="content_length", field="Content-Length", expected=said, actual=size)))))
-        if spec == WARN and options.fix_content_length:
-            df = df.withColumn("headers", F.when(wrong, H.set_("headers", "Content-Length", size.cast("string"))).otherwise(F.col("headers")))
+    if options.spec != IGNORE:
+        said = H.get("headers", "Content-Length")
+        found = let(said, lambda v: F.when(v.isNotNull() & F.col("block").isNotNull() & (v != size.cast("string")), finding("spec", F.concat(F.lit("content length mismatch: header "), F.coalesce(H.as_int(v, "long"), F.lit(0)).cast("string"), F.lit(", actual "), size.cast("string")), kind="content_length", field="Content-Length", expected=v, actual=size)))
+        df = df.withColumn(findings, F.concat(findings, _some(found)))
+        if options.spec == WARN and options.fix_content_length:
+            df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(F.col("block").isNotNull() & (H.get(h, "Content-Length") != size.cast("string")), H.set_(h, "Content-Length", size.cast("string"))).otherwise(h)))
     unchecked = (F.col("record_type_code") == 32) | H.has("headers", "WARC-Segment-Number")
     http = F.col("block_kind").isin("http_request", "http_response")
-    has_payload = ~unchecked & (http | ((F.col("record_type_code") == 4) & (F.col("block_kind") == "generic")))
-    for name, field, data, where in (("block", "WARC-Block-Digest", F.col("block"), F.lit(True)), ("payload", "WARC-Payload-Digest", F.col("payload"), has_payload)):
-        df = _digest_columns(df, f"_{name}", field, data, options)
-        parsed, right, bad = F.col(f"_{name}_said"), F.col(f"_{name}_right"), F.col(f"_{name}_bad") & where
-        full = D.format_field(parsed["algorithm"], right)
-        if spec != IGNORE:
-            msg = F.concat(F.lit(f"{name}: wrong digest: expected "), D.format_field(parsed["algorithm"], parsed["value"]), F.lit(", computed: "), full)
-            df = df.withColumn(findings, F.concat(findings, _some(F.when(bad, finding("spec", msg, kind="digest", field=field, expected=D.format_field(parsed["algorithm"], parsed["value"]), actual=full)))))
-        change = F.lit(False)
-        if spec == WARN and options.fix_digest:
-            change = change | bad
-        if options.add_missing_digest:
-            change = change | (where & (parsed["value"] == "") & F.col("block").isNotNull())
-        unsupported = parsed["algorithm"].isNull()
-        df = df.withColumn("headers", F.when(F.coalesce(change, F.lit(False)), H.set_("headers", field, full)).otherwise(F.col("headers")))
+    has_payload = F.coalesce(~unchecked & (http | ((F.col("record_type_code") == 4) & (F.col("block_kind") == "generic"))), F.lit(False))
+    for what, field, data, where in (("block", "WARC-Block-Digest", F.col("block"), F.lit(True)), ("payload", "WARC-Payload-Digest", F.col("payload"), has_payload)):
+        df = df.withColumn("_step", _digest_step(F.col("headers"), field, what, data, where, options))
+        more = {"headers": F.col("_step.headers"), findings: F.concat(findings, _some(F.col("_step.finding")))}
         if "error" in cols:
-            df = df.withColumn("error", F.when(F.col("error").isNull() & unsupported, F.struct(F.lit("digest").alias("kind"), F.concat(F.lit("unsupported digest algorithm '"), F.split_part(H.get("headers", field), F.lit(":"), F.lit(1)), F.lit("'")).alias("msg"))).otherwise(F.col("error")))
-        df = df.drop(f"_{name}_said", f"_{name}_right", f"_{name}_bad")
+            wrong = F.struct(F.lit("digest").alias("kind"), F.concat(F.lit("unsupported digest algorithm '"), F.split_part(H.get("headers", field), F.lit(":"), F.lit(1)), F.lit("'")).alias("msg"))
+            more["error"] = F.coalesce("error", F.when(F.col("_step.unsupported"), wrong))
+        df = df.withColumns(more)
     return df.select(*cols)
 
 

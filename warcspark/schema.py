@@ -69,11 +69,19 @@ FINDING = "struct<category:string,kind:string,field:string,line:int,msg:string,e
 FINDINGS = f"array<{FINDING}>"
 ERROR = "struct<kind:string,msg:string>"
 
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+_S, _I, _L, _B = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
+_FINDINGS = T.ArrayType(_struct(category=_S, kind=_S, field=_S, line=_I, msg=_S, expected=_S, actual=_S))
+
 #: What framing makes of bytes: everything but what expressions can derive.
-FRAMED = (
-    "file_path string, record_offset long, record_size long, skipped_bytes long, is_gzip boolean, version string, version_major int, "
-    f"version_minor int, headers {FIELDS}, block binary, block_truncated boolean, before {FINDINGS}, after {FINDINGS}, error {ERROR}"
-)
+FRAMED = _struct(
+    file_path=_S, record_offset=_L, record_size=_L, skipped_bytes=_L, is_gzip=_B, version=_S, version_major=_I, version_minor=_I,
+    headers=T.ArrayType(_struct(name=_S, value=_S)), block=T.BinaryType(), block_truncated=_B, before=_FINDINGS, after=_FINDINGS, error=_struct(kind=_S, msg=_S),
+)
 
 #: The columns of a parsed record, in order.
 RECORD_COLUMNS = [
@@ -82,6 +90,3 @@ RECORD_COLUMNS = [
     "block", "block_size", "block_truncated", "http", "payload_offset", "warc_fields", "block_digest", "payload_digest", "validation", "error",
 ]
 
-
-def framed_schema() -> T.StructType:
-    return T._parse_datatype_string(FRAMED)

@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.parse import batches_of, typed
 from ..options import FAIL, WarcOptions
-from ..schema import FRAMED, framed_schema
+from ..schema import FRAMED
 from .framing import frames
 from .sink import Writer, WriterOptions
 
@@ -126,7 +126,7 @@ class _Reading:
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         rows = read_range(partition, self.options, with_block=self.with_block, types=self.types)
-        yield from batches_of(rows, to_arrow_schema(framed_schema()))
+        yield from batches_of(rows, to_arrow_schema(FRAMED))
 
 
 class WarcReader(DataSourceReader):
@@ -206,7 +206,7 @@ class WarcDataSource(DataSource):
     def name(cls) -> str:
         return "warc"
 
-    def schema(self) -> str:
+    def schema(self) -> StructType:
         return FRAMED
 
     def reader(self, schema: StructType) -> DataSourceReader:
