@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +76,25 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def hash_unit(*cols: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the columns and the seed only."""
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11) * F.lit(2.0**-53)
+
+
+_caches: dict[str, Callable[[], object]] = {}
+
+
+def release() -> None:
+    """Gives freed memory of this process back to the machine, where its allocator can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def claim_cache(name: str, clear: Callable[[], object]) -> None:
+    """Called as a task begins to use the cache `name`: worker processes serve one operator after the other,
+    and what others remember there goes."""
+    gone = [n for n in _caches if n != name]
+    for n in gone:
+        _caches.pop(n)()
+    _caches[name] = clear
+    if gone:
+        release()

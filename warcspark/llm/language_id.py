@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_unit
+from .common import claim_cache, crc_mod, hash_unit
 
 ORDER, FIT_ROWS, SEED = 4, 300, 5
 #: Languages that a model holds at most; all labels beyond are an error, not a silent drop.
@@ -125,6 +125,11 @@ class Model:
     grams: list[Rows]
     contexts: list[Rows]
 
+    def forget(self) -> None:
+        """Lets the hash tables go; they come again when used."""
+        for rows in self.grams + self.contexts:
+            rows._slots = None
+
     def costs(self, keys: np.ndarray, k: int | None = None) -> np.ndarray:
         """Bits of the last byte of each key, for each language; keys hold k + 1 bytes."""
         k = self.order if k is None else k
@@ -215,6 +220,7 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim_cache("language_id", m.forget)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             lang: list[str] = [UNDETERMINED] * len(texts)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import claim_cache, release, staged
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -121,6 +121,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, address of the set (null if empty) and registers of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("near_dedup", _hashes.clear)
         for b in batches:
             n, address, regs = [], [], []
             for text in b.column(1).to_pylist():
@@ -157,8 +158,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                p = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 1024):
+                p = b.slice(at, 1024)
                 rx, ry = (np.frombuffer(b"".join(p.column(i).to_pylist()), np.uint8).reshape(-1, M) for i in (3, 5))
                 e = estimate(rx, ry, p.column(2).to_numpy().astype(float), p.column(4).to_numpy().astype(float))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(e), pa.array(e >= least)], ["x", "y", "near", "open"])
@@ -195,6 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     """x, y and whether they are linked, of pairs (x, y) of nodes, on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("near_dedup", _hashes.clear)
         last, right = None, np.empty(0, np.uint64)
         for b in batches:
             linked = []
@@ -221,8 +223,8 @@ def _candidates(mine: dict, other: dict, same: bool, band: int, percent: int) ->
     may &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
     i, j = np.nonzero(np.triu(may, 1) if same else may)
     keep: list[tuple[float, int, int]] = []
-    for at in range(0, len(i), 8192):
-        p, q = i[at : at + 8192], j[at : at + 8192]
+    for at in range(0, len(i), 2048):
+        p, q = i[at : at + 2048], j[at : at + 2048]
         first = (a[p] == b[q]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
         p, q = p[first], q[first]
         if len(p):
@@ -274,6 +276,7 @@ def _meeting(members: DataFrame, fields: list[str], each: Callable[[dict, dict,
         def columns(rows: list[dict]) -> dict:
             return {k: [r[k] for r in rows] for k in fields}
 
+        claim_cache("near_dedup", _hashes.clear)
         for b in batches:
             out: list[tuple[int, int]] = []
             for k in range(b.num_rows):
@@ -281,6 +284,7 @@ def _meeting(members: DataFrame, fields: list[str], each: Callable[[dict, dict,
                 mine = columns(m)
                 out += each(mine, mine if same else columns(m2), same, band)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], list(names))
+        release()
 
     return met.mapInArrow(run, f"{names[0]} long, {names[1]} long")
 

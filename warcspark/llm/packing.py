@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import claim_cache, staged
 
 LENGTH, END_ID, SHARD_PIECES = 2048, 0, 16384
 VOCABULARY = "word_bpe_49k.json"
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, en
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("packing", word_ids.cache_clear)
         words, end = word_ids(path), np.asarray([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[list[int]] = [[], [], [], [], []]
