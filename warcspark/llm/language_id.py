@@ -35,7 +35,7 @@ ORDER, FIT_ROWS, SEED = 4, 300, 5
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
 #: Bytes that are scored at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII letters stay, other ASCII becomes a blank, bytes of longer characters stay.
