@@ -42,8 +42,8 @@ class Rule:
         return self.host + self.path
 
     def pattern(self) -> str:
-        """For the host, a line feed, and the path: neither the rule nor the search can mix them up."""
-        return rf"(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+        """For the host, a `#`, which neither part can hold, and the path."""
+        return rf"(?:[^#]*\.)?{re.escape(self.host)}#{re.escape(self.path)}"
 
     def tokens(self) -> set[str]:
         """Tokens that any URL which the rule fits has as a whole: the path's last run may go on, so it doesn't count."""
@@ -92,7 +92,7 @@ class RuleIndex:
         tried = set(self.always)
         for t in url_tokens(host, path):
             tried.update(self.by_token.get(t, ()))
-        fits = [i for i in tried if self.rules[i][2].match(f"{host}\n{path}")]
+        fits = [i for i in tried if self.rules[i][2].match(f"{host}#{path}")]
         if not fits:
             return None
         best = min(fits, key=lambda i: (-len(self.rules[i][0]), i))
