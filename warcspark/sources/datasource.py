@@ -7,7 +7,7 @@ Reading gives the columns of schema.FRAMED (shape them with operators.parse.type
 `load`). Each file is a partition; with the option `index` (a Parquet table of file_path,
 record_offset, record_size) files are cut at record starts into ranges of about
 `rangeBytes`. Files are read in pieces, so their size doesn't matter. Options: `offset` (start of
-every file), `block` (false skips blocks), `path`, `types` (record types to keep, separated by
+every file), `readBlock` (false skips blocks), `path`, `types` (record types to keep, separated by
 commas), and all of WarcOptions. A filter on record_type or is_gzip is not needed for results,
 only `types` saves sending rows.
 """
@@ -99,7 +99,7 @@ class _Reading:
         self.options = WarcOptions.from_strings(options)
         self.path = low.get("path", "")
         self.start = int(low.get("offset", "0"))
-        self.with_block = low.get("block", "true").lower() not in ("false", "0", "no") if "block" in low and low["block"].lower() in ("true", "false", "0", "1", "yes", "no") else True
+        self.with_block = low.get("readblock", "true").lower() not in ("false", "0", "no")
         self.types = frozenset(t.strip().lower() for t in low.get("types", "").split(",") if t.strip())
         self.index, self.range_bytes = low.get("index"), int(low.get("rangebytes", str(128 << 20)))
 
