@@ -9,10 +9,12 @@ doesn't pay for them.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,8 +63,41 @@ def frame(df: DataFrame, data: str, options: WarcOptions, *, base: str | None =
     return df.select(*args).mapInArrow(run, FRAMED)
 
 
+class Steps:
+    """Takes down what is done to a frame's columns, to do it to others again: building the expressions of a
+    record takes longer than planning them, and they are the same for every frame."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns, self.done = list(columns), []
+
+    def withColumns(self, new: dict[str, Column]) -> Steps:
+        self.columns += [c for c in new if c not in self.columns]
+        self.done.append(lambda df: df.withColumns(new))
+        return self
+
+    def withColumn(self, name: str, value: Column) -> Steps:
+        return self.withColumns({name: value})
+
+    def drop(self, *names: str) -> Steps:
+        self.columns = [c for c in self.columns if c not in names]
+        self.done.append(lambda df: df.drop(*names))
+        return self
+
+
+@lru_cache(maxsize=32)
+def _steps(options: WarcOptions, gateway: int) -> list[Callable[[DataFrame], DataFrame]]:
+    """Of one JVM, as expressions live there."""
+    return _typed(Steps(FRAMED.names), options).done
+
+
 def typed(df: DataFrame, options: WarcOptions, *, keep: list[str] | None = None) -> DataFrame:
     """All columns of records, from framed ones (or built ones that look alike), after those to keep."""
+    for step in _steps(options.but(record_id=None), id(SparkContext._gateway)):
+        df = step(df)
+    return df.select(*(keep or []), *RECORD_COLUMNS)
+
+
+def _typed(df: Steps, options: WarcOptions) -> Steps:
     code, type_found = V.resolve_type("headers", options)
     df = df.withColumn("record_type_code", code).withColumn("_type_found", type_found)
     kinds = H.get("headers", "Content-Type")
@@ -113,7 +148,7 @@ def typed(df: DataFrame, options: WarcOptions, *, keep: list[str] | None = None)
         "target_uri": H.get("headers", "WARC-Target-URI"),
         "content_type": H.get("headers", "Content-Type"),
     }
-    return df.withColumns(named).select(*(keep or []), *RECORD_COLUMNS)
+    return df.withColumns(named)
 
 
 def parse_records(df: DataFrame, data: str = "content", options: WarcOptions | None = None, *, base: str | None = None, path: str | None = None, with_block: bool = True) -> DataFrame:

@@ -74,10 +74,13 @@ def is_time(value: Column) -> Column:
 def resolve_type(headers: Column | str, options: WarcOptions) -> tuple[Column, Column]:
     """Bit code of the record's type, and its findings."""
     value = F.coalesce(H.get(headers, "WARC-Type"), F.lit(""))
-    code = H.type_code(value)
-    missing = F.when(value == "", finding("spec", "missing required field WARC-Type", kind="missing", field="WARC-Type"))
-    unknown = F.when(code == 0, finding("type", F.concat(F.lit("unrecognized value '"), value, F.lit("' in field WARC-Type")), kind="unknown_type", field="WARC-Type"))
-    return code, _some(missing, unknown)
+
+    def found(v: Column) -> Column:
+        missing = F.when(v == "", finding("spec", "missing required field WARC-Type", kind="missing", field="WARC-Type"))
+        unknown = F.when(H.type_code(v) == 0, finding("type", F.concat(F.lit("unrecognized value '"), v, F.lit("' in field WARC-Type")), kind="unknown_type", field="WARC-Type"))
+        return _some(missing, unknown)
+
+    return H.type_code(value), let(value, found)
 
 
 def field_problem(name: Column, value: Column, code: Column, version_bit: Column) -> Column:
@@ -107,8 +110,11 @@ def _bad_value(kind: Column, value: Column) -> Column:
 
 def header_findings(headers: Column | str, code: Column, version_minor: Column, version_major: Column) -> Column:
     """Findings of the fields: illegal, of bad value, repeated; and of those that are missing or don't go together."""
-    h = H._c(headers)
     bit = F.when(version_major != 1, 0).when(version_minor == 0, 1).otherwise(2)
+    return let(F.struct(H._c(headers).alias("h"), code.alias("code"), bit.alias("bit")), lambda s: _header_findings(s["h"], s["code"], s["bit"]))
+
+
+def _header_findings(h: Column, code: Column, bit: Column) -> Column:
     once = [k.lower() for k in FIELD_RULES if k not in REPEATABLE]
     names = F.transform(h, lambda x: F.lower(x["name"]))
 
@@ -164,7 +170,7 @@ def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "va
 
     Appends to the array column `findings`. Unsupported algorithms leave an error under any policy.
     """
-    cols = df.columns
+    with_error = "error" in df.columns
     size = F.octet_length("block").cast("long")
     if options.spec != IGNORE:
         said = H.get("headers", "Content-Length")
@@ -178,11 +184,11 @@ def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "va
     for what, field, data, where in (("block", "WARC-Block-Digest", F.col("block"), F.lit(True)), ("payload", "WARC-Payload-Digest", F.col("payload"), has_payload)):
         df = df.withColumn("_step", _digest_step(F.col("headers"), field, what, data, where, options))
         more = {"headers": F.col("_step.headers"), findings: F.concat(findings, _some(F.col("_step.finding")))}
-        if "error" in cols:
+        if with_error:
             wrong = F.struct(F.lit("digest").alias("kind"), F.concat(F.lit("unsupported digest algorithm '"), F.split_part(H.get("headers", field), F.lit(":"), F.lit(1)), F.lit("'")).alias("msg"))
             more["error"] = F.coalesce("error", F.when(F.col("_step.unsupported"), wrong))
         df = df.withColumns(more)
-    return df.select(*cols)
+    return df.drop("_step")
 
 
 def apply_policies(df: DataFrame, options: WarcOptions, *, findings: str = "validation") -> DataFrame:
