@@ -160,3 +160,12 @@ def test_as_of_and_segments(spark):
     got = A.as_of(left, right, by="k", left_time="t", right_time="t", value="v", out="v").collect()
     assert {r.id: r.v for r in got} == {1: "y", 2: None, 3: None, 4: "x"}
     assert A.of_types(records(spark), "response", "resource").count() == 3 and A.of_types(records(spark), "revisit").count() == 0
+
+
+def test_table_function(spark):
+    from warcspark.sources.udtf import register
+
+    register(spark)
+    spark.createDataFrame([(bytearray(b"XX" + record() * 2),), (None,)], "content binary").createOrReplaceTempView("archives")
+    got = spark.sql("select p.record_offset, p.skipped_bytes, p.headers[0].value as kind, p.findings from archives, lateral parse_records(content) p order by 1").collect()
+    assert [(r.record_offset, r.skipped_bytes, r.kind, len(r.findings)) for r in got] == [(2, 2, "resource", 1), (2 + len(record()), 0, "resource", 0)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
 from .fields import parse_lenient
 
 #: Record types whose block may be an HTTP message: response, resource, request, conversion, continuation.
@@ -28,14 +29,18 @@ def block_kind(type_code: Column | str, content_type: Column | str, block: Colum
     """generic, http_request, http_response, warc_fields or revisit."""
     if not parse:
         return F.lit("generic")
-    code, kind = _c(type_code), F.lower(F.coalesce(_c(content_type), F.lit("")))
-    http = (code.bitwiseAND(HTTP_TYPES) != 0) & kind.startswith("application/http")
-    return (
-        F.when(http, F.when(F.substring(_c(block), 1, 4) == F.lit(b"HTTP"), "http_response").otherwise("http_request"))
-        .when(code == REVISIT, "revisit")
-        .when(kind.startswith("application/warc-fields"), "warc_fields")
-        .otherwise("generic")
-    )
+    given = F.struct(_c(type_code).alias("code"), F.lower(F.coalesce(_c(content_type), F.lit(""))).alias("kind"))
+
+    def which(g: Column) -> Column:
+        http = (g["code"].bitwiseAND(HTTP_TYPES) != 0) & g["kind"].startswith("application/http")
+        return (
+            F.when(http, F.when(F.substring(_c(block), 1, 4) == F.lit(b"HTTP"), "http_response").otherwise("http_request"))
+            .when(g["code"] == REVISIT, "revisit")
+            .when(g["kind"].startswith("application/warc-fields"), "warc_fields")
+            .otherwise("generic")
+        )
+
+    return let(given, which)
 
 
 #: Lines of at least three bytes, then one of fewer, line feed included.

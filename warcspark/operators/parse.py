@@ -107,8 +107,10 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     if options.blank_invalid and options.spec != IGNORE:
         df = df.withColumn("headers", V.blanked("headers", F.col("record_type_code"), minor, major))
     df = df.withColumn("block_kind", F.when(F.col("headers").isNotNull(), B.block_kind("record_type_code", kinds, "block", parse=options.parse_block)))
-    http = F.col("block_kind").isin("http_request", "http_response")
-    df = df.withColumn("_cut", F.when(http, B.http_head_length("block"))).withColumn("_open", http & (F.col("_cut") == 0))
+    is_http = F.col("block_kind").isin("http_request", "http_response")
+    df = df.withColumn("_cut", F.when(is_http, B.http_head_length("block")))  # null for all but HTTP blocks
+    http = F.col("_cut").isNotNull()
+    df = df.withColumn("_open", F.coalesce(F.col("_cut") == 0, F.lit(False)))
     missing = V._some(F.when(F.col("_open"), V.finding("syntax", "missing line separator at end of http headers", kind="http_headers")))
     short = http & (F.octet_length("block") < 4)
     df = df.withColumn("error", F.coalesce(F.col("error"), F.when(short, F.struct(F.lit("http").alias("kind"), F.lit("not a http block").alias("msg")))))
@@ -117,7 +119,7 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
         longer = lambda h: H.set_(h, "Content-Length", (F.coalesce(H.get_int64(h, "Content-Length"), F.lit(0)) + 2).cast("string"))
         df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(fixable, longer(h)).otherwise(h)))
         df = df.withColumn("block", F.when(fixable, F.concat("block", F.lit(b"\r\n"))).otherwise(F.col("block")))
-    offset = F.when(http, F.when(F.col("_open"), F.octet_length("block")).otherwise(F.col("_cut"))).when(F.col("block_kind") == "revisit", F.octet_length("block")).otherwise(0)
+    offset = let(F.col("_cut"), lambda c: F.when(c > 0, c).when((c == 0) | (F.col("block_kind") == "revisit"), F.octet_length("block")).otherwise(0))
     df = df.withColumn("payload_offset", offset.cast("int")).withColumn("payload", B.payload("block", "payload_offset"))
     df = df.withColumn("http", F.when(http & F.col("error").isNull(), B.http_struct("block", F.col("payload_offset"), F.col("_open"))))
     unread = http & F.col("error").isNull() & F.when(F.col("block_kind") == "http_response", F.col("http.status_line").isNull()).otherwise(F.col("http.request_uri").isNull())

@@ -178,9 +178,8 @@ def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "va
         df = df.withColumn(findings, F.concat(findings, _some(found)))
         if options.spec == WARN and options.fix_content_length:
             df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(F.col("block").isNotNull() & (H.get(h, "Content-Length") != size.cast("string")), H.set_(h, "Content-Length", size.cast("string"))).otherwise(h)))
-    unchecked = (F.col("record_type_code") == 32) | H.has("headers", "WARC-Segment-Number")
-    http = F.col("block_kind").isin("http_request", "http_response")
-    has_payload = F.coalesce(~unchecked & (http | ((F.col("record_type_code") == 4) & (F.col("block_kind") == "generic"))), F.lit(False))
+    about = F.struct(F.col("record_type_code").alias("code"), F.col("block_kind").alias("kind"), H.has("headers", "WARC-Segment-Number").alias("part"))
+    has_payload = let(about, lambda a: F.coalesce((a["code"] != 32) & ~a["part"] & (a["kind"].isin("http_request", "http_response") | ((a["code"] == 4) & (a["kind"] == "generic"))), F.lit(False)))
     for what, field, data, where in (("block", "WARC-Block-Digest", F.col("block"), F.lit(True)), ("payload", "WARC-Payload-Digest", F.col("payload"), has_payload)):
         df = df.withColumn("_step", _digest_step(F.col("headers"), field, what, data, where, options))
         more = {"headers": F.col("_step.headers"), findings: F.concat(findings, _some(F.col("_step.finding")))}

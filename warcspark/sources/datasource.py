@@ -109,18 +109,16 @@ class _Reading:
             return [Range(p, self.start, None) for p, _ in files]
         import pyarrow.dataset as ds
 
-        cuts: dict[str, list[int]] = {}
-        wanted = {p for p, _ in files}
+        # of the starts in a stretch of range_bytes only the first is kept, so memory follows the ranges, not the records
+        cuts: dict[str, dict[int, int]] = {p: {} for p, _ in files}
         for b in ds.dataset(self.index).to_batches(columns=["file_path", "record_offset"]):
             for p, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if p in wanted:
-                    cuts.setdefault(p, []).append(at)
+                if p in cuts and at >= self.start:
+                    k = at // self.range_bytes
+                    cuts[p][k] = min(at, cuts[p].get(k, at))
         out = []
         for p, _ in files:
-            begin: list[int] = []
-            for at in sorted(cuts.get(p, [self.start])):
-                if at >= self.start and (not begin or at - begin[-1] >= self.range_bytes):
-                    begin.append(at)
+            begin = sorted(cuts[p].values()) or [self.start]
             out += [Range(p, a, b) for a, b in zip(begin, [*begin[1:], None], strict=True)]
         return out
 
