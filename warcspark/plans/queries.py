@@ -46,6 +46,11 @@ def _date(n: Column) -> Column:
     return H.rfc3339(F.timestamp_seconds(F.lit(1704067200) + n))
 
 
+def _utc(time: Column) -> Column:
+    """UTC wall clock as text, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def _body() -> Column:
     fields = {"Content-Type": "text/html; charset=utf-8", "Content-Length": F.octet_length("html").cast("string")}
     return http_response(_status(F.col("page_id")), fields, F.col("html"))
@@ -174,7 +179,7 @@ _DATES = ("2024-02-29T12:00:00Z", "2023-13-01T00:00:00Z", "2024-01-01", "2024-01
 
 def q16_date_validation(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events").select("event_id", _by(F.col("event_id"), *_DATES).alias("given"))
-    return e.select("event_id", V.is_time(F.col("given")).alias("ok"), F.date_format(H.as_time("given"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    return e.select("event_id", V.is_time(F.col("given")).alias("ok"), _utc(H.as_time("given")).alias("utc"))
 
 
 _IDS = ("<urn:uuid:1>", "urn:uuid:1", "<urn:uuid:1", "<<urn:uuid:1>>", "<nothing>", "<http://a/b c>")
@@ -327,13 +332,13 @@ def q37_warcinfo_per_file(spark: SparkSession, sf: str) -> DataFrame:
 
 def q38_file_names(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events")
-    return e.select("event_id", N.file_name(F.col("event_id") + 1, F.date_trunc("second", "ts"), prefix="foo-", host="example").alias("file_name"))
+    return e.select("event_id", N.file_name(F.col("event_id") + 1, F.timestamp_seconds(F.lit(1704067200) + F.col("event_id")), prefix="foo-", host="example").alias("file_name"))
 
 
 def q39_as_of_capture(spark: SparkSession, sf: str) -> DataFrame:
     """For each event, the latest page at that time whose id shares the event's remainder by 10."""
-    e = _t(spark, sf, "events").select("event_id", (F.col("event_id") % 10).alias("k"), F.col("ts"))
-    p = _t(spark, sf, "pages").select("page_id", (F.col("page_id") % 10).alias("k"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 3600).alias("at"))
+    e = _t(spark, sf, "events").select("event_id", (F.col("event_id") % 10).alias("k"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    p = _t(spark, sf, "pages").select("page_id", (F.col("page_id") % 10).alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(page_id as int))").alias("at"))
     return A.as_of(e, p, by="k", left_time="ts", right_time="at", value="page_id", out="page_id").select("event_id", "page_id")
 
 
@@ -398,7 +403,7 @@ def q47_digest_sha512(spark: SparkSession, sf: str) -> DataFrame:
 
 def q48_headers_only(spark: SparkSession, sf: str) -> DataFrame:
     r = P.headers_only(_archive(spark, sf), "bytes")
-    return r.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "record_type", "content_length", F.date_format("warc_date", "yyyy-MM-dd HH:mm:ss").alias("warc_date"), "target_uri")
+    return r.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "record_type", "content_length", _utc(F.col("warc_date")).alias("warc_date"), "target_uri")
 
 
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
@@ -469,7 +474,7 @@ ORACLE_SQL = {
     "q36_concurrent_to": """WITH i AS (SELECT conv_id, turn, '<urn:c:' || conv_id || ':' || turn || '>' AS id FROM conversations)
         SELECT a.conv_id, a.turn, coalesce(string_agg(b.id, ' ' ORDER BY b.id), '') AS others FROM i a LEFT JOIN i b ON a.conv_id = b.conv_id AND a.id <> b.id GROUP BY a.conv_id, a.turn, a.id""",
     "q37_warcinfo_per_file": "SELECT 'q-20010912053020-000' || n || '-example.warc.gz' AS file_name, CAST(1 AS BIGINT) AS infos, CAST(0 AS BIGINT) AS odd, CAST(0 AS BIGINT) AS findings FROM (VALUES (1), (2)) t(n)",
-    "q38_file_names": "SELECT event_id, 'foo-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || lpad(CAST(event_id + 1 AS VARCHAR), CAST(greatest(4, strlen(CAST(event_id + 1 AS VARCHAR))) AS INT), '0') || '-example.warc' AS file_name FROM events",
+    "q38_file_names": "SELECT event_id, 'foo-' || strftime(TIMESTAMP '2024-01-01' + to_seconds(event_id), '%Y%m%d%H%M%S') || '-' || lpad(CAST(event_id + 1 AS VARCHAR), CAST(greatest(4, strlen(CAST(event_id + 1 AS VARCHAR))) AS INT), '0') || '-example.warc' AS file_name FROM events",
     "q39_as_of_capture": "SELECT e.event_id, p.page_id FROM (SELECT event_id, ts, event_id % 10 AS k FROM events) e ASOF LEFT JOIN (SELECT page_id, page_id % 10 AS k, TIMESTAMP '2024-01-01' + to_seconds(page_id * 3600) AS at FROM pages) p ON e.k = p.k AND e.ts >= p.at",
     "q40_host_rollup": f"SELECT host, status, count(*) AS pages, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT {_HOST} AS host, {_HEAD} AS status, strlen(html) AS n FROM pages) GROUP BY ROLLUP (host, status)",
     "q41_cube": "SELECT lang, long_text, count(*) AS n FROM (SELECT lang, n_chars > 2000 AS long_text FROM documents) GROUP BY CUBE (lang, long_text)",
