@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,17 @@ def hash_unit(*cols: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11) * F.lit(2.0**-53)
 
 
+#: Rows of texts that a task turns into Python objects at once.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds few texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 _caches: dict[str, Callable[[], object]] = {}
 
 

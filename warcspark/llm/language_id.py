@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, crc_mod, hash_unit
+from .common import claim_cache, crc_mod, hash_unit, sliced
 
 ORDER, FIT_ROWS, SEED = 4, 300, 5
 #: Languages that a model holds at most; all labels beyond are an error, not a silent drop.
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         claim_cache("language_id", m.forget)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             lang: list[str] = [UNDETERMINED] * len(texts)
             score, bits = np.zeros(len(texts)), np.zeros(len(texts))

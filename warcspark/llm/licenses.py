@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 GRAM, WINDOW, COVERAGE, MAX_WORDS, CACHE = 3, 3, 0.75, 200_000, 150_000
 #: Opening notices of well-known licenses.
 TEMPLATES = {
@@ -164,7 +166,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, coverage:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(given)
-        for b in batches:
+        for b in sliced(batches):
             rows = [(i, *m) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in index.matches(text, coverage)]
             types = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", *OUT])

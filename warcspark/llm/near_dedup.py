@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, release, staged
+from .common import claim_cache, release, sliced, staged
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -122,7 +122,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("near_dedup", _hashes.clear)
-        for b in batches:
+        for b in sliced(batches):
             n, address, regs = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text)

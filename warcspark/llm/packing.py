@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, staged
+from .common import claim_cache, sliced, staged
 
 LENGTH, END_ID, SHARD_PIECES = 2048, 0, 16384
 VOCABULARY = "word_bpe_49k.json"
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("packing", word_ids.cache_clear)
         words, end = word_ids(path), np.asarray([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             rows: list[list[int]] = [[], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = (words.of(text) if text else b"") + end

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, crc_mod, hash_unit
+from .common import claim_cache, crc_mod, hash_unit, sliced
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, SEED = 1500, 4500, 64_000_000, 11
 MIN_DOCS, MIN_GAIN, MIN_PRECISION, MAX_TERMS = 3, 11.5, 0.95, 2000
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         claim_cache("toxicity", m._known.clear)
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([m.features(t) for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, 5)
             s = m.scores(x)
             hits = np.rint(np.expm1(x[:, 1:])).sum(1).astype(np.int32)
