@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,37 @@ def test_licenses_against_full_alignment():
     assert found > 250
 
 
+def test_licenses_miss_no_template():
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(5)
+    for text, name, coverage in [
+        ("Licensed under the MIT License", "mit", 4 / 5),
+        ("Distributed under the MIT License", "mit", 4 / 5),
+        ("Released under the MIT", "mit", 4 / 5),
+        ("Released under this MIT License", "mit", 4 / 5),
+        ("Licensed under Apache License, Version 2.0", "apache-2.0", 6 / 7),
+        ("Licensed under the X11 Apache License, Version 2.0", "apache-2.0", 1.0),
+        ("Released under the MIT Released under the MIT License", "mit", 4 / 5),
+    ]:
+        assert (name, pytest.approx(coverage)) in [m[:2] for m in index.matches(text)], text
+    noise = [f"n{i}" for i in range(50)]
+    found = 0
+    for _ in range(1500):
+        words = licenses.TEMPLATES[rng.choice(index.names)].split()
+        for _ in range(rng.randint(0, 1 + len(words) // 3)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randint(0, 1)] = rng.choices(noise, k=rng.randint(0, 1))
+        text = " ".join([*rng.choices(noise, k=10), *words, *rng.choices(noise, k=10)])
+        got = defaultdict(float)
+        for n, c, *_ in index.matches(text):
+            got[n] = max(got[n], c)
+        plain = [licenses.plain(w) for w in text.split()]
+        for k, n in enumerate(index.names):
+            c = _coverage(index, k, plain)
+            assert got[n] == pytest.approx(c) if c >= licenses.COVERAGE else not got[n], (n, text)
+            found += c >= licenses.COVERAGE
+    assert found > 500
+
+
 def test_licenses_defined_cases(spark):
     mit = "Released under the MIT License."
     rows = [(1, None), (2, ""), (3, mit), (3, mit), (4, "w " * 50000 + mit + " w " * 50000 + mit), (None, mit.upper()), (5, "under the MIT")]

@@ -1,37 +1,39 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
-
-Words are runs of non-white characters, lower-cased, without punctuation at either end. The
-templates' runs of GRAM words are winnowed: of each WINDOW of them in a row the smallest hash
-is kept, with its template and place, in an inverted index. A document's runs of GRAM known
-words that are in the index give (template, diagonal) candidates; diagonals closer than the
-band are one. Each candidate is aligned by words within a band about its diagonal: the best
-local alignment gives the matched words, the span, and the coverage (matched words of the
-template). Spans of one template that overlap count once, by coverage; different templates
-report on their own.
+"""License scans: runs of words that can open an alignment pick candidates, alignment reports coverage and spans.
+
+Words are runs of non-white characters, lower-cased, without punctuation at either end. A local
+alignment (1 for a matched word, -1 for one replaced, put in or left out, above 0 all along)
+begins with two matched neighbours, and one that covers enough of a template of n words begins
+within its first n - need + 1, where need is the fewest words that are enough. All these runs of
+two (or single words, where one is enough) are in an inverted index with their template and
+place, so no alignment of at least the coverage is missed. From each such run in a document that
+isn't the continuation of one a word earlier, the best alignment gives the matched words, the span,
+and the coverage (matched words of the template). It needs no set band: scores above 0, and such
+as can still become the best, bound how far it leaves its diagonal. Spans of one template that
+overlap count once, by coverage; different templates report on their own.
 
 Scale: templates travel with the tasks, at most MAX_WORDS words of them; texts are scanned
 whole where they are read, and nothing is shuffled.
 
-Defined cases: null and empty texts match nothing; templates without a word match nothing; a
-template shorter than GRAM words is one run; ties of coverage go to the earlier span; rows that
-repeat an id are scanned one by one; empty tables give empty results; other columns don't matter.
+Defined cases: null and empty texts match nothing; templates without a word match nothing; ties of
+coverage go to the earlier span; rows that repeat an id are scanned one by one; empty tables give
+empty results; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced
 
-GRAM, WINDOW, COVERAGE, MAX_WORDS, CACHE = 3, 3, 0.75, 200_000, 150_000
+COVERAGE, MAX_WORDS, CACHE = 0.75, 200_000, 150_000
 #: Opening notices of well-known licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -52,7 +54,7 @@ def plain(word: str) -> str:
 
 
 class Index:
-    def __init__(self, templates: Mapping[str, str], gram: int = GRAM, window: int = WINDOW) -> None:
+    def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = list(templates)
         self.words = [[w for w in map(plain, templates[n].split()) if w] for n in self.names]
         if sum(map(len, self.words)) > MAX_WORDS:
@@ -61,17 +63,8 @@ class Index:
         for t in self.words:
             for w in t:
                 self.number.setdefault(w, len(self.number) + 1)
-        self.ids = [np.array([self.number[w] for w in t], np.int64) for t in self.words]
-        self.places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        self.sizes: set[int] = set()
-        for k, t in enumerate(self.ids):
-            size = min(gram, len(t))
-            grams = [tuple(t[i : i + size].tolist()) for i in range(len(t) - size + 1)] if size else []
-            hashes = [xxhash.xxh3_64_intdigest(" ".join(self.words[k][i : i + size])) for i in range(len(grams))]
-            chosen = {min(range(a, min(a + window, len(grams))), key=lambda i: (hashes[i], -i)) for a in range(max(1, len(grams) - window + 1))} if grams else set()
-            for i in sorted(chosen):
-                self.places[grams[i]].append((k, i))
-                self.sizes.add(size)
+        self.ids = [[self.number[w] for w in t] for t in self.words]
+        self.opened: dict[float, tuple[dict[tuple[int, ...], list[tuple[int, int]]], np.ndarray]] = {}
         self.cache: dict[str, int] = {}
 
     def of(self, word: str) -> int:
@@ -82,66 +75,72 @@ class Index:
             found = self.cache[word] = self.number.get(plain(word), 0)
         return found
 
-    def band(self, k: int) -> int:
-        return 2 + len(self.ids[k]) // 8
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal), where the diagonal is the place of the template's first word."""
-        found: dict[int, list[int]] = defaultdict(list)
-        known = ids > 0
-        for size in self.sizes:
-            if len(ids) >= size:
-                run = known[: len(ids) - size + 1].copy()
-                for j in range(1, size):
-                    run &= known[j : len(ids) - size + 1 + j]
-                for i in np.flatnonzero(run).tolist():
-                    for k, at in self.places.get(tuple(ids[i : i + size].tolist()), ()):
-                        found[k].append(i - at)
+    def openings(self, coverage: float) -> tuple[dict[tuple[int, ...], list[tuple[int, int]]], np.ndarray]:
+        """(template, place) by each run that can open an alignment; whether a word is a run's only, first or second."""
+        if coverage not in self.opened:
+            places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+            used = np.zeros((3, len(self.number) + 1), bool)
+            for k, t in enumerate(self.ids):
+                need = max(1, math.ceil(coverage * len(t)))
+                for at in range(len(t) - need + 1):
+                    run = tuple(t[at : at + min(need, 2)])
+                    places[run].append((k, at))
+                    for j, w in enumerate(run):
+                        used[j + len(run) - 1, w] = True
+            self.opened[coverage] = dict(places), used
+        return self.opened[coverage]
+
+    def candidates(self, ids: np.ndarray, coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
+        """(template, its place, the document's place) of the runs that open an alignment."""
+        places, (one, first, second) = self.openings(coverage)
         out = []
-        for k, diagonals in found.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > self.band(k):
-                    out.append((k, d))
-                    last = d
+        for size, may in ((1, one[ids]), (2, first[ids[:-1]] & second[ids[1:]])):
+            for i in np.flatnonzero(may).tolist():
+                for k, at in places.get(tuple(ids[i : i + size].tolist()), ()):
+                    if not (at and i and ids[i - 1] == self.ids[k][at - 1]):
+                        out.append((k, at, i))
         return out
 
-    def align(self, ids: np.ndarray, k: int, diagonal: int) -> tuple[int, int, int]:
-        """Matched words, first and last place of the best local alignment within the band."""
-        t, band = self.ids[k], self.band(k)
-        width = 2 * band + 1
-        # one row for each template word; cell j stands for the place diagonal + i - band + j
-        score, matched, start = [0] * (width + 1), [0] * (width + 1), [-1] * (width + 1)
-        best = (0, 0, 0, 0)
-        for i, w in enumerate(t.tolist()):
-            row, hits, first = [0] * (width + 1), [0] * (width + 1), [-1] * (width + 1)
-            for j in range(width):
-                at = diagonal + i - band + j
-                if not 0 <= at < len(ids):
-                    continue
-                same = ids[at] == w
-                ways = [(score[j] + (1 if same else -1), matched[j] + same, start[j] if score[j] > 0 else at)]
-                if score[j + 1] > 1:
-                    ways.append((score[j + 1] - 1, matched[j + 1], start[j + 1]))
-                if j and row[j - 1] > 1:
-                    ways.append((row[j - 1] - 1, hits[j - 1], first[j - 1]))
-                s, m, f = max(ways, key=lambda x: (x[0], x[1], -x[2]))
-                if s > 0:
-                    row[j], hits[j], first[j] = s, int(m), f
-                    if (s, m) > best[:2]:
-                        best = (s, int(m), f, at)
-            score, matched, start = row, hits, first
-        return best[1], best[2], best[3]
+    def align(self, ids: np.ndarray, k: int, at: int, i: int) -> tuple[int, int, int]:
+        """Matched words, first and last place of the best alignment that begins where places at and i match."""
+        t = self.ids[k]
+        n, near = len(t), ids[i : i + 2 * len(t)].tolist()
+        best, row = (1, 1, 0), {0: (1, 1)}  # score and matched words by the place of the last word, for each template word
+        for r in range(at + 1, n):
+            new: dict[int, tuple[int, int]] = {}
+            for p, (s, m) in row.items():
+                if p + 1 < len(near):
+                    same = near[p + 1] == t[r]
+                    way = (s + 1, m + 1) if same else (s - 1, m)
+                    if way[0] > 0 and way > new.get(p + 1, (0, 0)):
+                        new[p + 1] = way
+                if s > 1 and (s - 1, m) > new.get(p, (0, 0)):
+                    new[p] = (s - 1, m)
+            row = {}
+            last = max(new, default=-1)
+            for p in range(min(new, default=0), len(near)):
+                way = new.get(p, (0, 0))
+                if p - 1 in row and row[p - 1][0] > 1:
+                    way = max(way, (row[p - 1][0] - 1, row[p - 1][1]))
+                if way[0] > 0 and way[0] + n - 1 - r >= best[0]:
+                    row[p] = way
+                    if way > best[:2]:
+                        best = (*way, p)
+                elif p >= last:
+                    break
+            if not row:
+                break
+        return best[1], i, i + best[2]
 
     def matches(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, first word, last word, first character, end character) of each match."""
         words = text.split() if text else []
-        if not words or not self.sizes:
+        if not words:
             return []
         ids = np.fromiter(map(self.of, words), np.int64, len(words))
         got: dict[int, list[tuple[float, int, int]]] = defaultdict(list)
-        for k, d in self.candidates(ids):
-            m, a, b = self.align(ids, k, d)
+        for k, at, i in self.candidates(ids, coverage):
+            m, a, b = self.align(ids, k, at, i)
             if m >= coverage * len(self.ids[k]):
                 got[k].append((m / len(self.ids[k]), a, b))
         if not got:
