@@ -86,3 +86,36 @@ def test_defined_cases(spark):
     none = X.fit_documents(docs, labels.limit(0))
     assert {r.score for r in X.score(docs.select("doc_id", "text"), none).collect()} == {X.fit([], []).scores(__import__("numpy").array([[1.0, 0, 0, 0, 0]]))[0]}
     assert X.score(docs.select("doc_id", "text").limit(0), m).count() == 0
+
+
+def test_misspelled_stems_against_distances():
+    terms, stems = ["idiot", "idiots", "veju"], ["idio", "achlich", "reeux"]
+    m = X.Machine(terms, stems)
+    rng = random.Random(4)
+    words = ["idoit", "idoits", "idiotic", "aclhichkeit", "achlixhen", "chlichen", "achlicien", "reuex", "reexen", "ree", ""]
+    for _ in range(3000):
+        w = list(rng.choice(terms + stems) + rng.choice(["", "en", "keit", "s"]))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randint(0, len(w))
+            w[k : k + rng.randint(0, 2)] = rng.choice(["", "a", "c", "ux", "oi"])
+        words.append("".join(w))
+    for w in words:
+        near = {t for t in terms if len(t) >= X.FUZZY_FROM and distance(w, t) <= 1}
+        near |= {s for s in stems if len(s) >= X.FUZZY_FROM and any(distance(w[:k], s) <= 1 for k in range(1, len(w) + 1))}
+        want = "exact" if w in terms else "stem" if w.startswith(tuple(stems)) else "near" if near else None
+        got = m.match(w)
+        assert (got and got[0]) == want, w
+        if want == "near":
+            assert got[1] in near
+    ordinary = X.Machine(terms, stems, frozenset(["achlixh*"]))
+    assert ordinary.match("achlixhen") is None and ordinary.match("achlxichen") == ("near", "achlich")
+
+
+def test_stems_dont_switch_misspellings_off():
+    rng = random.Random(2)
+    plain = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(plain) for _ in range(20)) for _ in range(300)]
+    texts = [f"{t} {('idiot', 'idiots', 'idiotic')[i % 3]} {t[::-1]}" if i % 4 == 0 else t for i, t in enumerate(texts)]
+    m = X.fit(texts, [int(i % 4 == 0) for i in range(300)])
+    assert {"idiot", "idiots", "idiotic"} <= set(m.terms) and m.stems == ["idio"]
+    assert [m.kind(w) for w in ("idoit", "idotic", "idiotism", "w7")] == [2, 2, 3, 0]

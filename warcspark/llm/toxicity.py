@@ -4,8 +4,10 @@ The lexicon is learned from labelled texts: words, and stems that several words
 whose presence speaks for the label beyond chance. The Levenshtein automata of all its terms
 run over the trie of the terms as one machine: a state is the set of (trie node, edits spent)
 that the letters read so far can have reached, made deterministic as words need it. An edit is
-a letter put in, left out, replaced, or swapped with its neighbour; terms of fewer than
-FUZZY_FROM letters match exactly. Misspellings that clean labelled texts use are ordinary words.
+a letter put in, left out, replaced, or swapped with its neighbour; terms and stems of fewer
+than FUZZY_FROM letters match exactly. A word hits a stem if some beginning of it does, and the
+terms that begin with a stem stay beside it. Misspellings that clean labelled texts use are
+ordinary words, and of stems, ordinary beginnings.
 
 Each hit is weighed in a window of WINDOW words: inside quotation marks or next to a word of
 reporting it counts as quotation, else as abuse. A logistic model over the counts of exact,
@@ -56,24 +58,25 @@ class Machine:
         self.child: list[dict[str, int]] = [{}]
         self.term: dict[int, str] = {}
         self.stem: dict[int, str] = {}
-        self.fuzzy: list[bool] = [False]  # whether a term that allows an edit lies below
+        self.fuzzy: list[bool] = [False]  # whether a term or stem that allows an edit lies below
         for words, ends in ((terms, self.term), (stems, self.stem)):
             for w in words:
                 at = 0
                 for c in w:
-                    self.fuzzy[at] |= ends is self.term and len(w) >= FUZZY_FROM
+                    self.fuzzy[at] |= len(w) >= FUZZY_FROM
                     if c not in self.child[at]:
                         self.child[at][c] = len(self.child)
                         self.child.append({})
                         self.fuzzy.append(False)
                     at = self.child[at][c]
-                self.fuzzy[at] |= ends is self.term and len(w) >= FUZZY_FROM
+                self.fuzzy[at] |= len(w) >= FUZZY_FROM
                 ends[at] = w
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[str, str] | None] = []
         self.done: list[str | None] = []  # a stem ends here: the rest of the word is free
+        self.almost: list[str | None] = []  # the same with an edit spent
         self.start = self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, found: set) -> frozenset:
@@ -92,6 +95,7 @@ class Machine:
             near = sorted(self.term[n] for n, e, need in found if e and not need and n in self.term and len(self.term[n]) >= FUZZY_FROM)
             self.ends.append(("exact", exact[0]) if exact else ("near", near[0]) if near else None)
             self.done.append(next((self.stem[n] for n, e, need in found if not e and not need and n in self.stem), None))
+            self.almost.append(min((self.stem[n] for n, e, need in found if e and not need and n in self.stem and len(self.stem[n]) >= FUZZY_FROM), default=None))
         return self.number[found]
 
     def _step(self, state: int, c: str) -> int:
@@ -114,21 +118,29 @@ class Machine:
         to = self.steps[state][c] = self._state(self._closed(out))
         return to
 
-    def match(self, word: str) -> tuple[str, str] | None:
-        """('exact' | 'near' | 'stem', term), or None."""
-        at, stem = self.start, None
-        for c in word:
+    def found(self, word: str) -> tuple[str, str, str] | None:
+        """('exact' | 'near' | 'stem', term or stem, key), or None. The key of a misspelling is the word,
+        or the shortest beginning that is near a stem, with a star; exceptions are such keys."""
+        at, stem, almost = self.start, None, None
+        for i, c in enumerate(word):
             to = self.steps[at].get(c)
             at = self._step(at, c) if to is None else to
             if not self.states[at]:
-                return ("stem", stem) if stem else None
+                break
             stem = stem or self.done[at]
+            if not almost and self.almost[at]:
+                almost = self.almost[at], word[: i + 1] + "*"
         hit = self.ends[at]
         if hit and hit[0] == "exact":
-            return hit
+            return *hit, word
         if stem:
-            return "stem", stem
-        return hit if hit and word not in self.exceptions else None
+            return "stem", stem, stem
+        return (*hit, word) if hit else ("near", *almost) if almost else None
+
+    def match(self, word: str) -> tuple[str, str] | None:
+        """('exact' | 'near' | 'stem', term or stem), or None."""
+        hit = self.found(word)
+        return hit[:2] if hit and (hit[0] != "near" or hit[2] not in self.exceptions) else None
 
 
 KINDS = ("exact", "near", "stem")
@@ -242,7 +254,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[s
         if s not in kept:
             kept.append(s)
     kept = sorted(kept, key=lambda s: (-fit[s], s))[:MAX_TERMS]
-    return sorted(w for w in terms if not any(w.startswith(s) for s in kept)), sorted(kept)
+    return sorted(terms), sorted(kept)
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
@@ -253,7 +265,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     terms, stems = learn_lexicon(texts, toxic)
     free = Machine(terms, stems)
     used = {plain(w) for t, k in zip(texts, toxic, strict=True) if not k for w in t.split()}
-    ordinary = frozenset(w for w in used if w and (m := free.match(w)) and m[0] == "near")
+    ordinary = frozenset(m[2] for w in used if w and (m := free.found(w)) and m[0] == "near")
     model = Model(terms, stems, ordinary, np.zeros(5))
     x = np.array([model.features(t) for t in texts])
     z = x @ ALIKE
