@@ -139,6 +139,28 @@ def test_streams(spark, tmp_path):
         assert spark.table(f"got_{name}").count() == 4
 
 
+def test_stream_reads_late_files_with_smaller_names(spark, tmp_path):
+    spark.dataSource.register(WarcDataSource)
+    folder = tmp_path / "s"
+    (folder / "0").mkdir(parents=True)
+
+    def run():
+        q = spark.readStream.format("warc").load(str(folder)).select("file_path", "record_offset").writeStream.format("parquet")
+        q = q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted(os.path.relpath(r.file_path, folder) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (folder / "b.warc").write_bytes(record() * 2)
+    assert run() == ["b.warc"] * 2
+    (folder / "a.warc").write_bytes(record())
+    (folder / "0" / "z.warc").write_bytes(record())
+    os.utime(folder / "a.warc", (1, 1))
+    assert run() == ["0/z.warc", "a.warc", "b.warc", "b.warc"]
+    (folder / "b.warc").unlink()
+    (folder / "c.warc").write_bytes(record())
+    assert run() == run() == ["0/z.warc", "a.warc", "b.warc", "b.warc", "c.warc"]
+
+
 def test_windows(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:10"), (1, "2024-01-01 00:00:50"), (2, "2024-01-01 00:01:10"), (1, "2024-01-01 00:05:00")]
     spark.createDataFrame(rows, "k int, t string").select("k", F.col("t").cast("timestamp").alias("t")).write.parquet(str(tmp_path / "e"))

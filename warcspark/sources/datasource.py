@@ -14,8 +14,11 @@ only `types` saves sending rows.
 
 from __future__ import annotations
 
+import base64
 import fnmatch
+import json
 import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,21 +142,37 @@ class WarcReader(DataSourceReader):
             yield from self._r.read(partition)
 
 
+def _packed(names: list[str]) -> str:
+    return base64.b64encode(zlib.compress(json.dumps(sorted(names)).encode())).decode()
+
+
+def _unpacked(offset: dict) -> set[str]:
+    return set(json.loads(zlib.decompress(base64.b64decode(offset["files"])))) if offset.get("files") else set()
+
+
 class WarcStreamReader(DataSourceStreamReader):
-    """New files, in the order of their names: the offset is the last name that was read."""
+    """New files, whatever their names and times: the offset is the set of all names that are there.
+
+    A file that was removed and comes back is new; one that goes before its batch is read fails the batch.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self._r = _Reading(options)
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": ""}
 
     def latestOffset(self) -> dict:
         files = list_files(self._r.path)
-        return {"after": files[-1][0] if files else ""}
+        return {"files": _packed([p for p, _ in files]) if files else ""}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(p, self._r.start, None) for p, _ in list_files(self._r.path) if start["after"] < p <= end["after"]]
+        new = _unpacked(end) - _unpacked(start)
+        if "after" in start:  # an offset of earlier versions: the greatest name that was read
+            new = {p for p in new if p > start["after"]}
+        if "after" in end:
+            new = {p for p, _ in list_files(self._r.path) if start.get("after", "") < p <= end["after"]}
+        return [Range(p, self._r.start, None) for p in sorted(new)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         yield from self._r.read(partition)
