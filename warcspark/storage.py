@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL = "file:///tmp/warcspark-shared"
 _tops: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests on one machine."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/warcspark-shared").rstrip("/")
+    """spark.checkpoint.dir; where that is unset a folder of our own, but only if all runs on one machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or _LOCAL).rstrip("/")
 
 
-def _forget(spark: SparkSession, folder: str) -> None:
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme is taken to be on Spark's default file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def forget(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -25,8 +36,8 @@ def _forget(spark: SparkSession, folder: str) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below this application's part of the shared folder, removed as Python ends."""
-    top = f"{shared_dir(spark)}/warcspark-core-{spark.sparkContext.applicationId}"
+    top = f"{shared_dir(spark)}/warcspark-{spark.sparkContext.applicationId}"
     if top not in _tops:
         _tops.add(top)
-        atexit.register(_forget, spark, top)
+        atexit.register(forget, spark, top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
