@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from warcspark.llm import ball_tree, hnsw
+from warcspark.llm import ball_tree, hnsw, vectors
 
 
 def _frame(spark, rows):
@@ -43,12 +43,72 @@ def test_ball_tree_is_exact(spark, shard_rows):
     assert got == brute(rows, 50, 5, floors)
 
 
+def test_ball_tree_keeps_large_components(spark):
+    """Integers beyond 2**26, beyond 2**53 in their products, and beyond 64 bits in products that aren't listed."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [*(rng.normal(size=2) * 10.0 ** (i % 7)).astype(np.float32).tolist(), 0.0]) for i in range(120)]
+    rows += [(1000, [300000.0, 1.0, 0.0]), (1050, [1e6, -1e6, 0.0]), (1100, [3e7, 0.0, 0.0]), (1151, [0.0, 0.0, 2e30]), (1152, [1.0, 5.0, -3e30])]
+    ints = {i: [int(np.floor(np.float64(np.float32(c)) * 256)) for c in v] for i, v in rows}
+    want = {}
+    for q in (0, 50, 100, 1000, 1050, 1100):
+        s = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        want |= {(q, r + 1): (i, -x) for r, (x, i) in enumerate(s)}
+    for shard_rows in (16, 1000):
+        got = ball_tree.top_k(_frame(spark, rows), every=50, k=5, shard_rows=shard_rows).collect()
+        assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
+    with pytest.raises(Exception, match="64 bits"):
+        ball_tree.top_k(_frame(spark, [(0, [1e18, 0.0]), (1, [1e18, 1.0])])).collect()
+    own = ball_tree.top_k(_frame(spark, [(0, [1e12, 0.0]), (1, [1.0, 1.0])])).collect()
+    assert [(r.vec_id, r.score) for r in own] == [(1, 256 * int(256 * np.float64(np.float32(1e12))))]
+
+
+def _clusters(n, d, seed, groups=40, unit=False):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(groups, d)) * 3
+    x = c[r.integers(0, groups, n) * (r.random(n) > 0.3)] + r.normal(size=(n, d)) * 0.4  # the first holds a third of all
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+    return [(i, x[i].astype(np.float32).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("module", [ball_tree, hnsw])
+def test_few_cells_are_asked_where_vectors_cluster(spark, module, monkeypatch):
+    rows, pairs = _clusters(3000, 16, 6, unit=module is hnsw), []
+    kept = module.elsewhere
+    monkeypatch.setattr(module, "elsewhere", lambda p, *a: pairs.append((kept(p, *a).count(), p.shards.count())) or kept(p, *a))
+    if module is ball_tree:
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ball_tree.top_k(_frame(spark, rows), shard_rows=100).collect()}
+        assert got == brute(rows, 50, 5, floors)
+    else:
+        want = brute(rows, 20, 20, lambda v: v)
+        got = {(r.query_id, r.rank): r.vec_id for r in hnsw.nearest(_frame(spark, rows), shard_rows=100).collect()}
+        by = {}
+        for (q, _), (i, _) in want.items():
+            by.setdefault(q, set()).add(i)
+        assert set(got) == set(want) and sum(i in by[q] for (q, _), i in got.items()) >= 0.95 * len(want)
+    queries = 60 if module is ball_tree else 150
+    asked, shards = pairs[0]
+    assert shards >= 20 and asked < 0.5 * queries * shards, (asked, queries, shards)
+
+
+def test_router_cells():
+    x = np.random.default_rng(1).normal(size=(1000, 5))
+    r = vectors.Router(x, 16)
+    ball, far = r.route(x)
+    cell = r.cell[ball]
+    assert sorted(set(cell.tolist())) == list(range(16)) and np.bincount(cell).max() <= 150 and len(r.centre) == 16 * vectors.BALLS
+    assert np.allclose(far, np.sqrt(np.square(x - r.centre[ball] * r.scale).sum(1)))
+    same = vectors.Router(np.ones((9, 2)), 4)
+    assert len(same.centre) == 1 and same.route(np.ones((3, 2)))[0].tolist() == [0, 0, 0]
+    two = vectors.Router(np.array([[1.0, 0]] * 9 + [[0.0, 1]]), 4)
+    assert len(two.centre) == 2 and two.spread.tolist() == [0, 0]
+
+
 def test_ball_tree_visits_few_leaves():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(4000, 3)) * 256)
     t = ball_tree.Tree.loads(**{k: v for k, v in ball_tree.Tree(x).dumps().items()})
     q = x[:20]
-    got = t.search(q, 5, np.full(20, ball_tree.LOWEST))
+    got = t.search(q, 5, np.full(20, -np.inf))
     for one, hits in zip(q, got, strict=True):
         s = (x @ one).astype(int)
         assert hits == [(int(s[i]), int(i)) for i in np.lexsort((np.arange(len(s)), -s))[:5]]

@@ -2,51 +2,49 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, scratch
+
 #: Words of the contracts: runs of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
-_LOCAL_DEFAULT = "/tmp/warcspark-shared"
-_staged: dict[str, SparkSession] = {}
-
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new folder below this application's part of the shared folder, removed as Python ends."""
+    return scratch(spark, name)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a folder of our own is used.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or f"file://{_LOCAL_DEFAULT}").rstrip("/")
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that no plan reads any more."""
+    forget(spark, path)
 
 
-def _forget(folder: str, spark: SparkSession) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may have ended; the folder is then the cluster's to clean
-        pass
+_pools: list[dict[str, None]] = []
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A new folder below this application's part of the shared folder, removed as Python ends."""
-    top = f"{shared_dir(spark)}/warcspark-{spark.sparkContext.applicationId}"
-    if top not in _staged:
-        _staged[top] = spark
-        atexit.register(_forget, top, spark)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are staged inside are deleted at its end, but for those given to the function it yields."""
+    pool: dict[str, None] = {}
+    _pools.append(pool)
 
+    def keep(df: DataFrame) -> DataFrame:
+        pool.pop(df._staged, None)
+        return df
 
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Deletes a staged table that no plan reads any more."""
-    _forget(path, spark)
+    try:
+        yield keep
+    finally:
+        _pools.remove(pool)
+        for path in pool:
+            forget(spark, path)
 
 
 def staged(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,8 +54,12 @@ def staged(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> D
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
+    if _pools:
+        _pools[-1][path] = None
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,15 +81,26 @@ def hash_unit(*cols: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11) * F.lit(2.0**-53)
 
 
-#: Rows of texts that a task turns into Python objects at once.
-SLICE = 512
+#: Rows of texts, and bytes of them, that a task turns into Python objects at once (one text may be longer).
+SLICE, SLICE_BYTES = 512, 16 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that a task holds few texts as Python objects."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, whose last column is a text, in slices, so that a task holds few texts as Python objects."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        for start in range(0, b.num_rows, rows):
+            part = b.slice(start, rows)
+            text = part.column(part.num_columns - 1)
+            if text.nbytes <= most:
+                yield part
+                continue
+            at, held = 0, 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+                if i > at and held + n > most:
+                    yield part.slice(at, i - at)
+                    at, held = i, 0
+                held += n
+            yield part.slice(at)
 
 
 _caches: dict[str, Callable[[], object]] = {}

@@ -9,12 +9,16 @@ batches: all of a batch search the graph so far at once, with arrays in place of
 each other, and keep diverse neighbours: a candidate that is nearer to one already kept than to
 the vector itself comes last. Links back are pruned by the same rule.
 
-Blocks of queries meet the graphs of all shards; scores are computed anew in double precision
-on the original vectors and merged by rank.
+A query first searches the graph of the cell it lies in, then those of other cells that may
+hold a share of its k nearest: with the k-th score found as a floor, the number of a cell's
+vectors above it is estimated from centre, spread and size of its parts, and the cells left out
+are expected to hold MISS of the k together at most. Scores are computed anew in double
+precision on the original vectors and merged by rank.
 
-Scale: shards hold SHARD_ROWS distinct vectors and are built where they are dealt; graphs are
-written to the shared folder, so a lost executor costs its shards only. A task holds one graph
-and one block of queries.
+Scale: shards hold SHARD_ROWS distinct vectors, or half as many again, and are built where they
+are dealt; graphs are written to the shared folder, so a lost executor costs its shards only. A
+task holds one graph and one block of queries. Vectors without any structure have their nearest
+in all cells alike; each query then meets all shards.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite numbers take no part,
 nor do rows with a null id; rows equal in id and vector count once; vectors of another
@@ -24,6 +28,7 @@ tables give empty results; other columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import SHARD, by_shard, packed_ids, plan, ranked, vector_rows
+from .vectors import SHARD, Cells, at_home, by_shard, elsewhere, met, packed_ids, plan, ranked, vector_rows
 
-LINKS, EF_BUILD, EF_SEARCH, WIDTH, BATCH, SEED = 24, 96, 256, 4, 256, 3
+LINKS, EF_BUILD, WIDTH, BATCH, SEED = 24, 96, 4, 256, 3
 #: Lengths of the vectors of a graph differ by this factor at most.
 LENGTH_BAND = 1.2
-SHARD_ROWS, BLOCK_ROWS, K, EVERY = 8192, 512, 20, 20
+SHARD_ROWS, K, EVERY = 8192, 20, 20
+#: Share of the k nearest that the cells left out may hold.
+MISS = 0.01
+#: Candidates that a search keeps in its own cell, whose graph holds the query itself, and in others.
+EF_SEARCH, EF_NEXT = 96, 128
+#: Queries that are searched at once.
+AT_ONCE = 256
 
 
 def beam(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +186,9 @@ class Graph:
             entry = beam(self.x, layer, q, entry, WIDTH)[0][:, :WIDTH]
         return beam(self.x, self.layers[0], q, entry, max(ef, k))[0][:, :k]
 
+    def search_all(self, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> np.ndarray:
+        return np.concatenate([self.search(q[at : at + AT_ONCE], k, ef) for at in range(0, len(q), AT_ONCE)])
+
 
 def _usable(v: np.ndarray) -> np.ndarray | None:
     return v if np.any(v) else None
@@ -193,11 +207,8 @@ def _build(x: np.ndarray, ids: list[list[int]]) -> dict[str, bytes]:
     return {**Graph(x).dumps(), "original": x.tobytes(), "ids": flat, "starts": starts}
 
 
-def nearest(df: DataFrame, *, every: int = EVERY, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The k nearest found of each row of df (vec_id, embedding) whose id is divisible by `every`."""
-    rows = staged(vector_rows(df, _usable, _band), "vector-rows")
-    p = plan(rows, every=every, k=k, shard_rows=shard_rows, block_rows=BLOCK_ROWS)
-    graphs = staged(by_shard(p.vectors, _build, PARTS), "graphs")
+def _searched(p, asks: DataFrame, graphs: DataFrame, k: int, ef: int) -> DataFrame:
+    """key, ids and scores of each ask in a shard of its cell, and its k-th score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, graph = None, None
@@ -211,8 +222,8 @@ def nearest(df: DataFrame, *, every: int = EVERY, k: int = K, shard_rows: int =
                     ids, starts = (np.frombuffer(r[n].as_py(), np.int64) for n in PARTS[4:])
                 asks = r["asks"].as_py()
                 q = np.frombuffer(b"".join(a["vec"] for a in asks)).reshape(len(asks), shard[0])
-                out_ids, out_scores = [], []
-                for one, got in zip(q, graph.search(q, k + 1), strict=True):
+                out_ids, out_scores, left = [], [], []
+                for one, got in zip(q, graph.search_all(q, k + 1, ef), strict=True):
                     got = got[got >= 0]
                     s = np.einsum("nd,d->n", x[got], one)
                     mine = np.concatenate([ids[starts[g] : starts[g + 1]] for g in got]) if len(got) else np.empty(0, np.int64)
@@ -220,8 +231,40 @@ def nearest(df: DataFrame, *, every: int = EVERY, k: int = K, shard_rows: int =
                     best = np.lexsort((mine, -s))[: k + 1]
                     out_ids.append(mine[best])
                     out_scores.append(s[best])
-                yield pa.RecordBatch.from_arrays([pa.array([a["key"] for a in asks], pa.binary()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], ["key", "ids", "scores"])
+                    left.append(float(s[best[k]]) if len(best) > k else None)
+                yield pa.RecordBatch.from_arrays([pa.array([a["key"] for a in asks], pa.binary()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64())), pa.array(left, pa.float64())], ["key", "ids", "scores", "floor"])
+
+    found = met(p, asks, graphs).select(*SHARD, *PARTS, "asks").mapInArrow(run, "key binary, ids array<long>, scores array<double>, floor double")
+    return staged(found, "found")
+
+
+#: The share of a normal law beyond some standard deviations.
+_DEVIATIONS = np.linspace(-8, 8, 1601)
+_TAIL = np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in _DEVIATIONS])
 
-    met = p.asks.join(graphs, SHARD).sortWithinPartitions(*SHARD)
-    found = met.select(*SHARD, *PARTS, "asks").mapInArrow(run, "key binary, ids array<long>, scores array<double>")
-    return ranked(staged(found, "found"), p.queries, k)
+
+def _worth(k: int):
+    def choose(c: Cells, q: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Which cells each query needs: all but those that together are expected to hold MISS of its k nearest."""
+        wide = np.maximum(c.spread[None, :] * np.sqrt(np.square(q).sum(1))[:, None], 1e-300)
+        away = np.clip((floor[:, None] - q @ c.centre.T) / wide, -40, 40)
+        hits = np.add.reduceat(c.n[None, :] * np.interp(away, _DEVIATIONS, _TAIL), c.first(), axis=1)
+        order = np.argsort(hits, axis=1, kind="stable")
+        want = np.cumsum(np.take_along_axis(hits, order, 1), 1) > MISS * k
+        out = np.empty_like(want)
+        np.put_along_axis(out, order, want, 1)
+        return out
+
+    return choose
+
+
+def nearest(df: DataFrame, *, every: int = EVERY, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The k nearest found of each row of df (vec_id, embedding) whose id is divisible by `every`."""
+    rows = staged(vector_rows(df, _usable, _band), "vector-rows")
+    p = plan(rows, every=every, k=k, shard_rows=shard_rows)
+    graphs = staged(by_shard(p.vectors, _build, PARTS), "graphs")
+    home = at_home(p)
+    first = _searched(p, home, graphs, k, EF_SEARCH)
+    floors = first.groupBy("key").agg(F.max("floor").alias("floor"))
+    rest = _searched(p, elsewhere(p, home, floors, _worth(k)), graphs, k, EF_NEXT)
+    return ranked(first.select("key", "ids", "scores").unionByName(rest.select("key", "ids", "scores")), p.queries, k)
