@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 MAX_ROUNDS = 60
 
@@ -43,7 +43,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     state = _state(now)
     for _ in range(MAX_ROUNDS):
-        now = staged(_small_star(_large_star(now)), "links")
+        old, now = now, staged(_small_star(_large_star(now)), "links")
+        drop_staged(now.sparkSession, old._staged)
         before, state = state, _state(now)
         if state == before:
             break

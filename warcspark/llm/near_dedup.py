@@ -21,8 +21,9 @@ of copies cost a row each. Then, instead of all pairs of a bucket:
 
 Pairs of a component never meet again, so no link between components is lost. Buckets are never
 gathered: pivots come from an aggregate, pairs from joins that adaptive execution splits when a
-key is hot, and no task holds more than two blocks of a bucket. Only the texts of documents
-that share a bucket are read a second time.
+key is hot; members of buckets of several blocks find their block by a join on bucket and SALTS
+hashes, and no task holds more than two blocks of a bucket. Only the texts of documents that
+share a bucket are read a second time. What is staged on the way goes as soon as it is used up.
 
 Defined cases: null, empty and blank texts have an empty set, size 0, and link with nothing;
 rows with a null id keep their set's size, link with nothing and are kept; rows that repeat an
@@ -39,10 +40,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, release, sliced, staged
+from .common import claim_cache, release, sliced, staged, temporary
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -52,8 +53,8 @@ M = BANDS * ROWS
 CACHE = 200_000
 #: Ids that may be broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members of a bucket that are held together, about.
-BLOCK = 256
+#: Members of a bucket that are held together, about, and parts in which a bucket's members learn their block.
+BLOCK, SALTS = 256, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -117,21 +118,27 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return j[np.arange(len(j)), score.argmax(1)]
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of an id with different texts apart."""
+    return F.xxhash64(text)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, address of the set (null if empty) and registers of each row."""
+    """doc_id, n_shingles, address of the set (null if empty), registers and hash of the text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("near_dedup", _hashes.clear)
         for b in sliced(batches):
             n, address, regs = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 address.append(xxhash.xxh3_128_digest(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(address, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "address", "registers"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(address, pa.binary()), pa.array(regs, pa.binary()), b.column(1)], ["doc_id", "n_shingles", "address", "registers", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, address binary, registers binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, n_shingles long, address binary, registers binary, text_hash long")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -263,10 +270,13 @@ def _links(pairs: list[tuple[float, int, int]], mine: dict, other: dict, same: b
 def _meeting(members: DataFrame, fields: list[str], each: Callable[[dict, dict, bool, int], list[tuple[int, int]]], names: tuple[str, str]) -> DataFrame:
     """What `each` makes of all pairs of blocks of every bucket.
 
-    Members (band, node and the fields) are dealt by hash to blocks of about BLOCK.
+    Members (band, node and the fields) are dealt by hash to blocks of about BLOCK. Only buckets of more than one
+    block need a look at their number; a join on the bucket alone would take such a bucket through one task.
     """
-    count = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(count, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    count = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    count = staged(count, "near-counts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(count, ["band", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     block = staged(dealt.groupBy("band", "block").agg(F.max("blocks").alias("blocks"), F.max("outside").alias("any"), F.collect_list(F.struct(*fields)).alias("m")), "near-blocks")
     right = block.select("band", F.col("block").alias("to"), F.col("any").alias("any2"), F.col("m").alias("m2"))
     left = block.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
@@ -310,10 +320,20 @@ def across(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: i
     return _meeting(rest, [*fields, "z"], link, ("u", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
-    rows = staged(sketched(docs), "near-sketches")
-    classes = staged(rows.where("address is not null and doc_id is not null").groupBy("address").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.n_shingles", "s.registers", "address"), "near-classes")
+def labelled(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, address, text_hash, component_id and kept of each row of docs (doc_id, text)."""
+    with temporary(docs.sparkSession) as keep:
+        rows = keep(staged(sketched(docs), "near-sketches"))
+        classes = keep(staged(rows.where("address is not null and doc_id is not null").groupBy("address").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.n_shingles", "s.registers", "address"), "near-classes"))
+        part = keep(staged(_components(classes, docs, percent), "near-components"))
+    of_class = classes.select("address", "node").join(part, "node", "left").select("address", F.coalesce("component", "node").alias("component"))
+    d = rows.select("doc_id", "n_shingles", "address", "text_hash").join(of_class, "address", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return d.select("doc_id", "n_shingles", "address", "text_hash", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """node and component of each class that is linked with another one."""
     rough = bands(classes)
     pick = F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node"))
     shared = rough.groupBy("band").agg(pick["node"].alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
@@ -324,18 +344,35 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     links = verified(guess.where("open"), texts, percent).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     part = staged(connected_components(links), "near-components")
 
-    labelled = buckets.join(part, "node", "left").select("band", "node", "pivot", F.coalesce("component", "node").alias("component"))
+    named = buckets.join(part, "node", "left").select("band", "node", "pivot", F.coalesce("component", "node").alias("component"))
     # all pairs with a pivot are done
-    others = labelled.where("node <> pivot")
+    others = named.where("node <> pivot")
     mixed = others.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
     pivots = part.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
     there = others.join(mixed, "band", "left_semi").join(pivots, "pivot", "left").select("band", "node", "component", (F.col("component") != F.coalesce("home", "pivot")).alias("outside"))
     sketches = classes.select("node", F.col("n_shingles").alias("n"), "registers")
     more = staged(across(staged(there, "near-mixed"), sketches, texts, percent), "near-links")
-    if not more.isEmpty():
-        part = connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    if more.isEmpty():
+        return part
+    return connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    of_class = classes.select("address", "node").join(part, "node", "left").select("address", F.coalesce("component", "node").alias("component"))
-    d = rows.select("doc_id", "n_shingles", "address").join(of_class, "address", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return d.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
+    return labelled(docs, percent=percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that stay: of each group that with the smallest id.
+
+    Of rows that are equal in id and set the one with the smallest hash of the text stays, and of rows equal in id
+    and text the one whose other columns come first. Rows that share an id but not their set are different documents;
+    rows with a null id are no one's copy and all stay.
+    """
+    one = labelled(docs, percent=percent).where("kept and doc_id is not null")
+    sets = one.groupBy("doc_id", "address", "text_hash").agg(F.count(F.lit(1)).alias("_rows")).groupBy("doc_id", "address").agg(F.min(F.struct("text_hash", "_rows")).alias("s"))
+    sets = staged(sets.select(F.col("doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"), "s._rows"), "near-kept")
+    d = docs.where("doc_id is not null").withColumn("_hash_of", text_hash(F.col("text").cast("string")))
+    d = d.join(sets, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_hash_of") == F.col("_hash")))
+    again = d.where("_rows > 1").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    return d.where("_rows = 1").select(*docs.columns).unionByName(again).unionByName(docs.where("doc_id is null"))
