@@ -81,11 +81,23 @@ _BASE32_SHA1 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('
   CAST(1 + list_sum(list_transform(range(0, 5), lambda k: CAST(substr(bits, 1 + 5 * i + k, 1) AS INT) * CAST(pow(2, 4 - k) AS INT))) AS BIGINT), 1)), 'string_agg', '')"""
 
 ORACLE_SQL = {
+    "op3_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT node, n, unnest(s) AS g FROM c),
+p AS (SELECT a.node AS x, b.node AS y FROM g a JOIN g b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT node, node AS least FROM c UNION SELECT e.y, r.least FROM r JOIN e ON e.x = r.node),
+t AS (SELECT node, min(least) AS component FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(t.component, s.doc_id) AS component_id, coalesce(t.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN t ON c.node = t.node""",
     "op4_ball_tree": """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
            FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
            AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
