@@ -10,8 +10,11 @@ Trees are held as tables of packed byte strings. A row has the whole cost of its
 every language, so a text is scored by one look-up for each byte and a few for unknown ones.
 
 The trees are fitted on a bounded sample: at most FIT_ROWS whole texts of each language, by
-the smallest hash of the id, which reach the driver; the model's size follows that bound. All
-texts are then scored whole where they are read, without a shuffle.
+the smallest hash of the id, and as many of them as fit into the language's equal share of
+FIT_CHARS letters (longer ones are passed over). Both bounds hold before anything reaches the
+driver; the model's size follows them. All texts are then scored whole where they are read,
+without a shuffle, long ones in pieces of CHUNK bytes that hand their last context on, so memory
+follows the text's length and CHUNK times the number of languages, not their product.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the
 language first in code-point order; without any labelled text everything is `und`; repeated
@@ -26,11 +29,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import claim_cache, crc_mod, hash_unit, sliced
 
-ORDER, FIT_ROWS, SEED = 4, 300, 5
+ORDER, FIT_ROWS, FIT_CHARS, SEED = 4, 300, 64_000_000, 5
 #: Languages that a model holds at most; all labels beyond are an error, not a silent drop.
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
@@ -147,6 +151,9 @@ class Model:
 
     def code_lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text for each language, and its bytes."""
+        if any(len(t) > CHUNK for t in texts):
+            each = [self._long(t) if len(t) > CHUNK else self.code_lengths([t]) for t in texts]
+            return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
         a, begin, end = joined(texts, self.order)
         if not len(a):
             return np.zeros((len(texts), len(self.languages))), end - begin
@@ -158,6 +165,19 @@ class Model:
         return sums, end - begin
 
 
+    def _long(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one text, piece by piece."""
+        bits, n, last = np.zeros(len(self.languages)), 0, np.zeros(self.order, np.uint8)
+        for at in range(0, len(text), CHUNK):
+            a = np.frombuffer(text, np.uint8, min(CHUNK, len(text) - at), at)
+            blank = a == 32
+            before = np.concatenate([[at > 0 and text[at - 1] == 32], blank[:-1]])
+            a = np.concatenate([last, a[~(blank & before)]])
+            bits += self.costs(packed(a, self.order)).sum(0, dtype=np.float64)
+            n, last = n + len(a) - self.order, a[len(a) - self.order :]
+        return bits[None], np.array([n])
+
+
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     """The frozen trees of the given texts of each language."""
     languages = sorted(x for x in texts if any(texts[x]))
@@ -191,22 +211,26 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     return model
 
 
-def sample(docs: DataFrame, train: Column, rows: int = FIT_ROWS, seed: int = SEED) -> dict[str, list[str]]:
-    """At most `rows` whole texts of each language among the training rows, by the smallest hash of the id."""
+def sample(docs: DataFrame, train: Column, rows: int = FIT_ROWS, chars: int = FIT_CHARS, seed: int = SEED) -> dict[str, list[str]]:
+    """At most `rows` whole texts of each language among the training rows, by the smallest hash of the id, and
+    `chars` letters of them in all."""
     d = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    counts = d.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    counts = d.groupBy("lang").agg((F.approx_count_distinct("doc_id", 0.02) + 1).alias("ids")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    # of c rows this share holds `rows` of them all but surely; what is over goes on the driver
-    share = {r["lang"]: min(1.0, (rows + 6 * rows**0.5 + 10) / r["count"]) for r in counts}
+    # of so many ids this share holds `rows` all but surely; the window then keeps `rows` of a task before they move
+    share = {r["lang"]: min(1.0, 1.15 * (rows + 6 * rows**0.5 + 10) / r["ids"]) for r in counts}
     wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    d = d.withColumn("h", hash_unit(F.col("doc_id"), seed=seed)).where(F.col("h") < wanted)
+    d = d.withColumn("h", hash_unit(F.col("doc_id"), seed=seed)).withColumn("n", F.length("text"))
+    d = d.where((F.col("h") < wanted) & (F.col("n") <= chars // len(counts)))
+    order = W.partitionBy("lang").orderBy("h", "doc_id", "text")
+    d = d.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    d = d.withColumn("run", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("run") <= chars // len(counts))
     out: dict[str, list[str]] = {}
-    for r in sorted(d.collect(), key=lambda r: (r.lang, r.h, r.doc_id or "", r.text)):
-        if len(out.setdefault(r.lang, [])) < rows:
-            out[r.lang].append(r.text)
+    for r in sorted(d.select("lang", "r", "text").collect(), key=lambda r: (r.lang, r.r)):
+        out.setdefault(r.lang, []).append(r.text)
     return out
 
 
