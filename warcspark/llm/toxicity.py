@@ -15,12 +15,13 @@ misspelled and stem hits, and of quoted ones, gives the score.
 
 Scale: the model is fitted on the driver on at most FIT_TOXIC + FIT_CLEAN labelled texts by
 the smallest hash of the id, and at most FIT_CHARS letters of them; only their ids are
-broadcast to find them. All texts are then scored whole where they are read, without a shuffle.
+broadcast to find them, and both bounds hold before a text reaches the driver. All texts are then scored whole where they are read, without a shuffle.
 
 Defined cases: null and empty texts have no hits and the score of a text without any; a
 document with several labels is toxic if one of them says so; null labels don't count; without
-both classes among the labels every score is the share of toxic ones; repeated rows are scored
-one by one; empty tables give empty results; other columns don't matter.
+both classes among the labels, or without any term that tells them apart, every score is the
+share of toxic ones; repeated rows are scored
+one by one, and of rows that repeat an id the model sees the smallest text only; empty tables give empty results; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, crc_mod, hash_unit, sliced
+from .common import claim_cache, crc_mod, hash_unit, sliced, staged, temporary
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, SEED = 1500, 4500, 64_000_000, 11
 MIN_DOCS, MIN_GAIN, MIN_PRECISION, MAX_TERMS = 3, 11.5, 0.95, 2000
@@ -263,6 +264,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         share = float(y.mean()) if len(y) else 0.0
         return Model([], [], frozenset(), np.array([40.0 if share == 1 else -40.0, 0, 0, 0, 0]))
     terms, stems = learn_lexicon(texts, toxic)
+    if not terms and not stems:  # nothing tells the classes apart
+        return Model([], [], frozenset(), np.array([math.log(y.mean() / (1 - y.mean())), 0, 0, 0, 0]))
     free = Machine(terms, stems)
     used = {plain(w) for t, k in zip(texts, toxic, strict=True) if not k for w in t.split()}
     ordinary = frozenset(m[2] for w in used if w and (m := free.found(w)) and m[0] == "near")
@@ -290,14 +293,16 @@ def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.withColumn("_h", hash_unit(F.col("doc_id"), seed=SEED))
     chosen = [known.where((F.col("toxic") > 0) == flag).orderBy("_h", "doc_id").limit(n) for flag, n in ((True, FIT_TOXIC), (False, FIT_CLEAN))]
     few = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic", "_h")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").collect()
-    texts, toxic, size = [], [], 0
-    for r in sorted(rows, key=lambda r: (r["_h"], r["doc_id"], r["text"])):
-        if size + len(r["text"]) <= FIT_CHARS:
-            texts.append(r["text"])
-            toxic.append(int(r["toxic"] > 0))
-            size += len(r["text"])
-    return fit(texts, toxic)
+    found = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(few), "doc_id")
+    with temporary(docs.sparkSession):
+        rows = staged(found.groupBy("doc_id", "toxic", "_h").agg(F.min("text").alias("text")), "toxicity-sample")
+        size, taken = 0, []
+        for r in sorted(rows.select("doc_id", "_h", F.length("text").alias("n")).collect(), key=lambda r: (r["_h"], r["doc_id"])):
+            if size + r["n"] <= FIT_CHARS:
+                taken.append(r["doc_id"])
+                size += r["n"]
+        got = sorted(rows.where(F.col("doc_id").isin(taken)).collect(), key=lambda r: (r["_h"], r["doc_id"]))
+    return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
