@@ -78,16 +78,17 @@ def _coverage(index, k, words):
 
 def test_licenses_against_full_alignment():
     index, rng = licenses.Index(licenses.TEMPLATES), random.Random(4)
+    short = [n for n in index.names if len(licenses.TEMPLATES[n].split()) < 80]
     noise = [f"n{i}" for i in range(50)]
     found = 0
-    for _ in range(300):
-        name = rng.choice(index.names)
+    for i in range(110):
+        name = rng.choice(short) if i % 5 else rng.choice(index.names)
         words = licenses.TEMPLATES[name].split()
         for _ in range(rng.randint(0, 2)):
             at = rng.randrange(len(words))
             words[at : at + rng.randint(0, 1)] = [rng.choice(noise)] * rng.randint(0, 1)
         text = " ".join([*rng.choices(noise, k=20), *words, *rng.choices(noise, k=20)])
-        got = {m[0]: m for m in index.matches(text)}
+        got = {m[0]: m for m in index.matches(text, every=True)}
         plain = [licenses.plain(w) for w in text.split()]
         for k, n in enumerate(index.names):
             c = _coverage(index, k, plain)
@@ -97,11 +98,11 @@ def test_licenses_against_full_alignment():
             elif len(index.words[k]) > 15:
                 assert c < licenses.COVERAGE
         found += name in got
-    assert found > 250
+    assert found > 90
 
 
 def test_licenses_miss_no_template():
-    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(5)
+    index, rng = licenses.Index({n: t for n, t in licenses.TEMPLATES.items() if len(t.split()) < 40}), random.Random(5)
     for text, name, coverage in [
         ("Licensed under the MIT License", "mit", 4 / 5),
         ("Distributed under the MIT License", "mit", 4 / 5),
@@ -111,24 +112,43 @@ def test_licenses_miss_no_template():
         ("Licensed under the X11 Apache License, Version 2.0", "apache-2.0", 1.0),
         ("Released under the MIT Released under the MIT License", "mit", 4 / 5),
     ]:
-        assert (name, pytest.approx(coverage)) in [m[:2] for m in index.matches(text)], text
+        assert (name, pytest.approx(coverage)) in [m[:2] for m in index.matches(text, every=True)], text
     noise = [f"n{i}" for i in range(50)]
     found = 0
-    for _ in range(1500):
+    for _ in range(800):
         words = licenses.TEMPLATES[rng.choice(index.names)].split()
         for _ in range(rng.randint(0, 1 + len(words) // 3)):
             at = rng.randrange(len(words) + 1)
             words[at : at + rng.randint(0, 1)] = rng.choices(noise, k=rng.randint(0, 1))
         text = " ".join([*rng.choices(noise, k=10), *words, *rng.choices(noise, k=10)])
         got = defaultdict(float)
-        for n, c, *_ in index.matches(text):
+        for n, c, *_ in index.matches(text, every=True):
             got[n] = max(got[n], c)
         plain = [licenses.plain(w) for w in text.split()]
         for k, n in enumerate(index.names):
             c = _coverage(index, k, plain)
             assert got[n] == pytest.approx(c) if c >= licenses.COVERAGE else not got[n], (n, text)
             found += c >= licenses.COVERAGE
-    assert found > 500
+    assert found > 300
+
+
+def test_near_licenses_are_told_apart():
+    index, rng, t = licenses.Index(licenses.TEMPLATES), random.Random(8), licenses.TEMPLATES
+    assert len({n.split("-")[0] for n in t}) >= 9 and sum(len(x.split()) > 60 for x in t.values()) >= 9
+    for name in t:
+        if len(t[name].split()) > 25 and name not in ("bsd", "mit-grant", "gpl-notice"):
+            for edits in (0, 1, 5):
+                words = t[name].split()
+                for _ in range(edits):
+                    words[rng.randrange(len(words))] = "edited"
+                text = "Copyright (c) someone. " + " ".join(words) + " and so on"
+                got = [m for m in index.matches(text) if m[0].split("-")[0] == name.split("-")[0]]
+                # a few edits may fall on the very words that tell two licenses apart
+                assert got[0][0] == name or (edits and index.ids[index.names.index(got[0][0])] != index.ids[index.names.index(name)]), (name, got)
+                if not edits:
+                    assert [m[:2] for m in got] == [(name, 1.0)], (name, got)
+    two = "Copyright X. " + t["bsd-2-clause"] + " Then. " + t["bsd-3-clause"]
+    assert [m[0] for m in index.matches(two)] == ["bsd-2-clause", "bsd-3-clause"]
 
 
 def test_licenses_defined_cases(spark):

@@ -9,7 +9,7 @@ place, so no alignment of at least the coverage is missed. From each such run in
 isn't the continuation of one a word earlier, the best alignment gives the matched words, the span,
 and the coverage (matched words of the template). It needs no set band: scores above 0, and such
 as can still become the best, bound how far it leaves its diagonal. Spans of one template that
-overlap count once, by coverage; different templates report on their own.
+overlap count once, by coverage; templates of different families report on their own.
 
 Scale: templates travel with the tasks, at most MAX_WORDS words of them; texts are scanned
 whole where they are read, and nothing is shuffled.
@@ -17,6 +17,10 @@ whole where they are read, and nothing is shuffled.
 Defined cases: null and empty texts match nothing; templates without a word match nothing; ties of
 coverage go to the earlier span; rows that repeat an id are scanned one by one; empty tables give
 empty results; other columns don't matter.
+
+Templates of a family are often parts or near copies of each other. Of their matches that overlap
+the one is kept whose matched words exceed its missing ones by most (ties: more words matched,
+then the template given first), so a license of three clauses isn't one of two, nor the reverse.
 """
 
 from __future__ import annotations
@@ -34,15 +38,47 @@ from pyspark.sql import functions as F
 from .common import sliced
 
 COVERAGE, MAX_WORDS, CACHE = 0.75, 200_000, 150_000
-#: Opening notices of well-known licenses.
+_BSD_OPEN = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_CLOSE = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+_MIT_CLOSE = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_KEEP = """, provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_CLOSE = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+You should have received a copy of the GNU {name} along with this program."""
+#: Whole texts of short licenses, the notices that the others ask for, and common one-line notices. Of templates
+#: with the same first part of the name (a family) only the one that fits best is reported for a passage.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "mit": "Released under the MIT License",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mit-text": f"{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_CLOSE}",
+    "mit-0": f"{_MIT_GRANT}. {_MIT_CLOSE}",
+    "mit-grant": _MIT_GRANT,
+    "isc": f"{_ISC_GRANT}{_ISC_KEEP} {_ISC_CLOSE}",
+    "isc-0bsd": f"{_ISC_GRANT}. {_ISC_CLOSE}",
+    "bsd-2-clause": f"{_BSD_OPEN} {_BSD_CLOSE}",
+    "bsd-3-clause": f"{_BSD_OPEN} {_BSD_NAMES} {_BSD_CLOSE}",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-2.0-notice": _GNU.format(name="General Public License", n=2),
+    "gpl-3.0-notice": _GNU.format(name="General Public License", n=3),
+    "gpl-lesser-3.0-notice": _GNU.format(name="Lesser General Public License", n=3),
+    "gpl-affero-3.0-notice": _GNU.format(name="Affero General Public License", n=3),
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
 }
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—©"
@@ -132,8 +168,9 @@ class Index:
                 break
         return best[1], i, i + best[2]
 
-    def matches(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int, int]]:
-        """(template, coverage, first word, last word, first character, end character) of each match."""
+    def matches(self, text: str | None, coverage: float = COVERAGE, *, every: bool = False) -> list[tuple[str, float, int, int, int, int]]:
+        """(template, coverage, first word, last word, first character, end character) of each match: the best of a
+        family, or those of every template."""
         words = text.split() if text else []
         if not words:
             return []
@@ -146,13 +183,20 @@ class Index:
         if not got:
             return []
         span = [m.span() for m in _WORD.finditer(text)]
-        out = []
+        families: dict[str, list[tuple[int, float, int, int]]] = defaultdict(list)
         for k, found in got.items():
             kept: list[tuple[float, int, int]] = []
             for c, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
                 if all(b < x[1] or a > x[2] for x in kept):
                     kept.append((c, a, b))
-            out += [(self.names[k], c, a, b, span[a][0], span[b][1]) for c, a, b in kept]
+            families[self.names[k] if every else self.names[k].split("-")[0]] += [(k, *x) for x in kept]
+        out = []
+        for found in families.values():
+            best: list[tuple[int, float, int, int]] = []
+            for k, c, a, b in sorted(found, key=lambda x: (-(2 * x[1] - 1) * len(self.ids[x[0]]), -x[1] * len(self.ids[x[0]]), x[0], x[2])):
+                if all(b < x[2] or a > x[3] for x in best):
+                    best.append((k, c, a, b))
+            out += [(self.names[k], c, a, b, span[a][0], span[b][1]) for k, c, a, b in best]
         return sorted(out, key=lambda x: (x[2], x[0]))
 
 
