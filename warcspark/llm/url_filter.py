@@ -37,6 +37,10 @@ class Rule:
     host: str
     path: str = ""
 
+    def __post_init__(self) -> None:
+        """Hosts of URLs are lower-cased from A to Z, so those of rules are as well."""
+        object.__setattr__(self, "host", self.host.translate(_LOWER))
+
     @property
     def text(self) -> str:
         return self.host + self.path
@@ -47,7 +51,7 @@ class Rule:
 
     def tokens(self) -> set[str]:
         """Tokens that any URL which the rule fits has as a whole: the path's last run may go on, so it doesn't count."""
-        found = {f"h:{m[0]}" for m in _TOKEN.finditer(self.host) if (m.start() == 0 or self.host[m.start() - 1] == ".") or m.start() > 0}
+        found = {f"h:{m[0]}" for m in _TOKEN.finditer(self.host)}
         return found | {f"p:{m[0]}" for m in _TOKEN.finditer(self.path) if m.end() < len(self.path)}
 
 
