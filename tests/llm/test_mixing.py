@@ -40,7 +40,7 @@ def _docs(seed, sources, n=200):
 def test_targets_and_taken(spark):
     for seed, sources in ((1, ["a", "b", "c", "d", None]), (2, ["x"]), (3, ["Z", "a", "É", "10", "9", "b", None])):
         rows = _docs(seed, sources)
-        got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=4).collect()
+        got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
         sizes = {}
         for _, t, s in rows:
             sizes[s] = sizes.get(s, 0) + len(t.split())
@@ -85,3 +85,30 @@ def test_only_native_plans(spark):
     df = spark.createDataFrame(_docs(4, ["a"]), "doc_id long, text string, source string")
     plan = M.mix(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_small_documents_of_a_capped_source(spark):
+    """About one document of one word a shard, with the production numbers of shards: nothing is clipped."""
+    rows = [(i, "w", "a") for i in range(500)] + [(1000 + i, "w " * 40, "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for least in (1, M.SHARD_LEAST):
+        got = M.mix(df, weights=(1, 1), shard_least=least).collect()
+        want = targets({"a": 500, "b": 16000}, (1, 1))
+        for s in "ab":
+            assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= 3 * M.BLOCK
+
+
+def test_equal_rows_and_null_ids(spark):
+    rows = [(None, f"w{i % 3} x y", "a", i % 3) for i in range(300)] + [(7, "same text here", "a", 0)] * 5000 + [(i, "b c d e", "b", 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = M.mix(df).collect()
+    assert len(got) == len(rows)
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+    want = targets({"a": 15900, "b": 400})
+    assert all(abs(taken[s] - want[s]) <= 6 * M.BLOCK for s in "ab") and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, M.mix(df.repartition(5)).collect()))
+    out = M.repeated(df).collect()
+    times = sum(int(r.taken / r.size + 0.5) for r in got)
+    assert len(out) == times and {tuple(r) for r in out} <= {tuple(r) for r in df.distinct().collect()}
+    assert M._each(spark.range(1).selectExpr("10000L as n"), "n", "k").agg(F.count("k"), F.min("k"), F.max("k")).first() == (10000, 0, 9999)
+    assert M.repeated(df.limit(0)).count() == 0

@@ -12,13 +12,17 @@ The quotas come in closed form: every share is first rounded to the nearest whol
 is off by no more than half a block for each share, and the rest is handed out (or taken
 back) by quotients. No row is made for each block.
 
-Scale: text is read once and not shuffled; documents are dealt by source and shard, so a hot
-source spreads over `shards` groups. The table of sources has a row for each source, and a
-mix with stated weights has few; the table of quotas has `shards` rows for each.
+Scale: text is read once and not shuffled. Rows that are equal in id, source and text are one
+row with a number of copies from the first exchange on, merged before it. Documents are dealt by
+source and shard: a source has a shard for each SHARD_LEAST rows, SHARDS_FROM at most, and one
+for each SHARD_MOST rows if these are more, so a hot source spreads however large it is. The
+table of sources has a row for each source, and a mix with stated weights has few; the table of
+quotas has a row for each shard.
 
 Defined cases: null or empty texts have size 0 and taken 0; a null source is a source of its
-own; repeated rows count as often as they stand, and rows that are equal in id are ordered by
-size; empty tables give empty results; other columns don't matter.
+own; repeated rows and null ids count as often as they stand, and rows that are equal in id are
+ordered by size and hash of the text; a source whose target is `cap` times its size is taken
+`cap` times; empty tables give empty results; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import staged, word_count
 
-BLOCK, SHARDS, SEED, CAP = 8, 512, 20240229, 3
+BLOCK, SEED, CAP = 8, 20240229, 3
+SHARD_LEAST, SHARDS_FROM, SHARD_MOST = 64, 512, 32768
+#: Copies of a row that are written from one array.
+RUN = 4096
 WEIGHTS = (1, 2, 3)
 
 
@@ -76,21 +83,57 @@ def apportion(t: DataFrame, votes: str, seats: Column, group: list[str], tie: li
     return t.join(m, on, "left").select(*kept, (F.col("_near") + F.coalesce("_more", F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken of each row of docs (doc_id, text, source)."""
-    sizes = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    placed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
-    by_shard = staged(placed.groupBy("source", "shard").agg(F.sum("size").alias("size")), "mix-shards")
-    targets = source_targets(by_shard, weights, cap)
+def shares(docs: DataFrame, *, same: tuple[str, ...] = ("text",), weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_least: int = SHARD_LEAST, seed: int = SEED) -> DataFrame:
+    """What the mix takes of each set of equal rows of docs: doc_id, source, h (hash of the columns `same`), copies
+    (rows of the set), size, source_size, target, passes (how often each is taken as a whole), and left: the words
+    that go on to be taken from the first copy on (less than 1: none)."""
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*same).alias("h"))
+    sizes = staged(d.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    rows = F.count(F.lit(1))
+    shards = F.greatest(F.lit(1), F.ceil(rows / SHARD_MOST), F.least(F.lit(SHARDS_FROM), F.ceil(rows / shard_least))).cast("int")
+    sources = staged(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), shards.alias("shards")), "mix-sources")
+    known = sources.select(F.col("source").alias("_k"), "shards")
+    placed = sizes.join(known, F.col("source").eqNullSafe(F.col("_k"))).drop("_k").withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.col("shards")).cast("int")).drop("shards")
+    by_shard = staged(placed.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("size")), "mix-shards")
+    targets = source_targets(sources.select("source", "size"), weights, cap)
     blocks = apportion(targets, "target", F.round(F.sum("target").over(W.partitionBy(F.lit(1))) / block), [], ["source"], "blocks")
     per_shard = by_shard.withColumnRenamed("source", "_s").join(blocks, F.col("_s").eqNullSafe(F.col("source"))).drop("_s").withColumnRenamed("size", "shard_size")
     quotas = apportion(per_shard, "shard_size", F.col("blocks"), ["source"], ["shard"], "quota")
-    quotas = quotas.withColumn("words", F.least(F.col("quota") * block, F.col("shard_size") * cap))
+    most = F.col("shard_size") * cap
+    quotas = quotas.withColumn("words", F.when(F.col("target") >= F.col("source_size") * cap, most).otherwise(F.least(F.col("quota") * block, most)))
     quotas = staged(quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_sh"), "source_size", "target", "shard_size", "words"), "mix-quotas")
-    here = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    laid = placed.withColumn("_start", F.coalesce(F.sum("size").over(here), F.lit(0)))
+    here = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "h").rowsBetween(W.unboundedPreceding, -1)
+    laid = placed.withColumn("_start", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(here), F.lit(0)))
     d = laid.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_sh")), "left")
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0))
-    rest = F.col("words") - passes * F.col("shard_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
-    return d.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    left = F.col("words") - passes * F.col("shard_size") - F.col("_start")
+    return d.select("doc_id", "source", "h", "copies", "size", "source_size", "target", passes.cast("long").alias("passes"), left.cast("long").alias("left"))
+
+
+def _each(df: DataFrame, n: str, out: str) -> DataFrame:
+    """A row for each number below column n, in `out`; however large n is, no array is longer than RUN."""
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN)))).withColumn("_run", F.col("_run") * RUN)
+    return runs.withColumn(out, F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN, F.col(n)) - 1))).drop("_run")
+
+
+def mix(docs: DataFrame, **how: object) -> DataFrame:
+    """doc_id, size, source, source_size, target and taken of each row of docs (doc_id, text, source); how: see shares."""
+    d = _each(shares(docs, **how), "copies", "copy")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("copy") * F.col("size")))
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, **how: object) -> DataFrame:
+    """The rows of docs (doc_id, text, source and others) as often as the mix takes their words: whole passes, and
+    once more where it takes half a row or more. Rows that are equal in all columns share what is taken of them."""
+    cols = docs.columns
+    size, left = F.col("size"), F.col("left")
+    full = F.greatest(F.lit(0), F.least(F.col("copies"), F.floor(left / size)))
+    more = F.when((full < F.col("copies")) & (left > 0) & (2 * (left - full * size) >= size), 1).otherwise(0)
+    times = F.when(size > 0, F.col("copies") * F.col("passes") + full + more).otherwise(F.lit(0)).cast("long")
+    taken = shares(docs, same=tuple(cols), **how).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("h").alias("_h"), "copies", times.alias("_n")).where("_n > 0")
+    d = docs.withColumn("_hash", F.xxhash64(*cols))
+    d = d.join(taken, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")))
+    once = d.where("copies = 1").select(*cols, "_n")
+    again = d.where("copies > 1").select(*cols, "_n").dropDuplicates()
+    return _each(once.unionByName(again), "_n", "_k").select(*cols)
