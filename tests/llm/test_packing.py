@@ -64,3 +64,12 @@ def test_pieces_and_places(spark, tokenizer):
     least = -(-sum(n for *_, n, _ in want) // 256)
     assert len(by) <= least + 6
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark):
+    """A hot row, with null ids: no shard gets more than its bound, and all are packed."""
+    df = spark.range(40_000, numPartitions=3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    got = P.pack(df, length=16, shard_pieces=4096)
+    per = got.groupBy((F.col("sequence_id") / (1 << 31)).cast("long")).count().collect()
+    assert sum(r["count"] for r in per) == 40_000 and len(per) >= 10 and max(r["count"] for r in per) <= 4096
+    assert got.groupBy("sequence_id").count().where("count > 16").count() == 0
