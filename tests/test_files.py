@@ -33,7 +33,7 @@ def files(folder):
 def test_manifest_is_where_records_are(spark, tmp_path, compress, info):
     made = []
     o = K.WriterOptions(compress=compress, warcinfo=info, prefix="foo-", host="example", time=TIME)
-    m = K.write_archives(records(spark, 5), str(tmp_path / "a"), o, order=("id",)).orderBy("file_offset").collect()
+    m = K.write_archives(records(spark, 5), str(tmp_path / "a"), o, writers=1, order=("id",)).orderBy("file_offset").collect()
     name = "foo-20010912053020-0001-example.warc" + (".gz" if compress else "")
     assert files(tmp_path / "a") == [name] and {r.file_name for r in m} == {name} and not made
     data = (tmp_path / "a" / name).read_bytes()
@@ -53,7 +53,7 @@ def test_manifest_is_where_records_are(spark, tmp_path, compress, info):
 def test_rolling(spark, tmp_path):
     for limit, ratio, n in ((0, 1.0, 1), (800, 1.0, 3), (10**6, 1.0, 1), (1, 1.0, 6)):
         folder = tmp_path / f"r{limit}"
-        m = K.write_archives(records(spark, 6), str(folder), K.WriterOptions(max_file_size=limit, ratio=ratio, compress=False, host="h", time=TIME), order=("id",)).collect()
+        m = K.write_archives(records(spark, 6), str(folder), K.WriterOptions(max_file_size=limit, ratio=ratio, compress=False, host="h", time=TIME), writers=1, order=("id",)).collect()
         used, want, at = 0, 1, []
         for r in sorted(m, key=lambda r: r.record_id):
             if limit > 0 and used and used + 200 > limit:
@@ -98,7 +98,7 @@ def test_concurrent_to(spark):
 
 def test_plan_files_agrees_with_writing(spark, tmp_path):
     recs = records(spark, 9)
-    m = K.write_archives(recs, str(tmp_path / "p"), K.WriterOptions(max_file_size=900, compress=False, host="h", time=TIME), order=("id",)).withColumn("id", F.element_at(F.split("record_id", ":"), -1).cast("long"))
+    m = K.write_archives(recs, str(tmp_path / "p"), K.WriterOptions(max_file_size=900, compress=False, host="h", time=TIME), writers=1, order=("id",)).withColumn("id", F.element_at(F.split("record_id", ":"), -1).cast("long"))
     plan = K.plan_files(recs.join(m.select("id", "bytes_written"), "id"), order=("id",), max_file_size=900, size=F.col("bytes_written"), estimated=F.col("content_length"))
     got = plan.join(m.select(F.col("id").alias("i"), "file_offset", "file_name").withColumnRenamed("file_offset", "o"), F.col("id") == F.col("i"))
     assert got.where("file_offset <> o or file_number <> cast(substr(file_name, 16, 4) as int)").count() == 0 and got.count() == 9
@@ -114,7 +114,7 @@ def test_data_source(spark, tmp_path):
     assert load(spark, str(folder), types="response").count() == 0
     (folder / "bad.warc").write_bytes(b"GARBAGE" + record())
     assert load(spark, str(folder), WarcOptions()).where("error is not null").count() == 0
-    with pytest.raises(Exception, match="expected start of record"):
+    with pytest.raises(Exception, match="no record starts here"):
         spark.read.format("warc").option("preset", "strict").load(f"{folder}/bad.warc").count()
     assert load(spark, f"{folder}/bad.warc", offset="7").select("skipped_bytes", "record_offset").first() == (0, 7)
     big = tmp_path / "big.warc"
@@ -181,6 +181,15 @@ def test_as_of_and_segments(spark):
     right = spark.createDataFrame([("a", 3, "x"), ("a", 4, "y"), ("c", 1, "z")], "k string, t int, v string")
     got = A.as_of(left, right, by="k", left_time="t", right_time="t", value="v", out="v").collect()
     assert {r.id: r.v for r in got} == {1: "y", 2: None, 3: None, 4: "x"}
+    import random
+
+    rng = random.Random(2)
+    many = [(rng.choice("ab"), rng.randint(0, 60), i) for i in range(200)]
+    some = [(rng.choice("abc"), rng.randint(0, 60), rng.choice(["x", "y", "z", None])) for _ in range(60)]
+    want = {i: max(((u, v) for m, u, v in some if m == k and u <= t and v is not None), default=(0, None))[1] for k, t, i in many}
+    l, r = spark.createDataFrame(many, "k string, t int, id int"), spark.createDataFrame(some, "k string, t int, v string")
+    for bucket in (None, lambda t: F.floor(t / 10), lambda t: t):
+        assert {x.id: x.v for x in A.as_of(l, r, by="k", left_time="t", right_time="t", value="v", out="v", bucket=bucket).collect()} == want
     assert A.of_types(records(spark), "response", "resource").count() == 3 and A.of_types(records(spark), "revisit").count() == 0
 
 
@@ -191,3 +200,128 @@ def test_table_function(spark):
     spark.createDataFrame([(bytearray(b"XX" + record() * 2),), (None,)], "content binary").createOrReplaceTempView("archives")
     got = spark.sql("select p.record_offset, p.skipped_bytes, p.headers[0].value as kind, p.findings from archives, lateral parse_records(content) p order by 1").collect()
     assert [(r.record_offset, r.skipped_bytes, r.kind, len(r.findings)) for r in got] == [(2, 2, "resource", 1), (2 + len(record()), 0, "resource", 0)]
+
+
+def test_a_failed_job_publishes_nothing(spark, tmp_path):
+    """The second file of a writer can't be opened: neither it nor the first one is there, and no manifest."""
+    seen = []
+
+    def refuse(path):
+        if "-0002-" in path:
+            raise RuntimeError("no room")
+
+    o = K.WriterOptions(max_file_size=1, compress=False, host="h", time=TIME, before_file=refuse)
+    with pytest.raises(Exception, match="no room"):
+        K.write_archives(records(spark, 4), str(tmp_path / "f"), o, writers=1)
+    assert files(tmp_path / "f") == seen and not [f for _, _, fs in os.walk(tmp_path / "f") for f in fs]
+    m = K.write_archives(records(spark, 4), str(tmp_path / "f"), K.WriterOptions(max_file_size=1, compress=False, host="h", time=TIME), writers=1)
+    assert m.count() == 4 == len(files(tmp_path / "f"))
+
+
+def test_attempts_that_fail_leave_each_record_once(tmp_path):
+    """A task that fails after it has rolled a file, and is run again by Spark, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os, time
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from warcspark.operators.build import build_records
+from warcspark.sources import sink as K
+from warcspark.sources.datasource import WarcDataSource, load
+def once(path):
+    mark = "{tmp_path}/failed"
+    if "-0003-" in path and not os.path.exists(mark):
+        open(mark, "w").close()
+        raise RuntimeError("lost")
+df = build_records(spark.range(6).select("id", F.lit("x").alias("b")), "resource", "b", {{"WARC-Record-ID": F.concat(F.lit("<urn:r:"), F.col("id").cast("string"), F.lit(">")), "WARC-Date": "2024-01-01T00:00:00Z"}}, keep=("id",))
+m = K.write_archives(df, "{tmp_path}/out", K.WriterOptions(max_file_size=1, host=None, before_file=once), writers=1, order=("id",))
+print(os.path.exists("{tmp_path}/failed"), m.count(), m.select("file_name").distinct().count(), load(spark, "{tmp_path}/out").select("record_id").distinct().count(), load(spark, "{tmp_path}/out").count())
+spark.dataSource.register(WarcDataSource)
+def flaky(batches):
+    from pyspark import TaskContext
+    for b in batches:
+        yield b
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("lost")
+rows = df.select("version", "headers", "block")
+rows.repartition(2).mapInArrow(flaky, rows.schema).write.format("warc").mode("append").option("path", "{tmp_path}/src").option("maxFileSize", "1").save()
+names = sorted(os.listdir("{tmp_path}/src"))
+print(len(names), load(spark, "{tmp_path}/src").count(), sorted(n.split("-")[1] for n in names) == ["%04d" % k for k in range(1, 7)])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split("\n")[:2] == ["True 6 6 6 6", "6 6 True"], out.stdout
+
+
+def test_the_data_source_aborts_cleanly(spark, tmp_path):
+    spark.dataSource.register(WarcDataSource)
+    rows = records(spark, 8).select("version", "headers", F.when(F.col("id") == 7, F.raise_error(F.lit("broken row")).cast("binary")).otherwise(F.col("block")).alias("block"))
+    with pytest.raises(Exception, match="broken row"):
+        rows.write.format("warc").mode("append").option("path", str(tmp_path / "x")).option("maxFileSize", "1").save()
+    assert not [f for _, _, fs in os.walk(tmp_path / "x") for f in fs]
+    with pytest.raises(Exception, match="mode append"):
+        records(spark, 1).select("version", "headers", "block").write.format("warc").mode("overwrite").option("path", str(tmp_path / "x")).save()
+
+
+def test_publishing_twice_changes_nothing(tmp_path):
+    import pyarrow.fs as pafs
+
+    fs, staged, path = pafs.LocalFileSystem(), str(tmp_path / "s"), str(tmp_path / "p")
+    (tmp_path / "s").write_bytes(b"x")
+    K.publish(fs, staged, path)
+    K.publish(fs, staged, path)
+    assert (tmp_path / "p").read_bytes() == b"x" and not (tmp_path / "s").exists()
+    (tmp_path / "s").write_bytes(b"y")
+    with pytest.raises(FileExistsError):
+        K.publish(fs, staged, path)
+    with pytest.raises(FileNotFoundError):
+        K.publish(fs, str(tmp_path / "nothing"), str(tmp_path / "q"))
+
+
+def test_records_are_synced_one_by_one(tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(os, "fsync", lambda n: seen.append(n))
+    w = K.Writer(str(tmp_path / "y"), K.WriterOptions(host="h", time=TIME, flush=True), 0, 1)
+    for _ in range(3):
+        w.write(b"WARC/1.1\r\n", b"x", 1)
+    assert len(seen) == 3
+    w.close()
+
+
+def test_interval_join_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    left = [(i, rng.choice([rng.uniform(-50, 50), float(rng.randint(-50, 50))]), rng.choice("ab")) for i in range(200)] + [(999, None, "a")]
+    right = [(j, s := rng.choice([rng.uniform(-50, 50), float(rng.randint(-50, 50))]), s + rng.choice([0.0, 1.0, 10.0, 33.3, -2.0]), rng.choice("ab")) for j in range(60)] + [(99, None, 3.0, "a")]
+    l, r = spark.createDataFrame(left, "i long, t double, k string"), spark.createDataFrame(right, "j long, s double, e double, k string")
+    for width in (1.0, 7.5, 1000.0):
+        got = sorted((x.i, x.j) for x in A.interval_join(l, r, at="t", start="s", end="e", bin=width, on=("k",)).collect())
+        assert got == sorted((i, j) for i, t, k in left for j, s, e, m in right if k == m and None not in (t, s) and s <= t < e)
+    with pytest.raises(ValueError):
+        A.interval_join(l, r, at="t", start="s", end="e", bin=1.0)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from warcspark import storage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+    Context.master = "local[4]"
+    assert storage.shared_dir(Session()).startswith("file:///tmp/")
+    assert storage.on_default(spark, "/a/b") == "/a/b" and storage.on_default(spark, "s3://x/y") == "s3://x/y"

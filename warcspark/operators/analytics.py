@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +26,48 @@ def of_types(records: DataFrame, *types: str) -> DataFrame:
     return records.where(F.col("record_type_code").bitwiseAND(mask) != 0)
 
 
-def as_of(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, value: str, out: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the value of the latest right row of the same key that is not later, null where there is none.
 
-    One shuffle by key of both sides together and one ordered pass, with no join; ties of time count as not later.
+    One shuffle by key of both sides together and one ordered pass, with no join of rows; ties of time count as not
+    later, and of right rows with one time the greatest value counts. With `bucket`, a rising function of time (such as
+    its day), rows are dealt by key and bucket, so a hot key spreads; the value that each bucket begins with comes from
+    a table with a row for each key and bucket.
     """
     cols = left.columns
+    at = bucket or (lambda t: F.lit(0))
     mine = left.select(*cols, F.lit(1).alias("_side"), F.col(left_time).alias("_t"), F.col(by).alias("_k"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    theirs = right.select(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_side"), F.col(right_time).alias("_t"), F.col(by).alias("_k"), F.col(value).alias("_v"))
-    w = W.partitionBy("_k").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    return mine.unionByName(theirs).withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*cols, out)
+    theirs = right.where(F.col(right_time).isNotNull()).select(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_side"), F.col(right_time).alias("_t"), F.col(by).alias("_k"), F.col(value).alias("_v"))
+    both = mine.unionByName(theirs).withColumn("_b", at(F.col("_t")))
+    if bucket:
+        last = both.groupBy("_k", "_b").agg(F.max(F.when((F.col("_side") == 0) & F.col("_v").isNotNull(), F.struct("_t", "_v")))["_v"].alias("_last"))
+        before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        carry = last.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+        both = both.join(carry, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    else:
+        both = both.withColumn("_carry", F.lit(None).cast(right.schema[value].dataType))
+    w = W.partitionBy("_k", "_b").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(w), "_carry")).where("_side = 1").select(*cols, out)
+
+
+def interval_join(left: DataFrame, right: DataFrame, *, at: str, start: str, end: str, bin: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of left with each row of right whose interval [start, end) holds left's `at`; all three are numbers.
+
+    An equi-join on bins of width `bin`: a row of right stands in each bin that it meets, a row of left in one, so no
+    pair comes twice and adaptive execution can split hot bins. Intervals that are empty or null match nothing.
+    """
+    clash = sorted(set(left.columns) & set(right.columns) - set(on))
+    if clash:
+        raise ValueError(f"both sides have columns {', '.join(clash)}")
+
+    def number(c: str) -> Column:
+        return F.floor(F.col(c) / bin).cast("long")
+
+    # the last bin is that of the greatest value below the end
+    last = F.when(F.pmod(F.col(end), F.lit(bin)) == 0, number(end) - 1).otherwise(number(end))
+    wide = right.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(number(start), F.greatest(last, number(start)))))
+    got = left.withColumn("_bin", number(at)).join(wide, [*on, "_bin"])
+    return got.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
 
 
 def host(uri: Column | str) -> Column:

@@ -10,6 +10,11 @@ record_offset, record_size) files are cut at record starts into ranges of about
 every file), `readBlock` (false skips blocks), `path`, `types` (record types to keep, separated by
 commas), and all of WarcOptions. A filter on record_type or is_gzip is not needed for results,
 only `types` saves sending rows.
+
+Writing stages the files of each attempt below `_temporary` of the folder. The commit, which only
+happens if all tasks have succeeded, gives them their names in one count and renames them; an
+abort removes them. Paths without a scheme are local ones; on a cluster give a scheme, or use
+`load`, which puts them on Spark's default file system.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import base64
 import fnmatch
 import json
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,14 +38,13 @@ from pyspark.sql.types import StructType
 from ..operators.parse import batches_of, typed
 from ..options import FAIL, WarcOptions
 from ..schema import FRAMED
+from ..storage import on_default
 from .framing import frames
-from .sink import Writer, WriterOptions
+from .sink import Writer, WriterOptions, format_name, open_folder
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), os.path.abspath(path)
+    return open_folder(path)
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
@@ -180,7 +185,10 @@ class WarcStreamReader(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """Files of a task, in order, where they are staged."""
+
     rows: int
+    files: tuple[str, ...]
 
 
 class WarcWriter(DataSourceWriter):
@@ -189,33 +197,55 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]) -> None:
         low = {k.lower(): v for k, v in options.items()}
         self._folder = low["path"]
+        self._staging = f"{self._folder.rstrip('/')}/_temporary/{uuid.uuid4().hex}"
         yes = lambda v: v.lower() in ("true", "1", "yes")
         self._o = WriterOptions(
             max_file_size=int(low.get("maxfilesize", 1 << 30)), compress=yes(low.get("compression", "true")), level=int(low.get("compressionlevel", -1)), ratio=float(low.get("expectedcompressionratio", 0.5)),
             flush=yes(low.get("flush", "false")), suffix=low.get("compressedfilesuffix", ".gz"), open_suffix=low.get("openfilesuffix", ".open"), prefix=low.get("prefix", ""), extension=low.get("extension", "warc"), pattern=low.get("pattern", WriterOptions.pattern), host=low.get("host"),
-        )
+        ).settled()
 
     def write(self, iterator: Iterator) -> Written:
         from pyspark import TaskContext
 
-        w, n = Writer(self._folder, self._o, TaskContext.get().partitionId(), 1 << 12), 0
+        part = TaskContext.get().partitionId()
+        staging = f"{self._staging}/{part}-{uuid.uuid4().hex}"
+        # the commit gives the names; until then a number in the attempt's own folder is enough
+        w, n, files = Writer(self._folder, replace(self._o, name=lambda k: f"{part}-{k}"), 0, 1, staging), 0, []
         try:
             for row in iterator:
-                length = next((h["value"] for h in row["headers"] if h["name"] == "Content-Length"), "")
+                said = next((h["value"] for h in row["headers"] if h["name"] == "Content-Length"), "")
+                length = int(said) if said.isdigit() else None
                 head = f"WARC/{row['version']}\r\n" + "".join(f"{h['name']}: {h['value']}\r\n" for h in row["headers"])
-                w.write(head.encode(), bytes(row["block"] or b""), int(length) if length.isdigit() else None)
+                if w.full(length):
+                    files.append(w.close())
+                w.write(head.encode(), bytes(row["block"] or b""), length)
                 n += 1
-            w.close()
+            files.append(w.close())
         except BaseException:
             w.abort()
             raise
-        return Written(n)
+        return Written(n, tuple(f for f in files if f))
 
     def commit(self, messages: list) -> None:
-        pass
+        fs, folder = open_folder(self._folder)
+        staged = [f for m in messages if m for f in m.files]
+        suffix = self._o.suffix if self._o.compress else ""
+        moves = [(f, f"{folder}/{format_name(self._o, k)}{suffix}") for k, f in enumerate(staged, 1)]
+        if taken := [i.path for i in fs.get_file_info([to for _, to in moves]) if i.type != pafs.FileType.NotFound]:
+            self.abort(messages)
+            raise FileExistsError(taken[0])
+        for f, to in moves:
+            fs.move(f, to)
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        pass
+        """Nothing of the job is left but what the commit has renamed."""
+        fs, staging = open_folder(self._staging)
+        if fs.get_file_info(staging).type != pafs.FileType.NotFound:
+            fs.delete_dir(staging)
+        top = staging.rpartition("/")[0]
+        if fs.get_file_info(top).type != pafs.FileType.NotFound and not fs.get_file_info(pafs.FileSelector(top)):
+            fs.delete_dir(top)
 
 
 class WarcDataSource(DataSource):
@@ -233,6 +263,8 @@ class WarcDataSource(DataSource):
         return WarcStreamReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("archives can only be added: use mode append")
         return WarcWriter(dict(self.options))
 
 
@@ -241,4 +273,4 @@ def load(spark: SparkSession, path: str, options: WarcOptions | None = None, **m
     spark.dataSource.register(WarcDataSource)
     o = options or WarcOptions()
     given = {k: str(getattr(o, k)) for k in ("syntax", "spec", "unknown_type", "max_block_bytes")}
-    return typed(spark.read.format("warc").options(**given, **more).load(path), o)
+    return typed(spark.read.format("warc").options(**given, **more).load(on_default(spark, path)), o)

@@ -1,8 +1,12 @@
-"""Rolling archive files from records: dealt to writers, cut by size, published whole.
-
-Records are dealt to writers and put in order there; each writer keeps one file open, starts a
-new one before a record that would not fit, and gives files their final name only once they are
-complete. What comes back is the manifest: file, offset and length of every record.
+"""Rolling archive files from records: dealt to writers, cut by size, published once all are written.
+
+Records are dealt to writers and put in order there; each writer keeps one file open and starts a
+new one before a record that would not fit. Time, host and address in the names are the driver's,
+so every attempt of a task makes the same names. Each attempt writes into a folder of its own
+below `_temporary`; a table that only holds the rows of attempts that succeeded says what there
+is. Its files are then renamed into place, and a rename that is repeated changes nothing. If a
+task fails for good, nothing is published. What comes back is the manifest: file, offset and
+length of every record; its rows are written as they come, none are held.
 """
 
 from __future__ import annotations
@@ -12,18 +16,18 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fields as H
 from ..functions import names as N
+from ..storage import forget, on_default
 
 MANIFEST = "record_id string, file_name string, file_offset long, bytes_written long, file_size long, warcinfo_id string"
 
@@ -34,6 +38,7 @@ class WriterOptions:
     compress: bool = True
     level: int = -1
     ratio: float = 0.5
+    #: Puts every record on disk before the next one is written (on other stores: flushes the stream).
     flush: bool = False
     suffix: str = ".gz"
     open_suffix: str = ".open"
@@ -42,9 +47,12 @@ class WriterOptions:
     pattern: str = N.DEFAULT_PATTERN
     params: tuple[tuple[str, object], ...] = ()
     host: str | None = None
+    ip: str | None = None
     time: datetime | None = None
-    #: Fields of a warcinfo record that opens every file; None for no such record.
-    warcinfo: tuple[tuple[str, str], ...] | None = None
+    #: Makes the name of a file, without its suffix, from its serial number; it must always make the same.
+    name: Callable[[int], str] | None = None
+    #: Fields of a warcinfo record that opens every file, or what makes them from the file's name; None for no such record.
+    warcinfo: tuple[tuple[str, str], ...] | Callable[[str], tuple[tuple[str, str], ...]] | None = None
     version: str = "1.1"
     before_file: Callable[[str], None] | None = None
     after_file: Callable[[str, int, str | None], None] | None = None
@@ -55,13 +63,19 @@ class WriterOptions:
         if not 0 < self.ratio <= 1:
             object.__setattr__(self, "ratio", 0.5)
 
+    def settled(self) -> WriterOptions:
+        """With the time, host and address of this moment and machine where none are given."""
+        return replace(self, time=self.time or datetime.now(UTC), host=self.host or N.host_or_ip(), ip=self.ip or (N.outbound_ip() if "ip" in N.positional(self.pattern)[1] else ""))
+
 
 def format_name(o: WriterOptions, serial: int) -> str:
     """One file name by the options' pattern."""
+    if o.name:
+        return o.name(serial)
     form, wanted = N.positional(o.pattern)
     time = (o.time or datetime.now(UTC)).strftime("%Y%m%d%H%M%S")
     host = o.host or N.host_or_ip()
-    given = dict(o.params) | {"ts": time, "serial": serial, "prefix": o.prefix, "ext": o.extension, "ip": N.outbound_ip() if "ip" in wanted else "", "host": o.host or N.host_name(), "hostOrIp": host}
+    given = dict(o.params) | {"ts": time, "serial": serial, "prefix": o.prefix, "ext": o.extension, "ip": o.ip if o.ip is not None else N.outbound_ip() if "ip" in wanted else "", "host": o.host or N.host_name(), "hostOrIp": host}
     for k, name in enumerate(wanted, 1):
         form = form.replace(f"%{k}$", f"%({name})")
     return form % given
@@ -72,17 +86,25 @@ def estimate(length: int | None, o: WriterOptions) -> int:
     return int((length or 0) * o.ratio) if o.compress else (length or 0)
 
 
+def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder; one without a scheme is local."""
+    if "://" not in folder and not folder.startswith("file:"):
+        return pafs.LocalFileSystem(), os.path.abspath(folder)
+    return pafs.FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+
+
 class Writer:
-    """One open file after the other in a folder of any file system that Arrow knows."""
+    """One open file after the other in a folder of any file system that Arrow knows.
+
+    With `staging`, a folder of this attempt alone, closed files stay there until they are published.
+    """
 
-    def __init__(self, folder: str, o: WriterOptions, number: int, writers: int) -> None:
+    def __init__(self, folder: str, o: WriterOptions, number: int, writers: int, staging: str | None = None) -> None:
         self.o, self.number, self.step, self.made = o, number, writers, 0
-        task = TaskContext.get()
-        self.attempt, self.temp = task.attemptNumber() if task else 0, ""
-        local = "://" not in folder and not folder.startswith("file:")
-        self.fs, self.folder = (pafs.LocalFileSystem(), os.path.abspath(folder)) if local else pafs.FileSystem.from_uri(folder)
-        self.fs.create_dir(self.folder, recursive=True)
-        self.out, self.size, self.name, self.info = None, 0, "", None
+        self.fs, self.folder = open_folder(folder)
+        self.staging = open_folder(staging)[1] if staging else None
+        self.fs.create_dir(self.staging or self.folder, recursive=True)
+        self.out, self.size, self.name, self.info, self.temp = None, 0, "", None, ""
 
     def _open(self) -> None:
         # writers count in turns, so no two of them ever make the same name
@@ -91,11 +113,12 @@ class Writer:
         path = f"{self.folder}/{self.name}"
         if self.o.before_file:
             self.o.before_file(path)
-        # a task that is run again makes the same files, and may find what its lost attempt had published
-        if not self.attempt and self.fs.get_file_info(path).type != pafs.FileType.NotFound:
+        if self.fs.get_file_info(path).type != pafs.FileType.NotFound:
             raise FileExistsError(path)
-        self.temp = path + (f".{self.attempt}" if self.attempt else "") + self.o.open_suffix
-        self.out, self.size, self.info = self.fs.open_output_stream(self.temp), 0, None
+        self.temp = f"{self.staging or self.folder}/{self.name}{self.o.open_suffix}"
+        local = isinstance(self.fs, pafs.LocalFileSystem)
+        self.out = open(self.temp, "wb") if local else self.fs.open_output_stream(self.temp)  # noqa: SIM115
+        self.size, self.info = 0, None
         if self.o.warcinfo is not None:
             self.info = f"urn:uuid:{_name_id(self.name)}"
             self._put(warcinfo_record(self.name, self.info, self.o))
@@ -104,13 +127,18 @@ class Writer:
         data = gzip.compress(record, self.o.level if self.o.level >= 0 else zlib.Z_DEFAULT_COMPRESSION, mtime=0) if self.o.compress else record
         self.out.write(data)
         if self.o.flush:
-            self.out.flush()
+            self._sync()
         self.size += len(data)
         return len(record)
 
+    def _sync(self) -> None:
+        self.out.flush()
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            os.fsync(self.out.fileno())
+
     def write(self, head: bytes, block: bytes, length: int | None) -> tuple[str, int, int, str | None]:
         """File, offset, uncompressed bytes and warcinfo id."""
-        if self.out is not None and length is not None and self.o.max_file_size > 0 and self.size and self.size + estimate(length, self.o) > self.o.max_file_size:
+        if self.full(length):
             self.close()
         if self.out is None:
             self._open()
@@ -120,14 +148,22 @@ class Writer:
         n = self._put(head + b"\r\n" + block + b"\r\n\r\n")
         return self.name, at, n, self.info
 
-    def close(self) -> None:
-        if self.out is not None:
-            self.out.close()
-            path = f"{self.folder}/{self.name}"
-            self.fs.move(self.temp, path)
-            if self.o.after_file:
-                self.o.after_file(path, self.size, self.info)
-            self.out = None
+    def full(self, length: int | None) -> bool:
+        """Whether a record of this length starts a new file."""
+        return bool(self.out is not None and length is not None and self.o.max_file_size > 0 and self.size and self.size + estimate(length, self.o) > self.o.max_file_size)
+
+    def close(self) -> str | None:
+        """Ends the file, and gives the path where it stands now."""
+        if self.out is None:
+            return None
+        self._sync()
+        self.out.close()
+        self.out = None
+        path = f"{self.staging or self.folder}/{self.name}"
+        self.fs.move(self.temp, path)
+        if not self.staging and self.o.after_file:
+            self.o.after_file(path, self.size, self.info)
+        return path
 
     def abort(self) -> None:
         if self.out is not None:
@@ -136,13 +172,30 @@ class Writer:
             self.out = None
 
 
+def publish(fs: pafs.FileSystem, staged: str, path: str) -> None:
+    """Renames a finished file into place. One that a lost attempt has renamed before is left as it is."""
+    there = fs.get_file_info(path).type != pafs.FileType.NotFound
+    here = fs.get_file_info(staged).type != pafs.FileType.NotFound
+    if here and there:
+        raise FileExistsError(path)
+    if here:
+        try:
+            fs.move(staged, path)
+        except OSError:  # another attempt of the same task may have been faster
+            if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                raise
+    elif fs.get_file_info(path).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(staged)
+
+
 def _name_id(name: str) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, name))
 
 
 def warcinfo_record(name: str, info: str, o: WriterOptions) -> bytes:
     """The record that opens a file."""
-    block = "".join(f"{k}: {v}\r\n" for k, v in o.warcinfo or ()).encode()
+    fields = o.warcinfo(name) if callable(o.warcinfo) else o.warcinfo
+    block = "".join(f"{k}: {v}\r\n" for k, v in fields or ()).encode()
     date = (o.time or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = f"WARC/{o.version}\r\nWARC-Type: warcinfo\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nWARC-Record-ID: <{info}>\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
@@ -160,59 +213,89 @@ def add_concurrent_to(records: DataFrame, group: str) -> DataFrame:
     return d.withColumn("headers", F.concat("headers", F.coalesce(more, F.array().cast("array<struct<name:string,value:string>>")))).select(*records.columns)
 
 
-def write_archives(records: DataFrame, folder: str, options: WriterOptions | None = None, *, writers: int = 1, group: str | None = None, order: tuple[str, ...] = ("record_id",)) -> DataFrame:
+#: Rows of a manifest that a task hands on at once.
+ROWS = 4096
+_FILES = f"{MANIFEST}, staged string"
+
+
+def write_archives(records: DataFrame, folder: str, options: WriterOptions | None = None, *, writers: int | None = None, group: str | None = None, order: tuple[str, ...] = ("record_id",), marshaled: Callable[[], tuple[Column, Column]] | None = None) -> DataFrame:
     """Writes records into files below folder and returns their manifest, once it is all published.
 
-    Records of a group go to one writer, in `order`; without a group they are dealt by id. The manifest
-    itself is a table in `_manifest` of the folder, a row for each record.
+    Records of a group go to one writer, in `order`; without a group they are dealt by id. There are as many
+    writers as shuffle partitions unless `writers` says otherwise. `marshaled` gives columns to write in place of a
+    record's version and fields, and of its block. The manifest itself is a table in `_manifest` of the folder, a
+    row for each record.
     """
-    o = options or WriterOptions()
+    spark = records.sparkSession
+    o = (options or WriterOptions()).settled()
+    writers = writers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = on_default(spark, folder)
     key = F.col(group) if group else H.get("headers", "WARC-Record-ID")
     head = F.encode(F.concat(F.lit("WARC/"), F.col("version"), F.lit("\r\n"), H.serialize("headers")), "UTF-8")
+    head, block = marshaled() if marshaled else (head, F.col("block"))
     writer = F.lit(0) if writers == 1 else F.pmod(F.xxhash64(key), F.lit(writers)).cast("int")
-    d = records.select(writer.alias("_w"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], H.get_id("headers", "WARC-Record-ID").alias("record_id"), head.alias("head"), F.coalesce("block", F.lit(b"")).alias("block"), H.get_int64("headers", "Content-Length").alias("length"))
+    d = records.select(writer.alias("_w"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], H.get_id("headers", "WARC-Record-ID").alias("record_id"), head.alias("head"), F.coalesce(block, F.lit(b"")).alias("block"), H.get_int64("headers", "Content-Length").alias("length"))
+    where = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
+    staging = f"{where}/_temporary/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Writer | None = None
         number = None
         held: list[tuple] = []
-        sizes: dict[str, int] = {}
+        attempt = uuid.uuid4().hex
 
-        def done() -> pa.RecordBatch:
-            rows = [(*r[:4], sizes[r[1]], r[4]) for r in held]
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["record_id", "file_name", "file_offset", "bytes_written", "file_size", "warcinfo_id"])
+        def rows() -> pa.RecordBatch:
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(types)], ["record_id", "file_name", "file_offset", "bytes_written", "file_size", "warcinfo_id", "staged"])
+            held.clear()
+            return out
 
         def close() -> None:
-            now.close()
-            sizes[now.name] = now.size
+            """A row for the file, without an offset."""
+            if now and (path := now.close()):
+                held.append((None, now.name, None, None, now.size, now.info, path))
 
         try:
             for b in batches:
                 for w, rid, h, block, length in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                     if w != number:
-                        if now:
-                            close()
-                        now, number = Writer(folder, o, w, writers), w
-                    before, name = now.size, now.name
-                    hit = now.write(h, block, length)
-                    if name and now.name != name:
-                        sizes[name] = before
-                    held.append((rid, *hit))
-            if now:
-                close()
+                        close()
+                        now, number = Writer(folder, o, w, writers, f"{staging}/{w}-{attempt}"), w
+                    if now.full(length):
+                        close()
+                    name, at, n, info = now.write(h, block, length)
+                    held.append((rid, name, at, n, None, info, f"{now.staging}/{name}"))
+                    if len(held) >= ROWS:
+                        yield rows()
+            close()
         except BaseException:
             if now:
                 now.abort()
             raise
         if held:
-            yield done()
+            yield rows()
 
-    dealt = d.repartition(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
-    manifest = dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, MANIFEST)
-    where = f"{folder if '://' in folder or folder.startswith('file:') else 'file://' + os.path.abspath(folder)}/_manifest"
-    manifest.write.mode("append").parquet(where)
-    return records.sparkSession.read.schema(MANIFEST).parquet(where)
+    def publish_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, into = open_folder(folder)
+        for b in batches:
+            for staged, name, size, info in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                publish(fs, staged, f"{into}/{name}")
+                if o.after_file:
+                    o.after_file(f"{into}/{name}", size, info)
+            yield b
+
+    try:
+        dealt = d.repartition(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
+        dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, _FILES).write.parquet(f"{staging}/manifest")
+        made = spark.read.schema(_FILES).parquet(f"{staging}/manifest")
+        files = made.where("file_offset is null").select("staged", "file_name", "file_size", "warcinfo_id")
+        files.mapInArrow(publish_all, files.schema).write.format("noop").mode("overwrite").save()
+        sizes = files.select("staged", F.col("file_size").alias("_size"))
+        done = made.where("file_offset is not null").join(sizes, "staged").withColumn("file_size", F.col("_size"))
+        done.select(*spark.read.schema(MANIFEST).parquet(f"{staging}/manifest").columns).write.mode("append").parquet(f"{where}/_manifest")
+    finally:
+        forget(spark, staging)
+    return spark.read.schema(MANIFEST).parquet(f"{where}/_manifest")
 
 
 def plan_files(records: DataFrame, *, order: tuple[str, ...], max_file_size: int, size: Column, estimated: Column, writers: int = 1, writer: Column | None = None) -> DataFrame:

@@ -20,10 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _LOCAL).rstrip("/")
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its file system: one without a scheme is taken to be on Spark's default file system."""
+def on_default(spark: SparkSession, path: str) -> str:
+    """The path with Spark's default file system, if it has no scheme and that isn't the local one."""
+    if "://" in path or path.startswith("file:"):
+        return path
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return path if full.startswith("file:") else full
 
 
 def forget(spark: SparkSession, folder: str) -> None:
