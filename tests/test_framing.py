@@ -44,10 +44,10 @@ def test_mixed_stream_with_offset_and_path():
 def test_garbage():
     a = record()
     r = rows(b"XX" + a)[0]
-    assert r["skipped_bytes"] == 2 and r["record_offset"] == 2 and messages(r) == ["record was found 2 bytes after expected offset"]
+    assert r["skipped_bytes"] == 2 and r["record_offset"] == 2 and messages(r) == ["2 bytes stand before the record"]
     assert rows(b"XX" + a, WarcOptions(syntax="ignore"))[0]["before"] == []
     bad = rows(b"GARBAGE" + a, WarcOptions.strict())
-    assert len(bad) == 1 and bad[0]["error"]["msg"] == "expected start of record"
+    assert len(bad) == 1 and bad[0]["error"]["msg"] == "no record starts here"
     only = rows(b"nothing to see here")
     assert len(only) == 1 and only[0]["error"]["kind"] == "no_record"
     tail = rows(a + a + b"trailing garbage")
@@ -57,11 +57,11 @@ def test_garbage():
 
 @pytest.mark.parametrize(
     "end, said",
-    [(b"\r\n\r\n", None), (b"", "too few"), (b"\n", "missing carriage return"), (b"\n\n", "missing carriage return"), (b"\r\n", "too few"), (b"abcd", "unexpected bytes")],
+    [(b"\r\n\r\n", None), (b"", "too short"), (b"\n", "line feeds alone"), (b"\n\n", "line feeds alone"), (b"\r\n", "too short"), (b"abcd", "something else")],
 )
 def test_end_marks(end, said):
     r = rows(record(end=end))[0]
-    assert (not messages(r)) if said is None else messages(r)[0].startswith(said)
+    assert (not messages(r)) if said is None else said in messages(r)[0]
     if said:
         assert rows(record(end=end), WarcOptions.strict())[0]["error"]["kind"] == "spec"
         assert messages(rows(record(end=end), WarcOptions.no_validation())[0]) == []
@@ -69,11 +69,11 @@ def test_end_marks(end, said):
 
 def test_versions():
     assert [(r["version"], r["version_major"], r["version_minor"]) for v in ("1.0", "1.1", "1.10", "2.0") for r in rows(record(version=v))] == [("1.0", 1, 0), ("1.1", 1, 1), ("1.1", 1, 1), ("2.0", 0, 0)]
-    assert messages(rows(record(version="2.0"))[0]) == ["unsupported WARC version: 2.0"]
+    assert messages(rows(record(version="2.0"))[0]) == ["records of version 2.0 are not known"]
     assert rows(record(version="2.0"), WarcOptions.strict())[0]["error"]["kind"] == "spec"
-    assert rows(gzip.compress(b"no archive at all\r\n"))[0]["error"]["msg"] == "missing record version"
+    assert rows(gzip.compress(b"no archive at all\r\n"))[0]["error"]["msg"] == "no version line starts the record"
     lf = rows(record(eol="\n"))[0]
-    assert messages(lf)[0].startswith("missing carriage return on line") and [f["line"] for f in lf["before"]] == list(range(1, 8))[: len(lf["before"])]
+    assert messages(lf)[0].startswith("the version line") and [f["line"] for f in lf["before"]] == list(range(1, 8))[: len(lf["before"])]
 
 
 def test_broken_gzip():
@@ -105,17 +105,17 @@ def fields(text, syntax="warn"):
 
 CASES = [
     (b"A: 1\r\nB: 2\r\n\r\nrest", [("A", "1"), ("B", "2")], []),
-    (b"A: 1\nB: 2\r\n\r\nrest", [("A", "1"), ("B", "2")], ["missing carriage return"]),
-    (b"A 1\r\nB: 2\r\n\r\nrest", [("B", "2")], ["could not parse header line. Missing ':' in A 1"]),
-    (b"A: 1\r\nB: 2", [("A", "1"), ("B", "2")], ["missing newline"]),
+    (b"A: 1\nB: 2\r\n\r\nrest", [("A", "1"), ("B", "2")], ["the line doesn't end in a carriage return"]),
+    (b"A 1\r\nB: 2\r\n\r\nrest", [("B", "2")], ["the line has no colon: A 1"]),
+    (b"A: 1\r\nB: 2", [("A", "1"), ("B", "2")], ["the last line doesn't end"]),
     (b"", [], []),
     (b"A: 1\r\n  x\r\n\ty\r\nB: 2\r\n\r\nrest", [("A", "1 x y"), ("B", "2")], []),
-    (b"A: 1\r\n  x\nB: 2\r\n\r\nrest", [("A", "1 x"), ("B", "2")], ["missing carriage return"]),
-    (b"A: 1\r\n  x", [("A", "1 x")], ["unexpected end of headers in continuation"]),
+    (b"A: 1\r\n  x\nB: 2\r\n\r\nrest", [("A", "1 x"), ("B", "2")], ["the line doesn't end in a carriage return"]),
+    (b"A: 1\r\n  x", [("A", "1 x")], ["the header ends in a folded line"]),
     (b"A: 1\r\n", [("A", "1")], []),
-    (b"A: 1\r\n\r", [("A", "1")], ["missing End of WARC-Fields marker"]),
+    (b"A: 1\r\n\r", [("A", "1")], ["no empty line ends the fields"]),
     (b"A: 1\r\n\n rest", [("A", "1")], []),
-    (b"no colon", [], ["missing newline", "could not parse header line. Missing ':' in no colon"]),
+    (b"no colon", [], ["the last line doesn't end", "the line has no colon: no colon"]),
     ("A: =?utf-8?q?caf=C3=A9?=\r\n\r\n".encode(), [("A", "café")], []),
 ]
 

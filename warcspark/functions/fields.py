@@ -5,6 +5,8 @@ Names are matched without case; a missing field is null, an empty one is ''.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..schema import FIELD_RULES, FIELDS, RECORD_TYPES
 from . import let, lookup
 
 _KNOWN = {k.lower(): k for k in FIELD_RULES}
+#: Names that HTTP allows; only these are respelled.
+_TOKEN = r"[A-Za-z0-9!#$%&'*+.^_`|~-]+"
 
 
 def _c(x: Column | str) -> Column:
@@ -26,7 +30,7 @@ def canonical_key(name: Column | str) -> Column:
     """HTTP spelling: each part between hyphens capitalised. Names with blanks or other odd characters stay."""
     n = _c(name)
     parts = F.transform(F.split(n, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30))))
-    return F.when(n.rlike(r"^[A-Za-z0-9!#$%&'*+.^_`|~-]+$"), F.array_join(parts, "-")).otherwise(n)
+    return F.when(n.rlike(rf"\A{_TOKEN}\z"), F.array_join(parts, "-")).otherwise(n)
 
 
 def normalize_name(name: Column | str) -> Column:
@@ -37,7 +41,9 @@ def normalize_name(name: Column | str) -> Column:
 
 def normalize_constant(name: str) -> str:
     """The same for a name that is known now."""
-    return _KNOWN.get(name.lower()) or "-".join(p[:1].upper() + p[1:].lower() for p in name.split("-"))
+    if known := _KNOWN.get(name.lower()):
+        return known
+    return "-".join(p[:1].upper() + p[1:].lower() for p in name.split("-")) if re.fullmatch(_TOKEN, name) else name
 
 
 def field(name: str | Column, value: Column | str) -> Column:
@@ -152,6 +158,30 @@ def set_(headers: Column | str, name: str, value: Column | str) -> Column:
     return let(let(_c(headers), find), put)
 
 
+def set_many(headers: Column | str, changes: list[tuple[str, Column]], *, keep_missing: bool = True) -> Column:
+    """set_ for several fields at once, in one pass: what is there gets its value, the others follow in order.
+    A null value leaves its field alone, or removes it unless keep_missing."""
+    low = [normalize_constant(n).lower() for n, _ in changes]
+    table = F.struct(_c(headers).alias("h"), *[v.cast("string").alias(f"v{i}") for i, (_, v) in enumerate(changes)])
+
+    def put(t: Column) -> Column:
+        h = t["h"]
+        names = F.transform(h, lambda x: F.lower(x["name"]))
+
+        def each(x: Column, i: Column) -> Column:
+            name = F.lower(x["name"])
+            out = F.when(~name.isin(low), x)
+            for k, n in enumerate(low):
+                first = F.when(F.array_position(names, n) == i + 1, field(changes[k][0], t[f"v{k}"]))
+                out = out.when(name == n, F.when(t[f"v{k}"].isNotNull(), first).otherwise(x if keep_missing else F.lit(None)))
+            return out
+
+        more = [F.when(t[f"v{k}"].isNotNull() & ~F.array_contains(names, n), field(changes[k][0], t[f"v{k}"])) for k, n in enumerate(low)]
+        return F.filter(F.concat(F.transform(h, each), F.array(*more)), lambda x: x.isNotNull())
+
+    return let(table, put)
+
+
 def set_int(headers: Column | str, name: str, value: Column) -> Column:
     return set_(headers, name, value.cast("string"))
 
@@ -181,6 +211,22 @@ def serialize(headers: Column | str) -> Column:
     return F.array_join(F.transform(_c(headers), lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
 
 
+def to_json(headers: Column | str) -> Column:
+    """A JSON object of the fields: each name with the array of its values, names in order of first appearance."""
+
+    def entry(h: Column) -> Column:
+        names = F.array_distinct(F.transform(h, lambda x: x["name"]))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("name"), F.transform(F.filter(h, lambda x: x["name"] == n), lambda x: x["value"]).alias("values"))))
+
+    return F.to_json(let(_c(headers), entry))
+
+
+def from_json(text: Column | str) -> Column:
+    """Headers of such an object."""
+    pairs = F.map_entries(F.from_json(_c(text), "map<string,array<string>>"))
+    return F.flatten(F.transform(pairs, lambda e: F.transform(e["value"], lambda v: F.struct(normalize_name(e["key"]).alias("name"), v.alias("value")))))
+
+
 def type_code(name: Column | str) -> Column:
     """Bit code of a record type's name; 0 if unknown or missing."""
     return F.coalesce(lookup(RECORD_TYPES, F.lower(_c(name))), F.lit(0))
@@ -190,10 +236,38 @@ def type_name(code: Column | str) -> Column:
     return lookup({v: k for k, v in RECORD_TYPES.items()}, _c(code).cast("int"))
 
 
-def parse_lenient(text: Column | str) -> Column:
+#: Charsets of encoded words, by their names in the engine; words in others stay as they are.
+_CHARSETS = {"utf-8": "UTF-8", "iso-8859-1": "ISO-8859-1", "us-ascii": "US-ASCII"}
+_WORD = r"=\?(?i:utf-8|iso-8859-1|us-ascii)\?(?:[bB]\?[A-Za-z0-9+/]*={0,2}|[qQ]\?[^?\s]*)\?="
+
+
+def decode_words(text: Column | str) -> Column:
+    """The text with RFC 2047 encoded words decoded; white space between two of them goes."""
+    t = _c(text)
+
+    def bytes_of(q: Column) -> Column:
+        each = F.transform(F.regexp_extract_all(q, F.lit(r"(?s)=[0-9A-Fa-f]{2}|."), F.lit(0)), lambda x: F.when(x.rlike("^=..$"), F.substring(x, 2, 2)).when(x == "_", "20").otherwise(F.hex(F.encode(x, "UTF-8"))))
+        return F.unhex(F.array_join(each, ""))
+
+    def decoded(part: Column) -> Column:
+        p = F.split(part, r"\?")
+        data = F.when(F.lower(p[2]) == "b", F.try_to_binary(p[3], F.lit("base64"))).otherwise(bytes_of(p[3]))
+        as_text = None
+        for name, engine in _CHARSETS.items():
+            is_it = F.lower(p[1]) == name
+            value = F.decode(data, engine) if engine != "UTF-8" else F.try_validate_utf8(data.cast("string"))
+            as_text = F.when(is_it, value) if as_text is None else as_text.when(is_it, value)
+        return F.coalesce(as_text, part)
+
+    parts = F.regexp_extract_all(F.regexp_replace(t, rf"({_WORD})\s+(?={_WORD})", "$1"), F.lit(rf"(?s){_WORD}|(?:(?!{_WORD}).)+"), F.lit(0))
+    return F.when(t.rlike(_WORD), F.array_join(F.transform(parts, lambda x: F.when(x.rlike(rf"\A{_WORD}\z"), decoded(x)).otherwise(x)), "")).otherwise(t)
+
+
+def parse_lenient(text: Column | str, *, words: bool = False) -> Column:
     """Header fields of a text of lines, without findings: folded lines joined by a blank, names normalised,
-    lines without a colon left out, up to the first empty line. Encoded words stay as they are."""
+    lines without a colon left out, up to the first empty line; with `words`, encoded words are decoded."""
     head = F.regexp_extract(F.concat(_c(text), F.lit("\n")), r"^((?:[^\n]*[^\s][^\n]*\n)*+)", 1)
     folded = F.regexp_replace(head, r"[ \t\r]*\n[ \t]+", " ")
-    lines = F.filter(F.split(folded, "\n"), lambda x: F.instr(x, ":") > 0)
+    lines = F.split(folded, "\n")
+    lines = F.filter(F.transform(lines, decode_words) if words else lines, lambda x: F.instr(x, ":") > 0)
     return F.transform(lines, lambda x: F.struct(normalize_name(F.trim(F.regexp_extract(x, r"^[ \t\r]*([^:]*?)[ \t\r]*:", 1))).alias("name"), F.regexp_extract(x, r"^[^:]*:[ \t\r]*(.*?)[ \t\r]*$", 1).alias("value")))

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the naming pattern that the WARC standard recommends, with named fields.
+#: Fixed value: prefix, time, serial number and host, as the WARC standard recommends, in the notation of `positional`.
 DEFAULT_PATTERN = "%{prefix}s%{ts}s-%04{serial}d-%{hostOrIp}s.%{ext}s"
 _NAMED = re.compile(r"%([-+ 0#,(]*\d*(?:\.\d+)?)\{(\w+)\}([a-zA-Z])")
 

@@ -111,9 +111,9 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     df = df.withColumn("_cut", F.when(is_http, B.http_head_length("block")))  # null for all but HTTP blocks
     http = F.col("_cut").isNotNull()
     df = df.withColumn("_open", F.coalesce(F.col("_cut") == 0, F.lit(False)))
-    missing = V._some(F.when(F.col("_open"), V.finding("syntax", "missing line separator at end of http headers", kind="http_headers")))
+    missing = V._some(F.when(F.col("_open"), V.finding("syntax", "the HTTP header has no empty line at its end", kind="http_headers")))
     short = http & (F.octet_length("block") < 4)
-    df = df.withColumn("error", F.coalesce(F.col("error"), F.when(short, F.struct(F.lit("http").alias("kind"), F.lit("not a http block").alias("msg")))))
+    df = df.withColumn("error", F.coalesce(F.col("error"), F.when(short, F.struct(F.lit("http").alias("kind"), F.lit("the block is too short for an HTTP message").alias("msg")))))
     if options.fix_syntax_errors:
         fixable = F.col("_open") & ~short
         longer = lambda h: H.set_(h, "Content-Length", (F.coalesce(H.get_int64(h, "Content-Length"), F.lit(0)) + 2).cast("string"))
@@ -123,11 +123,12 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     df = df.withColumn("payload_offset", offset.cast("int")).withColumn("payload", B.payload("block", "payload_offset"))
     df = df.withColumn("http", F.when(http & F.col("error").isNull(), B.http_struct("block", F.col("payload_offset"), F.col("_open"))))
     unread = http & F.col("error").isNull() & F.when(F.col("block_kind") == "http_response", F.col("http.status_line").isNull()).otherwise(F.col("http.request_uri").isNull())
-    block_found = V._some(F.when(unread, V.finding("block", F.concat(F.lit("error in "), F.translate("block_kind", "_", " "), F.lit(" block")), kind="http")))
+    block_found = V._some(F.when(unread, V.finding("block", F.concat(F.lit("the first line can't be read as that of an "), F.translate("block_kind", "_", " ")), kind="http")))
     text = F.when(F.col("block_kind") == "warc_fields", F.decode("block", "UTF-8"))
-    df = df.withColumn("warc_fields", H.parse_lenient(text).cast(FIELDS))
-    loose = F.when(F.col("block_kind") == "warc_fields", text.rlike(r"(?<!\r)\n") | text.rlike(r"(?m)^[^:\r\n]+\r?$") | ~text.rlike(r"\n$"))
-    fields_found = V._some(F.when(loose, V.finding("block", "error in warc fields block", kind="warc_fields")))
+    df = df.withColumn("warc_fields", H.parse_lenient(text, words=True).cast(FIELDS))
+    df = df.withColumn("_fields_found", F.coalesce(F.when(F.col("block_kind") == "warc_fields", V.line_findings(text)), V.no_findings()))
+    loose = F.size("_fields_found") > 0
+    fields_found = F.col("_fields_found")
     if options.fix_warc_fields:
         df = df.withColumn("block", F.when(loose, F.encode(H.serialize("warc_fields"), "UTF-8")).otherwise(F.col("block")))
     df = df.withColumn("validation", F.concat("before", "_head", missing, block_found, fields_found))
@@ -137,9 +138,10 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     df = df.withColumn("block_size", F.octet_length("block").cast("long"))
     own = H.get("headers", "WARC-Block-Digest")
     same = let(D.parse_field(own, options.default_encoding), lambda p: D.format_field(p["algorithm"], D.compute("block", p["algorithm"], p["encoding"])))
-    df = df.withColumn("block_digest", F.when(F.col("block").isNotNull(), F.coalesce(same, D.digest_field("block", options.default_algorithm, options.default_encoding))))
+    sound = F.col("block").isNotNull() & ~F.coalesce(F.col("block_truncated"), F.lit(False))
+    df = df.withColumn("block_digest", F.when(sound, F.coalesce(same, D.digest_field("block", options.default_algorithm, options.default_encoding))))
     said = H.get("headers", "WARC-Payload-Digest")
-    computed = F.when(http, D.digest_field("payload", options.default_algorithm, options.default_encoding)).when((F.col("record_type_code") == 4) & F.col("block").isNotNull(), F.col("block_digest"))
+    computed = F.when(http & sound, D.digest_field("payload", options.default_algorithm, options.default_encoding)).when((F.col("record_type_code") == 4) & sound, F.col("block_digest"))
     df = df.withColumn("payload_digest", F.coalesce(said, computed))
     named = {
         "record_type": H.type_name("record_type_code"),

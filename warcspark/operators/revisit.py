@@ -1,21 +1,19 @@
 """Revisit records: made from full records, resolved by an equi-join, merged back.
 
-The reference of a merge is found by id, and a revisit whose target isn't there keeps its row
-with an error, so that nothing gets lost. Deduplication finds the first capture of a payload by
+The reference of a merge is found by id. A revisit whose target isn't there, or whose id several
+records have, keeps its one row with an error, so that nothing gets lost or multiplied: ids are
+counted before blocks are joined. Deduplication finds the first capture of a payload by
 an aggregate, which merges before the shuffle, however hot a payload is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import digest as D
 from ..functions import fields as H
-from ..functions import let
 from ..options import FAIL, WarcOptions
 from ..schema import IDENTICAL_PROFILES, PROFILE_IDENTICAL_1_1, PROFILES
 
@@ -50,36 +48,28 @@ def to_revisit(df: DataFrame, ref: str = "ref", options: WarcOptions | None = No
     lend = identical & (F.col("record_type_code") == 4)
     has_digest = H.has("headers", "WARC-Payload-Digest") | ((F.col("record_type_code") == 4) & H.has("headers", "WARC-Block-Digest"))
     wrong = (
-        F.when(~F.coalesce(r["profile"].isin(*PROFILES), F.lit(False)), _error("profile", "unknown revisit profile"))
-        .when(identical & ~has_digest, _error("digest", "missing payload digest"))
-        .when(~F.col("block_kind").isin("http_request", "http_response", "generic"), _error("block", "making a revisit of this block is not supported"))
+        F.when(~F.coalesce(r["profile"].isin(*PROFILES), F.lit(False)), _error("profile", "no revisit has such a profile"))
+        .when(identical & ~has_digest, _error("digest", "this profile needs a payload digest"))
+        .when(~F.col("block_kind").isin("http_request", "http_response", "generic"), _error("block", "a block of this kind can't be that of a revisit"))
     )
     df = df.withColumn("_wrong", F.when(r.isNotNull(), wrong)).withColumn("_do", r.isNotNull() & F.col("_wrong").isNull())
     df = df.withColumn("_head", F.when(F.col("block_kind") == "generic", F.lit(b"")).otherwise(F.substring("block", F.lit(1), F.col("payload_offset"))))
     block_digest = D.digest_field("_head", options.default_algorithm, options.default_encoding)
 
-    def unless_empty(value: Column, name: str, put: Callable) -> Callable[[Column], Column]:
-        return lambda h: F.when(F.coalesce(value, F.lit("")) == "", h).otherwise(put(h, name, value))
-
-    steps: list[Callable[[Column], Column]] = [
-        lambda h: F.when(lend & ~H.has(h, "WARC-Payload-Digest") & H.has(h, "WARC-Block-Digest"), H.set_(h, "WARC-Payload-Digest", H.get(h, "WARC-Block-Digest"))).otherwise(h),
-        lambda h: H.set_(h, "WARC-Type", "revisit"),
-        lambda h: H.set_(h, "WARC-Profile", r["profile"]),
-        unless_empty(r["target_record_id"], "WARC-Refers-To", H.set_id),
-        unless_empty(r["target_uri"], "WARC-Refers-To-Target-URI", H.set_),
-        unless_empty(r["target_date"], "WARC-Refers-To-Date", H.set_),
-        lambda h: H.set_(h, "WARC-Truncated", "length"),
-        lambda h: H.set_(h, "WARC-Block-Digest", block_digest),
-        lambda h: H.set_(h, "Content-Length", F.octet_length("_head").cast("string")),
+    given = lambda name: F.coalesce(r[name], F.lit("")) != ""
+    lent = lend & ~H.has("headers", "WARC-Payload-Digest") & H.has("headers", "WARC-Block-Digest")
+    changes = [
+        ("WARC-Payload-Digest", F.when(lent, H.get("headers", "WARC-Block-Digest"))),
+        ("WARC-Type", F.lit("revisit")),
+        ("WARC-Profile", r["profile"]),
+        ("WARC-Refers-To", F.when(given("target_record_id"), H.bracketed(r["target_record_id"]))),
+        ("WARC-Refers-To-Target-URI", F.when(given("target_uri"), r["target_uri"])),
+        ("WARC-Refers-To-Date", F.when(given("target_date"), r["target_date"])),
+        ("WARC-Truncated", F.lit("length")),
+        ("WARC-Block-Digest", block_digest),
+        ("Content-Length", F.octet_length("_head").cast("string")),
     ]
-
-    def all_steps(h: Column) -> Column:
-        new = h
-        for step in steps:
-            new = let(new, step)
-        return F.when(F.col("_do"), new).otherwise(h)
-
-    df = df.withColumn("headers", let(F.col("headers"), all_steps))
+    df = df.withColumn("headers", F.when(F.col("_do"), H.set_many("headers", changes)).otherwise(F.col("headers")))
     size = F.octet_length("_head")
     changed = {
         "record_type": F.lit("revisit"), "record_type_code": F.lit(B.REVISIT), "block_kind": F.lit("revisit"), "block": F.col("_head"), "block_size": size.cast("long"),
@@ -92,50 +82,49 @@ def to_revisit(df: DataFrame, ref: str = "ref", options: WarcOptions | None = No
 
 
 def _joined(revisits: DataFrame, records: DataFrame) -> DataFrame:
-    target = records.select(H.get_id("headers", "WARC-Record-ID").alias("_target"), F.struct("headers", "block", "block_kind", "payload_offset", "record_type").alias("_r"))
-    return revisits.withColumn("_to", H.get_id("headers", "WARC-Refers-To")).join(target, F.col("_to") == F.col("_target"), "left")
+    """revisits with _n, how many records have the id they refer to, and _r, that record if it is one."""
+    own = H.get_id("headers", "WARC-Record-ID")
+    r = revisits.withColumn("_to", H.get_id("headers", "WARC-Refers-To"))
+    counts = records.select(own.alias("_id")).where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    target = records.select(own.alias("_target"), F.struct("headers", "block", "block_kind", "payload_offset", "record_type").alias("_r"))
+    found = r.join(counts, F.col("_to") == F.col("_id"), "left").drop("_id")
+    return found.join(target, (F.col("_to") == F.col("_target")) & (F.col("_n") == 1), "left")
 
 
 def merge(revisits: DataFrame, records: DataFrame, options: WarcOptions | None = None, *, keep_block_digest: bool = False) -> DataFrame:
     """Full records: each revisit's own HTTP header before the payload of the record it refers to.
 
-    records are full ones with unique ids. What can't be merged keeps its row, with an error. The block digest
-    is computed anew, or copied from the referenced record with keep_block_digest.
+    records are full ones. What can't be merged keeps its row, with an error. The block digest is computed anew, or
+    copied from the referenced record with keep_block_digest.
     """
     options = options or WarcOptions()
     cols = revisits.columns
     d = _joined(revisits, records)
     r = F.col("_r")
     wrong = (
-        F.when(H.get("headers", "WARC-Segment-Number") == "1", _error("merge", "merging of segmented records is not implemented"))
-        .when(F.col("record_type_code") != B.REVISIT, _error("merge", "merging is only supported for revisit records"))
-        .when(F.col("_target").isNull(), _error("merge", "a revisit record must be merged with exactly one referenced record"))
-        .when(F.col("block_kind") != "revisit", _error("merge", "wrong block type of a revisit record"))
-        .when(~r["block_kind"].isin("http_request", "http_response"), _error("merge", "merging is only supported for http blocks"))
-        .when(H.get_int64(r["headers"], "Content-Length").isNull(), _error("merge", "could not parse Content-Length"))
+        F.when(H.get("headers", "WARC-Segment-Number") == "1", _error("merge", "records of several segments can't be merged"))
+        .when(F.col("record_type_code") != B.REVISIT, _error("merge", "only a revisit can be merged"))
+        .when(F.col("_n") > 1, _error("merge", "several records have the id that is referred to"))
+        .when(F.col("_target").isNull(), _error("merge", "no record has the id that is referred to"))
+        .when(F.col("block_kind") != "revisit", _error("merge", "the block wasn't parsed as that of a revisit"))
+        .when(~r["block_kind"].isin("http_request", "http_response"), _error("merge", "only records with HTTP blocks can be merged into"))
+        .when(H.get_int64(r["headers"], "Content-Length").isNull(), _error("merge", "the length of the record that is referred to can't be read"))
     )
     d = d.withColumn("_wrong", wrong).withColumn("_do", F.col("_wrong").isNull())
     # a header without its empty line gets one, if syntax errors may pass; the length doesn't count it
     ends = B.http_head_length("block") > 0
     open_ = F.octet_length("block").cast("int")
     if options.syntax == FAIL:
-        d = d.withColumn("_wrong", F.coalesce("_wrong", F.when(~ends, _error("syntax", "missing line separator at end of http headers")))).withColumn("_do", F.col("_wrong").isNull())
+        d = d.withColumn("_wrong", F.coalesce("_wrong", F.when(~ends, _error("syntax", "the HTTP header has no empty line at its end")))).withColumn("_do", F.col("_wrong").isNull())
     own = F.when(ends, F.col("block")).otherwise(F.concat("block", F.lit(b"\r\n")))
     d = d.withColumn("_block", F.concat(own, B.payload(r["block"], r["payload_offset"]))).withColumn("_cut", F.octet_length(own).cast("int"))
     length = open_.cast("long") + H.get_int64(r["headers"], "Content-Length") - r["payload_offset"]
     cut = H.get(r["headers"], "WARC-Truncated")
     digest = H.get(r["headers"], "WARC-Block-Digest") if keep_block_digest else D.digest_field("_block", options.default_algorithm, options.default_encoding)
-    steps: list[Callable[[Column], Column]] = [
-        lambda h: H.delete(h, "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Profile"),
-        lambda h: H.set_(h, "WARC-Type", r["record_type"]),
-        lambda h: F.when(cut.isNotNull(), H.set_(h, "WARC-Truncated", cut)).otherwise(H.delete(h, "WARC-Truncated")),
-        lambda h: H.set_(h, "Content-Length", length.cast("string")),
-        lambda h: F.when(digest.isNotNull(), H.set_(h, "WARC-Block-Digest", digest)).otherwise(H.delete(h, "WARC-Block-Digest")),
-    ]
-    h = F.col("headers")
-    for step in steps:
-        h = let(h, step)
-    d = d.withColumn("_h", h)
+    gone = ["WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Profile"]
+    changes = [("WARC-Type", r["record_type"]), ("WARC-Truncated", cut), ("Content-Length", length.cast("string")), ("WARC-Block-Digest", digest)]
+    # a field without a value of its own goes
+    d = d.withColumn("_h", F.when(F.col("_do"), H.set_many(H.delete("headers", *gone), changes, keep_missing=False)).otherwise(F.col("headers")))
     new = {"headers": F.col("_h"), "block": F.col("_block"), "record_type": r["record_type"], "record_type_code": H.type_code(r["record_type"]), "block_kind": r["block_kind"], "content_length": length, "block_size": F.octet_length("_block").cast("long"), "payload_offset": F.col("_cut"), "block_digest": digest}
     if "http" in cols:
         new["http"] = B.http_struct("_block", F.col("_cut"), F.lit(False)).cast(revisits.schema["http"].dataType)

@@ -27,9 +27,6 @@ def _some(*items: Column) -> Column:
     return F.filter(F.array(*[i.cast(FINDING) for i in items]), lambda x: x.isNotNull())
 
 
-#: A scheme and something after it, without blanks or control characters. The standard's URL parser is laxer on
-#: hosts and stricter on ports; this is what an expression can tell.
-URI = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>]+$"
 #: Decimal, 0x, 0o, 0b and old-style octal, underscores between digits.
 LONG = r"^[+-]?(0[xX](_?[0-9A-Fa-f])+|0[bB](_?[01])+|0[oO]?(_?[0-7])*|[1-9](_?[0-9])*)$"
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
@@ -46,25 +43,75 @@ IPV6 = "^(?:" + "|".join(
 ) + ")$"
 
 
+def _at_most(most: int) -> str:
+    """Pattern of the decimal numbers up to `most`, without leading zeros."""
+    digits, out = str(most), ["0"]
+    if len(digits) > 1:
+        out.append(f"[1-9][0-9]{{0,{len(digits) - 2}}}")
+    for k, d in enumerate(digits):
+        low = "1" if k == 0 else "0"
+        if d > low:
+            out.append(f"{digits[:k]}[{low}-{int(d) - 1}][0-9]{{{len(digits) - 1 - k}}}")
+    return f"(?:{'|'.join([*out, digits])})"
+
+
+def _v4_part(octal: str, size: int) -> str:
+    """A part of an IPv4 address that has `size` bytes: hexadecimal, octal after 0, or decimal."""
+    return f"(?:0[xX]0*[0-9A-Fa-f]{{0,{2 * size}}}|0+{octal}|{_at_most(256**size - 1)})"
+
+
+def _url() -> str:
+    """What the URL Standard's parser takes, without blanks at the ends, tabs and line ends."""
+    byte, two, three, four = (_v4_part(o, k) for k, o in enumerate(("(?:[0-3]?[0-7]{1,2})?", "(?:1?[0-7]{1,5})?", "(?:[0-7]{1,8})?", "(?:[0-3]?[0-7]{1,10})?"), 1))
+    v4 = rf"(?:{byte}\.{byte}\.{byte}\.{byte}|{byte}\.{byte}\.{two}|{byte}\.{three}|{four})\.?"
+    v6 = rf"\[{IPV6[1:-1]}\]"
+    # no control character, blank or delimiter, as it stands or after a percent sign
+    letter = r"(?:[^\x00-\x20\x22#%/:<>?@\[\\\]^`{|}\x7F]|%(?!(?i:[01][0-9A-F]|20|22|23|25|2F|3A|3C|3E|3F|40|5B|5C|5D|5E|60|7B|7C|7D|7F))[0-9A-Fa-f]{2})"
+    numeric = r"(?:[^/\\?#:@]*\.)?(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?(?:[:/\\?#]|\z)"
+    domain = rf"(?:{v6}|(?!{numeric}){letter}+|{v4})"
+    opaque = rf"(?:{v6}|[^\x00\t\n\r #/:<>?@\[\\\]^|]+)"
+    port = f"(?::(?:0*{_at_most(65535)})?)?"
+    special, scheme = "(?i:https?|wss?|ftp)", r"[A-Za-z][A-Za-z0-9+.\-]*"
+    hosted = rf"{special}:[/\\]*(?:[^/\\?#]*@)?{domain}{port}(?:[/\\?#].*)?"
+    file = rf"(?i:file):(?:[/\\]{{2}}(?:[A-Za-z][:|]|{domain})?(?:[/\\?#].*)?|(?![/\\]{{2}}).*)"
+    other = rf"(?!(?:{special}|(?i:file)):){scheme}:(?://(?:(?:[^/?#]*@)?{opaque}{port})?(?:[/?#].*)?|(?!//).*)"
+    return rf"(?s)\A(?:{hosted}|{file}|{other})\z"
+
+
+URL = _url()
+
+
 def is_ip(value: Column) -> Column:
     return value.rlike(IPV4) | value.rlike(IPV6)
 
 
 def is_uri(value: Column) -> Column:
-    return value.rlike(URI)
+    """Whether the URL Standard's parser accepts the value as an absolute URL. Blanks at either end, tabs and line
+    ends are dropped, other odd characters in paths are allowed; of a domain's letters only the ASCII ones are looked at."""
+    return F.regexp_replace(value, r"\A[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "").rlike(URL)
+
+
+def is_bracketed(value: Column) -> Column:
+    """One angle bracket at either end, as WARC ids have."""
+    return F.length(value) == F.length(H.bare_id(value)) + 2
 
 
 def is_id(value: Column) -> Column:
-    return value.rlike(r"^<[^<>].*[^<>]>$") & is_uri(H.bare_id(value))
+    return is_bracketed(value) & is_uri(H.bare_id(value))
 
 
 def is_int(value: Column) -> Column:
     return value.rlike(r"^[+-]?[0-9]+$") & value.try_cast("long").isNotNull()
 
 
+#: Numbers of 64 bits without underscores, in bases 16, 8 and 2: those below 2**63, and -2**63.
+_FITS = r"^[+-]?0(?:[xX]0*(?:[0-9A-Fa-f]{0,15}|[0-7][0-9A-Fa-f]{15})|[oO]?0*[0-7]{0,21}|[bB]0*[01]{0,63})$|^-0(?:[xX]0*80{15}|[oO]?0*10{21}|[bB]0*10{63})$"
+
+
 def is_long(value: Column) -> Column:
-    plain = value.rlike(r"^[+-]?[0-9]+$")
-    return value.rlike(LONG) & (~plain | value.try_cast("long").isNotNull())
+    """A whole number of 64 bits in any of the notations of LONG."""
+    bare = F.translate(value, "_", "")
+    return value.rlike(LONG) & (bare.rlike(_FITS) | (bare.rlike("^[+-]?[1-9]") & bare.try_cast("long").isNotNull()))
 
 
 def is_time(value: Column) -> Column:
@@ -76,8 +123,8 @@ def resolve_type(headers: Column | str, options: WarcOptions) -> tuple[Column, C
     value = F.coalesce(H.get(headers, "WARC-Type"), F.lit(""))
 
     def found(v: Column) -> Column:
-        missing = F.when(v == "", finding("spec", "missing required field WARC-Type", kind="missing", field="WARC-Type"))
-        unknown = F.when(H.type_code(v) == 0, finding("type", F.concat(F.lit("unrecognized value '"), v, F.lit("' in field WARC-Type")), kind="unknown_type", field="WARC-Type"))
+        missing = F.when(v == "", finding("spec", "no record type is given", kind="missing", field="WARC-Type"))
+        unknown = F.when(H.type_code(v) == 0, finding("type", F.concat(F.lit("no record type is called '"), v, F.lit("'")), kind="unknown_type", field="WARC-Type"))
         return _some(missing, unknown)
 
     return H.type_code(value), let(value, found)
@@ -93,18 +140,18 @@ def field_problem(name: Column, value: Column, code: Column, version_bit: Column
     def bad(kind: Column) -> Column:
         return _bad_value(kind, value)
 
-    return F.when(active, F.when(illegal, F.concat(F.lit("illegal field '"), name, F.lit("' in record type '"), H.type_name(code), F.lit("'"))).otherwise(let(lookup(checks, low), bad)))
+    return F.when(active, F.when(illegal, F.concat(F.lit("records of type "), H.type_name(code), F.lit(" don't have a field "), name)).otherwise(let(lookup(checks, low), bad)))
 
 
 def _bad_value(kind: Column, value: Column) -> Column:
     return (
-        F.when((kind == "uri") & ~is_uri(value), F.lit("illegal uri"))
-        .when((kind == "ip") & ~is_ip(value), F.concat(F.lit("illegal ip address: "), value))
-        .when((kind == "time") & ~is_time(value), F.lit("illegal time"))
-        .when((kind == "id") & ~value.rlike(r"^<[^<>].*[^<>]>$"), F.lit("WARC id should be encapsulated by <>"))
-        .when((kind == "id") & ~is_id(value), F.lit("illegal uri"))
-        .when((kind == "int") & ~is_int(value), F.lit("illegal int"))
-        .when((kind == "long") & ~is_long(value), F.lit("illegal int"))
+        F.when((kind == "uri") & ~is_uri(value), F.lit("the value is no URL"))
+        .when((kind == "ip") & ~is_ip(value), F.concat(F.lit("the value is no IP address: "), value))
+        .when((kind == "time") & ~is_time(value), F.lit("the value is no RFC 3339 time"))
+        .when((kind == "id") & ~is_bracketed(value), F.lit("the id doesn't stand in angle brackets"))
+        .when((kind == "id") & ~is_id(value), F.lit("the id is no URL"))
+        .when((kind == "int") & ~is_int(value), F.lit("the value is no whole number"))
+        .when((kind == "long") & ~is_long(value), F.lit("the value is no whole number of 64 bits"))
     )
 
 
@@ -121,13 +168,13 @@ def _header_findings(h: Column, code: Column, bit: Column) -> Column:
     def of(x: Column) -> Column:
         again = F.lower(x["name"]).isin(once) & (F.size(F.filter(names, lambda n: n == F.lower(x["name"]))) > 1)
         problem = let(field_problem(x["name"], x["value"], code, bit), lambda p: F.when(p.isNotNull(), finding("spec", p, kind="field", field=x["name"])))
-        return F.array(problem.cast(FINDING), F.when(again, finding("spec", "field occurs more than once", kind="repeated", field=x["name"])).cast(FINDING))
+        return F.array(problem.cast(FINDING), F.when(again, finding("spec", "the field may stand only once", kind="repeated", field=x["name"])).cast(FINDING))
 
     each = F.filter(F.flatten(F.transform(h, of)), lambda x: x.isNotNull())
-    required = [F.when(~H.has(h, n), finding("spec", f"missing required field: {n}", kind="missing", field=n)) for n in REQUIRED]
+    required = [F.when(~H.has(h, n), finding("spec", f"every record needs a field {n}", kind="missing", field=n)) for n in REQUIRED]
     length = F.coalesce(H.get_int64(h, "Content-Length"), F.lit(0))
-    untyped = F.when((code != 128) & (length > 0) & ~H.has(h, "Content-Type"), finding("spec", "missing required field: Content-Type", kind="missing", field="Content-Type"))
-    concurrent = F.when((code.bitwiseAND(1 | 64 | 128) != 0) & H.has(h, "WARC-Concurrent-To"), finding("spec", "not allowed for record type: WARC-Concurrent-To", kind="field", field="WARC-Concurrent-To"))
+    untyped = F.when((code != 128) & (length > 0) & ~H.has(h, "Content-Type"), finding("spec", "a block that isn't empty needs a Content-Type", kind="missing", field="Content-Type"))
+    concurrent = F.when((code.bitwiseAND(1 | 64 | 128) != 0) & H.has(h, "WARC-Concurrent-To"), finding("spec", "records of this type have no concurrent ones", kind="field", field="WARC-Concurrent-To"))
     return F.concat(each, _some(*required, untyped, concurrent))
 
 
@@ -137,6 +184,28 @@ def blanked(headers: Column | str, code: Column, version_minor: Column, version_
     return F.transform(H._c(headers), lambda x: F.struct(x["name"].alias("name"), F.when(field_problem(x["name"], x["value"], code, bit).isNotNull(), F.lit("")).otherwise(x["value"]).alias("value")))
 
 
+def line_findings(text: Column) -> Column:
+    """What is wrong with the lines of a warc-fields block, each with its number, up to the empty line that ends it."""
+
+    def of(lines: Column) -> Column:
+        ends = F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", "")) == ""), F.lit(True)), F.lit(0)), F.size(lines) + 1)
+        last = F.size(lines)
+
+        def say(i: Column, msg: str) -> Column:
+            f = finding("block", msg, kind="warc_fields")
+            return f.withField("line", (i + 1).cast("int"))
+
+        def each(x: Column, i: Column) -> Column:
+            cr = F.when((i + 1 < last) & ~x.endswith("\r"), say(i, "the line doesn't end in a carriage return"))
+            feed = F.when((i + 1 == last) & (x != ""), say(i, "the last line doesn't end"))
+            colon = F.when(~x.rlike(r"^[ \t]") & ~x.contains(":"), say(i, "the line has no colon"))
+            return F.when(i + 1 < ends, F.filter(F.array(cr.cast(FINDING), feed.cast(FINDING), colon.cast(FINDING)), lambda f: f.isNotNull())).otherwise(F.array().cast(FINDINGS))
+
+        return F.flatten(F.transform(lines, each))
+
+    return let(F.split(text, "\n"), of)
+
+
 def _digest_step(headers: Column, field: str, what: str, data: Column, where: Column, options: WarcOptions) -> Column:
     """STRUCT<headers, finding, unsupported> after looking at one digest field; headers is used once only, so
     that steps in a row stay small however the optimizer puts them together."""
@@ -147,13 +216,15 @@ def _digest_step(headers: Column, field: str, what: str, data: Column, where: Co
         return F.struct(h.alias("h"), let(given, lambda g: F.when(g != "", D.parse_field(g, options.default_encoding)).otherwise(default)).alias("p"))
 
     def done(s: Column) -> Column:
-        return F.struct(s["h"].alias("h"), s["p"].alias("p"), D.compute(data, s["p"]["algorithm"], s["p"]["encoding"]).alias("right"))
+        # nothing is hashed where the header says nothing and nothing is added
+        asked = F.lit(True) if options.add_missing_digest else s["p"]["value"] != ""
+        return F.struct(s["h"].alias("h"), s["p"].alias("p"), F.when(asked, D.compute(data, s["p"]["algorithm"], s["p"]["encoding"])).alias("right"))
 
     def judged(s: Column) -> Column:
         p, right = s["p"], s["right"]
         bad = where & p["algorithm"].isNotNull() & (p["value"] != "") & ~D.same_value(right, p["value"])
         full, was = D.format_field(p["algorithm"], right), D.format_field(p["algorithm"], p["value"])
-        msg = F.concat(F.lit(f"{what}: wrong digest: expected "), was, F.lit(", computed: "), full)
+        msg = F.concat(F.lit(f"the digest of the {what} is "), full, F.lit(", the header says "), was)
         change = F.lit(False)
         if options.spec == WARN and options.fix_digest:
             change = change | bad
@@ -168,26 +239,29 @@ def _digest_step(headers: Column, field: str, what: str, data: Column, where: Co
 def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "validation") -> DataFrame:
     """Checks and repairs length and digests of records with headers, block, payload, block_kind, record_type_code.
 
-    Appends to the array column `findings`. Unsupported algorithms leave an error under any policy.
+    Appends to the array column `findings`. Unsupported algorithms leave an error under any policy. Blocks that were
+    cut are not what the header speaks of, so nothing is checked, repaired or added there.
     """
     with_error = "error" in df.columns
-    size = F.octet_length("block").cast("long")
+    whole = ~F.coalesce(F.col("block_truncated"), F.lit(False)) if "block_truncated" in df.columns else F.lit(True)
+    df = df.withColumn("_sound", F.when(whole, F.col("block")))
+    size = F.octet_length("_sound").cast("long")
     if options.spec != IGNORE:
         said = H.get("headers", "Content-Length")
-        found = let(said, lambda v: F.when(v.isNotNull() & F.col("block").isNotNull() & (v != size.cast("string")), finding("spec", F.concat(F.lit("content length mismatch: header "), F.coalesce(H.as_int(v, "long"), F.lit(0)).cast("string"), F.lit(", actual "), size.cast("string")), kind="content_length", field="Content-Length", expected=v, actual=size)))
+        found = let(said, lambda v: F.when(v.isNotNull() & F.col("_sound").isNotNull() & (v != size.cast("string")), finding("spec", F.concat(F.lit("the block has "), size.cast("string"), F.lit(" bytes, the header says "), v), kind="content_length", field="Content-Length", expected=v, actual=size)))
         df = df.withColumn(findings, F.concat(findings, _some(found)))
         if options.spec == WARN and options.fix_content_length:
-            df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(F.col("block").isNotNull() & (H.get(h, "Content-Length") != size.cast("string")), H.set_(h, "Content-Length", size.cast("string"))).otherwise(h)))
+            df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(F.col("_sound").isNotNull() & (H.get(h, "Content-Length") != size.cast("string")), H.set_(h, "Content-Length", size.cast("string"))).otherwise(h)))
     about = F.struct(F.col("record_type_code").alias("code"), F.col("block_kind").alias("kind"), H.has("headers", "WARC-Segment-Number").alias("part"))
     has_payload = let(about, lambda a: F.coalesce((a["code"] != 32) & ~a["part"] & (a["kind"].isin("http_request", "http_response") | ((a["code"] == 4) & (a["kind"] == "generic"))), F.lit(False)))
-    for what, field, data, where in (("block", "WARC-Block-Digest", F.col("block"), F.lit(True)), ("payload", "WARC-Payload-Digest", F.col("payload"), has_payload)):
+    for what, field, data, where in (("block", "WARC-Block-Digest", F.col("_sound"), whole), ("payload", "WARC-Payload-Digest", F.when(whole, F.col("payload")), has_payload & whole)):
         df = df.withColumn("_step", _digest_step(F.col("headers"), field, what, data, where, options))
         more = {"headers": F.col("_step.headers"), findings: F.concat(findings, _some(F.col("_step.finding")))}
         if with_error:
-            wrong = F.struct(F.lit("digest").alias("kind"), F.concat(F.lit("unsupported digest algorithm '"), F.split_part(H.get("headers", field), F.lit(":"), F.lit(1)), F.lit("'")).alias("msg"))
+            wrong = F.struct(F.lit("digest").alias("kind"), F.concat(F.lit("no digest can be computed by "), F.split_part(H.get("headers", field), F.lit(":"), F.lit(1))).alias("msg"))
             more["error"] = F.coalesce("error", F.when(F.col("_step.unsupported"), wrong))
         df = df.withColumns(more)
-    return df.drop("_step")
+    return df.drop("_step", "_sound")
 
 
 def apply_policies(df: DataFrame, options: WarcOptions, *, findings: str = "validation") -> DataFrame:

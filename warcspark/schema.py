@@ -26,39 +26,44 @@ IDENTICAL_PROFILES = (PROFILE_IDENTICAL_1_0, PROFILE_IDENTICAL_1_1)
 PROFILES = (*IDENTICAL_PROFILES, PROFILE_NOT_MODIFIED_1_0, PROFILE_NOT_MODIFIED_1_1)
 
 
-def _mask(letters: str) -> int:
-    """Bit mask of record types by letter: I warcinfo, R response, S resource, Q request, M metadata,
-    V revisit, C conversion, N continuation."""
-    return sum(1 << "IRSQMVCN".index(c) for c in letters)
+def _in(*types: str) -> int:
+    """Bit mask of record types."""
+    return sum(RECORD_TYPES[t] for t in types)
 
 
-#: Fixed values, from the WARC standard: field, value check, allowed record types, versions (1: 1.0, 2: 1.1, 0: never
-#: checked). Only WARC-Concurrent-To and unknown fields may repeat.
+def _but(*types: str) -> int:
+    return ALL_TYPES - _in(*types)
+
+
+_CAPTURES = ("response", "resource", "request", "metadata", "revisit")
+
+#: Field, value check, allowed record types, versions (1: 1.0, 2: 1.1, 0: never checked). They are those of the
+#: WARC standard, but for the last three, which crawlers use. Only WARC-Concurrent-To and unknown fields may repeat.
 FIELD_RULES = {
     "Content-Length": ("long", ALL_TYPES, 3),
     "Content-Type": ("", ALL_TYPES, 3),
     "WARC-Block-Digest": ("", ALL_TYPES, 3),
-    "WARC-Concurrent-To": ("id", _mask("RSQMV"), 3),
+    "WARC-Concurrent-To": ("id", _in(*_CAPTURES), 3),
     "WARC-Date": ("time", ALL_TYPES, 3),
-    "WARC-Filename": ("", _mask("I"), 3),
-    "WARC-IP-Address": ("ip", _mask("RSQMV"), 3),
+    "WARC-Filename": ("", _in("warcinfo"), 3),
+    "WARC-IP-Address": ("ip", _in(*_CAPTURES), 3),
     "WARC-Identified-Payload-Type": ("", ALL_TYPES, 3),
     "WARC-Payload-Digest": ("", ALL_TYPES, 3),
-    "WARC-Profile": ("uri", _mask("V"), 3),
+    "WARC-Profile": ("uri", _in("revisit"), 3),
     "WARC-Record-ID": ("id", ALL_TYPES, 3),
-    "WARC-Refers-To": ("id", _mask("MVC"), 3),
-    "WARC-Refers-To-Date": ("time", _mask("V"), 2),
-    "WARC-Refers-To-Target-URI": ("uri", _mask("V"), 2),
+    "WARC-Refers-To": ("id", _in("metadata", "revisit", "conversion"), 3),
+    "WARC-Refers-To-Date": ("time", _in("revisit"), 2),
+    "WARC-Refers-To-Target-URI": ("uri", _in("revisit"), 2),
     "WARC-Segment-Number": ("int", ALL_TYPES, 3),
-    "WARC-Segment-Origin-ID": ("id", _mask("N"), 3),
-    "WARC-Segment-Total-Length": ("long", _mask("N"), 3),
+    "WARC-Segment-Origin-ID": ("id", _in("continuation"), 3),
+    "WARC-Segment-Total-Length": ("long", _in("continuation"), 3),
     "WARC-Target-URI": ("uri", ALL_TYPES, 3),
     "WARC-Truncated": ("", ALL_TYPES, 3),
     "WARC-Type": ("", ALL_TYPES, 3),
-    "WARC-Warcinfo-ID": ("id", ALL_TYPES - _mask("I"), 3),
-    "WARC-Page-ID": ("", ALL_TYPES - _mask("I"), 0),
-    "WARC-Resource-Type": ("", ALL_TYPES - _mask("I"), 0),
-    "WARC-JSON-Metadata": ("", ALL_TYPES - _mask("I"), 0),
+    "WARC-Warcinfo-ID": ("id", _but("warcinfo"), 3),
+    "WARC-Page-ID": ("", _but("warcinfo"), 0),
+    "WARC-Resource-Type": ("", _but("warcinfo"), 0),
+    "WARC-JSON-Metadata": ("", _but("warcinfo"), 0),
 }
 REPEATABLE = ("WARC-Concurrent-To",)
 REQUIRED = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")

@@ -101,7 +101,7 @@ class Member(Bytes):
         while not self._z.eof:
             piece = self._outer.peek(1 << 16)
             if not piece:
-                raise Corrupt("unexpected end of compressed data")
+                raise Corrupt("the compressed data ends early")
             try:
                 out = self._z.decompress(piece)
             except zlib.error as e:
@@ -159,18 +159,18 @@ def parse_fields(src: Bytes, found: Findings, line: int = 0) -> list[dict[str, s
         line += 1
         whole = raw.endswith(b"\n")
         if ends and whole and not raw.endswith(b"\r\n"):
-            found.say("syntax", "missing carriage return", line)
+            found.say("syntax", "the line doesn't end in a carriage return", line)
         return raw.strip(_BLANK), whole
 
     def keep(logical: bytes) -> None:
         try:
             text = _decoded(logical)
         except (HeaderParseError, LookupError, ValueError):
-            found.say("syntax", "error decoding line", line)
+            found.say("syntax", "encoded words in the line can't be read", line)
             return
         name, colon, value = text.partition(":")
         if not colon:
-            found.say("syntax", f"could not parse header line. Missing ':' in {text}", line)
+            found.say("syntax", f"the line has no colon: {text}", line)
             return
         headers.append({"name": normalize_constant(name.strip(" \t\r\n")), "value": value.strip(" \t\r\n")})
 
@@ -178,7 +178,7 @@ def parse_fields(src: Bytes, found: Findings, line: int = 0) -> list[dict[str, s
         logical, whole = next_line()
         if not whole:
             if logical:
-                found.say("syntax", "missing newline", line)
+                found.say("syntax", "the last line doesn't end", line)
                 keep(logical)
             return headers
         if not logical:
@@ -187,14 +187,14 @@ def parse_fields(src: Bytes, found: Findings, line: int = 0) -> list[dict[str, s
             more, whole = next_line()
             logical += b" " + more
             if not whole:
-                found.say("syntax", "unexpected end of headers in continuation", line)
+                found.say("syntax", "the header ends in a folded line", line)
                 keep(logical)
                 return headers
         keep(logical)
         if src.peek(1) in (b"\r", b"\n"):
             mark, whole = next_line(ends=False)
             if mark or not whole:
-                found.say("syntax", "missing End of WARC-Fields marker")
+                found.say("syntax", "no empty line ends the fields")
             return headers
 
 
@@ -203,15 +203,15 @@ def _end_mark(src: Bytes, found: Findings) -> None:
     if mark == _END:
         src.take(4)
         return
-    shown = f"Expected {_END.decode()!r}, was {mark.decode('iso-8859-1')!r}"
+    shown = f"{mark.decode('iso-8859-1')!r} in place of {_END.decode()!r}"
     if mark in (b"\n", b"\n\n"):
         src.take(len(mark))
-        found.say("spec", f"missing carriage return in end of record marker. {shown}")
+        found.say("spec", f"line feeds alone end the record: {shown}")
     elif len(mark) < 4:
         src.take(len(mark))
-        found.say("spec", f"too few bytes in end of record marker. {shown}")
+        found.say("spec", f"the end mark is too short: {shown}")
     else:  # the bytes stay, as garbage before the next record
-        found.say("spec", f"unexpected bytes in place of the end of record marker. {shown}")
+        found.say("spec", f"something else stands for the end mark: {shown}")
 
 
 def _number(headers: list[dict[str, str]], name: str) -> int:
@@ -232,28 +232,28 @@ def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str |
                 return
             if head[:2] != _GZIP and head != _WARC:
                 if options.syntax == FAIL:
-                    raise Failed("syntax", "expected start of record")
+                    raise Failed("syntax", "no record starts here")
                 skipped = src.find_start()
                 row["skipped_bytes"], row["record_offset"] = skipped, offset + src.taken
                 start = src.taken
                 if len(head := src.peek(5)) < 5:
-                    raise Failed("no_record", f"no record found: scanned {skipped} bytes without finding a record start")
-                found_at = f"record was found {skipped} bytes after expected offset"
+                    raise Failed("no_record", f"no record starts in the last {skipped} bytes")
+                found_at = f"{skipped} bytes stand before the record"
                 before.say("syntax", found_at)
             row["is_gzip"] = head[:2] == _GZIP
             inner = Member(src) if row["is_gzip"] else src
             first = inner.line()
             if not first.startswith(_WARC):
-                raise Failed("syntax", "missing record version")
+                raise Failed("syntax", "no version line starts the record")
             if not first.endswith(b"\n"):
-                raise Failed("syntax", "unexpected end of data in the version line")
+                raise Failed("syntax", "the data ends in the version line")
             version = first[5:].strip().decode("iso-8859-1")
             known = next((v for v in ("1.0", "1.1") if version.startswith(v)), None)
             row |= {"version": known or version, "version_major": 1 if known else 0, "version_minor": int(known[2]) if known else 0}
             if not known:
-                before.say("spec", f"unsupported WARC version: {version}")
+                before.say("spec", f"records of version {version} are not known")
             if not first.endswith(b"\r\n"):
-                before.say("syntax", f"missing carriage return on line {first.strip().decode('iso-8859-1')!r}", 1)
+                before.say("syntax", f"the version line {first.strip().decode('iso-8859-1')!r} doesn't end in a carriage return", 1)
             row["headers"] = parse_fields(inner, before, 1)
             length = _number(row["headers"], "Content-Length")
             held = min(length, options.max_block_bytes) if with_block else 0
