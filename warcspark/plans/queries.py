@@ -22,9 +22,10 @@ from ..operators import validate as V
 from ..operators.build import build_records, http_response, marshal
 from ..options import WarcOptions
 from ..sources import sink as K
-from ..sources.datasource import load
+from ..sources.datasource import WarcDataSource, load
+from ..sources.udtf import register
 from ..storage import scratch
-from ..streaming import windowed_counts
+from ..streaming import first_captures, sessions, windowed_counts
 
 STATUS = ("200 OK", "301 Moved Permanently", "404 Not Found", "500 Internal Server Error")
 
@@ -66,8 +67,12 @@ def _headers(**more: Column) -> dict[str, Column]:
     }
 
 
+def captures_of(pages: DataFrame, options: WarcOptions | None = None, **more: Column) -> DataFrame:
+    return build_records(pages, "response", _body(), _headers(**more), options, keep=("page_id",))
+
+
 def captures(spark: SparkSession, sf: str, options: WarcOptions | None = None, **more: Column) -> DataFrame:
-    return build_records(_t(spark, sf, "pages"), "response", _body(), _headers(**more), options, keep=("page_id",))
+    return captures_of(_t(spark, sf, "pages"), options, **more)
 
 
 def _archive(spark: SparkSession, sf: str, *, gz: bool = True) -> DataFrame:
@@ -339,7 +344,7 @@ def q39_as_of_capture(spark: SparkSession, sf: str) -> DataFrame:
     """For each event, the latest page at that time whose id shares the event's remainder by 10."""
     e = _t(spark, sf, "events").select("event_id", (F.col("event_id") % 10).alias("k"), F.col("ts").cast("timestamp_ntz").alias("ts"))
     p = _t(spark, sf, "pages").select("page_id", (F.col("page_id") % 10).alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(page_id as int))").alias("at"))
-    return A.as_of(e, p, by="k", left_time="ts", right_time="at", value="page_id", out="page_id").select("event_id", "page_id")
+    return A.as_of(e, p, by="k", left_time="ts", right_time="at", value="page_id", out="page_id", bucket=lambda t: F.date_trunc("day", t)).select("event_id", "page_id")
 
 
 def q40_host_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,6 +411,292 @@ def q48_headers_only(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "record_type", "content_length", _utc(F.col("warc_date")).alias("warc_date"), "target_uri")
 
 
+def _in_order(spark: SparkSession, sf: str, name: str) -> tuple[str, DataFrame]:
+    """A folder with all captures in one plain file, by page_id, and its manifest."""
+    folder = scratch(spark, name)
+    o = K.WriterOptions(max_file_size=0, compress=False, host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC))
+    return folder, K.write_archives(captures(spark, sf), folder, o, writers=1, order=("page_id",))
+
+
+def _page() -> Column:
+    return F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id")
+
+
+def q49_start_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading from the place of the third record on."""
+    folder, manifest = _in_order(spark, sf, "from-offset")
+    third = manifest.orderBy("file_offset").limit(3).agg(F.max("file_offset")).first()[0]
+    return load(spark, folder, offset=str(third)).select(_page(), "record_type", "content_length")
+
+
+def q50_first_record(spark: SparkSession, sf: str) -> DataFrame:
+    """One record of each row, whatever follows it."""
+    d = _archive(spark, sf, gz=False).select(F.concat("bytes", "bytes", F.lit(b"garbage")).alias("bytes"))
+    return P.parse_record(d, "bytes").select(_page(), "record_offset", (F.col("record_size") == F.col("block_size") + F.octet_length(marshal(block=F.lit(b"")))).alias("size_ok"), F.size("validation").alias("findings"))
+
+
+def q51_groups_stay_together(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of a conversation are written by one writer, next to each other in their order."""
+    c = _t(spark, sf, "conversations")
+    h = {"WARC-Record-ID": F.concat(F.lit("<urn:c:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit(">")), "WARC-Date": F.lit("2024-01-01T00:00:00Z"), "Content-Type": F.lit("text/plain")}
+    o = K.WriterOptions(max_file_size=0, host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC))
+    m = K.write_archives(build_records(c, "resource", "text", h, keep=("conv_id", "turn")), scratch(spark, "groups"), o, writers=4, group="conv_id", order=("conv_id", "turn"))
+    parts = F.split("record_id", ":")
+    m = m.select(parts[2].cast("long").alias("conv_id"), parts[3].cast("long").alias("turn"), "file_name", "file_offset")
+    last = F.max(F.struct("file_offset", "turn"))["turn"]
+    return m.groupBy("conv_id").agg(F.countDistinct("file_name").alias("files"), F.count(F.lit(1)).alias("turns"), (last == F.max("turn")).alias("in_order"))
+
+
+def q52_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs into one folder: each starts files of its own, and the manifest holds both."""
+    folder, when = scratch(spark, "rotated"), datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)
+    for prefix in ("a-", "b-"):
+        m = K.write_archives(captures(spark, sf), folder, K.WriterOptions(prefix=prefix, host="example", time=when), writers=1)
+    return m.groupBy("file_name").agg(F.count(F.lit(1)).alias("records"), F.min("file_offset").alias("first"))
+
+
+def q53_add_times(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.timestamp_micros(F.lit(1704067200000000) + F.col("event_id") * 250000)
+    h = H.add_time(H.add_time(H.fields([]), "WARC-Date", t), "X-Fine", t, fraction=True)
+    return _t(spark, sf, "events").select("event_id", H.get(h, "WARC-Date").alias("seconds"), H.get(h, "X-Fine").alias("fraction"))
+
+
+_VERSIONS = ("1.0", "1.1", "0.17", "2.0")
+
+
+def q54_versions(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("WARC/"), _by(F.col("page_id"), *_VERSIONS), F.lit("\r\nWARC-Type: metadata\r\nContent-Length: 0\r\nX-Page: "), F.col("page_id").cast("string"), F.lit("\r\n\r\n\r\n\r\n"))
+    r = P.frame(_t(spark, sf, "pages").select(F.encode(text, "UTF-8").alias("b")), "b", WarcOptions())
+    return r.select(H.get_int64("headers", "X-Page").alias("page_id"), "version", "version_major", "version_minor", F.size("before").alias("findings"))
+
+
+def q55_broken_gzip(spark: SparkSession, sf: str) -> DataFrame:
+    """Members that end early: a fatal error, said once for each archive."""
+    d = _archive(spark, sf).select(F.col("page_id").cast("string").alias("name"), F.expr("substring(bytes, 1, int(octet_length(bytes) / 2))").alias("bytes"))
+    return P.parse_records(d, "bytes", path="name").select(F.col("file_path").cast("long").alias("page_id"), F.col("error.kind").alias("error"), "is_gzip")
+
+
+_PLAIN = {"WARC-Record-ID": "<urn:a:b>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "text/plain"}
+
+
+def _kinds(n: Column) -> Column:
+    return _by(n, "warcinfo", "conversion", "continuation", "metadata")
+
+
+def q56_concurrent_to_illegal(spark: SparkSession, sf: str) -> DataFrame:
+    h = {**_PLAIN, "WARC-Concurrent-To": "<urn:c:d>"}
+    r = build_records(_t(spark, sf, "pages"), _kinds(F.col("page_id")), F.lit(b""), h, keep=("page_id",))
+    return r.select("page_id", "record_type", F.size(F.filter("validation", lambda f: f["field"] == "WARC-Concurrent-To")).alias("findings"))
+
+
+#: Value, whether it is a whole number in base 10, and whether it is one of 64 bits in any notation.
+_NUMBERS = (
+    ("12", 1, 1), ("-7", 1, 1), ("+3", 1, 1), ("", 0, 0), ("1_000", 0, 1), ("0x1F", 0, 1), ("0x7fffffffffffffff", 0, 1), ("0x8000000000000000", 0, 0), ("-0x8000000000000000", 0, 1),
+    ("0b101", 0, 1), ("0o17", 0, 1), ("017", 1, 1), ("09", 1, 0), ("0777777777777777777777", 0, 1), ("01000000000000000000000", 0, 0), ("9223372036854775807", 1, 1), ("9223372036854775808", 0, 0), ("1__0", 0, 0), ("ten", 0, 0), ("1.5", 0, 0),
+)
+
+
+def q57_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "events").select("event_id", _by(F.col("event_id"), *[v for v, _, _ in _NUMBERS]).alias("given"))
+    return d.select("event_id", "given", V.is_int(F.col("given")).alias("is_int"), V.is_long(F.col("given")).alias("is_long"))
+
+
+def q58_blanking(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("page_id")
+    more = {"WARC_IP_Address": F.when(p % 2 == 0, F.lit("1.2.3")).otherwise(F.lit("1.2.3.4")), "WARC_Filename": F.lit("a.warc")}
+    r = captures(spark, sf, WarcOptions(blank_invalid=True), **more)
+    return r.select("page_id", H.get("headers", "WARC-IP-Address").alias("ip"), H.get("headers", "WARC-Filename").alias("file_name"), F.size("validation").alias("findings"))
+
+
+def q59_line_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Header lines that end in a bare line feed, each said with its number."""
+    text = F.concat(F.lit("WARC/1.1\r\nWARC-Type: metadata\n"), F.when(F.col("page_id") % 2 == 0, "X-A: b\n").otherwise("X-A: b\r\n"), F.lit("Content-Length: 0\r\nno colon\r\nX-Page: "), F.col("page_id").cast("string"), F.lit("\r\n\r\n\r\n\r\n"))
+    r = P.frame(_t(spark, sf, "pages").select(F.encode(text, "UTF-8").alias("b")), "b", WarcOptions())
+    return r.select(H.get_int64("headers", "X-Page").alias("page_id"), F.explode("before").alias("f")).select("page_id", F.col("f.category").alias("category"), F.col("f.line").alias("line"))
+
+
+def _info(spark: SparkSession, sf: str, options: WarcOptions) -> DataFrame:
+    lines = F.concat(F.lit("software: x\n"), F.when(F.col("page_id") % 3 == 0, "no colon\r\n").otherwise("format: =?utf-8?Q?caf=C3=A9?=\r\n"), F.lit("last: "), F.col("page_id").cast("string"))
+    h = {"WARC-Record-ID": "<urn:a:b>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}
+    return build_records(_t(spark, sf, "pages"), "warcinfo", F.encode(lines, "UTF-8"), h, options, keep=("page_id",))
+
+
+def q60_fields_block_findings(spark: SparkSession, sf: str) -> DataFrame:
+    r = _info(spark, sf, WarcOptions(block="warn"))
+    return r.select("page_id", F.explode("validation").alias("f")).select("page_id", F.col("f.kind").alias("kind"), F.col("f.line").alias("line"))
+
+
+def q61_fix_fields_block(spark: SparkSession, sf: str) -> DataFrame:
+    r = _info(spark, sf, WarcOptions(fix_warc_fields=True, fix_content_length=True))
+    return r.select("page_id", F.decode("block", "UTF-8").alias("text"), (F.col("content_length") == F.col("block_size")).alias("length_ok"))
+
+
+def q62_record_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of records without one: the default is a UUID each, others come from the options."""
+    h = {k: v for k, v in _PLAIN.items() if k != "WARC-Record-ID"}
+    own = WarcOptions(record_id=lambda: F.lit("urn:own:id"))
+    made = [build_records(_t(spark, sf, "pages"), "metadata", F.lit(b""), h, o).select("record_id", F.lit(k).alias("maker")) for k, o in (("default", None), ("own", own))]
+    both = made[0].unionByName(made[1])
+    return both.groupBy("maker").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"), F.count_if(F.col("record_id").rlike("^urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("uuids"))
+
+
+_ALGORITHMS = {"SHA1": "sha1", "sha-1": "sha1", "SHA-256": "sha256", "": "sha256", "md5": "md5", "Sha-512": "sha512", "blake2": None, "sha3": None}
+
+
+def q63_algorithm_names(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "events").select("event_id", _by(F.col("event_id"), *_ALGORITHMS).alias("given"))
+    return d.select("event_id", "given", D.parse_field("given")["algorithm"].alias("algorithm"), D.recommended_encoding(D.normalize_algorithm("given")).alias("encoding"))
+
+
+def q64_merge_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Revisits of a record that is there once, twice and never: a row for each, whatever happens."""
+    p = F.col("page_id")
+    full = captures(spark, sf)
+    twice = full.unionByName(full.where(p % 3 == 1)).where(p % 3 != 2).drop("page_id")
+    h = {"WARC-Record-ID": "<urn:r:1>", "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Refers-To": F.concat(F.lit("<urn:page:"), p.cast("string"), F.lit(">")), "Content-Type": "application/http", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    r = build_records(_t(spark, sf, "pages"), "revisit", F.encode(F.lit("HTTP/1.1 200 OK\r\nA: b\r\n\r\n"), "UTF-8"), h, keep=("page_id",))
+    m = R.merge(r, twice)
+    return m.select("page_id", "record_type", F.col("error.kind").alias("error"), (F.col("block_size") - F.col("payload_offset")).alias("payload_bytes"))
+
+
+def q65_policies(spark: SparkSession, sf: str) -> DataFrame:
+    """One fault under each policy: findings and errors."""
+    out = None
+    for name, o in (("ignore", WarcOptions(spec="ignore")), ("warn", WarcOptions()), ("fail", WarcOptions(spec="fail")), ("strict", WarcOptions.strict()), ("none", WarcOptions.no_validation())):
+        r = captures(spark, sf, o, WARC_IP_Address=F.when(F.col("page_id") % 2 == 0, F.lit("nowhere")))
+        part = r.select("page_id", F.lit(name).alias("policy"), F.size("validation").alias("findings"), F.col("error.kind").alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q66_archive_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are written, and read by a stream of the data source that runs to its end."""
+    folder, out = scratch(spark, "streamed"), scratch(spark, "stream-out")
+    K.write_archives(captures(spark, sf), folder, K.WriterOptions(host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)), writers=3)
+    spark.dataSource.register(WarcDataSource)
+    stream = spark.readStream.format("warc").load(folder).select(H.get_id("headers", "WARC-Record-ID").alias("record_id"), F.octet_length("block").cast("long").alias("block_bytes"))
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("record_id string, block_bytes long").parquet(f"{out}/rows").select(_page(), "block_bytes")
+
+
+def _to_end(stream: DataFrame, out: str, schema: str, mode: str = "append") -> DataFrame:
+    """What a stream gives until its source is used up; later rows of a key replace earlier ones in mode update."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(f"{out}/rows/part={number}")
+
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows/*")
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def q67_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of a user's events that are closer than six hours; a session is out once the watermark has passed it."""
+    s = sessions(_events(spark, sf), "ts", "6 hours", ["user_id"], late="0 seconds")
+    return _to_end(s, scratch(spark, "sessions"), "session_start timestamp, session_end timestamp, user_id long, n long").groupBy("user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sessions"))
+
+
+def q68_first_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """One row of each user and type: all events lie within the watermark."""
+    s = first_captures(_events(spark, sf), "ts", ["user_id", "event_type"], late="3650 days").select("user_id", "event_type")
+    return _to_end(s, scratch(spark, "first"), "user_id long, event_type string")
+
+
+def q69_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """SELECT ... LATERAL parse_records(bytes)."""
+    register(spark, "parse_records_q69")
+    _archive(spark, sf).createOrReplaceTempView("archives_q69")
+    return spark.sql("SELECT page_id, p.record_offset, p.is_gzip, p.version, size(p.findings) AS findings, p.headers[0].value AS kind FROM archives_q69, LATERAL parse_records_q69(bytes) p")
+
+
+def q70_custom_writer(spark: SparkSession, sf: str) -> DataFrame:
+    """Own file names, warcinfo fields made from them, and an own form of the records."""
+    folder = scratch(spark, "custom")
+    o = K.WriterOptions(max_file_size=0, name=lambda serial: f"own-{serial:02d}.warc", warcinfo=lambda name: (("filename", name),), time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC))
+
+    def form() -> tuple[Column, Column]:
+        return F.encode(F.concat(F.lit("WARC/"), F.col("version"), F.lit("\r\n"), H.serialize(H.add("headers", "X-Form", "own"))), "UTF-8"), F.col("block")
+
+    K.write_archives(captures(spark, sf), folder, o, writers=2, marshaled=form)
+    r = load(spark, folder)
+    return r.groupBy(F.element_at(F.split("file_path", "/"), -1).alias("file_name")).agg(F.max(F.get("warc_fields", F.lit(0))["value"]).alias("said"), F.count_if(H.has("headers", "X-Form") == (F.col("record_type") == "warcinfo")).alias("odd"), F.sum(F.size("validation")).alias("findings"))
+
+
+def q71_interval_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Events within each page's window of time, in seconds since the year began."""
+    e = _t(spark, sf, "events").select("event_id", (F.unix_timestamp(F.col("ts").cast("timestamp_ntz").cast("string").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("at"))
+    p = _t(spark, sf, "pages").select("page_id", (F.col("page_id") * 7200).alias("begins"), (F.col("page_id") * 7200 + (F.col("page_id") % 3) * 5000).alias("ends"))
+    return A.interval_join(e, p, at="at", start="begins", end="ends", bin=3600).select("event_id", "page_id")
+
+
+def q72_json_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers to JSON and back."""
+    j = _multi(spark, sf).withColumn("json", H.to_json("headers"))
+    return j.select("page_id", F.get_json_object("json", "$.X-Tag[1]").alias("second"), "json", H.serialize(H.from_json("json")).alias("text"))
+
+
+def q73_catalog_table(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of records as a catalog table, asked by SQL. The table is dropped again, its files stay for the result."""
+    name, where = "warc_index_q73", scratch(spark, "catalog")
+    index = captures(spark, sf).select("record_id", "record_type", "target_uri", "content_length")
+    index.write.parquet(where)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} (record_id STRING, record_type STRING, target_uri STRING, content_length BIGINT) USING parquet LOCATION '{where}'")
+    try:
+        return spark.sql(f"SELECT record_type, count(*) AS n, sum(content_length) AS bytes, count(DISTINCT target_uri) AS uris FROM {name} GROUP BY record_type")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+#: Header value and what it says.
+_ENCODED = (("=?utf-8?B?Y2Fmw6k=?=", "café"), ("=?ISO-8859-1?Q?caf=E9_noir?=", "café noir"), ("a =?utf-8?q?b?= =?utf-8?q?c?= d", "a bc d"), ("plain =x=", "plain =x="), ("=?utf-8?Q?x?= y", "x y"))
+
+
+def q74_encoded_words(spark: SparkSession, sf: str) -> DataFrame:
+    """RFC 2047 words in header values, by the parser of bytes and by the expression."""
+    d = _t(spark, sf, "pages").select("page_id", F.concat(F.lit("X-Word: "), _by(F.col("page_id"), *[v for v, _ in _ENCODED]), F.lit("\r\n\r\n")).alias("text"))
+    b = d.select("page_id", F.encode(F.concat(F.lit("WARC/1.1\r\n"), "text"), "UTF-8").alias("bytes"))
+    strict = P.frame(b, "bytes", WarcOptions(), base="page_id", one=True).select(F.col("record_offset").alias("page_id"), H.get("headers", "X-Word").alias("strict"))
+    return d.select("page_id", H.get(H.parse_lenient("text", words=True), "X-Word").alias("lenient")).join(strict, "page_id")
+
+
+#: Value and whether the URL Standard's parser takes it.
+_URLS = (
+    ("http://example.org/a b", 1), ("http://", 0), ("http:///path", 1), ("https://u:p@h.org:8080/?q#f", 1), ("http://h.org:99999/", 0), ("http://h.org:x/", 0), ("http://256.1.1.1/", 0), ("http://0x7f.1/", 1),
+    ("http://[::1]:80/", 1), ("http://[::1/", 0), ("http://a<b/", 0), ("urn:uuid:1-2", 1), ("dns:example.org", 1), ("example.org/x", 0), ("", 0), ("http://ex%41mple.org/", 1), ("http://a%2Fb/", 0), ("http://u@/", 0),
+    ("foo://", 1), ("foo://a b/", 0), ("file:///tmp/x", 1), ("http:\\\\h.org\\x", 1), ("1http://h/", 0), ("  http://h.org/  ", 1), ("http://1.2.3.4.5/", 0), ("http://1.2.3/", 1), ("mailto:a@b", 1), ("ftp://h:21/", 1),
+)
+
+
+def q75_urls(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "events").select("event_id", _by(F.col("event_id"), *[u for u, _ in _URLS]).alias("given"))
+    return d.select("event_id", "given", V.is_uri(F.col("given")).alias("ok"))
+
+
+#: Name and its spelling, known or not.
+_SPELLED = (("warc-TYPE", "WARC-Type"), ("x-foo-BAR", "X-Foo-Bar"), ("foo bar-baz", "foo bar-baz"), ("a--b", "A--B"), ("x_y-z", "X_y-Z"), ("(odd)-name", "(odd)-name"))
+
+
+def q76_names_in_both_parsers(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "pages").select("page_id", F.concat(_by(F.col("page_id"), *[n for n, _ in _SPELLED]), F.lit(": v\r\n\r\n")).alias("text"))
+    b = d.select("page_id", F.encode(F.concat(F.lit("WARC/1.1\r\n"), "text"), "UTF-8").alias("bytes"))
+    strict = P.frame(b, "bytes", WarcOptions(), base="page_id", one=True).select(F.col("record_offset").alias("page_id"), F.get("headers", F.lit(0))["name"].alias("strict"))
+    return d.select("page_id", F.get(H.parse_lenient("text"), F.lit(0))["name"].alias("lenient")).join(strict, "page_id")
+
+
+def q77_index_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A file cut at record starts by an index of its records, read in ranges."""
+    folder, _ = _in_order(spark, sf, "indexed")
+    index = scratch(spark, "index")
+    A.index(load(spark, folder)).write.parquet(index)
+    return load(spark, folder, index=index, rangeBytes="65536").select(_page(), "record_type", "content_length")
+
+
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
 _HTTP = f"(strlen('HTTP/1.1 ') + strlen({_HEAD}) + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4)"
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '')"
@@ -446,7 +737,7 @@ ORACLE_SQL = {
     "q16_date_validation": f"""WITH e AS (SELECT event_id, {_pick('event_id', _quoted(_DATES))} AS given FROM events)
         SELECT event_id, event_id % 6 IN (0, 3, 4) AS ok, CASE event_id % 6 WHEN 0 THEN '2024-02-29 12:00:00' WHEN 3 THEN '2024-01-01 08:00:00' WHEN 4 THEN '2024-01-01 10:00:00' END AS utc FROM e""",
     "q17_id_validation": f"""WITH e AS (SELECT event_id, {_pick('event_id', _quoted(_IDS))} AS given FROM events)
-        SELECT event_id, regexp_matches(given, '^<[^<>]+>$') AND regexp_matches(trim(given, '<>'), '^[A-Za-z][A-Za-z0-9+.-]*:[^ <>]+$') AS ok, trim(given, '<>') AS bare,
+        SELECT event_id, regexp_matches(given, '^<[^<>]+>$') AND regexp_matches(trim(given, '<>'), '^[A-Za-z][A-Za-z0-9+.-]*:[^<>]+$') AS ok, trim(given, '<>') AS bare,
         CASE WHEN starts_with(given, '<') OR ends_with(given, '>') THEN given ELSE '<' || given || '>' END AS bracketed FROM e""",
     "q18_ip_validation": f"SELECT event_id, {_pick('event_id', _quoted(_IPS))} AS given, event_id % 8 IN (0, 3, 4, 6) AS ok FROM events",
     "q19_uri_host": f"SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:[^ <>]+$') AS ok, {_HOST} AS host FROM pages",
@@ -484,6 +775,39 @@ ORACLE_SQL = {
     "q45_bit_mask_filter": "SELECT CASE event_type WHEN 'view' THEN 2 ELSE 32 END AS record_type_code, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1",
     "q46_join_segments": "SELECT page_id, 3 AS segments, md5(html) AS md5 FROM pages",
     "q48_headers_only": f"SELECT page_id, 'response' AS record_type, CAST({_HTTP} + strlen(html) AS BIGINT) AS content_length, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%d %H:%M:%S') AS warc_date, url AS target_uri FROM pages",
+    "q49_start_offset": f"SELECT page_id, 'response' AS record_type, CAST({_HTTP} + strlen(html) AS BIGINT) AS content_length FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS rn FROM pages) WHERE rn > 2",
+    "q50_first_record": "SELECT page_id, CAST(0 AS BIGINT) AS record_offset, true AS size_ok, 0 AS findings FROM pages",
+    "q51_groups_stay_together": "SELECT conv_id, CAST(1 AS BIGINT) AS files, count(*) AS turns, true AS in_order FROM conversations GROUP BY conv_id",
+    "q52_rotation": "SELECT p || '-20010912053020-0001-example.warc.gz' AS file_name, (SELECT count(*) FROM pages) AS records, CAST(0 AS BIGINT) AS first FROM (VALUES ('a'), ('b')) t(p)",
+    "q53_add_times": "SELECT event_id, strftime(TIMESTAMP '2024-01-01' + to_seconds(event_id // 4), '%Y-%m-%dT%H:%M:%SZ') AS seconds, strftime(TIMESTAMP '2024-01-01' + to_seconds(event_id // 4), '%Y-%m-%dT%H:%M:%S') || (CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END) || 'Z' AS fraction FROM events",
+    "q54_versions": f"SELECT page_id, {_pick('page_id', _quoted(_VERSIONS))} AS version, {_pick('page_id', (1, 1, 0, 0))} AS version_major, {_pick('page_id', (0, 1, 0, 0))} AS version_minor, {_pick('page_id', (0, 0, 1, 1))} AS findings FROM pages",
+    "q55_broken_gzip": "SELECT page_id, 'gzip' AS error, true AS is_gzip FROM pages",
+    "q56_concurrent_to_illegal": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'warcinfo' WHEN 1 THEN 'conversion' WHEN 2 THEN 'continuation' ELSE 'metadata' END AS record_type, CASE WHEN page_id % 4 = 3 THEN 0 ELSE 2 END AS findings FROM pages",
+    "q57_numbers": f"SELECT event_id, {_pick('event_id', _quoted(v for v, _, _ in _NUMBERS))} AS given, {_pick('event_id', [b for _, b, _ in _NUMBERS])} = 1 AS is_int, {_pick('event_id', [b for _, _, b in _NUMBERS])} = 1 AS is_long FROM events",
+    "q58_blanking": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE '1.2.3.4' END AS ip, '' AS file_name, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS findings FROM pages",
+    "q59_line_ends": "SELECT page_id, 'syntax' AS category, line FROM pages, (VALUES (2), (3), (5)) t(line) WHERE line <> 3 OR page_id % 2 = 0",
+    "q60_fields_block_findings": "SELECT page_id, 'warc_fields' AS kind, line FROM pages, (VALUES (1), (2), (3)) t(line) WHERE line <> 2 OR page_id % 3 = 0",
+    "q61_fix_fields_block": "SELECT page_id, 'Software: x' || chr(13) || chr(10) || CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Format: café' || chr(13) || chr(10) END || 'Last: ' || page_id || chr(13) || chr(10) AS text, true AS length_ok FROM pages",
+    "q62_record_ids": "SELECT maker, count(*) AS n, CASE maker WHEN 'own' THEN 1 ELSE count(*) END AS ids, CASE maker WHEN 'own' THEN 0 ELSE count(*) END AS uuids FROM pages, (VALUES ('default'), ('own')) t(maker) GROUP BY maker",
+    "q63_algorithm_names": f"SELECT event_id, {_pick('event_id', _quoted(_ALGORITHMS))} AS given, {_pick('event_id', ['NULL' if v is None else repr(v) for v in _ALGORITHMS.values()])} AS algorithm, CASE WHEN event_id % 8 < 2 THEN 'base32' ELSE 'base16' END AS encoding FROM events",
+    "q64_merge_errors": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id % 3 > 0 THEN 'merge' END AS error, CAST(CASE WHEN page_id % 3 = 0 THEN strlen(html) ELSE 0 END AS BIGINT) AS payload_bytes FROM pages",
+    "q65_policies": "SELECT page_id, policy, CASE WHEN page_id % 2 = 0 AND policy IN ('warn', 'fail', 'strict') THEN 1 ELSE 0 END AS findings, CASE WHEN page_id % 2 = 0 AND policy IN ('fail', 'strict') THEN 'spec' END AS error FROM pages, (VALUES ('ignore'), ('warn'), ('fail'), ('strict'), ('none')) t(policy)",
+    "q66_archive_stream": f"SELECT page_id, CAST({_HTTP} + strlen(html) AS BIGINT) AS block_bytes FROM pages",
+    "q68_first_captures": "SELECT DISTINCT user_id, event_type FROM events",
+    "q69_table_function": "SELECT page_id, CAST(0 AS BIGINT) AS record_offset, true AS is_gzip, '1.1' AS version, 0 AS findings, 'response' AS kind FROM pages",
+    "q70_custom_writer": "SELECT 'own-0' || n || '.warc.gz' AS file_name, 'own-0' || n || '.warc.gz' AS said, CAST(0 AS BIGINT) AS odd, CAST(0 AS BIGINT) AS findings FROM (VALUES (1), (2)) t(n)",
+    "q71_interval_join": "SELECT event_id, page_id FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) AS second FROM events) JOIN pages ON second >= page_id * 7200 AND second < page_id * 7200 + (page_id % 3) * 5000",
+    "q72_json_headers": r"""SELECT page_id, 'b' || page_id AS second, '{"WARC-Target-URI":["' || url || '"],"X-Tag":["' || page_id || '","b' || page_id || '"]' || CASE WHEN page_id % 2 = 0 THEN ',"Content-Type":["text/html"]' ELSE '' END || '}' AS json,
+        'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'X-Tag: ' || page_id || chr(13) || chr(10) || 'X-Tag: b' || page_id || chr(13) || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'Content-Type: text/html' || chr(13) || chr(10) ELSE '' END AS text FROM pages""",
+    "q73_catalog_table": f"SELECT 'response' AS record_type, count(*) AS n, CAST(sum({_HTTP} + strlen(html)) AS BIGINT) AS bytes, count(DISTINCT url) AS uris FROM pages",
+    "q74_encoded_words": f"SELECT page_id, {_pick('page_id', _quoted(v for _, v in _ENCODED))} AS lenient, {_pick('page_id', _quoted(v for _, v in _ENCODED))} AS strict FROM pages",
+    "q75_urls": f"SELECT event_id, {_pick('event_id', _quoted(u for u, _ in _URLS))} AS given, {_pick('event_id', [b for _, b in _URLS])} = 1 AS ok FROM events",
+    "q76_names_in_both_parsers": f"SELECT page_id, {_pick('page_id', _quoted(v for _, v in _SPELLED))} AS lenient, {_pick('page_id', _quoted(v for _, v in _SPELLED))} AS strict FROM pages",
+    "q77_index_ranges": f"SELECT page_id, 'response' AS record_type, CAST({_HTTP} + strlen(html) AS BIGINT) AS content_length FROM pages",
+    "q67_sessions": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events),
+        s AS (SELECT user_id, ts, sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e),
+        g AS (SELECT user_id, k, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS ends FROM s GROUP BY 1, 2)
+        SELECT user_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS sessions FROM g WHERE ends <= (SELECT max(ts) FROM events) GROUP BY user_id""",
     "q30_resync_after_garbage": """SELECT page_id, 'response' AS record_type, page_id % 7 AS skipped_bytes, page_id % 7 AS record_offset, CASE WHEN page_id % 7 > 0 THEN 1 ELSE 0 END AS findings, CAST(NULL AS VARCHAR) AS error FROM pages
         UNION ALL SELECT page_id, NULL, 12, page_id % 7 + l + 12, 0, 'no_record' FROM (SELECT page_id, 8 + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Record-ID: <urn:page:>') + strlen(CAST(page_id AS VARCHAR)) + 2 + strlen('WARC-Date: 2024-01-01T00:00:00Z') + 2
         + strlen('WARC-Target-URI: ') + strlen(url) + 2 + strlen('Content-Type: application/http; msgtype=response') + 2 + strlen('Content-Length: ') + strlen(CAST(""" + f"{_HTTP} + strlen(html)" + """ AS VARCHAR)) + 4 + """ + f"{_HTTP} + strlen(html)" + """ + 4 AS l FROM pages)""",
