@@ -28,22 +28,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, once.
+    """One document of each group of near-duplicates: that with the smallest id.
 
-    Rows with a null id are no one's copy and stay.
+    Rows that share an id but not their words are different documents; those with a null id are no one's copy and stay.
     """
-    ids = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return near_dedup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words: whole passes, and once more if it takes half of it."""
-    taken = mixing.mix(docs).select("doc_id", "source", "size", "taken").distinct()
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    kept = taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), times.alias("_n")).where("_n > 0")
-    d = docs.withColumn("_size", mixing.word_count(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    return d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Trained models, sketches and a tokenizer have no SQL; the tests hold run() against brute force.
+#: Trained models, sketches and a tokenizer have no SQL; the tests hold each stage of run() against a brute-force version.
 ORACLE_SQL = None
 
 
