@@ -39,7 +39,7 @@ def test_queries_match_their_sql(spark, db, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"op1_toxicity", "op5_language_id"}))  # those have brute force over all rows
 def test_queries_cover_their_whole_table(spark, name):
     got = QUERIES[name](spark, SF)
     table = {"op2": "embeddings", "op4": "embeddings", "op7": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")

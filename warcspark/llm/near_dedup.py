@@ -320,16 +320,12 @@ def across(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: i
     return _meeting(rest, [*fields, "z"], link, ("u", "v")).distinct()
 
 
-def labelled(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, address, text_hash, component_id and kept of each row of docs (doc_id, text)."""
+def _found(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: the sketched rows, the classes of equal sets, and the component of each node that is linked."""
     with temporary(docs.sparkSession) as keep:
         rows = keep(staged(sketched(docs), "near-sketches"))
         classes = keep(staged(rows.where("address is not null and doc_id is not null").groupBy("address").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.n_shingles", "s.registers", "address"), "near-classes"))
-        part = keep(staged(_components(classes, docs, percent), "near-components"))
-    of_class = classes.select("address", "node").join(part, "node", "left").select("address", F.coalesce("component", "node").alias("component"))
-    d = rows.select("doc_id", "n_shingles", "address", "text_hash").join(of_class, "address", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return d.select("doc_id", "n_shingles", "address", "text_hash", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        return rows, classes, keep(staged(_components(classes, docs, percent), "near-components"))
 
 
 def _components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +355,11 @@ def _components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
-    return labelled(docs, percent=percent).select("doc_id", "n_shingles", "component_id", "kept")
+    rows, classes, part = _found(docs, percent)
+    of_class = classes.select("address", "node").join(part, "node", "left").select("address", F.coalesce("component", "node").alias("component"))
+    d = rows.select("doc_id", "n_shingles", "address").join(of_class, "address", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return d.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -369,8 +369,12 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     and text the one whose other columns come first. Rows that share an id but not their set are different documents;
     rows with a null id are no one's copy and all stay.
     """
-    one = labelled(docs, percent=percent).where("kept and doc_id is not null")
-    sets = one.groupBy("doc_id", "address", "text_hash").agg(F.count(F.lit(1)).alias("_rows")).groupBy("doc_id", "address").agg(F.min(F.struct("text_hash", "_rows")).alias("s"))
+    rows, classes, part = _found(docs, percent)
+    texts = rows.where("doc_id is not null").groupBy("doc_id", "address", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    # the row that stays has its class's smallest id, so copies of a hot set are told apart by id as they are dealt
+    first = classes.join(part, "node", "left").where(F.coalesce("component", "node") == F.col("node")).select(F.col("address").alias("_a"), F.col("node").alias("_n"))
+    sets = texts.join(first, (F.col("address") == F.col("_a")) & (F.col("doc_id") == F.col("_n")), "left_semi").unionByName(texts.where("address is null"))
+    sets = sets.groupBy("doc_id", "address").agg(F.min(F.struct("text_hash", "_rows")).alias("s"))
     sets = staged(sets.select(F.col("doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"), "s._rows"), "near-kept")
     d = docs.where("doc_id is not null").withColumn("_hash_of", text_hash(F.col("text").cast("string")))
     d = d.join(sets, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_hash_of") == F.col("_hash")))
