@@ -40,7 +40,7 @@ from ..options import FAIL, WarcOptions
 from ..schema import FRAMED
 from ..storage import on_default
 from .framing import frames
-from .sink import Writer, WriterOptions, format_name, open_folder
+from .sink import Writer, WriterOptions, format_name, open_folder, sync_folder
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -236,6 +236,8 @@ class WarcWriter(DataSourceWriter):
             raise FileExistsError(taken[0])
         for f, to in moves:
             fs.move(f, to)
+        if moves:
+            sync_folder(fs, folder)
         self.abort(messages)
 
     def abort(self, messages: list) -> None:

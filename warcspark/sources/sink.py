@@ -93,6 +93,16 @@ def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
+def sync_folder(fs: pafs.FileSystem, folder: str) -> None:
+    """Puts a rename in a local folder on disk; other stores do so themselves."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        at = os.open(folder, os.O_RDONLY)
+        try:
+            os.fsync(at)
+        finally:
+            os.close(at)
+
+
 class Writer:
     """One open file after the other in a folder of any file system that Arrow knows.
 
@@ -161,8 +171,10 @@ class Writer:
         self.out = None
         path = f"{self.staging or self.folder}/{self.name}"
         self.fs.move(self.temp, path)
-        if not self.staging and self.o.after_file:
-            self.o.after_file(path, self.size, self.info)
+        if not self.staging:
+            sync_folder(self.fs, self.folder)
+            if self.o.after_file:
+                self.o.after_file(path, self.size, self.info)
         return path
 
     def abort(self) -> None:
@@ -282,6 +294,7 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
                 publish(fs, staged, f"{into}/{name}")
                 if o.after_file:
                     o.after_file(f"{into}/{name}", size, info)
+            sync_folder(fs, into)
             yield b
 
     try:
