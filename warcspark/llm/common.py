@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,6 +104,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLI
             yield part.slice(at)
 
 
+def coded_terms(texts: pa.Array, breaks: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row and the code of each term of the texts, in order, and the terms that the codes stand for.
+
+    Terms stand between runs of `breaks`; A to Z are lower-cased, nulls have no terms.
+    """
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), breaks)
+    terms, rows = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(terms), 0)
+    coded = terms.filter(full).dictionary_encode()
+    return rows.filter(full).to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 _caches: dict[str, Callable[[], object]] = {}
 
 

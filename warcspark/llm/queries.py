@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, hnsw, language_id, licenses, mixing, near_dedup, packing, toxicity, url_filter, warc_archive
+from . import ball_tree, hnsw, html_extract, language_id, licenses, mixing, near_dedup, packing, resampling, source_audit, toxicity, url_filter, warc_archive
 from .common import table
 
 #: The rules of the contract, in its order.
@@ -64,6 +64,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_hnsw": op2_hnsw,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_html_extract": op11_html_extract,
+    "op12_source_audit": op12_source_audit,
+    "op13_resampling": op13_resampling,
 }
 
 _BASE32_SHA1 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -117,4 +132,43 @@ r(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/
 m AS (SELECT h.page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
       FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY h.page_id)
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)""",
+    "op12_source_audit": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN k USING (lang) GROUP BY g.lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS MATERIALIZED (SELECT d.lang, d.source, max(v.v) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS total FROM d JOIN v USING (lang) GROUP BY d.lang, d.source),
+l AS (SELECT k.lang, k.term, CAST(1 + (1000000000::HUGEINT * (coalesce((SELECT sum(n) FROM c WHERE c.lang = k.lang AND c.term = k.term), 0) + 2)) // ((SELECT sum(total) FROM g WHERE g.lang = k.lang) + 2 * v.v) AS HUGEINT) AS q
+      FROM k JOIN v USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS HUGEINT) AS p
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce((
+            SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+            WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(((p.p - l.q) * (p.p - l.q)) // (p.p + l.q) AS BIGINT) AS value
+          FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE p.n > 0 AND p.p > l.q),
+u AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_resampling": r"""
+WITH table_of AS (  -- the checksum's table, from its rule
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS c FROM range(256) t(i))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, true AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT -row_number() OVER (), false, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (SELECT r, doc, f, count(*) AS n FROM (SELECT r, doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d) GROUP BY ALL),
+b AS MATERIALIZED (SELECT f, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(f) + 1), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i - 1 AS BIGINT), 2) AS UBIGINT))),
+         lambda c, x: xor(c >> 8, crc[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) % 10000 AS INT) AS b FROM (SELECT DISTINCT f FROM f), table_of),
+s AS (SELECT b, coalesce(sum(n) FILTER (doc), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT doc), 0)::DOUBLE AS t FROM f JOIN b USING (f) GROUP BY b),
+a AS (SELECT coalesce(sum(s), 0) + 10000 AS s, coalesce(sum(t), 0) + 10000 AS t FROM s),
+g AS (SELECT b, CAST(floor(1000 * ln((s.t + 1) * a.s / ((s.s + 1) * a.t))) AS BIGINT) AS gain FROM s, a),
+m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS gain FROM f JOIN b USING (f) JOIN g USING (b) WHERE doc GROUP BY r),
+h AS (SELECT d.r, d.doc_id, len(d.w) AS words, coalesce(m.n, 0) AS n_features, CAST(CASE WHEN coalesce(m.n, 0) = 0 THEN 0 ELSE (m.gain - ((m.gain % m.n) + m.n) % m.n) // m.n END AS BIGINT) AS weight,
+             CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (r) WHERE d.doc),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM h),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM z WHERE words >= 20)
+SELECT z.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM k) THEN rank END AS rank FROM z LEFT JOIN k USING (r)""",
 }
