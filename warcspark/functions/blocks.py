@@ -59,7 +59,7 @@ def http_struct(block: Column | str, head_length: Column, missing_end: Column) -
     text = latin1(head)
     line = F.regexp_extract(text, r"^([^\r\n]*)", 1)
     code = F.regexp_extract(line, r"^HTTP/[0-9]+\.[0-9]+ +([0-9]{3})(?: |$)", 1)
-    status = F.regexp_extract(line, r"^HTTP/[0-9]+\.[0-9]+ +([0-9]{3}.*?) *$", 1)
+    status = F.regexp_extract(line, r"^HTTP/[0-9]+\.[0-9]+ +([0-9]{3}(?:.*[^ ])?) *$", 1)
     uri = F.regexp_extract(line, r"^\S+ (\S+) HTTP/[0-9]+\.[0-9]+ *$", 1)
     rest = F.regexp_replace(text, r"^[^\n]*\n?", "")
     return F.struct(

@@ -136,7 +136,7 @@ def digest_field(data: Column | str, algorithm: str = "sha256", encoding: str |
 
 def same_value(a: Column, b: Column) -> Column:
     """Equal but for padding."""
-    return F.regexp_replace(a, "=+$", "") == F.regexp_replace(b, "=+$", "")
+    return F.regexp_replace(a, "(?<!=)=++$", "") == F.regexp_replace(b, "(?<!=)=++$", "")
 
 
 def matches(field: Column | str, data: Column | str, default_encoding: str = "base16") -> Column:

@@ -102,7 +102,7 @@ def get_time(headers: Column | str, name: str) -> Column:
 
 def bare_id(value: Column | str) -> Column:
     """Without the angle brackets at either end."""
-    return F.regexp_replace(_c(value), "^[<>]+|[<>]+$", "")
+    return F.regexp_replace(_c(value), "^[<>]++|(?<![<>])[<>]++$", "")
 
 
 def get_id(headers: Column | str, name: str) -> Column:
@@ -259,7 +259,7 @@ def decode_words(text: Column | str) -> Column:
             as_text = F.when(is_it, value) if as_text is None else as_text.when(is_it, value)
         return F.coalesce(as_text, part)
 
-    parts = F.regexp_extract_all(F.regexp_replace(t, rf"({_WORD})\s+(?={_WORD})", "$1"), F.lit(rf"(?s){_WORD}|(?:(?!{_WORD}).)+"), F.lit(0))
+    parts = F.regexp_extract_all(F.regexp_replace(t, rf"({_WORD})\s+(?={_WORD})", "$1"), F.lit(rf"(?s){_WORD}|(?:(?!{_WORD}).)++"), F.lit(0))
     return F.when(t.rlike(_WORD), F.array_join(F.transform(parts, lambda x: F.when(x.rlike(rf"\A{_WORD}\z"), decoded(x)).otherwise(x)), "")).otherwise(t)
 
 
@@ -267,7 +267,7 @@ def parse_lenient(text: Column | str, *, words: bool = False) -> Column:
     """Header fields of a text of lines, without findings: folded lines joined by a blank, names normalised,
     lines without a colon left out, up to the first empty line; with `words`, encoded words are decoded."""
     head = F.regexp_extract(F.concat(_c(text), F.lit("\n")), r"^((?:[^\n]*[^\s][^\n]*\n)*+)", 1)
-    folded = F.regexp_replace(head, r"[ \t\r]*\n[ \t]+", " ")
+    folded = F.regexp_replace(head, r"(?<![ \t\r])[ \t\r]*+\n[ \t]+", " ")
     lines = F.split(folded, "\n")
     lines = F.filter(F.transform(lines, decode_words) if words else lines, lambda x: F.instr(x, ":") > 0)
-    return F.transform(lines, lambda x: F.struct(normalize_name(F.trim(F.regexp_extract(x, r"^[ \t\r]*([^:]*?)[ \t\r]*:", 1))).alias("name"), F.regexp_extract(x, r"^[^:]*:[ \t\r]*(.*?)[ \t\r]*$", 1).alias("value")))
+    return F.transform(lines, lambda x: F.struct(normalize_name(F.trim(F.regexp_extract(x, r"^[ \t\r]*+((?:[^:]*[^: \t\r])?)[ \t\r]*+:", 1))).alias("name"), F.regexp_extract(x, r"(?s)^[^:]*+:[ \t\r]*+((?:.*[^ \t\r])?)[ \t\r]*+$", 1).alias("value")))

@@ -27,8 +27,9 @@ def _some(*items: Column) -> Column:
     return F.filter(F.array(*[i.cast(FINDING) for i in items]), lambda x: x.isNotNull())
 
 
-#: Decimal, 0x, 0o, 0b and old-style octal, underscores between digits.
-LONG = r"^[+-]?(0[xX](_?[0-9A-Fa-f])+|0[bB](_?[01])+|0[oO]?(_?[0-7])*|[1-9](_?[0-9])*)$"
+#: Decimal, 0x, 0o, 0b and old-style octal, underscores between digits. Here as below, groups repeat possessively: the
+#: engine goes through other ones by calling itself, and values of some thousand letters end its stack.
+LONG = r"^[+-]?(?:0[xX](?:_?[0-9A-Fa-f])++|0[bB](?:_?[01])++|0[oO]?(?:_?[0-7])*+|[1-9](?:_?[0-9])*+)$"
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 
 
@@ -68,11 +69,11 @@ def _url() -> str:
     # no control character, blank or delimiter, as it stands or after a percent sign
     letter = r"(?:[^\x00-\x20\x22#%/:<>?@\[\\\]^`{|}\x7F]|%(?!(?i:[01][0-9A-F]|20|22|23|25|2F|3A|3C|3E|3F|40|5B|5C|5D|5E|60|7B|7C|7D|7F))[0-9A-Fa-f]{2})"
     numeric = r"(?:[^/\\?#:@]*\.)?(?:[0-9]+|0[xX][0-9A-Fa-f]*)\.?(?:[:/\\?#]|\z)"
-    domain = rf"(?:{v6}|(?!{numeric}){letter}+|{v4})"
+    domain = rf"(?:{v6}|(?!{numeric}){letter}++|{v4})"
     opaque = rf"(?:{v6}|[^\x00\t\n\r #/:<>?@\[\\\]^|]+)"
     port = f"(?::(?:0*{_at_most(65535)})?)?"
     special, scheme = "(?i:https?|wss?|ftp)", r"[A-Za-z][A-Za-z0-9+.\-]*"
-    hosted = rf"{special}:[/\\]*(?:[^/\\?#]*@)?{domain}{port}(?:[/\\?#].*)?"
+    hosted = rf"{special}:[/\\]*+(?:[^/\\?#]*@)?{domain}{port}(?:[/\\?#].*)?"
     file = rf"(?i:file):(?:[/\\]{{2}}(?:[A-Za-z][:|]|{domain})?(?:[/\\?#].*)?|(?![/\\]{{2}}).*)"
     other = rf"(?!(?:{special}|(?i:file)):){scheme}:(?://(?:(?:[^/?#]*@)?{opaque}{port})?(?:[/?#].*)?|(?!//).*)"
     return rf"(?s)\A(?:{hosted}|{file}|{other})\z"
@@ -88,7 +89,7 @@ def is_ip(value: Column) -> Column:
 def is_uri(value: Column) -> Column:
     """Whether the URL Standard's parser accepts the value as an absolute URL. Blanks at either end, tabs and line
     ends are dropped, other odd characters in paths are allowed; of a domain's letters only the ASCII ones are looked at."""
-    return F.regexp_replace(value, r"\A[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "").rlike(URL)
+    return F.regexp_replace(value, r"\A[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z|[\t\n\r]", "").rlike(URL)
 
 
 def is_bracketed(value: Column) -> Column:
@@ -188,8 +189,11 @@ def line_findings(text: Column) -> Column:
     """What is wrong with the lines of a warc-fields block, each with its number, up to the empty line that ends it."""
 
     def of(lines: Column) -> Column:
+        # worked out once: inside of a lambda it would be for each line
         ends = F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", "")) == ""), F.lit(True)), F.lit(0)), F.size(lines) + 1)
-        last = F.size(lines)
+        return let(F.struct(ends.alias("ends"), F.size(lines).alias("last")), lambda s: judged(lines, s["ends"], s["last"]))
+
+    def judged(lines: Column, ends: Column, last: Column) -> Column:
 
         def say(i: Column, msg: str) -> Column:
             f = finding("block", msg, kind="warc_fields")

@@ -146,7 +146,10 @@ def _decoded(line: bytes) -> str:
         text = line.decode("iso-8859-1")
     if "=?" not in text:
         return text
-    return "".join(p if isinstance(p, str) else p.decode(c or "ascii") for p, c in decode_header(text))
+    # after the last end of a word none can follow; looked at with the rest, each start there would be tried to the end
+    end = text.rfind("?=") + 2
+    tail = text[end:] if "=?" in text[end:] else ""
+    return "".join(p if isinstance(p, str) else p.decode(c or "ascii") for p, c in decode_header(text[: len(text) - len(tail)])) + tail
 
 
 def parse_fields(src: Bytes, found: Findings, line: int = 0) -> list[dict[str, str]]:
@@ -217,7 +220,10 @@ def _end_mark(src: Bytes, found: Findings) -> None:
 def _number(headers: list[dict[str, str]], name: str) -> int:
     value = next((h["value"] for h in headers if h["name"] == name), "")
     digits = value[1:] if value[:1] in "+-" else value
-    return max(0, int(value)) if digits.isascii() and digits.isdigit() and len(digits) < 19 else 0
+    if value[:1] == "-" or not (digits.isascii() and digits.isdigit()):
+        return 0
+    digits = digits.lstrip("0") or "0"
+    return n if len(digits) < 20 and (n := int(digits)) < 1 << 63 else 0
 
 
 def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str | None = None, with_block: bool = True, one: bool = False) -> Iterator[dict]:
