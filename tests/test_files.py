@@ -255,31 +255,6 @@ print(len(names), load(spark, "{tmp_path}/src").count(), sorted(n.split("-")[1]
     assert out.stdout.split("\n")[:2] == ["True 6 6 6 6", "6 6 True"], out.stdout
 
 
-def test_the_data_source_aborts_cleanly(spark, tmp_path):
-    spark.dataSource.register(WarcDataSource)
-    rows = records(spark, 8).select("version", "headers", F.when(F.col("id") == 7, F.raise_error(F.lit("broken row")).cast("binary")).otherwise(F.col("block")).alias("block"))
-    with pytest.raises(Exception, match="broken row"):
-        rows.write.format("warc").mode("append").option("path", str(tmp_path / "x")).option("maxFileSize", "1").save()
-    assert not [f for _, _, fs in os.walk(tmp_path / "x") for f in fs]
-    with pytest.raises(Exception, match="mode append"):
-        records(spark, 1).select("version", "headers", "block").write.format("warc").mode("overwrite").option("path", str(tmp_path / "x")).save()
-
-
-def test_publishing_twice_changes_nothing(tmp_path):
-    import pyarrow.fs as pafs
-
-    fs, staged, path = pafs.LocalFileSystem(), str(tmp_path / "s"), str(tmp_path / "p")
-    (tmp_path / "s").write_bytes(b"x")
-    K.publish(fs, staged, path)
-    K.publish(fs, staged, path)
-    assert (tmp_path / "p").read_bytes() == b"x" and not (tmp_path / "s").exists()
-    (tmp_path / "s").write_bytes(b"y")
-    with pytest.raises(FileExistsError):
-        K.publish(fs, staged, path)
-    with pytest.raises(FileNotFoundError):
-        K.publish(fs, str(tmp_path / "nothing"), str(tmp_path / "q"))
-
-
 def test_records_are_synced_one_by_one(tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(os, "fsync", lambda n: seen.append(n))

@@ -12,8 +12,12 @@ commas), and all of WarcOptions. A filter on record_type or is_gzip is not neede
 only `types` saves sending rows.
 
 Writing stages the files of each attempt below `_temporary` of the folder. The commit, which only
-happens if all tasks have succeeded, gives them their names in one count and renames them; an
-abort removes them. Paths without a scheme are local ones; on a cluster give a scheme, or use
+happens if all tasks have succeeded, gives them their names in one count, writes a journal and renames
+them; an abort removes them, and sink.recover goes on for a driver that was lost. A stream's commit writes what it
+renames into `_batches` first, under the batch's number: a batch that comes again publishes nothing twice.
+
+A stream that reads keeps the names of all files as its offset, or with the option `seenLog` (a folder) their numbers in a
+log there, so the offset stays small; `maxFilesPerTrigger` then bounds a batch (with the trigger availableNow, a run). Paths without a scheme are local ones; on a cluster give a scheme, or use
 `load`, which puts them on Spark's default file system.
 """
 
@@ -23,6 +27,7 @@ import base64
 import fnmatch
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +36,7 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -39,8 +44,9 @@ from ..operators.parse import batches_of, typed
 from ..options import FAIL, WarcOptions
 from ..schema import FRAMED
 from ..storage import on_default
+from .commit import attempt_folder, begin, discard, finish_moves, move_all, open_folder, read_json, record, there, write_once
 from .framing import frames
-from .sink import Writer, WriterOptions, format_name, open_folder, sync_folder
+from .sink import Writer, WriterOptions, format_name
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -155,23 +161,95 @@ def _unpacked(offset: dict) -> set[str]:
     return set(json.loads(zlib.decompress(base64.b64decode(offset["files"])))) if offset.get("files") else set()
 
 
+class SeenLog:
+    """Names of files in the order in which they were first seen, in numbered segments of a folder.
+
+    Each segment is written once, as a whole, before its numbers are used. When there are many, those that no batch will ask for
+    become one."""
+
+    MANY = 16
+
+    def __init__(self, folder: str) -> None:
+        self._fs, self._at = open_folder(folder)
+        self._fs.create_dir(self._at, recursive=True)
+        self._seen: set[str] = set()
+        self.last = 0
+        for path, _, end in self._segments():
+            self._seen.update(read_json(self._fs, path)["names"])
+            self.last = max(self.last, end)
+
+    def _segments(self) -> list[tuple[str, int, int]]:
+        """Path, and the numbers it goes from (without) and to; of two that overlap the longer one."""
+        out: list[tuple[str, int, int]] = []
+        for f in self._fs.get_file_info(pafs.FileSelector(self._at)):
+            if (m := re.fullmatch(r"(\d+)-(\d+)\.json", f.base_name)):
+                out.append((f.path, int(m[1]), int(m[2])))
+        out.sort(key=lambda x: (x[1], -x[2]))
+        kept: list[tuple[str, int, int]] = []
+        for s in out:
+            if not kept or s[1] >= kept[-1][2]:
+                kept.append(s)
+        return kept
+
+    def add(self, names: list[str], most: int) -> int:
+        """Takes down names that are new, `most` at most (0: all), and gives the number of the last one."""
+        new = [n for n in names if n not in self._seen]
+        if new := new[: most or None]:
+            write_once(self._fs, f"{self._at}/{self.last:020d}-{self.last + len(new):020d}.json", {"names": new})
+            self._seen.update(new)
+            self.last += len(new)
+        return self.last
+
+    def between(self, start: int, end: int) -> list[str]:
+        """Names with numbers after start, up to end."""
+        out: list[str] = []
+        for path, low, high in self._segments():
+            if low < end and high > start:
+                names = read_json(self._fs, path)["names"]
+                out += names[max(0, start - low) : end - low]
+        return out
+
+    def compact(self, upto: int) -> None:
+        old = [s for s in self._segments() if s[2] <= upto]
+        if len(old) < self.MANY:
+            return
+        names = [n for path, _, _ in old for n in read_json(self._fs, path)["names"]]
+        write_once(self._fs, f"{self._at}/{old[0][1]:020d}-{old[-1][2]:020d}.json", {"names": names})
+        for path, _, _ in old:
+            self._fs.delete_file(path)
+
+
 class WarcStreamReader(DataSourceStreamReader):
-    """New files, whatever their names and times: the offset is the set of all names that are there.
+    """New files, whatever their names and times.
 
-    A file that was removed and comes back is new; one that goes before its batch is read fails the batch.
+    Without `seenLog` the offset is the set of all names that are there, and a file that was removed and comes back is new; with it
+    a name counts once. A file that goes before its batch is read fails the batch.
     """
 
     def __init__(self, options: dict[str, str]) -> None:
         self._r = _Reading(options)
+        low = {k.lower(): v for k, v in options.items()}
+        self._folder, self._most = low.get("seenlog"), int(low.get("maxfilespertrigger", "0"))
+        if self._most and not self._folder:
+            raise ValueError("maxFilesPerTrigger needs a seenLog")
+        self._log: SeenLog | None = None
+
+    def _seen(self) -> SeenLog:
+        self._log = self._log or SeenLog(self._folder)
+        return self._log
 
     def initialOffset(self) -> dict:
-        return {"files": ""}
+        return {"number": 0} if self._folder else {"files": ""}
 
     def latestOffset(self) -> dict:
         files = list_files(self._r.path)
+        if self._folder:
+            return {"number": self._seen().add([p for p, _ in files], self._most)}
         return {"files": _packed([p for p, _ in files]) if files else ""}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
+        if self._folder:
+            return [Range(p, self._r.start, None) for p in self._seen().between(start["number"], end["number"])]
         new = _unpacked(end) - _unpacked(start)
         if "after" in start:  # an offset of earlier versions: the greatest name that was read
             new = {p for p in new if p > start["after"]}
@@ -179,6 +257,10 @@ class WarcStreamReader(DataSourceStreamReader):
             new = {p for p, _ in list_files(self._r.path) if start.get("after", "") < p <= end["after"]}
         return [Range(p, self._r.start, None) for p in sorted(new)]
 
+    def commit(self, end: dict) -> None:
+        if self._folder:
+            self._seen().compact(end["number"])
+
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         yield from self._r.read(partition)
 
@@ -191,13 +273,13 @@ class Written(WriterCommitMessage):
     files: tuple[str, ...]
 
 
-class WarcWriter(DataSourceWriter):
-    """A file sequence for each task, of rows with version, headers and block."""
+class _Writing:
+    """What batches and streams have in common: a file sequence for each task, of rows with version, headers and block."""
 
     def __init__(self, options: dict[str, str]) -> None:
         low = {k.lower(): v for k, v in options.items()}
         self._folder = low["path"]
-        self._staging = f"{self._folder.rstrip('/')}/_temporary/{uuid.uuid4().hex}"
+        self._job = begin(self._folder)
         yes = lambda v: v.lower() in ("true", "1", "yes")
         self._o = WriterOptions(
             max_file_size=int(low.get("maxfilesize", 1 << 30)), compress=yes(low.get("compression", "true")), level=int(low.get("compressionlevel", -1)), ratio=float(low.get("expectedcompressionratio", 0.5)),
@@ -208,13 +290,13 @@ class WarcWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        staging = f"{self._staging}/{part}-{uuid.uuid4().hex}"
+        staging = attempt_folder(self._job, f"{part}-{uuid.uuid4().hex}")
         # the commit gives the names; until then a number in the attempt's own folder is enough
         w, n, files = Writer(self._folder, replace(self._o, name=lambda k: f"{part}-{k}"), 0, 1, staging), 0, []
         try:
             for row in iterator:
                 said = next((h["value"] for h in row["headers"] if h["name"] == "Content-Length"), "")
-                length = int(said) if said.isdigit() else None
+                length = int(said) if said.isdigit() and len(said) < 19 else None
                 head = f"WARC/{row['version']}\r\n" + "".join(f"{h['name']}: {h['value']}\r\n" for h in row["headers"])
                 if w.full(length):
                     files.append(w.close())
@@ -223,31 +305,69 @@ class WarcWriter(DataSourceWriter):
             files.append(w.close())
         except BaseException:
             w.abort()
+            discard(staging)
             raise
         return Written(n, tuple(f for f in files if f))
 
-    def commit(self, messages: list) -> None:
-        fs, folder = open_folder(self._folder)
-        staged = [f for m in messages if m for f in m.files]
+    def _moves(self, messages: list, after: int = 0) -> list[tuple[str, str]]:
+        """Staged files and where they go, numbered on from `after`."""
+        _, folder = open_folder(self._folder)
         suffix = self._o.suffix if self._o.compress else ""
-        moves = [(f, f"{folder}/{format_name(self._o, k)}{suffix}") for k, f in enumerate(staged, 1)]
+        staged = [f for m in messages if m for f in m.files]
+        return [(f, f"{folder}/{format_name(self._o, k)}{suffix}") for k, f in enumerate(staged, after + 1)]
+
+    def _free(self, moves: list[tuple[str, str]]) -> None:
+        fs, _ = open_folder(self._folder)
         if taken := [i.path for i in fs.get_file_info([to for _, to in moves]) if i.type != pafs.FileType.NotFound]:
-            self.abort(messages)
             raise FileExistsError(taken[0])
-        for f, to in moves:
-            fs.move(f, to)
-        if moves:
-            sync_folder(fs, folder)
-        self.abort(messages)
+
+
+class WarcWriter(_Writing, DataSourceWriter):
+    def commit(self, messages: list) -> None:
+        moves = self._moves(messages)
+        try:
+            self._free(moves)
+        except FileExistsError:
+            self.abort(messages)
+            raise
+        record(self._job, {"moves": moves})
+        finish_moves(self._job)
 
     def abort(self, messages: list) -> None:
-        """Nothing of the job is left but what the commit has renamed."""
-        fs, staging = open_folder(self._staging)
-        if fs.get_file_info(staging).type != pafs.FileType.NotFound:
-            fs.delete_dir(staging)
-        top = staging.rpartition("/")[0]
-        if fs.get_file_info(top).type != pafs.FileType.NotFound and not fs.get_file_info(pafs.FileSelector(top)):
-            fs.delete_dir(top)
+        """Nothing of the job is left."""
+        discard(self._job)
+
+
+class WarcStreamWriter(_Writing, DataSourceStreamWriter):
+    """Files of each batch, published once: what a batch renames is in the log before it does so."""
+
+    #: Batches that stay in the log; a query asks again for its last one only.
+    KEPT = 100
+
+    def commit(self, messages: list, batchId: int) -> None:
+        fs, folder = open_folder(self._folder)
+        log = f"{folder}/_batches"
+        fs.create_dir(log, recursive=True)
+        path = f"{log}/{batchId:020d}.json"
+        entry = read_json(fs, path)
+        if entry is None:
+            before = [f.path for f in fs.get_file_info(pafs.FileSelector(log)) if re.fullmatch(r"\d{20}\.json", f.base_name) and int(f.base_name[:20]) < batchId]
+            last = (read_json(fs, max(before)) or {}).get("last", 0) if before else 0
+            moves = self._moves(messages, last)
+            self._free(moves)
+            entry = {"moves": moves, "last": last + len(moves)}
+            write_once(fs, path, entry)
+        if not there(fs, f"{path}.done"):
+            move_all(fs, [tuple(m) for m in entry["moves"]])
+            write_once(fs, f"{path}.done", {})
+        self.abort(messages, batchId)  # the attempts' folders, and what a batch that came again has staged anew
+        for f in fs.get_file_info(pafs.FileSelector(log)):
+            if f.base_name[:20].isdigit() and int(f.base_name[:20]) < batchId - self.KEPT:
+                fs.delete_file(f.path)
+
+    def abort(self, messages: list, batchId: int) -> None:
+        for folder in {f.rpartition("/")[0] for m in messages if m for f in m.files}:
+            discard(folder)
 
 
 class WarcDataSource(DataSource):
@@ -269,6 +389,9 @@ class WarcDataSource(DataSource):
             raise ValueError("archives can only be added: use mode append")
         return WarcWriter(dict(self.options))
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+        return WarcStreamWriter(dict(self.options))
+
 
 def load(spark: SparkSession, path: str, options: WarcOptions | None = None, **more: str) -> DataFrame:
     """Records of files by the data source, with all columns."""

@@ -4,8 +4,8 @@ Records are dealt to writers and put in order there; each writer keeps one file
 new one before a record that would not fit. Time, host and address in the names are the driver's,
 so every attempt of a task makes the same names. Each attempt writes into a folder of its own
 below `_temporary`; a table that only holds the rows of attempts that succeeded says what there
-is. Its files are then renamed into place, and a rename that is repeated changes nothing. If a
-task fails for good, nothing is published. What comes back is the manifest: file, offset and
+is. Once it is written a journal says so, and its files are renamed into place by tasks. If a task
+fails for good, nothing is published; if the driver is lost after the journal, `recover` goes on. What comes back is the manifest: file, offset and
 length of every record; its rows are written as they come, none are held.
 """
 
@@ -21,13 +21,14 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fields as H
 from ..functions import names as N
-from ..storage import forget, on_default
+from ..storage import on_default
+from .commit import JobGone, attempt_folder, begin, discard, finish_moves, jobs, open_folder, publish, record, sync_folder, there
 
 MANIFEST = "record_id string, file_name string, file_offset long, bytes_written long, file_size long, warcinfo_id string"
 
@@ -86,34 +87,19 @@ def estimate(length: int | None, o: WriterOptions) -> int:
     return int((length or 0) * o.ratio) if o.compress else (length or 0)
 
 
-def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder; one without a scheme is local."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return pafs.LocalFileSystem(), os.path.abspath(folder)
-    return pafs.FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-
-
-def sync_folder(fs: pafs.FileSystem, folder: str) -> None:
-    """Puts a rename in a local folder on disk; other stores do so themselves."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        at = os.open(folder, os.O_RDONLY)
-        try:
-            os.fsync(at)
-        finally:
-            os.close(at)
-
-
 class Writer:
     """One open file after the other in a folder of any file system that Arrow knows.
 
-    With `staging`, a folder of this attempt alone, closed files stay there until they are published.
+    With `staging`, a folder of this attempt alone, closed files stay there until they are published; if the folder is
+    gone, the job has ended, and no file is opened any more.
     """
 
     def __init__(self, folder: str, o: WriterOptions, number: int, writers: int, staging: str | None = None) -> None:
         self.o, self.number, self.step, self.made = o, number, writers, 0
         self.fs, self.folder = open_folder(folder)
         self.staging = open_folder(staging)[1] if staging else None
-        self.fs.create_dir(self.staging or self.folder, recursive=True)
+        if not staging:
+            self.fs.create_dir(self.folder, recursive=True)
         self.out, self.size, self.name, self.info, self.temp = None, 0, "", None, ""
 
     def _open(self) -> None:
@@ -123,8 +109,10 @@ class Writer:
         path = f"{self.folder}/{self.name}"
         if self.o.before_file:
             self.o.before_file(path)
-        if self.fs.get_file_info(path).type != pafs.FileType.NotFound:
+        if there(self.fs, path):
             raise FileExistsError(path)
+        if self.staging and not there(self.fs, self.staging):
+            raise JobGone(self.staging)
         self.temp = f"{self.staging or self.folder}/{self.name}{self.o.open_suffix}"
         local = isinstance(self.fs, pafs.LocalFileSystem)
         self.out = open(self.temp, "wb") if local else self.fs.open_output_stream(self.temp)  # noqa: SIM115
@@ -178,26 +166,12 @@ class Writer:
         return path
 
     def abort(self) -> None:
+        """Nothing is left of the open file, and of what is staged."""
         if self.out is not None:
             self.out.close()
-            self.fs.delete_file(self.temp)
             self.out = None
-
-
-def publish(fs: pafs.FileSystem, staged: str, path: str) -> None:
-    """Renames a finished file into place. One that a lost attempt has renamed before is left as it is."""
-    there = fs.get_file_info(path).type != pafs.FileType.NotFound
-    here = fs.get_file_info(staged).type != pafs.FileType.NotFound
-    if here and there:
-        raise FileExistsError(path)
-    if here:
-        try:
-            fs.move(staged, path)
-        except OSError:  # another attempt of the same task may have been faster
-            if fs.get_file_info(path).type == pafs.FileType.NotFound:
-                raise
-    elif fs.get_file_info(path).type == pafs.FileType.NotFound:
-        raise FileNotFoundError(staged)
+            if there(self.fs, self.temp):
+                self.fs.delete_file(self.temp)
 
 
 def _name_id(name: str) -> str:
@@ -228,6 +202,7 @@ def add_concurrent_to(records: DataFrame, group: str) -> DataFrame:
 #: Rows of a manifest that a task hands on at once.
 ROWS = 4096
 _FILES = f"{MANIFEST}, staged string"
+_COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
 
 
 def write_archives(records: DataFrame, folder: str, options: WriterOptions | None = None, *, writers: int | None = None, group: str | None = None, order: tuple[str, ...] = ("record_id",), marshaled: Callable[[], tuple[Column, Column]] | None = None) -> DataFrame:
@@ -247,14 +222,14 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
     head, block = marshaled() if marshaled else (head, F.col("block"))
     writer = F.lit(0) if writers == 1 else F.pmod(F.xxhash64(key), F.lit(writers)).cast("int")
     d = records.select(writer.alias("_w"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], H.get_id("headers", "WARC-Record-ID").alias("record_id"), head.alias("head"), F.coalesce(block, F.lit(b"")).alias("block"), H.get_int64("headers", "Content-Length").alias("length"))
-    where = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
-    staging = f"{where}/_temporary/{uuid.uuid4().hex}"
+    where = _where(folder)
+    job = begin(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Writer | None = None
         number = None
         held: list[tuple] = []
-        attempt = uuid.uuid4().hex
+        staging = attempt_folder(job, uuid.uuid4().hex)
 
         def rows() -> pa.RecordBatch:
             types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -272,7 +247,7 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
                 for w, rid, h, block, length in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                     if w != number:
                         close()
-                        now, number = Writer(folder, o, w, writers, f"{staging}/{w}-{attempt}"), w
+                        now, number = Writer(folder, o, w, writers, staging), w
                     if now.full(length):
                         close()
                     name, at, n, info = now.write(h, block, length)
@@ -283,32 +258,70 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
         except BaseException:
             if now:
                 now.abort()
+            discard(staging)
             raise
         if held:
             yield rows()
 
-    def publish_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, into = open_folder(folder)
+    try:
+        dealt = d.repartition(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
+        dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, _FILES).write.parquet(f"{job}/manifest")
+        record(job, {"manifest": True})
+    except BaseException:
+        discard(job)
+        raise
+    _publish_all(spark, where, job, o.after_file)
+    return manifest(spark, folder)
+
+
+def _where(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
+
+
+def _publish_all(spark: SparkSession, where: str, job: str, after_file: Callable[[str, int, str | None], None] | None = None) -> None:
+    """Renames the files of a job that is done, and gives its rows to the manifest. All of it can be done again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, into = open_folder(where)
         for b in batches:
             for staged, name, size, info in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 publish(fs, staged, f"{into}/{name}")
-                if o.after_file:
-                    o.after_file(f"{into}/{name}", size, info)
+                if after_file:
+                    after_file(f"{into}/{name}", size, info)
             sync_folder(fs, into)
             yield b
 
-    try:
-        dealt = d.repartition(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
-        dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, _FILES).write.parquet(f"{staging}/manifest")
-        made = spark.read.schema(_FILES).parquet(f"{staging}/manifest")
-        files = made.where("file_offset is null").select("staged", "file_name", "file_size", "warcinfo_id")
-        files.mapInArrow(publish_all, files.schema).write.format("noop").mode("overwrite").save()
-        sizes = files.select("staged", F.col("file_size").alias("_size"))
-        done = made.where("file_offset is not null").join(sizes, "staged").withColumn("file_size", F.col("_size"))
-        done.select(*spark.read.schema(MANIFEST).parquet(f"{staging}/manifest").columns).write.mode("append").parquet(f"{where}/_manifest")
-    finally:
-        forget(spark, staging)
-    return spark.read.schema(MANIFEST).parquet(f"{where}/_manifest")
+    made = spark.read.schema(_FILES).parquet(f"{job}/manifest")
+    files = made.where("file_offset is null").select("staged", "file_name", "file_size", "warcinfo_id")
+    files.mapInArrow(run, files.schema).write.format("noop").mode("overwrite").save()
+    sizes = files.select("staged", F.col("file_size").alias("_size"))
+    done = made.where("file_offset is not null").join(sizes, "staged").withColumn("file_size", F.col("_size"))
+    done.select(*_COLUMNS).write.mode("overwrite").parquet(f"{where}/_manifest/{job.rpartition('/')[2]}")
+    discard(job)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each record that write_archives has published below the folder."""
+    return spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{_where(on_default(spark, folder))}/_manifest")
+
+
+def recover(spark: SparkSession, folder: str, *, abandoned: bool = False) -> dict[str, str]:
+    """Ends jobs below a folder whose driver was lost: those with a journal are finished. Those without may still
+    be at work; they are undone if `abandoned` says that none is. Gives what became of each: finished, undone or open."""
+    where, out = _where(on_default(spark, folder)), {}
+    for job, journal in jobs(where):
+        name = job.rpartition("/")[2]
+        if journal and "manifest" in journal:
+            _publish_all(spark, where, job)
+            out[name] = "finished"
+        elif finish_moves(job):
+            out[name] = "finished"
+        elif abandoned:
+            discard(job)
+            out[name] = "undone"
+        else:
+            out[name] = "open"
+    return out
 
 
 def plan_files(records: DataFrame, *, order: tuple[str, ...], max_file_size: int, size: Column, estimated: Column, writers: int = 1, writer: Column | None = None) -> DataFrame:
