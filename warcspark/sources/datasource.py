@@ -4,9 +4,10 @@
     spark.read.format("warc").option("spec", "fail").load("/archives/*.warc.gz")
 
 Reading gives the columns of schema.FRAMED (shape them with operators.parse.typed, or use
-`load`). Each file is a partition; with the option `index` (a Parquet table of file_path,
-record_offset, record_size) files are cut at record starts into ranges of about
-`rangeBytes`. Files are read in pieces, so their size doesn't matter. Options: `offset` (start of
+`load`). Each file is a partition; `load` with `split_bytes` cuts files into ranges of about that size,
+compressed ones too, and with the option `index` (a Parquet table of file_path,
+record_offset, record_size) at record starts, of about `rangeBytes`. Cuts come to the reader as a table (option
+`cuts`); the option `index` alone is read by the driver. Files are read in pieces, so their size doesn't matter. Options: `offset` (start of
 every file), `readBlock` (false skips blocks), `path`, `types` (record types to keep, separated by
 commas), and all of WarcOptions. A filter on record_type or is_gzip is not needed for results,
 only `types` saves sending rows.
@@ -35,6 +36,7 @@ from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,6 +49,7 @@ from ..storage import on_default
 from .commit import attempt_folder, begin, discard, finish_moves, move_all, open_folder, read_json, record, there, write_once
 from .framing import frames
 from .sink import Writer, WriterOptions, format_name
+from .splits import RawFile, index_ranges, split_ranges, stored
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -75,23 +78,8 @@ class Range(InputPartition):
     end: int | None  # records that begin before it
 
 
-class _Skip:
-    """A raw stream from some place on."""
-
-    def __init__(self, path: str, start: int) -> None:
-        fs, at = file_system(path)
-        self._in = fs.open_input_file(at)
-        self._in.seek(min(start, self._in.size()))
-
-    def read(self, n: int) -> bytes:
-        return self._in.read(n)
-
-    def close(self) -> None:
-        self._in.close()
-
-
 def read_range(part: Range, options: WarcOptions, *, with_block: bool, types: frozenset[str]) -> Iterator[dict]:
-    raw = _Skip(part.path, part.start)
+    raw = RawFile(part.path, part.start)
     try:
         for row in frames(raw, options, offset=part.start, path=part.path, with_block=with_block):
             if part.end is not None and row["record_offset"] >= part.end:
@@ -115,9 +103,14 @@ class _Reading:
         self.start = int(low.get("offset", "0"))
         self.with_block = low.get("readblock", "true").lower() not in ("false", "0", "no")
         self.types = frozenset(t.strip().lower() for t in low.get("types", "").split(",") if t.strip())
-        self.index, self.range_bytes = low.get("index"), int(low.get("rangebytes", str(128 << 20)))
+        self.cuts, self.index, self.range_bytes = low.get("cuts"), low.get("index"), int(low.get("rangebytes", str(128 << 20)))
 
     def ranges(self) -> list[Range]:
+        if self.cuts:
+            fs, at = open_folder(self.cuts)
+            parts = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet")]
+            rows = [r for f in parts for r in pq.read_table(f, filesystem=fs).to_pylist()]
+            return [Range(r["path"], r["start"], r["end"]) for r in sorted(rows, key=lambda r: (r["path"], r["start"]))]
         files = list_files(self.path)
         if not self.index:
             return [Range(p, self.start, None) for p, _ in files]
@@ -393,9 +386,17 @@ class WarcDataSource(DataSource):
         return WarcStreamWriter(dict(self.options))
 
 
-def load(spark: SparkSession, path: str, options: WarcOptions | None = None, **more: str) -> DataFrame:
-    """Records of files by the data source, with all columns."""
+def load(spark: SparkSession, path: str, options: WarcOptions | None = None, *, split_bytes: int | None = None, **more: str) -> DataFrame:
+    """Records of files by the data source, with all columns. With split_bytes a file is read in ranges of about that
+    size, with the option `index` in ranges of `rangeBytes`; both are worked out by a Spark job first."""
     spark.dataSource.register(WarcDataSource)
-    o = options or WarcOptions()
+    o, path = options or WarcOptions(), on_default(spark, path)
+    low = {k.lower(): k for k in more}
+    begin = int(more.get(low.get("offset"), "0"))
+    if split_bytes:
+        more["cuts"] = stored(split_ranges(spark, list_files(path), o, begin=begin, split=split_bytes))
+    elif "index" in low:
+        size = int(more.get(low.get("rangebytes"), str(128 << 20)))
+        more["cuts"] = stored(index_ranges(spark, list_files(path), spark.read.parquet(more.pop(low["index"])), begin=begin, split=size))
     given = {k: str(getattr(o, k)) for k in ("syntax", "spec", "unknown_type", "max_block_bytes")}
-    return typed(spark.read.format("warc").options(**given, **more).load(on_default(spark, path)), o)
+    return typed(spark.read.format("warc").options(**given, **more).load(path), o)
