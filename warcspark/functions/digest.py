@@ -122,9 +122,18 @@ def compute(data: Column | str, algorithm: Column, encoding: Column) -> Column:
     for a in SIZES:
         h = hex_digest(data, a)
         hexed = F.when(algorithm == a, h) if hexed is None else hexed.when(algorithm == a, h)
+    return _coded(hexed, encoding)
+
+
+def _coded(hexed: Column, encoding: Column) -> Column:
     return let(hexed, lambda h: F.when(encoding == "base16", h).when(encoding == "base32", base32_any(h)).when(encoding == "base64", base64_of_hex(h)))
 
 
+def encoded(raw: Column, encoding: Column) -> Column:
+    """A digest value from the digest's bytes."""
+    return _coded(F.lower(F.hex(raw)), encoding)
+
+
 def format_field(algorithm: Column | str, value: Column | str) -> Column:
     return F.concat(_c(algorithm), F.lit(":"), _c(value))
 

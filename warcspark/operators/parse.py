@@ -110,12 +110,13 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     is_http = F.col("block_kind").isin("http_request", "http_response")
     df = df.withColumn("_cut", F.when(is_http, B.http_head_length("block")))  # null for all but HTTP blocks
     http = F.col("_cut").isNotNull()
-    df = df.withColumn("_open", F.coalesce(F.col("_cut") == 0, F.lit(False)))
+    # of a block that goes on beyond what the row holds nobody says that its header has no end
+    df = df.withColumn("_open", F.coalesce((F.col("_cut") == 0) & F.col("whole").isNull(), F.lit(False)))
     missing = V._some(F.when(F.col("_open"), V.finding("syntax", "the HTTP header has no empty line at its end", kind="http_headers")))
     short = http & (F.octet_length("block") < 4)
     df = df.withColumn("error", F.coalesce(F.col("error"), F.when(short, F.struct(F.lit("http").alias("kind"), F.lit("the block is too short for an HTTP message").alias("msg")))))
     if options.fix_syntax_errors:
-        fixable = F.col("_open") & ~short
+        fixable = F.col("_open") & ~short & F.col("whole").isNull()
         longer = lambda h: H.set_(h, "Content-Length", (F.coalesce(H.get_int64(h, "Content-Length"), F.lit(0)) + 2).cast("string"))
         df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(fixable, longer(h)).otherwise(h)))
         df = df.withColumn("block", F.when(fixable, F.concat("block", F.lit(b"\r\n"))).otherwise(F.col("block")))
@@ -127,7 +128,7 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     text = F.when(F.col("block_kind") == "warc_fields", F.decode("block", "UTF-8"))
     df = df.withColumn("warc_fields", H.parse_lenient(text, words=True).cast(FIELDS))
     df = df.withColumn("_fields_found", F.coalesce(F.when(F.col("block_kind") == "warc_fields", V.line_findings(text)), V.no_findings()))
-    loose = F.size("_fields_found") > 0
+    loose = (F.size("_fields_found") > 0) & F.col("whole").isNull()
     fields_found = F.col("_fields_found")
     if options.fix_warc_fields:
         df = df.withColumn("block", F.when(loose, F.encode(H.serialize("warc_fields"), "UTF-8")).otherwise(F.col("block")))
@@ -135,13 +136,16 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     df = V.validate_digests(df, options)
     df = df.withColumn("validation", F.concat("validation", "after"))
     df = V.apply_policies(df, options)
-    df = df.withColumn("block_size", F.octet_length("block").cast("long"))
+    df = df.withColumn("block_size", F.coalesce(F.col("whole.size"), F.octet_length("block").cast("long")))
+    large = F.col("whole").isNotNull()
+    default = F.lit(options.default_algorithm)
+    ready = lambda part: D.format_field(default, D.encoded(F.try_element_at(f"whole.{part}", default), F.lit(options.default_encoding)))
     own = H.get("headers", "WARC-Block-Digest")
-    same = let(D.parse_field(own, options.default_encoding), lambda p: D.format_field(p["algorithm"], D.compute("block", p["algorithm"], p["encoding"])))
+    same = let(D.parse_field(own, options.default_encoding), lambda p: D.format_field(p["algorithm"], F.when(large, D.encoded(F.try_element_at("whole.block", p["algorithm"]), p["encoding"])).otherwise(D.compute("block", p["algorithm"], p["encoding"]))))
     sound = F.col("block").isNotNull() & ~F.coalesce(F.col("block_truncated"), F.lit(False))
-    df = df.withColumn("block_digest", F.when(sound, F.coalesce(same, D.digest_field("block", options.default_algorithm, options.default_encoding))))
+    df = df.withColumn("block_digest", F.when(sound, F.coalesce(same, D.digest_field("block", options.default_algorithm, options.default_encoding))).when(large, F.coalesce(same, ready("block"))))
     said = H.get("headers", "WARC-Payload-Digest")
-    computed = F.when(http & sound, D.digest_field("payload", options.default_algorithm, options.default_encoding)).when((F.col("record_type_code") == 4) & sound, F.col("block_digest"))
+    computed = F.when(http & sound, D.digest_field("payload", options.default_algorithm, options.default_encoding)).when(http & large, ready("payload")).when((F.col("record_type_code") == 4) & (sound | large), F.col("block_digest"))
     df = df.withColumn("payload_digest", F.coalesce(said, computed))
     named = {
         "record_type": H.type_name("record_type_code"),

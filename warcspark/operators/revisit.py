@@ -86,7 +86,7 @@ def _joined(revisits: DataFrame, records: DataFrame) -> DataFrame:
     own = H.get_id("headers", "WARC-Record-ID")
     r = revisits.withColumn("_to", H.get_id("headers", "WARC-Refers-To"))
     counts = records.select(own.alias("_id")).where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    target = records.select(own.alias("_target"), F.struct("headers", "block", "block_kind", "payload_offset", "record_type").alias("_r"))
+    target = records.select(own.alias("_target"), F.struct("headers", "block", "block_kind", "payload_offset", "record_type", "block_truncated").alias("_r"))
     found = r.join(counts, F.col("_to") == F.col("_id"), "left").drop("_id")
     return found.join(target, (F.col("_to") == F.col("_target")) & (F.col("_n") == 1), "left")
 
@@ -108,6 +108,7 @@ def merge(revisits: DataFrame, records: DataFrame, options: WarcOptions | None =
         .when(F.col("_target").isNull(), _error("merge", "no record has the id that is referred to"))
         .when(F.col("block_kind") != "revisit", _error("merge", "the block wasn't parsed as that of a revisit"))
         .when(~r["block_kind"].isin("http_request", "http_response"), _error("merge", "only records with HTTP blocks can be merged into"))
+        .when(F.coalesce(r["block_truncated"], F.lit(False)), _error("merge", "a row doesn't hold all of the block that is referred to"))
         .when(H.get_int64(r["headers"], "Content-Length").isNull(), _error("merge", "the length of the record that is referred to can't be read"))
     )
     d = d.withColumn("_wrong", wrong).withColumn("_do", F.col("_wrong").isNull())

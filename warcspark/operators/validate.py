@@ -12,7 +12,7 @@ from ..functions import digest as D
 from ..functions import fields as H
 from ..functions import let, lookup
 from ..options import FAIL, IGNORE, WARN, WarcOptions
-from ..schema import FIELD_RULES, FINDING, FINDINGS, REPEATABLE, REQUIRED
+from ..schema import FIELD_RULES, FINDING, FINDINGS, REPEATABLE, REQUIRED, WHOLE
 
 
 def finding(category: str, msg: Column | str, *, kind: str | None = None, field: Column | str | None = None, expected: Column | None = None, actual: Column | None = None) -> Column:
@@ -210,9 +210,9 @@ def line_findings(text: Column) -> Column:
     return let(F.split(text, "\n"), of)
 
 
-def _digest_step(headers: Column, field: str, what: str, data: Column, where: Column, options: WarcOptions) -> Column:
+def _digest_step(headers: Column, field: str, what: str, data: Column, ready: Column, where: Column, options: WarcOptions) -> Column:
     """STRUCT<headers, finding, unsupported> after looking at one digest field; headers is used once only, so
-    that steps in a row stay small however the optimizer puts them together."""
+    that steps in a row stay small however the optimizer puts them together. ready has digests that are known already."""
 
     def said(h: Column) -> Column:
         given = F.coalesce(H.get(h, field), F.lit(""))
@@ -222,7 +222,7 @@ def _digest_step(headers: Column, field: str, what: str, data: Column, where: Co
     def done(s: Column) -> Column:
         # nothing is hashed where the header says nothing and nothing is added
         asked = F.lit(True) if options.add_missing_digest else s["p"]["value"] != ""
-        return F.struct(s["h"].alias("h"), s["p"].alias("p"), F.when(asked, D.compute(data, s["p"]["algorithm"], s["p"]["encoding"])).alias("right"))
+        return F.struct(s["h"].alias("h"), s["p"].alias("p"), F.when(asked, F.when(ready.isNotNull(), D.encoded(F.try_element_at(ready, s["p"]["algorithm"]), s["p"]["encoding"])).otherwise(D.compute(data, s["p"]["algorithm"], s["p"]["encoding"]))).alias("right"))
 
     def judged(s: Column) -> Column:
         p, right = s["p"], s["right"]
@@ -243,13 +243,15 @@ def _digest_step(headers: Column, field: str, what: str, data: Column, where: Co
 def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "validation") -> DataFrame:
     """Checks and repairs length and digests of records with headers, block, payload, block_kind, record_type_code.
 
-    Appends to the array column `findings`. Unsupported algorithms leave an error under any policy. Blocks that were
-    cut are not what the header speaks of, so nothing is checked, repaired or added there.
+    Appends to the array column `findings`. Unsupported algorithms leave an error under any policy. Of blocks that a
+    row holds the beginning of, framing has taken size and digests of the whole; where there are none, nothing is done.
     """
     with_error = "error" in df.columns
     whole = ~F.coalesce(F.col("block_truncated"), F.lit(False)) if "block_truncated" in df.columns else F.lit(True)
+    known = F.col("whole") if "whole" in df.columns else F.lit(None).cast(WHOLE)
+    whole = whole | known.isNotNull()
     df = df.withColumn("_sound", F.when(whole, F.col("block")))
-    size = F.octet_length("_sound").cast("long")
+    size = F.coalesce(known["size"], F.octet_length("_sound").cast("long"))
     if options.spec != IGNORE:
         said = H.get("headers", "Content-Length")
         found = let(said, lambda v: F.when(v.isNotNull() & F.col("_sound").isNotNull() & (v != size.cast("string")), finding("spec", F.concat(F.lit("the block has "), size.cast("string"), F.lit(" bytes, the header says "), v), kind="content_length", field="Content-Length", expected=v, actual=size)))
@@ -258,8 +260,9 @@ def validate_digests(df: DataFrame, options: WarcOptions, *, findings: str = "va
             df = df.withColumn("headers", let(F.col("headers"), lambda h: F.when(F.col("_sound").isNotNull() & (H.get(h, "Content-Length") != size.cast("string")), H.set_(h, "Content-Length", size.cast("string"))).otherwise(h)))
     about = F.struct(F.col("record_type_code").alias("code"), F.col("block_kind").alias("kind"), H.has("headers", "WARC-Segment-Number").alias("part"))
     has_payload = let(about, lambda a: F.coalesce((a["code"] != 32) & ~a["part"] & (a["kind"].isin("http_request", "http_response") | ((a["code"] == 4) & (a["kind"] == "generic"))), F.lit(False)))
-    for what, field, data, where in (("block", "WARC-Block-Digest", F.col("_sound"), whole), ("payload", "WARC-Payload-Digest", F.when(whole, F.col("payload")), has_payload & whole)):
-        df = df.withColumn("_step", _digest_step(F.col("headers"), field, what, data, where, options))
+    headless = known.isNotNull() & (F.size(known["payload"]) == 0)  # an HTTP header that goes on beyond what the row holds
+    for what, field, data, ready, where in (("block", "WARC-Block-Digest", F.col("_sound"), known["block"], whole), ("payload", "WARC-Payload-Digest", F.when(whole, F.col("payload")), known["payload"], has_payload & whole & ~F.coalesce(headless, F.lit(False)))):
+        df = df.withColumn("_step", _digest_step(F.col("headers"), field, what, data, ready, where, options))
         more = {"headers": F.col("_step.headers"), findings: F.concat(findings, _some(F.col("_step.finding")))}
         if with_error:
             wrong = F.struct(F.lit("digest").alias("kind"), F.concat(F.lit("no digest can be computed by "), F.split_part(H.get("headers", field), F.lit(":"), F.lit(1))).alias("msg"))

@@ -30,7 +30,8 @@ class WarcOptions:
     fix_syntax_errors: bool = False
     fix_warc_fields: bool = False
     parse_block: bool = True
-    #: Blocks beyond this are cut, and block_truncated says so; a row holds less than 2 GB.
+    #: A row holds this much of a block, and block_truncated says so where there is more; sizes and digests are those of
+    #: the whole block, and sources.datasource.block_chunks gives all of it. A row holds less than 2 GB.
     max_block_bytes: int = 1 << 30
     #: Blank out invalid and illegal values, as strict consumers want; else they stay beside the finding.
     blank_invalid: bool = False

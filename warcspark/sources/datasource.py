@@ -38,6 +38,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -47,7 +48,7 @@ from ..options import FAIL, WarcOptions
 from ..schema import FRAMED
 from ..storage import on_default
 from .commit import attempt_folder, begin, discard, finish_moves, move_all, open_folder, read_json, record, there, write_once
-from .framing import frames
+from .framing import chunks, frames
 from .sink import Writer, WriterOptions, format_name
 from .splits import RawFile, index_ranges, split_ranges, stored
 
@@ -400,3 +401,21 @@ def load(spark: SparkSession, path: str, options: WarcOptions | None = None, *,
         more["cuts"] = stored(index_ranges(spark, list_files(path), spark.read.parquet(more.pop(low["index"])), begin=begin, split=size))
     given = {k: str(getattr(o, k)) for k in ("syntax", "spec", "unknown_type", "max_block_bytes")}
     return typed(spark.read.format("warc").options(**given, **more).load(path), o)
+
+
+def block_chunks(records: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """The blocks of records of any size, given by file_path and record_offset: file_path, record_offset, number (from 0),
+    chunk_offset and data of each piece. A task holds one piece at a time; a record is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file_path", "record_offset", "number", "chunk_offset", "data"]
+        for b in batches:
+            for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = RawFile(path, at)
+                try:
+                    for k, piece in enumerate(chunks(raw, chunk_bytes)):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at], pa.int64()), pa.array([k], pa.int64()), pa.array([k * chunk_bytes], pa.int64()), pa.array([piece], pa.binary())], names)
+                finally:
+                    raw.close()
+
+    return records.select("file_path", F.col("record_offset").cast("long")).mapInArrow(run, "file_path string, record_offset long, number long, chunk_offset long, data binary")

@@ -7,6 +7,7 @@ Input is read in pieces and one record is held at a time.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -226,12 +227,68 @@ def _number(headers: list[dict[str, str]], name: str) -> int:
     return n if len(digits) < 20 and (n := int(digits)) < 1 << 63 else 0
 
 
+#: The algorithms of digests.
+_ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
+
+
+def _said(headers: list[dict[str, str]], name: str) -> str | None:
+    return next((h["value"] for h in headers if h["name"] == name), None)
+
+
+def _head_length(data: bytes) -> int | None:
+    """Bytes up to and with the first line of at most one byte and a line feed; None if there is none."""
+    at = 0
+    while (end := data.find(b"\n", at)) >= 0:
+        if end - at < 2:
+            return end + 1
+        at = end + 1
+    return None
+
+
+def _hash_on(src: Bytes, headers: list[dict[str, str]], held: bytes, left: int, options: WarcOptions) -> dict:
+    """Size and digests of a block of which `held` is read and `left` bytes are not; none of them are kept."""
+    wanted = {options.default_algorithm}
+    for name in ("WARC-Block-Digest", "WARC-Payload-Digest"):
+        if said := _said(headers, name):
+            algorithm = said.partition(":")[0].lower() or "sha256"
+            wanted.add({"sha-1": "sha1", "sha-256": "sha256", "sha-512": "sha512"}.get(algorithm, algorithm))
+    block = {a: hashlib.new(a, held) for a in _ALGORITHMS if a in wanted}
+    http = (_said(headers, "Content-Type") or "").lower().startswith("application/http")
+    cut = _head_length(held) if http else None
+    payload = {a: hashlib.new(a, held[cut:]) for a in block} if cut is not None else {}
+    size = len(held)
+    while left and (piece := src.take(min(left, PIECE))):
+        for h in (*block.values(), *payload.values()):
+            h.update(piece)
+        left, size = left - len(piece), size + len(piece)
+    digests = lambda found: [(a, h.digest()) for a, h in found.items()]
+    return {"size": size, "block": digests(block), "payload": digests(payload if http else block)}
+
+
+def open_record(raw: BinaryIO) -> tuple[Bytes, list[dict[str, str]]]:
+    """The stream behind the header of the record that starts here, and the header."""
+    src = Bytes(raw)
+    inner = Member(src) if src.peek(2) == _GZIP else src
+    if not inner.line().startswith(_WARC):
+        raise Corrupt("no version line starts the record")
+    return inner, parse_fields(inner, Findings(WarcOptions.no_validation()), 1)
+
+
+def chunks(raw: BinaryIO, size: int) -> Iterator[bytes]:
+    """The block of the record that starts here, in pieces of `size` bytes, the last of which may be shorter."""
+    inner, headers = open_record(raw)
+    left = _number(headers, "Content-Length")
+    while left and (piece := inner.take(min(left, size))):
+        yield piece
+        left -= len(piece)
+
+
 def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str | None = None, with_block: bool = True, one: bool = False) -> Iterator[dict]:
     """A row for each record of a stream; a fatal error ends it with a row that has `error`."""
     src = Bytes(raw)
     while True:
         before, after = Findings(options), Findings(options)
-        row: dict = {"file_path": path, "record_offset": offset + src.taken, "record_size": 0, "skipped_bytes": 0, "is_gzip": None, "version": None, "version_major": None, "version_minor": None, "headers": None, "block": None, "block_truncated": None, "before": before, "after": after, "error": None}
+        row: dict = {"file_path": path, "record_offset": offset + src.taken, "record_size": 0, "skipped_bytes": 0, "is_gzip": None, "version": None, "version_major": None, "version_minor": None, "headers": None, "block": None, "block_truncated": None, "whole": None, "before": before, "after": after, "error": None}
         start = src.taken
         try:
             if len(head := src.peek(5)) < 5:
@@ -265,7 +322,10 @@ def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str |
             held = min(length, options.max_block_bytes) if with_block else 0
             row["block"] = inner.take(held) if with_block else None
             row["block_truncated"] = with_block and held < length
-            inner.skip(length - held)
+            if row["block_truncated"]:
+                row["whole"] = _hash_on(inner, row["headers"], row["block"], length - held, options)
+            else:
+                inner.skip(length - held)
             _end_mark(inner, after)
             if row["is_gzip"]:
                 inner.drain()
