@@ -22,7 +22,7 @@ from ..operators import validate as V
 from ..operators.build import build_records, http_response, marshal
 from ..options import WarcOptions
 from ..sources import sink as K
-from ..sources.datasource import WarcDataSource, load
+from ..sources.datasource import WarcDataSource, block_chunks, load
 from ..sources.udtf import register
 from ..storage import scratch
 from ..streaming import first_captures, sessions, windowed_counts
@@ -697,6 +697,54 @@ def q77_index_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, folder, index=index, rangeBytes="65536").select(_page(), "record_type", "content_length")
 
 
+def _written(spark: SparkSession, sf: str, name: str, writers: int = 4) -> str:
+    """Captures in files that are as large as their writers' shares."""
+    folder = scratch(spark, name)
+    K.write_archives(captures(spark, sf), folder, K.WriterOptions(max_file_size=0, host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)), writers=writers)
+    return folder
+
+
+def q78_split_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Compressed files cut into ranges without an index: each record once."""
+    r = load(spark, _written(spark, sf, "split"), split_bytes=65536)
+    return r.select(_page(), "record_type", "content_length", F.size("validation").alias("findings"), F.col("error.kind").alias("error"))
+
+
+def q79_large_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of which rows hold 512 bytes: size and digest of the whole, and all of it in chunks."""
+    r = load(spark, _written(spark, sf, "large"), WarcOptions(max_block_bytes=512)).select(_page(), "file_path", "record_offset", "block_size", "block_digest", F.size("validation").alias("findings"))
+    c = block_chunks(r, 1000).groupBy("file_path", "record_offset").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("chunk_bytes"))
+    return r.join(c, ["file_path", "record_offset"]).drop("file_path", "record_offset")
+
+
+def q80_stream_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that stream into archives, and back."""
+    spark.dataSource.register(WarcDataSource)
+    folder, state = scratch(spark, "sink"), scratch(spark, "sink-state")
+    schema = spark.read.parquet(f"{sf}/pages.parquet").schema
+    made = captures_of(spark.readStream.schema(schema).parquet(f"{sf}/pages.parquet*")).select("version", "headers", "block")
+    made.writeStream.format("warc").option("path", folder).option("host", "example").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return load(spark, folder).select(_page(), "block_size", F.size("validation").alias("findings"))
+
+
+def q81_write_format(spark: SparkSession, sf: str) -> DataFrame:
+    """df.write.format("warc"), each record synced, files rolled by size."""
+    spark.dataSource.register(WarcDataSource)
+    folder = scratch(spark, "format")
+    w = captures(spark, sf).select("version", "headers", "block").write.format("warc").mode("append")
+    w.option("path", folder).option("prefix", "p-").option("host", "example").option("flush", "true").option("maxFileSize", str(1 << 20)).save()
+    return load(spark, f"{folder}/p-*.gz").select(_page(), "block_size", F.size("validation").alias("findings"))
+
+
+def q82_long_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts, paths and numbers of ten thousand letters, made from the pages' own."""
+    p, n = _t(spark, sf, "pages"), 10_000
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    values = {"path": F.concat("url", F.lit("/"), F.repeat(F.lit("a%41"), n)), "host": F.concat(F.lit("http://"), F.repeat(F.concat(host, F.lit(".")), n // 10), host), "no_host": F.concat(F.lit("http://"), F.repeat(F.lit("a"), n), F.lit("|"), host), "blanks": F.concat("url", F.repeat(F.lit(" "), n), F.lit("x"), F.repeat(F.lit(" "), n))}
+    numbers = {"zeros": F.concat(F.repeat(F.lit("0"), n), F.col("page_id") % 8), "digits": F.concat(F.col("page_id") + 1, F.repeat(F.lit("9"), n)), "hexadecimal": F.concat(F.lit("0x"), F.repeat(F.lit("_0"), n), F.hex("page_id"))}
+    return p.select("page_id", *[V.is_uri(v).alias(k) for k, v in values.items()], *[V.is_long(v).alias(k) for k, v in numbers.items()])
+
+
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
 _HTTP = f"(strlen('HTTP/1.1 ') + strlen({_HEAD}) + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4)"
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '')"
@@ -804,6 +852,12 @@ ORACLE_SQL = {
     "q75_urls": f"SELECT event_id, {_pick('event_id', _quoted(u for u, _ in _URLS))} AS given, {_pick('event_id', [b for _, b in _URLS])} = 1 AS ok FROM events",
     "q76_names_in_both_parsers": f"SELECT page_id, {_pick('page_id', _quoted(v for _, v in _SPELLED))} AS lenient, {_pick('page_id', _quoted(v for _, v in _SPELLED))} AS strict FROM pages",
     "q77_index_ranges": f"SELECT page_id, 'response' AS record_type, CAST({_HTTP} + strlen(html) AS BIGINT) AS content_length FROM pages",
+    "q78_split_archives": f"SELECT page_id, 'response' AS record_type, CAST({_HTTP} + strlen(html) AS BIGINT) AS content_length, 0 AS findings, CAST(NULL AS VARCHAR) AS error FROM pages",
+    "q79_large_blocks": f"""SELECT page_id, CAST(strlen(b) AS BIGINT) AS block_size, 'sha256:' || sha256(b) AS block_digest, 0 AS findings, CAST(ceil(strlen(b) / 1000.0) AS BIGINT) AS chunks, CAST(strlen(b) AS BIGINT) AS chunk_bytes
+        FROM (SELECT page_id, 'HTTP/1.1 ' || {_HEAD} || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS b FROM pages)""",
+    "q80_stream_sink": f"SELECT page_id, CAST({_HTTP} + strlen(html) AS BIGINT) AS block_size, 0 AS findings FROM pages",
+    "q81_write_format": f"SELECT page_id, CAST({_HTTP} + strlen(html) AS BIGINT) AS block_size, 0 AS findings FROM pages",
+    "q82_long_values": "SELECT page_id, true AS path, true AS host, false AS no_host, true AS blanks, true AS zeros, false AS digits, true AS hexadecimal FROM pages",
     "q67_sessions": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events),
         s AS (SELECT user_id, ts, sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e),
         g AS (SELECT user_id, k, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS ends FROM s GROUP BY 1, 2)
