@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import forget, scratch
 
@@ -67,6 +68,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], base: str = "_") -> str:
+    """A prefix that no column begins with, whatever its case."""
+    while any(c.lower().startswith(base) for c in columns):
+        base += "_"
+    return base
+
+
+def column(name: str) -> Column:
+    """The column of just this name, with dots and other odd letters."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_beside(docs: DataFrame, keep: tuple[str, ...], outputs: list[str]) -> list[str]:
+    """Columns to keep beside outputs, which replace those of their name."""
+    gone = {o.lower() for o in outputs}
+    return [c for c in keep if c.lower() not in gone]
+
+
+def mapped(docs: DataFrame, kept: list[str], text: str, run: Callable, new: dict[str, T.DataType]) -> DataFrame:
+    """docs' columns to keep and new ones, from a function of batches of those and the text, which stands last. Within, names
+    are plain, as columns may have any."""
+    d = docs.select(*[column(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text).cast("string").alias("text"))
+    schema = T.StructType([*d.schema.fields[:-1], *(T.StructField(f"n{i}", t) for i, t in enumerate(new.values()))])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, made in run(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema.names)
+
+    return d.mapInArrow(named, schema).toDF(*kept, *new)
+
+
+def comparable(docs: DataFrame, name: str) -> Column:
+    """The column, or where its type can't be compared or hashed (maps, variants) its JSON text."""
+    kind = docs.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(column(name))) if "map<" in kind or "variant" in kind else column(name)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null. Native."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

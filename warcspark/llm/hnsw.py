@@ -5,9 +5,8 @@ coordinate that makes them equally long, so the graph is one of a true metric; a
 zero there. Layer
 l holds each vector with a chance of LINKS ** -l; a layer is a flat array of neighbours, a row
 of LINKS (twice as many on the ground) for each vector, filled with -1. Vectors enter in
-batches. As a shard is small, the EF_BUILD nearest of those that are in the layer, and of the
-batch, come from one matrix product, which finds them surely and in a fraction of the time of
-a search in the graph. Of these candidates diverse ones are kept: one that is nearer to one
+batches: each goes down the layers and searches those it stands in for the EF_BUILD nearest found of the graph so far;
+those of its own batch, which aren't linked yet, join them by a product within the batch. Of these candidates diverse ones are kept: one that is nearer to one
 already kept than to the vector itself comes last. Rows that links back overfill are pruned by
 the same rule. Queries search the layers with arrays in place of queues, many at once.
 
@@ -124,26 +123,28 @@ class Graph:
         done = 1
         while done < n:
             end = min(n, done + max(8, min(BATCH, done // 2)))
-            # those of high levels enter first, so a layer's members stand at the beginning of the order
-            for k in range(int(level[order[done]]) + 1):
-                last = int(np.searchsorted(-level[order], -k, side="right"))
-                if done < last:
-                    self._insert(k, order[: min(end, last)], done, ef)
+            self._enter(order[done:end], level[order[done:end]], ef)
             done = end
 
-    def _insert(self, k: int, members: np.ndarray, done: int, ef: int) -> None:
-        """Links the members from `done` on into layer k, whose other members are the first ones."""
-        batch, most = members[done:], self.layers[k].shape[1]
-        s = self.x[batch] @ self.x[members].T
-        s[np.arange(len(batch)), np.arange(done, len(members))] = -np.inf
-        c = min(max(ef, 2 * most), len(members) - 1)
-        best = np.argpartition(-s, c - 1, axis=1)[:, :c]
-        score = np.take_along_axis(s, best, 1)
-        near = np.argsort(-score, axis=1, kind="stable")[:, : 2 * most]
-        cand = members[np.take_along_axis(best, near, 1)].astype(np.int32)
-        chosen = diverse(self.x, cand, np.take_along_axis(score, near, 1), most // 2 if k == 0 else most)
-        self.layers[k][batch, : chosen.shape[1]] = chosen
-        self._back(k, batch, chosen)
+    def _enter(self, batch: np.ndarray, level: np.ndarray, ef: int) -> None:
+        """Links a batch, which stands in order of falling levels, into all of its layers, from above."""
+        q = self.x[batch]
+        entry = np.full((len(batch), 1), self.entry, np.int32)
+        for k in range(len(self.layers) - 1, -1, -1):
+            here = int(np.searchsorted(-level, -k, side="right"))  # so many of the batch stand in this layer
+            ids, score = beam(self.x, self.layers[k], q, entry, ef if here else WIDTH)
+            entry = ids[:, : max(WIDTH, ef // 8)]
+            if not here:
+                continue
+            most = self.layers[k].shape[1]
+            own = q[:here] @ q[:here].T
+            np.fill_diagonal(own, -np.inf)
+            ids = np.concatenate([ids[:here], np.where(np.eye(here, dtype=bool), -1, batch[None, :here])], 1)
+            score = np.where(ids >= 0, np.concatenate([score[:here], own], 1), -np.inf)
+            near = np.argsort(-score, axis=1, kind="stable")[:, : 2 * most]
+            chosen = diverse(self.x, np.take_along_axis(ids, near, 1).astype(np.int32), np.take_along_axis(score, near, 1), most // 2 if k == 0 else most)
+            self.layers[k][batch[:here], : chosen.shape[1]] = chosen
+            self._back(k, batch[:here], chosen)
 
     def _back(self, k: int, nodes: np.ndarray, chosen: np.ndarray) -> None:
         """Links back to nodes; rows that overflow keep diverse ones."""
@@ -185,6 +186,7 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> np.ndarray:
         """Rows of the k nearest found to each query, -1 where fewer; best first by the graph's own scores."""
+        q = q / np.maximum(np.abs(q).max(axis=1, keepdims=True), np.finfo(float).tiny)  # so that no length is beyond single precision
         q = np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
         entry = np.full((len(q), 1), self.entry, np.int32)
         for layer in reversed(self.layers[1:]):

@@ -18,7 +18,8 @@ follows the text's length and CHUNK times the number of languages, not their pro
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the
 language first in code-point order; without any labelled text everything is `und`; repeated
-rows are scored one by one; empty tables give empty results; other columns don't matter.
+rows are scored one by one; texts of any length are scored as a whole, in pieces; empty tables give empty
+results; other columns, of any type, don't matter: those to keep give way to outputs of their name.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import claim_cache, crc_mod, hash_unit, sliced
+from .common import claim_cache, crc_mod, hash_unit, kept_beside, mapped, sliced
 
 ORDER, FIT_ROWS, FIT_CHARS, SEED = 4, 300, 64_000_000, 5
 #: Languages that a model holds at most; all labels beyond are an error, not a silent drop.
@@ -234,15 +236,18 @@ def sample(docs: DataFrame, train: Column, rows: int = FIT_ROWS, chars: int = FI
     return out
 
 
-OUT = "lang_pred string, score double, bits_per_byte double"
+OUT = ("lang_pred", "score", "bits_per_byte")
 
 
-def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, lang_pred, score and bits_per_byte of each row of docs, which has a text."""
+def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """keep, lang_pred, score and bits_per_byte of each row of docs, which has a text; the last three, whose names may get
+    a prefix, replace kept columns of their names."""
+    out = [prefix + c for c in OUT]
+    columns = kept_beside(docs, keep, out)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         m = shared.value
         claim_cache("language_id", m.forget)
         for b in sliced(batches):
@@ -264,12 +269,9 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
                 for j, i in enumerate(todo[first:at]):
                     lang[i] = m.languages[best[j]]
                 score[todo[first:at]], bits[todo[first:at]] = share, length.min(1) / np.maximum(n, 1)
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], [*b.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
+            yield b, [pa.array(lang, pa.string()), pa.array(score), pa.array(bits)]
 
-    d = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), OUT])
-    return d.mapInArrow(run, schema)
+    return mapped(docs, columns, "text", run, dict(zip(out, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -22,7 +22,8 @@ quotas has a row for each shard.
 Defined cases: null or empty texts have size 0 and taken 0; a null source is a source of its
 own; repeated rows and null ids count as often as they stand, and rows that are equal in id are
 ordered by size and hash of the text; a source whose target is `cap` times its size is taken
-`cap` times; empty tables give empty results; other columns don't matter.
+`cap` times; texts of any length count as a whole; empty tables give empty results; other columns, of any type, don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, word_count
+from .common import column, comparable, fresh, staged, word_count
 
 BLOCK, SEED, CAP = 8, 20240229, 3
 SHARD_LEAST, SHARDS_FROM, SHARD_MOST = 64, 512, 32768
@@ -87,7 +88,7 @@ def shares(docs: DataFrame, *, same: tuple[str, ...] = ("text",), weights: tuple
     """What the mix takes of each set of equal rows of docs: doc_id, source, h (hash of the columns `same`), copies
     (rows of the set), size, source_size, target, passes (how often each is taken as a whole), and left: the words
     that go on to be taken from the first copy on (less than 1: none)."""
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*same).alias("h"))
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*[comparable(docs, c) for c in same]).alias("h"))
     sizes = staged(d.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
     rows = F.count(F.lit(1))
     shards = F.greatest(F.lit(1), F.ceil(rows / SHARD_MOST), F.least(F.lit(SHARDS_FROM), F.ceil(rows / shard_least))).cast("int")
@@ -112,8 +113,9 @@ def shares(docs: DataFrame, *, same: tuple[str, ...] = ("text",), weights: tuple
 
 def _each(df: DataFrame, n: str, out: str) -> DataFrame:
     """A row for each number below column n, in `out`; however large n is, no array is longer than RUN."""
-    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN)))).withColumn("_run", F.col("_run") * RUN)
-    return runs.withColumn(out, F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN, F.col(n)) - 1))).drop("_run")
+    run = f"{out}_run"
+    runs = df.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN)))).withColumn(run, F.col(run) * RUN)
+    return runs.withColumn(out, F.explode(F.sequence(F.col(run), F.least(F.col(run) + RUN, F.col(n)) - 1))).drop(run)
 
 
 def mix(docs: DataFrame, **how: object) -> DataFrame:
@@ -126,14 +128,15 @@ def mix(docs: DataFrame, **how: object) -> DataFrame:
 def repeated(docs: DataFrame, **how: object) -> DataFrame:
     """The rows of docs (doc_id, text, source and others) as often as the mix takes their words: whole passes, and
     once more where it takes half a row or more. Rows that are equal in all columns share what is taken of them."""
-    cols = docs.columns
+    p, cols = fresh(docs.columns), [column(c) for c in docs.columns]
     size, left = F.col("size"), F.col("left")
     full = F.greatest(F.lit(0), F.least(F.col("copies"), F.floor(left / size)))
     more = F.when((full < F.col("copies")) & (left > 0) & (2 * (left - full * size) >= size), 1).otherwise(0)
     times = F.when(size > 0, F.col("copies") * F.col("passes") + full + more).otherwise(F.lit(0)).cast("long")
-    taken = shares(docs, same=tuple(cols), **how).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("h").alias("_h"), "copies", times.alias("_n")).where("_n > 0")
-    d = docs.withColumn("_hash", F.xxhash64(*cols))
-    d = d.join(taken, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")))
-    once = d.where("copies = 1").select(*cols, "_n")
-    again = d.where("copies > 1").select(*cols, "_n").dropDuplicates()
-    return _each(once.unionByName(again), "_n", "_k").select(*cols)
+    key = [p + c for c in ("i", "s", "h")]
+    taken = shares(docs, same=tuple(docs.columns), **how).select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("h").alias(key[2]), F.col("copies").alias(p + "copies"), times.alias(p + "n")).where(F.col(p + "n") > 0)
+    d = docs.withColumn(p + "hash", F.xxhash64(*[comparable(docs, c) for c in docs.columns]))
+    d = d.join(taken, F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").cast("string").eqNullSafe(F.col(key[1])) & (F.col(p + "hash") == F.col(key[2])))
+    once = d.where(F.col(p + "copies") == 1).select(*cols, p + "n")
+    again = d.where(F.col(p + "copies") > 1).dropDuplicates(key).select(*cols, p + "n")
+    return _each(once.union(again), p + "n", p + "k").select(*cols)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_cache, release, sliced, staged, temporary
+from .common import claim_cache, column, fresh, release, sliced, staged, temporary
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -366,7 +366,7 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """The rows of docs (doc_id, text and others) that stay: of each group that with the smallest id.
 
     Of rows that are equal in id and set the one with the smallest hash of the text stays, and of rows equal in id
-    and text the one whose other columns come first. Rows that share an id but not their set are different documents;
+    and text the one whose columns come first as JSON. Rows that share an id but not their set are different documents;
     rows with a null id are no one's copy and all stay.
     """
     rows, classes, part = _found(docs, percent)
@@ -375,8 +375,10 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     first = classes.join(part, "node", "left").where(F.coalesce("component", "node") == F.col("node")).select(F.col("address").alias("_a"), F.col("node").alias("_n"))
     sets = texts.join(first, (F.col("address") == F.col("_a")) & (F.col("doc_id") == F.col("_n")), "left_semi").unionByName(texts.where("address is null"))
     sets = sets.groupBy("doc_id", "address").agg(F.min(F.struct("text_hash", "_rows")).alias("s"))
-    sets = staged(sets.select(F.col("doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"), "s._rows"), "near-kept")
-    d = docs.where("doc_id is not null").withColumn("_hash_of", text_hash(F.col("text").cast("string")))
-    d = d.join(sets, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_hash_of") == F.col("_hash")))
-    again = d.where("_rows > 1").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
-    return d.where("_rows = 1").select(*docs.columns).unionByName(again).unionByName(docs.where("doc_id is null"))
+    p, cols = fresh(docs.columns), [column(c) for c in docs.columns]
+    sets = staged(sets.select(F.col("doc_id").alias(p + "id"), F.col("s.text_hash").alias(p + "hash"), F.col("s._rows").alias(p + "rows")), "near-kept")
+    d = docs.where("doc_id is not null").withColumn(p + "hash_of", text_hash(F.col("text").cast("string")))
+    d = d.join(sets, (F.col("doc_id").cast("long") == F.col(p + "id")) & (F.col(p + "hash_of") == F.col(p + "hash")))
+    order = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    again = d.where(F.col(p + "rows") > 1).groupBy(p + "id", p + "hash").agg(F.min_by(F.struct(*cols), order).alias("s")).select("s.*")
+    return d.where(F.col(p + "rows") == 1).select(*cols).union(again).union(docs.where("doc_id is null"))

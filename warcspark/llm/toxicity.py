@@ -21,7 +21,8 @@ Defined cases: null and empty texts have no hits and the score of a text without
 document with several labels is toxic if one of them says so; null labels don't count; without
 both classes among the labels, or without any term that tells them apart, every score is the
 share of toxic ones; repeated rows are scored
-one by one, and of rows that repeat an id the model sees the smallest text only; empty tables give empty results; other columns don't matter.
+one by one, and of rows that repeat an id the model sees the smallest text only; texts of any length are read as a whole, as words of one
+Python list; empty tables give empty results; other columns, of any type, don't matter: those to keep give way to outputs of their name.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import claim_cache, crc_mod, hash_unit, sliced, staged, temporary
+from .common import claim_cache, crc_mod, hash_unit, kept_beside, mapped, sliced, staged, temporary
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, SEED = 1500, 4500, 64_000_000, 11
 MIN_DOCS, MIN_GAIN, MIN_PRECISION, MAX_TERMS = 3, 11.5, 0.95, 2000
@@ -305,19 +307,20 @@ def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
 
 
-def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, score, predicted and hits of each row of docs, which has a text."""
+def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """keep, score, predicted and hits of each row of docs, which has a text; the last three, whose names may get a prefix,
+    replace kept columns of their names."""
+    out = [prefix + c for c in ("score", "predicted", "hits")]
+    kept = kept_beside(docs, keep, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         m = shared.value
         claim_cache("toxicity", m._known.clear)
         for b in sliced(batches):
             x = np.array([m.features(t) for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, 5)
             s = m.scores(x)
             hits = np.rint(np.expm1(x[:, 1:])).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits)], [*b.schema.names[:-1], "score", "predicted", "hits"])
+            yield b, [pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits)]
 
-    d = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), "score double, predicted int, hits int"])
-    return d.mapInArrow(run, schema)
+    return mapped(docs, kept, "text", run, dict(zip(out, (T.DoubleType(), T.IntegerType(), T.IntegerType()), strict=True)))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
-#: Rules travel inside the task closure; more than this many belong in a table of their own.
+#: Rules travel as one broadcast; more than this many belong in a table of their own.
 MAX_RULES = 200_000
 
 
@@ -85,22 +85,29 @@ class RuleIndex:
     def __init__(self, rules: Sequence[Rule], counts: dict[str, int]) -> None:
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
-        self.rules = [(r.text, r.verdict, re.compile(r.pattern())) for r in rules]
+        self.rules = rules
+        self._patterns: dict[int, re.Pattern[str]] = {}
         for i, r in enumerate(rules):
             if tokens := r.tokens():
                 self.by_token.setdefault(min(tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
             else:
                 self.always.append(i)
 
+    def _fits(self, i: int, at: str) -> bool:
+        """A rule's pattern is compiled when the rule is a candidate for the first time."""
+        if i not in self._patterns:
+            self._patterns[i] = re.compile(self.rules[i].pattern())
+        return self._patterns[i].match(at) is not None
+
     def judge(self, host: str, path: str) -> tuple[str, str] | None:
         tried = set(self.always)
         for t in url_tokens(host, path):
             tried.update(self.by_token.get(t, ()))
-        fits = [i for i in tried if self.rules[i][2].match(f"{host}#{path}")]
+        fits = [i for i in tried if self._fits(i, f"{host}#{path}")]
         if not fits:
             return None
-        best = min(fits, key=lambda i: (-len(self.rules[i][0]), i))
-        return self.rules[best][0], self.rules[best][1]
+        best = self.rules[min(fits, key=lambda i: (-len(self.rules[i].text), i))]
+        return best.text, best.verdict
 
 
 def filter_urls(df: DataFrame, rules: Sequence[Rule], *, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -108,13 +115,13 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], *, url_col: str = "url", d
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} travel with the tasks")
     wanted = set().union(*(r.tokens() for r in rules)) if rules else set()
-    index_args = (list(rules), token_counts(df, url_col, wanted))
+    shared = df.sparkSession.sparkContext.broadcast((list(rules), token_counts(df, url_col, wanted)))
     out = ["host", "path", "rule", "verdict"]
     keep = [f for f in df.schema.fields if f.name not in out]
     schema = T.StructType(keep + [T.StructField(c, T.StringType()) for c in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(*index_args)
+        index = RuleIndex(*shared.value)
         for b in batches:
             parts = [split_url(u) for u in b.column(b.schema.get_field_index(url_col)).to_pylist()]
             hits = [index.judge(*p) for p in parts]
