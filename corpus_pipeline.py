@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over `documents`; each works on all that the one before kept."""
+"""A corpus pipeline of five stages over `documents`; each works on all that the one before kept.
+
+Stages take documents with any other columns, of any type and name, and all but the last give them back as they were. Null and
+empty texts: language ID lets them go, the others take them. Texts of any length are read as a whole; rows that are equal are
+judged one by one, but near_dedup keeps one of them. Null ids are no one's copy. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warcspark.llm import language_id, mixing, near_dedup, packing, toxicity
-from warcspark.llm.common import drop_staged, staging_path, table
+from warcspark.llm.common import column, drop_staged, fresh, staging_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text that costs more bits a byte than eight, in every language, is worse than noise.
@@ -17,14 +22,16 @@ MAX_BITS = 8.0
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter, or without any likeness to one, go."""
-    found = language_id.identify(docs, language_id.fit_documents(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") <= MAX_BITS)).select(*docs.columns)
+    p = fresh(docs.columns)
+    found = language_id.identify(docs, language_id.fit_documents(docs), keep=tuple(docs.columns), prefix=p)
+    return found.where((F.col(p + "lang_pred") != language_id.UNDETERMINED) & (F.col(p + "bits_per_byte") <= MAX_BITS)).select(*map(column, docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict to be toxic."""
     model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    p = fresh(docs.columns)
+    return toxicity.score(docs, model, keep=tuple(docs.columns), prefix=p).where(F.col(p + "predicted") == 0).select(*map(column, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
