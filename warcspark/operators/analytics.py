@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +84,74 @@ def running_offsets(records: DataFrame, size: Column, *, file: list[str], order:
     return records.withColumn("record_offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 
+def segment_findings(records: DataFrame) -> DataFrame:
+    """origin_id, kind, first and last (segment numbers, or lengths said and found) of what is wrong with segmented records.
+
+    missing: numbers between two segments, or before the first one, that no record has; repeated: a number that several have;
+    unnumbered_origin: continuations whose first record isn't there, or says no number; no_total and total_length: the last
+    segment says no total length, or not the sum of the lengths found (looked at where no number is missing or repeated).
+    Only headers are looked at: a row for each segment with its number and length, no blocks, and no group of them in one row, so
+    records of any number of segments are judged; windows are by origin, and origins are as many as segmented records.
+    """
+    n, length = H.get_int("headers", "WARC-Segment-Number"), H.get_int64("headers", "Content-Length")
+    own, origin = H.get_id("headers", "WARC-Record-ID"), H.get_id("headers", "WARC-Segment-Origin-ID")
+    part = n.isNotNull() | (F.col("record_type") == "continuation")
+    d = records.where(part).select(F.coalesce(origin, own).alias("origin_id"), n.alias("n"), length.alias("length"), H.get_int64("headers", "WARC-Segment-Total-Length").alias("total"))
+    counts = d.groupBy("origin_id", "n").agg(F.count(F.lit(1)).alias("copies"), F.sum("length").alias("length"), F.max("total").alias("total"))
+    order = W.partitionBy("origin_id").orderBy(F.col("n").asc_nulls_first())
+    seen = counts.withColumn("before", F.coalesce(F.lag("n").over(order), F.lit(0)))
+    no = F.lit(None).cast("long")
+
+    def rows(which: DataFrame, kind: str, first: Column, last: Column) -> DataFrame:
+        return which.select("origin_id", F.lit(kind).alias("kind"), first.cast("long").alias("first"), last.cast("long").alias("last"))
+
+    numbered = seen.where("n is not null")
+    out = rows(numbered.where("n > before + 1"), "missing", F.col("before") + 1, F.col("n") - 1)
+    out = out.unionByName(rows(counts.where("n is not null and copies > 1"), "repeated", F.col("n"), F.col("n")))
+    whole = counts.groupBy("origin_id").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("n").alias("numbers"), F.sum("copies").alias("copies"), F.sum("length").alias("sum"), F.max_by("total", F.coalesce("n", F.lit(0))).alias("total"), F.count_if(F.col("n").isNull()).alias("odd"))
+    out = out.unionByName(rows(whole.where("odd > 0 or low > 1"), "unnumbered_origin", F.col("low"), F.col("high")))
+    sound = whole.where("odd = 0 and low = 1 and numbers = high and copies = high and high > 1")
+    out = out.unionByName(rows(sound.where("total is null"), "no_total", no, F.col("sum")))
+    return out.unionByName(rows(sound.where("total <> sum"), "total_length", F.col("total"), F.col("sum")))
+
+
+def segment_digests(records: DataFrame, algorithm: str = "sha1") -> DataFrame:
+    """origin_id, segments, size, digest (base16) of the blocks of each segmented record in the order of their numbers, and
+    said, the payload digest field of its first segment.
+
+    Segments are dealt by origin and sorted; a task carries one hash along and holds a batch of blocks, however many segments a
+    record has.
+    """
+    n = H.get_int("headers", "WARC-Segment-Number")
+    origin = F.coalesce(H.get_id("headers", "WARC-Segment-Origin-ID"), H.get_id("headers", "WARC-Record-ID"))
+    d = records.where(n.isNotNull()).select(origin.alias("origin_id"), n.alias("n"), H.get("headers", "WARC-Payload-Digest").alias("said"), F.coalesce("block", F.lit(b"")).alias("block"))
+    names = ["origin_id", "segments", "size", "digest", "said"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None  # origin, segments, size, hash, said
+
+        def batch(done: list[list]) -> pa.RecordBatch:
+            rows = [(o, k, size, h.hexdigest(), said) for o, k, size, h, said in done]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+        for b in batches:
+            done = []
+            for i in range(b.num_rows):
+                o, said, block = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer()
+                if now is None or o != now[0]:
+                    done += [now] if now else []
+                    now = [o, 0, 0, hashlib.new(algorithm), said]
+                now[1], now[2] = now[1] + 1, now[2] + block.size
+                now[3].update(block)
+            if done:
+                yield batch(done)
+        if now:
+            yield batch([now])
+
+    return d.repartition("origin_id").sortWithinPartitions("origin_id", "n").select("origin_id", "said", "block").mapInArrow(run, "origin_id string, segments long, size long, digest string, said string")
+
+
 def join_segments(records: DataFrame) -> DataFrame:
     """Segmented records put together: origin id, number of segments, and the block.
 

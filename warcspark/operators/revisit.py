@@ -1,8 +1,8 @@
 """Revisit records: made from full records, resolved by an equi-join, merged back.
 
 The reference of a merge is found by id. A revisit whose target isn't there, or whose id several
-records have, keeps its one row with an error, so that nothing gets lost or multiplied: ids are
-counted before blocks are joined. Deduplication finds the first capture of a payload by
+records have, keeps its one row with an error, so that nothing gets lost or multiplied: records
+that nobody refers to are left out and those of one id counted before blocks are joined. Deduplication finds the first capture of a payload by
 an aggregate, which merges before the shuffle, however hot a payload is.
 """
 
@@ -82,13 +82,18 @@ def to_revisit(df: DataFrame, ref: str = "ref", options: WarcOptions | None = No
 
 
 def _joined(revisits: DataFrame, records: DataFrame) -> DataFrame:
-    """revisits with _n, how many records have the id they refer to, and _r, that record if it is one."""
+    """revisits with _n, how many records have the id they refer to, and _r, that record if it is one.
+
+    Records are read once: those that nobody refers to are left out first, by their ids alone, and of several with
+    one id a task hands on one, with their number.
+    """
     own = H.get_id("headers", "WARC-Record-ID")
     r = revisits.withColumn("_to", H.get_id("headers", "WARC-Refers-To"))
-    counts = records.select(own.alias("_id")).where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = r.select(F.col("_to").alias("_wanted")).where("_wanted is not null").distinct()
     target = records.select(own.alias("_target"), F.struct("headers", "block", "block_kind", "payload_offset", "record_type", "block_truncated").alias("_r"))
-    found = r.join(counts, F.col("_to") == F.col("_id"), "left").drop("_id")
-    return found.join(target, (F.col("_to") == F.col("_target")) & (F.col("_n") == 1), "left")
+    target = target.where("_target is not null").join(wanted, F.col("_target") == F.col("_wanted"), "left_semi")
+    one = target.groupBy("_target").agg(F.count(F.lit(1)).alias("_n"), F.first("_r").alias("_r"))
+    return r.join(one, F.col("_to") == F.col("_target"), "left")
 
 
 def merge(revisits: DataFrame, records: DataFrame, options: WarcOptions | None = None, *, keep_block_digest: bool = False) -> DataFrame:

@@ -745,6 +745,31 @@ def q82_long_values(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", *[V.is_uri(v).alias(k) for k, v in values.items()], *[V.is_long(v).alias(k) for k, v in numbers.items()])
 
 
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page in three segments; by page_id modulo 5 the second is missing, or there twice, the total length is wrong, or not
+    said, or all is well."""
+    fault = F.col("page_id") % 5
+    numbers = F.when(fault == 0, F.array(*map(F.lit, (1, 3)))).when(fault == 1, F.array(*map(F.lit, (1, 2, 2, 3)))).otherwise(F.array(*map(F.lit, (1, 2, 3))))
+    d = _t(spark, sf, "pages").select("page_id", "html", F.ceil(F.length("html") / 3).cast("int").alias("w"), F.explode(numbers).alias("i"))
+    part = F.substring("html", (F.col("i") - 1) * F.col("w") + 1, F.when(F.col("i") == 3, F.length("html")).otherwise(F.col("w")))
+    origin = F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))
+    total = F.octet_length("html") + F.when(fault == 2, 1).otherwise(0)
+    h = {"WARC-Record-ID": F.when(F.col("i") == 1, origin).otherwise(F.concat(F.lit("<urn:part:"), F.col("page_id").cast("string"), F.lit(":"), F.col("i").cast("string"), F.lit(">"))), "WARC-Segment-Origin-ID": F.when(F.col("i") > 1, origin), "WARC-Segment-Number": F.col("i").cast("string"), "WARC-Segment-Total-Length": F.when((F.col("i") == 3) & (fault != 3), total.cast("string")), "WARC-Payload-Digest": F.when(F.col("i") == 1, D.digest_field(F.encode("html", "UTF-8"), "sha1", "base16"))}
+    return build_records(d, F.when(F.col("i") == 1, F.lit("resource")).otherwise(F.lit("continuation")), F.encode(part, "UTF-8"), h)
+
+
+def q83_segment_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments that are missing or repeated, and total lengths that are wrong or not said."""
+    f = A.segment_findings(_segments(spark, sf))
+    return f.select(F.regexp_extract("origin_id", r"(\d+)$", 1).cast("long").alias("page_id"), "kind", "first", "last")
+
+
+def q84_segment_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of all segments of a record, one after the other, beside what its first one says."""
+    d = A.segment_digests(_segments(spark, sf))
+    return d.select(F.regexp_extract("origin_id", r"(\d+)$", 1).cast("long").alias("page_id"), "segments", "size", (F.concat(F.lit("sha1:"), "digest") == F.col("said")).alias("same"))
+
+
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
 _HTTP = f"(strlen('HTTP/1.1 ') + strlen({_HEAD}) + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4)"
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '')"
@@ -858,6 +883,12 @@ ORACLE_SQL = {
     "q80_stream_sink": f"SELECT page_id, CAST({_HTTP} + strlen(html) AS BIGINT) AS block_size, 0 AS findings FROM pages",
     "q81_write_format": f"SELECT page_id, CAST({_HTTP} + strlen(html) AS BIGINT) AS block_size, 0 AS findings FROM pages",
     "q82_long_values": "SELECT page_id, true AS path, true AS host, false AS no_host, true AS blanks, true AS zeros, false AS digits, true AS hexadecimal FROM pages",
+    "q83_segment_findings": """SELECT page_id, kind, CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last FROM (
+        SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'repeated' WHEN 2 THEN 'total_length' ELSE 'no_total' END AS kind,
+               CASE page_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN strlen(html) + 1 END AS a, CASE page_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE strlen(html) END AS b FROM pages WHERE page_id % 5 <> 4)""",
+    "q84_segment_digests": """WITH p AS (SELECT page_id, html, CAST(ceil(length(html) / 3.0) AS BIGINT) AS w FROM pages)
+        SELECT page_id, CAST(CASE page_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 3 END AS BIGINT) AS segments,
+               CAST(strlen(html) + CASE page_id % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END * strlen(substr(html, w + 1, w)) AS BIGINT) AS size, page_id % 5 > 1 AS same FROM p""",
     "q67_sessions": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events),
         s AS (SELECT user_id, ts, sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e),
         g AS (SELECT user_id, k, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS ends FROM s GROUP BY 1, 2)
