@@ -28,7 +28,7 @@ def of_types(records: DataFrame, *types: str) -> DataFrame:
     return records.where(F.col("record_type_code").bitwiseAND(mask) != 0)
 
 
-def as_of(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, value: str, out: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, value: str, out: str, left_by: str | None = None, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the value of the latest right row of the same key that is not later, null where there is none.
 
     One shuffle by key of both sides together and one ordered pass, with no join of rows; ties of time count as not
@@ -38,7 +38,7 @@ def as_of(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_t
     """
     cols = left.columns
     at = bucket or (lambda t: F.lit(0))
-    mine = left.select(*cols, F.lit(1).alias("_side"), F.col(left_time).alias("_t"), F.col(by).alias("_k"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    mine = left.select(*cols, F.lit(1).alias("_side"), F.col(left_time).alias("_t"), F.col(left_by or by).alias("_k"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     theirs = right.where(F.col(right_time).isNotNull()).select(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_side"), F.col(right_time).alias("_t"), F.col(by).alias("_k"), F.col(value).alias("_v"))
     both = mine.unionByName(theirs).withColumn("_b", at(F.col("_t")))
     if bucket:

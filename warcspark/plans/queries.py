@@ -16,6 +16,7 @@ from ..functions import digest as D
 from ..functions import fields as H
 from ..functions import names as N
 from ..operators import analytics as A
+from ..operators import captures as captures_index
 from ..operators import parse as P
 from ..operators import revisit as R
 from ..operators import validate as V
@@ -770,6 +771,16 @@ def q84_segment_digests(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.regexp_extract("origin_id", r"(\d+)$", 1).cast("long").alias("page_id"), "segments", "size", (F.concat(F.lit("sha1:"), "digest") == F.col("said")).alias("same"))
 
 
+def q85_nearest_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """For each page the capture of its host that is nearest to seven seconds after its own, on either side, read from its place."""
+    folder = _written(spark, sf, "captured")
+    index = captures_index.write_index(load(spark, folder), scratch(spark, "capture-index"), key=captures_index.host_key("target_uri"))
+    asks = _t(spark, sf, "pages").select("page_id", captures_index.host_key("url").alias("key"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") + 7).alias("time"))
+    found = captures_index.nearest(asks, index).select("page_id", "capture.file_path", "capture.record_offset", F.regexp_extract("capture.record_id", r"(\d+)$", 1).cast("long").alias("nearest"))
+    read = captures_index.read_at(spark, found.select("file_path", "record_offset").distinct()).select(F.col("file_path").alias("_f"), F.col("record_offset").alias("_o"), "content_length")
+    return found.join(read, (F.col("file_path") == F.col("_f")) & (F.col("record_offset") == F.col("_o")), "left").select("page_id", "nearest", "content_length")
+
+
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
 _HTTP = f"(strlen('HTTP/1.1 ') + strlen({_HEAD}) + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4)"
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '')"
@@ -889,6 +900,10 @@ ORACLE_SQL = {
     "q84_segment_digests": """WITH p AS (SELECT page_id, html, CAST(ceil(length(html) / 3.0) AS BIGINT) AS w FROM pages)
         SELECT page_id, CAST(CASE page_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 3 END AS BIGINT) AS segments,
                CAST(strlen(html) + CASE page_id % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END * strlen(substr(html, w + 1, w)) AS BIGINT) AS size, page_id % 5 > 1 AS same FROM p""",
+    "q85_nearest_captures": f"""WITH c AS (SELECT page_id, coalesce({_HOST}, '') AS h, page_id AS tm, CAST({_HTTP} + strlen(html) AS BIGINT) AS content_length FROM pages),
+        a AS (SELECT page_id, h, tm + 7 AS t FROM c), b AS (SELECT a.*, c.page_id AS p1, c.tm AS t1, c.content_length AS l1 FROM a ASOF LEFT JOIN c ON a.h = c.h AND a.t >= c.tm),
+        n AS (SELECT b.*, c.page_id AS p2, c.tm AS t2, c.content_length AS l2 FROM b ASOF LEFT JOIN c ON b.h = c.h AND b.t <= c.tm)
+        SELECT page_id, CASE WHEN p2 IS NULL OR t - t1 <= t2 - t THEN p1 ELSE p2 END AS nearest, CASE WHEN p2 IS NULL OR t - t1 <= t2 - t THEN l1 ELSE l2 END AS content_length FROM n""",
     "q67_sessions": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events),
         s AS (SELECT user_id, ts, sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e),
         g AS (SELECT user_id, k, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS ends FROM s GROUP BY 1, 2)
