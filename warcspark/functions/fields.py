@@ -126,6 +126,26 @@ def rfc3339_fraction(time: Column | str) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), F.lit("Z"))
 
 
+def rfc3339_nano(nanos: Column | str) -> Column:
+    """UTC with up to nine significant digits of the fraction, from nanoseconds since 1970, which timestamps don't keep."""
+    second = F.lit(1_000_000_000).cast("long")
+
+    def text(n: Column) -> Column:
+        rest = F.pmod(n, second)
+        whole = F.timestamp_seconds(F.call_function("div", n - rest, second))
+        digits = F.regexp_replace(F.lpad(rest.cast("string"), 9, "0"), "0+$", "")
+        return F.concat(F.regexp_replace(rfc3339(whole), "Z$", ""), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""), F.lit("Z"))
+
+    return let(_c(nanos).cast("long"), text)
+
+
+def nanos_of(value: Column | str) -> Column:
+    """Nanoseconds since 1970 of an RFC 3339 time, digits beyond the ninth left out; null where it is none."""
+    v = F.translate(_c(value), ",", ".")
+    digits = F.rpad(F.substring(F.regexp_extract(v, r"\.([0-9]+)", 1), 1, 9), 9, "0")
+    return F.when(as_time(v).isNotNull(), F.unix_seconds(F.date_trunc("second", as_time(v))) * F.lit(1_000_000_000).cast("long") + digits.cast("long"))
+
+
 def add(headers: Column | str, name: str, value: Column | str) -> Column:
     return F.array_append(_c(headers), field(name, value))
 
@@ -138,6 +158,10 @@ def add_time(headers: Column | str, name: str, time: Column, *, fraction: bool =
     return add(headers, name, rfc3339_fraction(time) if fraction else rfc3339(time))
 
 
+def add_time_nano(headers: Column | str, name: str, nanos: Column | str) -> Column:
+    return add(headers, name, rfc3339_nano(nanos))
+
+
 def add_id(headers: Column | str, name: str, value: Column | str) -> Column:
     """Appends the bracketed id; an empty id changes nothing."""
     v = _lit(value)

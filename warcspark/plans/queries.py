@@ -781,6 +781,13 @@ def q85_nearest_captures(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(read, (F.col("file_path") == F.col("_f")) & (F.col("record_offset") == F.col("_o")), "left").select("page_id", "nearest", "content_length")
 
 
+def q86_nanoseconds(spark: SparkSession, sf: str) -> DataFrame:
+    """Times with nine digits, written and read."""
+    n = F.lit(1704067200000000000).cast("long") + F.col("event_id") * 250000010
+    h = H.add_time_nano(H.fields([]), "WARC-Date", n)
+    return _t(spark, sf, "events").select("event_id", H.get(h, "WARC-Date").alias("text"), (H.nanos_of(H.get(h, "WARC-Date")) - n).alias("off"))
+
+
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
 _HTTP = f"(strlen('HTTP/1.1 ') + strlen({_HEAD}) + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4)"
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '')"
@@ -904,6 +911,8 @@ ORACLE_SQL = {
         a AS (SELECT page_id, h, tm + 7 AS t FROM c), b AS (SELECT a.*, c.page_id AS p1, c.tm AS t1, c.content_length AS l1 FROM a ASOF LEFT JOIN c ON a.h = c.h AND a.t >= c.tm),
         n AS (SELECT b.*, c.page_id AS p2, c.tm AS t2, c.content_length AS l2 FROM b ASOF LEFT JOIN c ON b.h = c.h AND b.t <= c.tm)
         SELECT page_id, CASE WHEN p2 IS NULL OR t - t1 <= t2 - t THEN p1 ELSE p2 END AS nearest, CASE WHEN p2 IS NULL OR t - t1 <= t2 - t THEN l1 ELSE l2 END AS content_length FROM n""",
+    "q86_nanoseconds": """SELECT event_id, strftime(TIMESTAMP '2024-01-01' + to_seconds((event_id * 250000010) // 1000000000), '%Y-%m-%dT%H:%M:%S')
+        || CASE WHEN (event_id * 250000010) % 1000000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST((event_id * 250000010) % 1000000000 AS VARCHAR), 9, '0'), '0') END || 'Z' AS text, CAST(0 AS BIGINT) AS off FROM events""",
     "q67_sessions": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS new FROM events),
         s AS (SELECT user_id, ts, sum(CASE WHEN coalesce(new, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e),
         g AS (SELECT user_id, k, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS ends FROM s GROUP BY 1, 2)
