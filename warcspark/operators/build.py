@@ -43,7 +43,7 @@ def build_records(df: DataFrame, record_type: str | Column, block: str | Column,
     if options.add_missing_content_length:
         d = d.withColumn("headers", let(F.col("headers"), lambda h: F.when(H.has(h, "Content-Length"), h).otherwise(H.add(h, "Content-Length", F.octet_length("block").cast("string")))))
     none = {"file_path": "string", "record_offset": "long", "record_size": "long", "skipped_bytes": "long", "is_gzip": "boolean", "whole": WHOLE, "error": ERROR}
-    d = d.withColumns({k: F.lit(None).cast(v) for k, v in none.items()} | {"version": F.lit(options.version), "version_major": F.lit(int(major)), "version_minor": F.lit(int(minor)), "block_truncated": F.lit(False), "before": F.array().cast(FINDINGS), "after": F.array().cast(FINDINGS)})
+    d = d.withColumns({k: F.lit(None).cast(v) for k, v in none.items()} | {"version": F.lit(options.version), "version_major": F.lit(int(major)), "version_minor": F.lit(int(minor)), "kind": H.type_name(H.type_code(H.get("headers", "WARC-Type"))), "block_truncated": F.lit(False), "before": F.array().cast(FINDINGS), "after": F.array().cast(FINDINGS)})
     return parse.typed(d, options, keep=[f"_keep_{c}" for c in keep]).withColumnsRenamed({f"_keep_{c}": c for c in keep})
 
 

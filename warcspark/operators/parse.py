@@ -148,7 +148,7 @@ def _typed(df: Steps, options: WarcOptions) -> Steps:
     computed = F.when(http & sound, D.digest_field("payload", options.default_algorithm, options.default_encoding)).when(http & large, ready("payload")).when((F.col("record_type_code") == 4) & (sound | large), F.col("block_digest"))
     df = df.withColumn("payload_digest", F.coalesce(said, computed))
     named = {
-        "record_type": H.type_name("record_type_code"),
+        "record_type": F.col("kind"),
         "record_id": H.get_id("headers", "WARC-Record-ID"),
         "content_length": H.get_int64("headers", "Content-Length"),
         "warc_date_raw": H.get("headers", "WARC-Date"),

@@ -86,10 +86,11 @@ _FINDINGS = T.ArrayType(_struct(category=_S, kind=_S, field=_S, line=_I, msg=_S,
 WHOLE = "struct<size:bigint,block:map<string,binary>,payload:map<string,binary>>"
 _WHOLE = _struct(size=_L, block=T.MapType(_S, T.BinaryType()), payload=T.MapType(_S, T.BinaryType()))
 
-#: What framing makes of bytes: everything but what expressions can derive.
+#: What framing makes of bytes: everything but what expressions can derive, and the record type (kind), so that filters on it
+#: reach the source.
 FRAMED = _struct(
     file_path=_S, record_offset=_L, record_size=_L, skipped_bytes=_L, is_gzip=_B, version=_S, version_major=_I, version_minor=_I,
-    headers=T.ArrayType(_struct(name=_S, value=_S)), block=T.BinaryType(), block_truncated=_B, whole=_WHOLE, before=_FINDINGS, after=_FINDINGS, error=_struct(kind=_S, msg=_S),
+    kind=_S, headers=T.ArrayType(_struct(name=_S, value=_S)), block=T.BinaryType(), block_truncated=_B, whole=_WHOLE, before=_FINDINGS, after=_FINDINGS, error=_struct(kind=_S, msg=_S),
 )
 
 #: The columns of a parsed record, in order.

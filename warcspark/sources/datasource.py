@@ -9,8 +9,8 @@ compressed ones too, and with the option `index` (a Parquet table of file_path,
 record_offset, record_size) at record starts, of about `rangeBytes`. Cuts come to the reader as a table (option
 `cuts`); the option `index` alone is read by the driver. Files are read in pieces, so their size doesn't matter. Options: `offset` (start of
 every file), `readBlock` (false skips blocks), `path`, `types` (record types to keep, separated by
-commas), and all of WarcOptions. A filter on record_type or is_gzip is not needed for results,
-only `types` saves sending rows.
+commas), and all of WarcOptions. With `pushdown` (and spark.sql.python.filterPushdown.enabled; `load` sets
+both) filters on record_type (kind), file_path and record_offset do so too, and leave out ranges.
 
 Writing stages the files of each attempt below `_temporary` of the folder. The commit, which only
 happens if all tasks have succeeded, gives them their names in one count, writes a journal and renames
@@ -39,7 +39,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -82,13 +82,11 @@ class Range(InputPartition):
 def read_range(part: Range, options: WarcOptions, *, with_block: bool, types: frozenset[str]) -> Iterator[dict]:
     raw = RawFile(part.path, part.start)
     try:
-        for row in frames(raw, options, offset=part.start, path=part.path, with_block=with_block):
+        for row in frames(raw, options, offset=part.start, path=part.path, with_block=with_block, types=types):
             if part.end is not None and row["record_offset"] >= part.end:
                 return
-            if types and row["headers"] is not None:
-                kind = next((h["value"].lower() for h in row["headers"] if h["name"] == "WARC-Type"), "")
-                if kind not in types:
-                    continue
+            if types and row["headers"] is not None and row["kind"] not in types and not row["error"]:
+                continue
             if row["error"] and FAIL in (options.syntax, options.spec):
                 raise ValueError(f"{part.path} at {row['record_offset']}: {row['error']['msg']}")
             yield row
@@ -104,8 +102,14 @@ class _Reading:
         self.start = int(low.get("offset", "0"))
         self.with_block = low.get("readblock", "true").lower() not in ("false", "0", "no")
         self.types = frozenset(t.strip().lower() for t in low.get("types", "").split(",") if t.strip())
+        # what filters leave: files, places, or nothing at all
+        self.files, self.low, self.high, self.none = None, 0, None, False
         self.cuts, self.index, self.range_bytes = low.get("cuts"), low.get("index"), int(low.get("rangebytes", str(128 << 20)))
 
+    def wanted(self, r: Range) -> bool:
+        low_end = r.end is None or r.end > self.low
+        return not self.none and (self.files is None or r.path in self.files) and low_end and (self.high is None or r.start <= self.high)
+
     def ranges(self) -> list[Range]:
         if self.cuts:
             fs, at = open_folder(self.cuts)
@@ -135,18 +139,43 @@ class _Reading:
         yield from batches_of(rows, to_arrow_schema(FRAMED))
 
 
+class _Pushing:
+    """Filters that Spark hands down: those on the record type keep other blocks from being read, those on the file and on places
+    leave out ranges. Spark still applies all of them to what comes out."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            at = getattr(f, "attribute", None)
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if at == ("kind",) and values is not None:
+                self._r.types = frozenset(values) & self._r.types if self._r.types else frozenset(values)
+                self._r.none = not self._r.types
+            elif at == ("file_path",) and values is not None:
+                self._r.files = values & self._r.files if self._r.files is not None else values
+            elif at == ("record_offset",):
+                if isinstance(f, GreaterThan | GreaterThanOrEqual) or isinstance(f, EqualTo):
+                    self._r.low = max(self._r.low, f.value)
+                if isinstance(f, LessThan | LessThanOrEqual) or isinstance(f, EqualTo):
+                    self._r.high = f.value if self._r.high is None else min(self._r.high, f.value)
+            yield f
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self._r = _Reading(options)
 
     def partitions(self) -> list[Range]:
-        return self._r.ranges() or [Range("", 0, 0)]
+        return [r for r in self._r.ranges() if self._r.wanted(r)] or [Range("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.path:
             yield from self._r.read(partition)
 
 
+class WarcPushingReader(_Pushing, WarcReader):
+    """Needs spark.sql.python.filterPushdown.enabled, which `load` sees to."""
+
+
 def _packed(names: list[str]) -> str:
     return base64.b64encode(zlib.compress(json.dumps(sorted(names)).encode())).decode()
 
@@ -373,7 +402,8 @@ class WarcDataSource(DataSource):
         return FRAMED
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return WarcReader(dict(self.options))
+        options = dict(self.options)
+        return (WarcPushingReader if options.get("pushdown", "false").lower() == "true" else WarcReader)(options)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return WarcStreamReader(dict(self.options))
@@ -400,6 +430,8 @@ def load(spark: SparkSession, path: str, options: WarcOptions | None = None, *,
         size = int(more.get(low.get("rangebytes"), str(128 << 20)))
         more["cuts"] = stored(index_ranges(spark, list_files(path), spark.read.parquet(more.pop(low["index"])), begin=begin, split=size))
     given = {k: str(getattr(o, k)) for k in ("syntax", "spec", "unknown_type", "max_block_bytes")}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    more.setdefault("pushdown", "true")
     return typed(spark.read.format("warc").options(**given, **more).load(path), o)
 
 

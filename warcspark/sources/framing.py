@@ -17,6 +17,7 @@ from typing import BinaryIO
 
 from ..functions.fields import normalize_constant
 from ..options import FAIL, IGNORE, WarcOptions
+from ..schema import RECORD_TYPES
 
 PIECE = 1 << 20
 _BLANK = b" \t\r\n"
@@ -283,12 +284,13 @@ def chunks(raw: BinaryIO, size: int) -> Iterator[bytes]:
         left -= len(piece)
 
 
-def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str | None = None, with_block: bool = True, one: bool = False) -> Iterator[dict]:
-    """A row for each record of a stream; a fatal error ends it with a row that has `error`."""
+def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str | None = None, with_block: bool = True, one: bool = False, types: frozenset[str] = frozenset()) -> Iterator[dict]:
+    """A row for each record of a stream; a fatal error ends it with a row that has `error`. With `types`, blocks of records of
+    other types are passed over."""
     src = Bytes(raw)
     while True:
         before, after = Findings(options), Findings(options)
-        row: dict = {"file_path": path, "record_offset": offset + src.taken, "record_size": 0, "skipped_bytes": 0, "is_gzip": None, "version": None, "version_major": None, "version_minor": None, "headers": None, "block": None, "block_truncated": None, "whole": None, "before": before, "after": after, "error": None}
+        row: dict = {"file_path": path, "record_offset": offset + src.taken, "record_size": 0, "skipped_bytes": 0, "is_gzip": None, "version": None, "version_major": None, "version_minor": None, "kind": None, "headers": None, "block": None, "block_truncated": None, "whole": None, "before": before, "after": after, "error": None}
         start = src.taken
         try:
             if len(head := src.peek(5)) < 5:
@@ -318,10 +320,13 @@ def frames(raw: BinaryIO, options: WarcOptions, *, offset: int = 0, path: str |
             if not first.endswith(b"\r\n"):
                 before.say("syntax", f"the version line {first.strip().decode('iso-8859-1')!r} doesn't end in a carriage return", 1)
             row["headers"] = parse_fields(inner, before, 1)
+            kind = (_said(row["headers"], "WARC-Type") or "").lower()
+            row["kind"] = kind if kind in RECORD_TYPES else None
             length = _number(row["headers"], "Content-Length")
-            held = min(length, options.max_block_bytes) if with_block else 0
-            row["block"] = inner.take(held) if with_block else None
-            row["block_truncated"] = with_block and held < length
+            wanted = with_block and (not types or kind in types)
+            held = min(length, options.max_block_bytes) if wanted else 0
+            row["block"] = inner.take(held) if wanted else None
+            row["block_truncated"] = wanted and held < length
             if row["block_truncated"]:
                 row["whole"] = _hash_on(inner, row["headers"], row["block"], length - held, options)
             else:
