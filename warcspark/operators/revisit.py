@@ -158,8 +158,18 @@ def deduplicate(records: DataFrame, options: WarcOptions | None = None, *, profi
     The digest is that of the WARC-Payload-Digest field; records without one stay.
     """
     d = records.withColumn("_pd", H.get("headers", "WARC-Payload-Digest"))
-    first = d.where(F.col("_pd").isNotNull() & (F.col("record_type_code") != B.REVISIT)).groupBy("_pd").agg(F.min(F.struct(*order, create_revisit_ref(profile).alias("r"))).alias("_f")).select(F.col("_pd").alias("_p"), F.col("_f.r").alias("_ref"))
-    d = d.join(first, F.col("_pd") == F.col("_p"), "left")
+    first = d.where(can_be_first()).groupBy("_pd").agg(F.min(F.struct(*order, create_revisit_ref(profile).alias("r"))).alias("_f")).select("_pd", F.col("_f.r").alias("_ref"))
+    return refer_to_first(d, first, options).select(*records.columns)
+
+
+def can_be_first() -> Column:
+    """Whether a record with its digest in `_pd` can be what later captures refer to."""
+    return F.col("_pd").isNotNull() & (F.col("record_type_code") != B.REVISIT)
+
+
+def refer_to_first(records: DataFrame, first: DataFrame, options: WarcOptions | None = None) -> DataFrame:
+    """Records with a digest in `_pd` as revisits of what first (`_pd`, `_ref`) has for it; the first ones themselves stay."""
+    d = records.join(first.select(F.col("_pd").alias("_p"), "_ref"), F.col("_pd") == F.col("_p"), "left")
     own = H.get_id("headers", "WARC-Record-ID")
     d = d.withColumn("_ref", F.when((F.col("record_type_code") != B.REVISIT) & (own != F.col("_ref.target_record_id")), F.col("_ref")))
-    return to_revisit(d, "_ref", options).select(*records.columns)
+    return to_revisit(d, "_ref", options)

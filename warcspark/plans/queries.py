@@ -26,7 +26,7 @@ from ..sources import sink as K
 from ..sources.datasource import WarcDataSource, block_chunks, load
 from ..sources.udtf import register
 from ..storage import scratch
-from ..streaming import first_captures, sessions, windowed_counts
+from ..streaming import deduplicate_stream, first_captures, sessions, windowed_counts
 
 STATUS = ("200 OK", "301 Moved Permanently", "404 Not Found", "500 Internal Server Error")
 
@@ -788,6 +788,39 @@ def q86_nanoseconds(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").select("event_id", H.get(h, "WARC-Date").alias("text"), (H.nanos_of(H.get(h, "WARC-Date")) - n).alias("off"))
 
 
+def q87_revisits_across_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that arrive in two parts, as archives: repeats are revisits of a capture that any earlier batch brought."""
+    spark.dataSource.register(WarcDataSource)
+    folder, state, out, made = (scratch(spark, name) for name in ("arriving", "first-state", "deduplicated", "documents"))
+    _documents(spark, sf).select("doc_id", "version", "headers", "block").write.parquet(made)
+    low, high = spark.read.parquet(made).agg(F.min("doc_id"), F.max("doc_id")).first()
+    half = F.lit(((low or 0) + (high or 0)) // 2)
+    for k, part in enumerate((F.col("doc_id") <= half, F.col("doc_id") > half)):
+        K.write_archives(spark.read.parquet(made).where(part), folder, K.WriterOptions(max_file_size=0, prefix=f"{k}-", host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)))
+        stream = P.typed(spark.readStream.format("warc").load(folder), WarcOptions())
+        deduplicate_stream(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), state, trigger={"availableNow": True}).awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select(F.regexp_extract(H.get_id("headers", "WARC-Record-ID"), r"(\d+)$", 1).cast("long").alias("doc_id"), "record_type", R.revisit_ref()["target_record_id"].alias("refers_to"), (F.col("block_size") == F.col("payload_offset")).alias("no_payload"))
+
+
+def q88_files_of_eight_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Where pages go that eight writers write at once, each rolling its files by size."""
+    d = _t(spark, sf, "pages").select("page_id", F.octet_length("html").alias("n"))
+    out = K.plan_files(d, order=("page_id",), max_file_size=65536, size=F.col("n"), estimated=F.col("n"), writers=8, writer=F.col("page_id"))
+    return out.select("page_id", "writer", "file_number", "file_offset")
+
+
+def q89_balanced_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as records of their hosts, a host's in one file, hosts dealt to four writers by bytes, and read back from their places."""
+    folder, n = scratch(spark, "balanced"), 4
+    host = F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit(""))
+    r = build_records(_t(spark, sf, "pages").withColumn("host", host), "response", _body(), _headers(), keep=("page_id", "host"))
+    m = K.write_archives(r, folder, K.WriterOptions(max_file_size=0, host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)), writers=n, group="host", order=("page_id",), balanced=True)
+    at = load(spark, folder).select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.col("record_offset").alias("file_offset"), _page(), F.regexp_extract(H.get("headers", "WARC-Target-URI"), "://([^/?#]*)", 1).alias("host"), "block_size")
+    one = at.groupBy("host").agg((F.count_distinct("file_name") == 1).alias("one_file"))
+    return m.join(at, ["file_name", "file_offset"]).join(one, "host").select("page_id", "block_size", "one_file")
+
+
 _HEAD = "(CASE page_id % 4 WHEN 0 THEN '200 OK' WHEN 1 THEN '301 Moved Permanently' WHEN 2 THEN '404 Not Found' ELSE '500 Internal Server Error' END)"
 _HTTP = f"(strlen('HTTP/1.1 ') + strlen({_HEAD}) + 2 + strlen('Content-Type: text/html; charset=utf-8') + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 4)"
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '')"
@@ -846,6 +879,7 @@ ORACLE_SQL = {
     "q28_record_offsets": "SELECT page_id, CAST(page_id // 50 AS BIGINT) AS file, strlen(html) AS n, CAST(coalesce(sum(strlen(html)) OVER (PARTITION BY page_id // 50 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset FROM pages",
     "q29_gzip_members": "SELECT CAST(page_id // 20 AS BIGINT) AS g, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS payload_bytes, CAST(0 AS BIGINT) AS findings, count(*) AS members FROM pages GROUP BY 1",
     "q31_to_revisit": f"SELECT doc_id, CASE WHEN doc_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN doc_id <> first THEN 'urn:page:' || first END AS refers_to, doc_id <> first OR strlen(text) = 0 AS no_payload FROM {_FIRST}",
+    "q87_revisits_across_batches": f"SELECT doc_id, CASE WHEN doc_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN doc_id <> first THEN 'urn:page:' || first END AS refers_to, doc_id <> first OR strlen(text) = 0 AS no_payload FROM {_FIRST}",
     "q32_merge_revisits": f"SELECT doc_id, 'response' AS record_type, md5(text) AS payload_md5, CAST(NULL AS VARCHAR) AS error, true AS length_ok FROM {_FIRST} WHERE doc_id <> first",
     "q33_dangling_revisits": "SELECT doc_id FROM labels WHERE doc_id % 4 = 0",
     "q34_referenced_records": "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.doc_id % 4 <> 0)",
@@ -853,6 +887,11 @@ ORACLE_SQL = {
         w AS (SELECT rn, page_id, CAST(1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS o, CAST(n AS BIGINT) AS s FROM p WHERE rn = 1
         UNION ALL SELECT p.rn, p.page_id, CASE WHEN w.s > 0 AND w.s + p.n > 65536 THEN w.f + 1 ELSE w.f END, CASE WHEN w.s > 0 AND w.s + p.n > 65536 THEN 0 ELSE w.s END, CASE WHEN w.s > 0 AND w.s + p.n > 65536 THEN p.n ELSE w.s + p.n END FROM w JOIN p ON p.rn = w.rn + 1)
         SELECT page_id, f AS file_number, o AS file_offset FROM w""",
+    "q88_files_of_eight_writers": """WITH RECURSIVE p AS (SELECT page_id, page_id % 8 AS k, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) AS rn, strlen(html) AS n FROM pages),
+        w AS (SELECT k, rn, page_id, CAST(1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS o, CAST(n AS BIGINT) AS s FROM p WHERE rn = 1
+        UNION ALL SELECT p.k, p.rn, p.page_id, CASE WHEN w.s > 0 AND w.s + p.n > 65536 THEN w.f + 1 ELSE w.f END, CASE WHEN w.s > 0 AND w.s + p.n > 65536 THEN 0 ELSE w.s END, CASE WHEN w.s > 0 AND w.s + p.n > 65536 THEN p.n ELSE w.s + p.n END FROM w JOIN p ON p.k = w.k AND p.rn = w.rn + 1)
+        SELECT page_id, CAST(k AS INT) AS writer, f AS file_number, o AS file_offset FROM w""",
+    "q89_balanced_writers": f"SELECT page_id, CAST({_HTTP} + strlen(html) AS BIGINT) AS block_size, true AS one_file FROM pages",
     "q36_concurrent_to": """WITH i AS (SELECT conv_id, turn, '<urn:c:' || conv_id || ':' || turn || '>' AS id FROM conversations)
         SELECT a.conv_id, a.turn, coalesce(string_agg(b.id, ' ' ORDER BY b.id), '') AS others FROM i a LEFT JOIN i b ON a.conv_id = b.conv_id AND a.id <> b.id GROUP BY a.conv_id, a.turn, a.id""",
     "q37_warcinfo_per_file": "SELECT 'q-20010912053020-000' || n || '-example.warc.gz' AS file_name, CAST(1 AS BIGINT) AS infos, CAST(0 AS BIGINT) AS odd, CAST(0 AS BIGINT) AS findings FROM (VALUES (1), (2)) t(n)",

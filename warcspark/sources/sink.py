@@ -199,17 +199,38 @@ def add_concurrent_to(records: DataFrame, group: str) -> DataFrame:
     return d.withColumn("headers", F.concat("headers", F.coalesce(more, F.array().cast("array<struct<name:string,value:string>>")))).select(*records.columns)
 
 
+#: Parts by hash that keys are dealt in, for each writer, and what a record's fields are taken to add to its block.
+PARTS, RECORD_BYTES = 256, 512
+
+
+def deal_by_bytes(records: DataFrame, key: Column, size: Column, writers: int, *, parts: int = PARTS) -> DataFrame:
+    """records with `_writer` (from 0): keys fall into writers * parts parts by hash, and parts in their order go to the
+    writer in whose share of all bytes their middle lies, so writers differ by a part's bytes.
+
+    The sums of the parts, writers * parts rows at most, merge before the shuffle; a window over them gives the shares,
+    and they come back as a broadcast. A key never leaves its writer, so one with more bytes than a share is a writer of its own.
+    """
+    n = writers * parts
+    d = records.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    sums = d.groupBy("_part").agg(F.sum(size.cast("long")).alias("_bytes"))
+    upto = F.sum("_bytes").over(W.orderBy("_part"))
+    middle, total = upto - F.col("_bytes") / 2, F.sum("_bytes").over(W.partitionBy())
+    share = F.least(F.floor(middle * writers / F.greatest(total, F.lit(1))), F.lit(writers - 1)).cast("int")
+    return d.join(F.broadcast(sums.select("_part", share.alias("_writer"))), "_part").drop("_part")
+
+
 #: Rows of a manifest that a task hands on at once.
 ROWS = 4096
 _FILES = f"{MANIFEST}, staged string"
 _COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
 
 
-def write_archives(records: DataFrame, folder: str, options: WriterOptions | None = None, *, writers: int | None = None, group: str | None = None, order: tuple[str, ...] = ("record_id",), marshaled: Callable[[], tuple[Column, Column]] | None = None) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, options: WriterOptions | None = None, *, writers: int | None = None, group: str | None = None, order: tuple[str, ...] = ("record_id",), marshaled: Callable[[], tuple[Column, Column]] | None = None, balanced: bool = False) -> DataFrame:
     """Writes records into files below folder and returns their manifest, once it is all published.
 
     Records of a group go to one writer, in `order`; without a group they are dealt by id. There are as many
-    writers as shuffle partitions unless `writers` says otherwise. `marshaled` gives columns to write in place of a
+    writers as shuffle partitions unless `writers` says otherwise, each a task of its own. Keys are dealt by hash or, if
+    `balanced`, by the bytes of their records as well, which reads the lengths once before (`deal_by_bytes`). `marshaled` gives columns to write in place of a
     record's version and fields, and of its block. The manifest itself is a table in `_manifest` of the folder, a
     row for each record.
     """
@@ -220,7 +241,10 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
     key = F.col(group) if group else H.get("headers", "WARC-Record-ID")
     head = F.encode(F.concat(F.lit("WARC/"), F.col("version"), F.lit("\r\n"), H.serialize("headers")), "UTF-8")
     head, block = marshaled() if marshaled else (head, F.col("block"))
-    writer = F.lit(0) if writers == 1 else F.pmod(F.xxhash64(key), F.lit(writers)).cast("int")
+    if balanced and writers > 1:
+        records, writer = deal_by_bytes(records, key, F.coalesce(F.octet_length(block), F.lit(0)) + RECORD_BYTES, writers), F.col("_writer")
+    else:
+        writer = F.lit(0) if writers == 1 else F.pmod(F.xxhash64(key), F.lit(writers)).cast("int")
     d = records.select(writer.alias("_w"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], H.get_id("headers", "WARC-Record-ID").alias("record_id"), head.alias("head"), F.coalesce(block, F.lit(b"")).alias("block"), H.get_int64("headers", "Content-Length").alias("length"))
     where = _where(folder)
     job = begin(where)
@@ -264,7 +288,7 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
             yield rows()
 
     try:
-        dealt = d.repartition(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
+        dealt = d.repartitionById(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
         dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, _FILES).write.parquet(f"{job}/manifest")
         record(job, {"manifest": True})
     except BaseException:
@@ -347,7 +371,7 @@ def plan_files(records: DataFrame, *, order: tuple[str, ...], max_file_size: int
                 used += n
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["writer", "seq", "file_number", "file_offset"])
 
-    placed = d.select("writer", "seq", "_size", "_est").repartition(writers, "writer").sortWithinPartitions("writer", "seq").mapInArrow(run, schema)
+    placed = d.select("writer", "seq", "_size", "_est").repartitionById(writers, "writer").sortWithinPartitions("writer", "seq").mapInArrow(run, schema)
     return d.join(placed, ["writer", "seq"]).drop("_size", "_est")
 
 
