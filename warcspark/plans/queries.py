@@ -796,7 +796,7 @@ def q87_revisits_across_batches(spark: SparkSession, sf: str) -> DataFrame:
     low, high = spark.read.parquet(made).agg(F.min("doc_id"), F.max("doc_id")).first()
     half = F.lit(((low or 0) + (high or 0)) // 2)
     for k, part in enumerate((F.col("doc_id") <= half, F.col("doc_id") > half)):
-        K.write_archives(spark.read.parquet(made).where(part), folder, K.WriterOptions(max_file_size=0, prefix=f"{k}-", host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)))
+        K.write_archives(spark.read.parquet(made).where(part), folder, K.WriterOptions(max_file_size=0, prefix=f"{k}-", host="example", time=datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)), order=("doc_id",))
         stream = P.typed(spark.readStream.format("warc").load(folder), WarcOptions())
         deduplicate_stream(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), state, trigger={"availableNow": True}).awaitTermination()
     r = spark.read.parquet(out)
