@@ -132,6 +132,28 @@ def test_licenses_miss_no_template():
     assert found > 300
 
 
+def test_long_licenses_within_the_stated_edits():
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(11)
+    long = [k for k, t in enumerate(index.words) if len(t) > licenses.SHORT]
+    assert len(long) >= 9 and all(index.run(k, licenses.COVERAGE) == (3, 2, 2) for k in long)
+    for h in (index.ids[k] for k in long):
+        hashes, at = licenses.winnow(h, 2, 2)
+        assert len(hashes) < len(h) - 1 and all(b - a <= 2 for a, b in zip(at, at[1:], strict=False)) and at[0] <= 1
+    noise, found = [f"n{i}" for i in range(50)], 0
+    for _ in range(60):
+        k = rng.choice(long)
+        words = index.words[k].copy()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            at, how = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (how < 2)] = [rng.choice(noise)] * (how > 0)
+        text = " ".join([*rng.choices(noise, k=10), *words, *rng.choices(noise, k=10)])
+        got = max((c for n, c, *_ in index.matches(text, every=True) if n == index.names[k]), default=0.0)
+        c = _coverage(index, k, text.split())
+        assert got == pytest.approx(c) if c >= licenses.COVERAGE else not got, (index.names[k], text)
+        found += c >= licenses.COVERAGE
+    assert found > 30
+
+
 def test_near_licenses_are_told_apart():
     index, rng, t = licenses.Index(licenses.TEMPLATES), random.Random(8), licenses.TEMPLATES
     assert len({n.split("-")[0] for n in t}) >= 9 and sum(len(x.split()) > 60 for x in t.values()) >= 9

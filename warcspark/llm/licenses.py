@@ -1,15 +1,18 @@
-"""License scans: runs of words that can open an alignment pick candidates, alignment reports coverage and spans.
-
-Words are runs of non-white characters, lower-cased, without punctuation at either end. A local
-alignment (1 for a matched word, -1 for one replaced, put in or left out, above 0 all along)
-begins with two matched neighbours, and one that covers enough of a template of n words begins
-within its first n - need + 1, where need is the fewest words that are enough. All these runs of
-two (or single words, where one is enough) are in an inverted index with their template and
-place, so no alignment of at least the coverage is missed. From each such run in a document that
-isn't the continuation of one a word earlier, the best alignment gives the matched words, the span,
-and the coverage (matched words of the template). It needs no set band: scores above 0, and such
-as can still become the best, bound how far it leaves its diagonal. Spans of one template that
-overlap count once, by coverage; templates of different families report on their own.
+"""License scans: winnowed fingerprints in an inverted index pick candidates, alignment in a band reports coverage and spans.
+
+Words are runs of non-white characters, lower-cased, without punctuation at either end. A match is a local alignment
+(1 for a matched word, -1 for one replaced, put in or left out, above 0 all along) that has `need`, the fewest words
+that are enough, of a template's n. One with at most n - need words replaced, put in or left out has a run of
+need / (n - need + 1) matched words (rounded up) or more. For each template k and window are chosen so that k + window - 1
+is that run: of the hashes of its runs of k words, and of the document's, the least of every `window` neighbours is a
+fingerprint, so template and document share one in each such run, and no such match is missed. (Others are only
+missed if they have no run of that length at all, three words at the default coverage.) Templates of at most
+SHORT words are kept whole, with a window of one: each pair of words (or word, where one is enough) that can begin a
+match, and a match begins with two matched neighbours, so none is missed. A shared fingerprint is confirmed, made
+as long as it goes, and dropped if it is shorter than the run; the best alignment through it is found in a band of n words
+to either side of its diagonal, which no alignment above 0 leaves. It gives the matched words, the span, and the
+coverage (matched words of the template). Spans of one template that overlap count once, by coverage; templates of
+different families report on their own.
 
 Scale: templates travel with the tasks, at most MAX_WORDS words of them; texts are scanned
 whole where they are read, and nothing is shuffled.
@@ -83,12 +86,36 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—©"
 _WORD = re.compile(r"\S+")
+#: Templates of at most so many words are kept whole. A cell of an alignment is score * ONE + matched words * MATCH + the rest.
+SHORT, ONE, MATCH = 40, 1 << 42, 1 << 21
 
 
 def plain(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
+def winnow(ids: np.ndarray, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and their places: of the hashes of runs of `words` words, the least of every `window` neighbours (the first
+    of equal ones). Runs with a word that no template has (0) have none."""
+    n = len(ids) - words + 1
+    if n < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(words):
+        part = ids[j : j + n]
+        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        known &= part > 0
+    h[~known] = np.iinfo(np.uint64).max
+    if window == 1 or n <= window:
+        at = np.arange(n) if window == 1 else np.array([h.argmin()])
+    else:
+        least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
+        at = np.unique(least + np.arange(len(least)))
+    at = at[known[at]]
+    return h[at], at
+
+
 class Index:
     def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = list(templates)
@@ -99,8 +126,8 @@ class Index:
         for t in self.words:
             for w in t:
                 self.number.setdefault(w, len(self.number) + 1)
-        self.ids = [[self.number[w] for w in t] for t in self.words]
-        self.opened: dict[float, tuple[dict[tuple[int, ...], list[tuple[int, int]]], np.ndarray]] = {}
+        self.ids = [np.array([self.number[w] for w in t], np.int64) for t in self.words]
+        self.made: dict[float, list[tuple[int, int, dict[int, list[tuple[int, int]]], np.ndarray]]] = {}
         self.cache: dict[str, int] = {}
 
     def of(self, word: str) -> int:
@@ -111,62 +138,92 @@ class Index:
             found = self.cache[word] = self.number.get(plain(word), 0)
         return found
 
-    def openings(self, coverage: float) -> tuple[dict[tuple[int, ...], list[tuple[int, int]]], np.ndarray]:
-        """(template, place) by each run that can open an alignment; whether a word is a run's only, first or second."""
-        if coverage not in self.opened:
-            places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-            used = np.zeros((3, len(self.number) + 1), bool)
+    def run(self, k: int, coverage: float) -> tuple[int, int, int]:
+        """The run of words that candidates of a template share, and the words and window of its fingerprints."""
+        n = len(self.ids[k])
+        need = max(1, math.ceil(coverage * n))
+        run = -(-need // (n - need + 1))
+        if n <= SHORT or run <= 2:
+            return min(need, 2), min(need, 2), 1
+        words = (run + 1) // 2
+        return run, words, run - words + 1
+
+    def index(self, coverage: float) -> list[tuple[int, int, dict[int, list[tuple[int, int]]], np.ndarray]]:
+        """For each number of words and window: (template, place) by fingerprint, and the fingerprints in order."""
+        if coverage not in self.made:
+            groups: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
             for k, t in enumerate(self.ids):
-                need = max(1, math.ceil(coverage * len(t)))
-                for at in range(len(t) - need + 1):
-                    run = tuple(t[at : at + min(need, 2)])
-                    places[run].append((k, at))
-                    for j, w in enumerate(run):
-                        used[j + len(run) - 1, w] = True
-            self.opened[coverage] = dict(places), used
-        return self.opened[coverage]
+                if len(t):
+                    _, words, window = self.run(k, coverage)
+                    last = len(t) - max(1, math.ceil(coverage * len(t))) if len(t) <= SHORT else len(t)
+                    hashes, places = winnow(t, words, window)
+                    for h, at in zip(hashes.tolist(), places.tolist(), strict=True):
+                        if at <= last:
+                            groups[words, window][h].append((k, at))
+            self.made[coverage] = [(*g, dict(places), np.sort(np.fromiter(places, np.uint64, len(places)))) for g, places in groups.items()]
+        return self.made[coverage]
 
     def candidates(self, ids: np.ndarray, coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
-        """(template, its place, the document's place) of the runs that open an alignment."""
-        places, (one, first, second) = self.openings(coverage)
-        out = []
-        for size, may in ((1, one[ids]), (2, first[ids[:-1]] & second[ids[1:]])):
-            for i in np.flatnonzero(may).tolist():
-                for k, at in places.get(tuple(ids[i : i + size].tolist()), ()):
-                    if not (at and i and ids[i - 1] == self.ids[k][at - 1]):
-                        out.append((k, at, i))
-        return out
+        """(template, its place, the document's place) where runs begin that hold a shared fingerprint."""
+        out = {}
+        for words, window, places, known in self.index(coverage):
+            hashes, at_doc = winnow(ids, words, window)
+            if not len(hashes):
+                continue
+            near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            for j in np.flatnonzero(known[near] == hashes).tolist():
+                i = int(at_doc[j])
+                for k, at in places[int(hashes[j])]:
+                    t, a, b = self.ids[k], at, i
+                    while a and b and t[a - 1] == ids[b - 1]:
+                        a, b = a - 1, b - 1
+                    if (k, a, b) in out:
+                        continue
+                    size, most = 0, min(len(t) - a, len(ids) - b)
+                    while size < most and t[a + size] == ids[b + size]:
+                        size += 1
+                    if size >= max(self.run(k, coverage)[0], at - a + words):
+                        out[k, a, b] = None
+        return list(out)
 
     def align(self, ids: np.ndarray, k: int, at: int, i: int) -> tuple[int, int, int]:
-        """Matched words, first and last place of the best alignment that begins where places at and i match."""
+        """Matched words, first and last place of the best alignment in which places at and i match.
+
+        Rows are the template's words, columns the diagonals of the band; a cell packs score, matched words and how early it began.
+        """
         t = self.ids[k]
-        n, near = len(t), ids[i : i + 2 * len(t)].tolist()
-        best, row = (1, 1, 0), {0: (1, 1)}  # score and matched words by the place of the last word, for each template word
+        n = len(t)
+        first = i - at - n  # the document's place at the band's left edge, in the first row
+        near = np.full(3 * n + 1, -1, np.int64)
+        low, high = max(first, 0), min(first + len(near), len(ids))
+        near[low - first : high - first] = ids[low:high]
+        slope = np.arange(2 * n + 1, dtype=np.int64) * ONE
+
+        def alive(cells: np.ndarray) -> np.ndarray:
+            cells = np.maximum.accumulate(cells + slope) - slope
+            return np.where(cells >= ONE, cells, 0)
+
+        def step(cells: np.ndarray, r: int, fresh: bool) -> np.ndarray:
+            less = np.where(cells >= 2 * ONE, cells - ONE, 0)
+            begun = ONE + MATCH + (MATCH - 1 - r - np.arange(2 * n + 1)) if fresh else 0
+            diagonal = np.where(near[r : r + 2 * n + 1] == t[r], np.where(cells > 0, cells + ONE + MATCH, begun), less)
+            return alive(np.maximum(diagonal, np.append(less[1:], 0)))
+
+        cells = np.zeros(2 * n + 1, np.int64)
+        for r in range(at + 1):
+            cells = step(cells, r, True)
+        through = cells[n]
+        cells = np.zeros(2 * n + 1, np.int64)
+        cells[n] = through
+        best, end, cells = int(through), i, alive(cells)
         for r in range(at + 1, n):
-            new: dict[int, tuple[int, int]] = {}
-            for p, (s, m) in row.items():
-                if p + 1 < len(near):
-                    same = near[p + 1] == t[r]
-                    way = (s + 1, m + 1) if same else (s - 1, m)
-                    if way[0] > 0 and way > new.get(p + 1, (0, 0)):
-                        new[p + 1] = way
-                if s > 1 and (s - 1, m) > new.get(p, (0, 0)):
-                    new[p] = (s - 1, m)
-            row = {}
-            last = max(new, default=-1)
-            for p in range(min(new, default=0), len(near)):
-                way = new.get(p, (0, 0))
-                if p - 1 in row and row[p - 1][0] > 1:
-                    way = max(way, (row[p - 1][0] - 1, row[p - 1][1]))
-                if way[0] > 0 and way[0] + n - 1 - r >= best[0]:
-                    row[p] = way
-                    if way > best[:2]:
-                        best = (*way, p)
-                elif p >= last:
-                    break
-            if not row:
+            cells = step(cells, r, False)
+            d = int(cells.argmax())
+            if cells[d] // MATCH > best // MATCH:
+                best, end = int(cells[d]), first + r + d
+            if not cells[d]:
                 break
-        return best[1], i, i + best[2]
+        return best // MATCH % (ONE // MATCH), first + MATCH - 1 - best % MATCH, end
 
     def matches(self, text: str | None, coverage: float = COVERAGE, *, every: bool = False) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, first word, last word, first character, end character) of each match: the best of a
