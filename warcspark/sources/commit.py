@@ -79,6 +79,14 @@ def attempt_folder(job: str, name: str) -> str:
 def discard(folder: str, tries: int = 50) -> None:
     """Deletes a folder until it is gone; tasks that still run may be writing into it."""
     fs, at = open_folder(folder)
+    top = at.rpartition("/")[0]
+    if isinstance(fs, pafs.LocalFileSystem):  # by another name nobody finds it, and writes no more
+        try:
+            gone = f"{at}.{uuid.uuid4().hex}.gone"
+            os.rename(at, gone)
+            at = gone
+        except OSError:
+            pass
     for k in range(tries):
         try:
             if not there(fs, at):
@@ -86,7 +94,6 @@ def discard(folder: str, tries: int = 50) -> None:
             fs.delete_dir(at)
         except OSError:
             time.sleep(min(0.01 * (k + 1), 0.2))
-    top = at.rpartition("/")[0]
     if top.endswith("/" + TEMPORARY) and isinstance(fs, pafs.LocalFileSystem):
         try:
             os.rmdir(top)  # only if no other job is below
