@@ -1,7 +1,9 @@
 """Rolling archive files from records: dealt to writers, cut by size, published once all are written.
 
 Records are dealt to writers and put in order there; each writer keeps one file open and starts a
-new one before a record that would not fit. Time, host and address in the names are the driver's,
+new one before a record that would not fit. Writers that are fewer than the shuffle partitions don't go through a task each:
+tasks write ranges of a writer's order as pieces, sizes say which file each run of records belongs to and where, and the runs
+are copied there, on local file systems by a task for each. Time, host and address in the names are the driver's,
 so every attempt of a task makes the same names. Each attempt writes into a folder of its own
 below `_temporary`; a table that only holds the rows of attempts that succeeded says what there
 is. Once it is written a journal says so, and its files are renamed into place by tasks. If a task
@@ -18,6 +20,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -229,7 +232,7 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
     """Writes records into files below folder and returns their manifest, once it is all published.
 
     Records of a group go to one writer, in `order`; without a group they are dealt by id. There are as many
-    writers as shuffle partitions unless `writers` says otherwise, each a task of its own. Keys are dealt by hash or, if
+    writers as shuffle partitions unless `writers` says otherwise, each then a task of its own. Keys are dealt by hash or, if
     `balanced`, by the bytes of their records as well, which reads the lengths once before (`deal_by_bytes`). `marshaled` gives columns to write in place of a
     record's version and fields, and of its block. The manifest itself is a table in `_manifest` of the folder, a
     row for each record.
@@ -287,9 +290,13 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
         if held:
             yield rows()
 
+    keys = ["_w", *[f"_o{i}" for i in range(len(order))]]
     try:
-        dealt = d.repartitionById(writers, "_w").sortWithinPartitions("_w", *[f"_o{i}" for i in range(len(order))])
-        dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, _FILES).write.parquet(f"{job}/manifest")
+        if writers < int(spark.conf.get("spark.sql.shuffle.partitions")) and o.warcinfo is None and o.before_file is None and not o.flush:
+            _in_pieces(d, keys, folder, job, o, writers)
+        else:
+            dealt = d.repartitionById(writers, "_w").sortWithinPartitions(*keys)
+            dealt.select("_w", "record_id", "head", "block", "length").mapInArrow(run, _FILES).write.parquet(f"{job}/manifest")
         record(job, {"manifest": True})
     except BaseException:
         discard(job)
@@ -298,6 +305,158 @@ def write_archives(records: DataFrame, folder: str, options: WriterOptions | Non
     return manifest(spark, folder)
 
 
+_PIECES = "w int, part int, at long, size long, length long, record_id string, bytes_written long, piece string"
+_RUNS = "w int, part int, start long, end long, number int, offset long"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _in_pieces(d: DataFrame, keys: list[str], folder: str, job: str, o: WriterOptions, writers: int) -> None:
+    """Stages the files of a job, and writes its manifest, with more tasks than writers.
+
+    Tasks get ranges of writer and order, and write a piece for each of their writers. Where the sizes of a writer's pieces
+    rule out a second file, their sums give their places in the first one; else a fold over its records does, of three numbers each.
+    """
+    spark, path = d.sparkSession, f"{job}/pieces"
+    arrow = pa.schema([("w", pa.int32()), ("part", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("bytes_written", pa.int64()), ("piece", pa.string())])
+    fold_arrow = pa.schema([("w", pa.int32()), ("part", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("number", pa.int32()), ("offset", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, staging = TaskContext.get().partitionId(), attempt_folder(job, uuid.uuid4().hex)
+        now, number, held = None, None, []
+        try:
+            for b in batches:
+                for w, rid, h, block, length in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    if w != number:
+                        if now:
+                            now.close()
+                        now, number = Writer(folder, replace(o, max_file_size=0, name=lambda k, w=w: f"{part}-{w}-{k}"), 0, 1, staging), w
+                    name, at, n, _ = now.write(h, block, length)
+                    held.append((w, part, at, now.size - at, length, rid, n, f"{now.staging}/{name}"))
+                    if len(held) >= ROWS:
+                        yield _batch(held, arrow)
+                        held = []
+            if now:
+                now.close()
+        except BaseException:
+            if now:
+                now.abort()
+            discard(staging)
+            raise
+        if held:
+            yield _batch(held, arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, number, used, run = None, 0, 0, None
+        for b in batches:
+            out = []
+            for w, part, at, size, length in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if w != who:
+                    who, number, used = w, 1, 0
+                elif length is not None and used and used + estimate(length, o) > o.max_file_size:
+                    number, used = number + 1, 0
+                if run and (run[0], run[1], run[4]) == (w, part, number):
+                    run[3] = at + size
+                else:
+                    if run:
+                        out.append(run)
+                    run = [w, part, at, at + size, number, used]
+                used += size
+            yield _batch(out, fold_arrow)
+        if run:
+            yield _batch([run], fold_arrow)
+
+    @F.udf("string")
+    def name_of(w, number):
+        return format_name(o, (number - 1) * writers + w + 1) + (o.suffix if o.compress else "")
+
+    keys = keys if len(keys) > 1 else [*keys, "record_id"]
+    d.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_w", "record_id", "head", "block", "length").mapInArrow(cut, _PIECES).write.parquet(path)
+    made = spark.read.schema(_PIECES).parquet(path)
+    longest = F.max(F.floor(F.coalesce("length", F.lit(0)) * F.lit(o.ratio if o.compress else 1.0)))
+    sums = made.groupBy("w", "part").agg(F.max(F.col("at") + F.col("size")).alias("end"), longest.alias("_longest"), F.first("piece").alias("piece"))
+    every, before = W.partitionBy("w"), W.partitionBy("w").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    one = F.lit(True) if o.max_file_size <= 0 else F.sum("end").over(every) + F.max("_longest").over(every) <= o.max_file_size
+    sums = sums.select("w", "part", F.lit(0).cast("long").alias("start"), "end", F.lit(1).alias("number"), F.coalesce(F.sum("end").over(before), F.lit(0)).alias("offset"), "piece", one.alias("one"))
+    sums.write.parquet(f"{job}/sums")
+    sums = spark.read.schema(sums.schema).parquet(f"{job}/sums")
+    several = made.select("w", "part", "at", "size", "length").join(sums.where("not one").select("w").distinct(), "w", "left_semi")
+    folded = several.repartitionById(writers, "w").sortWithinPartitions("w", "part", "at").mapInArrow(fold, _RUNS).join(sums.select("w", "part", "piece"), ["w", "part"])
+    runs = sums.where("one").drop("one").unionByName(folded)
+    runs.withColumn("file_name", name_of("w", "number")).write.parquet(f"{job}/runs")
+    runs = spark.read.schema(f"{_RUNS}, piece string, file_name string").parquet(f"{job}/runs")
+    fs, at = open_folder(job)
+    fs.create_dir(f"{at}/files", recursive=False)
+    _copy(runs, folder, f"{job}/files", isinstance(fs, pafs.LocalFileSystem))
+    staged = F.concat(F.lit(f"{at}/files/"), "file_name")
+    none = lambda kind: F.lit(None).cast(kind)
+    size = F.max(F.col("offset") + F.col("end") - F.col("start"))
+    files = runs.groupBy("file_name").agg(size.alias("file_size")).select(none("string").alias("record_id"), "file_name", none("long").alias("file_offset"), none("long").alias("bytes_written"), "file_size", none("string").alias("warcinfo_id"), staged.alias("staged"))
+    placed = made.join(runs.drop("piece"), ["w", "part"]).where("at >= start and at < end")
+    placed = placed.select("record_id", "file_name", (F.col("offset") + F.col("at") - F.col("start")).alias("file_offset"), "bytes_written", none("long").alias("file_size"), none("string").alias("warcinfo_id"), staged.alias("staged"))
+    placed.unionByName(files).write.parquet(f"{job}/manifest")
+
+
+#: Bytes that a copy holds.
+_COPIED = 4 << 20
+
+
+def _copy(runs: DataFrame, folder: str, files: str, local: bool) -> None:
+    """Copies runs of pieces to their places in files of the folder `files`. A local file is written at several places at once, the same
+    bytes at the same place however often; other stores get each file as one stream."""
+    runs = runs.select("file_name", "offset", "piece", "start", "end")
+
+    def free(fs: pafs.FileSystem, name: str) -> None:
+        if there(fs, f"{open_folder(folder)[1]}/{name}"):
+            raise FileExistsError(name)
+
+    def move(src: pa.NativeFile, out: BinaryIO, start: int, end: int) -> None:
+        src.seek(start)
+        while start < end:
+            piece = src.read(min(_COPIED, end - start))
+            if not piece:
+                raise EOFError("a piece is shorter than it was")
+            out.write(piece)
+            start += len(piece)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = open_folder(files)
+        for b in batches:
+            for name, offset, piece, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                free(fs, name)
+                with fs.open_input_file(piece) as src, os.fdopen(os.open(f"{top}/{name}", os.O_WRONLY | os.O_CREAT, 0o666), "wb") as out:
+                    out.seek(offset)
+                    move(src, out, start, end)
+                    out.flush()
+                    os.fsync(out.fileno())
+            yield b
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = open_folder(files)
+        for b in batches:
+            for name, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                free(fs, name)
+                temp = f"{top}/{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(temp) as out:
+                    for p in parts:
+                        with fs.open_input_file(p["piece"]) as src:
+                            move(src, out, p["start"], p["end"])
+                publish(fs, temp, f"{top}/{name}") if not there(fs, f"{top}/{name}") else fs.delete_file(temp)
+            yield b
+
+    if local:
+        tasks = runs.repartition("piece", "start")
+        done = tasks.mapInArrow(places, tasks.schema)
+    else:
+        tasks = runs.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("offset", "piece", "start", "end"))).alias("parts"))
+        done = tasks.mapInArrow(streams, tasks.schema)
+    done.write.format("noop").mode("overwrite").save()
+
+
 def _where(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
 
