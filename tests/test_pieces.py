@@ -7,9 +7,10 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from warcspark.operators import analytics as A
 from warcspark.operators.build import build_records
 from warcspark.sources import sink as K
-from warcspark.sources.datasource import load
+from warcspark.sources.datasource import Range, grouped, load
 
 TIME = datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)
 
@@ -61,3 +62,16 @@ def test_pieces_of_nothing_and_of_taken_names(spark, tmp_path):
     with pytest.raises(Exception, match="FileExists"):
         K.write_archives(records(spark, 20), str(tmp_path / "e"), o, writers=1)
     assert before == {n: (tmp_path / "e" / n).read_bytes() for n in os.listdir(tmp_path / "e") if n.endswith(".gz")} and len(before) == 1
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """As many ranges as the bytes ask for, but tasks by bytes and cores, and each record once."""
+    K.write_archives(records(spark, 400), str(tmp_path / "s"), K.WriterOptions(max_file_size=0, compress=False, host="h", time=TIME), writers=1, order=("id",))
+    A.index(load(spark, str(tmp_path / "s"))).write.parquet(str(tmp_path / "index"))
+    for more in ({"split_bytes": 1000}, {"index": str(tmp_path / "index"), "rangeBytes": "1000"}):
+        got = load(spark, str(tmp_path / "s"), **more)
+        assert 4 < got.rdd.getNumPartitions() <= 2 * 4 * spark.sparkContext.defaultParallelism
+        assert got.count() == 400 == got.select("record_offset").distinct().count()
+    cuts = [Range("f", k, k + 10) for k in range(0, 1000, 10)] + [Range("f", 1000, None)]
+    groups = grouped(cuts, 8)
+    assert len(groups) <= 10 and [r for g in groups for r in g.ranges] == cuts and len(grouped(cuts, 0)) == 101

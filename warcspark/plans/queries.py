@@ -28,6 +28,9 @@ from ..sources.udtf import register
 from ..storage import scratch
 from ..streaming import deduplicate_stream, first_captures, sessions, windowed_counts
 
+#: Bytes of a file that a range has, where a query doesn't name another size.
+RANGE = 8 << 20
+
 STATUS = ("200 OK", "301 Moved Permanently", "404 Not Found", "500 Internal Server Error")
 
 
@@ -694,7 +697,7 @@ def q77_index_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """A file cut at record starts by an index of its records, read in ranges."""
     folder, _ = _in_order(spark, sf, "indexed")
     index = scratch(spark, "index")
-    A.index(load(spark, folder)).write.parquet(index)
+    A.index(load(spark, folder, split_bytes=RANGE)).write.parquet(index)
     return load(spark, folder, index=index, rangeBytes="65536").select(_page(), "record_type", "content_length")
 
 

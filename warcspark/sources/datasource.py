@@ -7,7 +7,8 @@ Reading gives the columns of schema.FRAMED (shape them with operators.parse.type
 `load`). Each file is a partition; `load` with `split_bytes` cuts files into ranges of about that size,
 compressed ones too, and with the option `index` (a Parquet table of file_path,
 record_offset, record_size) at record starts, of about `rangeBytes`. Cuts come to the reader as a table (option
-`cuts`); the option `index` alone is read by the driver. Files are read in pieces, so their size doesn't matter. Options: `offset` (start of
+`cuts`); the option `index` alone is read by the driver. Ranges that are small go to a task in groups, so that tasks
+follow bytes and cores, however small ranges are (option `tasks`, which `load` sets). Files are read in pieces, so their size doesn't matter. Options: `offset` (start of
 every file), `readBlock` (false skips blocks), `path`, `types` (record types to keep, separated by
 commas), and all of WarcOptions. With `pushdown` (and spark.sql.python.filterPushdown.enabled; `load` sets
 both) filters on record_type (kind), file_path and record_offset do so too, and leave out ranges.
@@ -48,9 +49,9 @@ from ..options import FAIL, WarcOptions
 from ..schema import FRAMED
 from ..storage import on_default
 from .commit import attempt_folder, begin, discard, finish_moves, move_all, open_folder, read_json, record, there, write_once
-from .framing import chunks, frames
+from .framing import PIECE, chunks, frames
 from .sink import Writer, WriterOptions, format_name
-from .splits import RawFile, index_ranges, split_ranges, stored
+from .splits import NEAR, RawFile, index_ranges, split_ranges, stored, tasks
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -79,8 +80,33 @@ class Range(InputPartition):
     end: int | None  # records that begin before it
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: tuple[Range, ...]
+
+
+def grouped(ranges: list[Range], tasks: int) -> list[Ranges]:
+    """Neighbours in groups of about equal bytes, `tasks` or a few more; ranges to the end of a file, whose size isn't known, count
+    as an average one. Without `tasks` each stands alone."""
+    known = [r.end - r.start for r in ranges if r.end is not None]
+    if not tasks or not known:
+        return [Ranges((r,)) for r in ranges]
+    mean = sum(known) / len(known)
+    most, held, out = mean * len(ranges) / tasks, 0.0, []
+    for r in ranges:
+        n = mean if r.end is None else r.end - r.start
+        if not out or held + n > most:
+            out.append([])
+            held = 0.0
+        out[-1].append(r)
+        held += n
+    return [Ranges(tuple(g)) for g in out]
+
+
 def read_range(part: Range, options: WarcOptions, *, with_block: bool, types: frozenset[str]) -> Iterator[dict]:
-    raw = RawFile(part.path, part.start)
+    raw = RawFile(part.path, part.start, PIECE if part.end is None else max(NEAR, min(PIECE, part.end - part.start)))
     try:
         for row in frames(raw, options, offset=part.start, path=part.path, with_block=with_block, types=types):
             if part.end is not None and row["record_offset"] >= part.end:
@@ -104,6 +130,7 @@ class _Reading:
         self.types = frozenset(t.strip().lower() for t in low.get("types", "").split(",") if t.strip())
         # what filters leave: files, places, or nothing at all
         self.files, self.low, self.high, self.none = None, 0, None, False
+        self.tasks = int(low.get("tasks", "0"))
         self.cuts, self.index, self.range_bytes = low.get("cuts"), low.get("index"), int(low.get("rangebytes", str(128 << 20)))
 
     def wanted(self, r: Range) -> bool:
@@ -134,8 +161,8 @@ class _Reading:
             out += [Range(p, a, b) for a, b in zip(begin, [*begin[1:], None], strict=True)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        rows = read_range(partition, self.options, with_block=self.with_block, types=self.types)
+    def read(self, *ranges: Range) -> Iterator[pa.RecordBatch]:
+        rows = (row for r in ranges for row in read_range(r, self.options, with_block=self.with_block, types=self.types))
         yield from batches_of(rows, to_arrow_schema(FRAMED))
 
 
@@ -164,12 +191,11 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self._r = _Reading(options)
 
-    def partitions(self) -> list[Range]:
-        return [r for r in self._r.ranges() if self._r.wanted(r)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        return grouped([r for r in self._r.ranges() if self._r.wanted(r)], self._r.tasks) or [Ranges(())]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from self._r.read(partition)
+        yield from self._r.read(*partition.ranges)
 
 
 class WarcPushingReader(_Pushing, WarcReader):
@@ -424,11 +450,14 @@ def load(spark: SparkSession, path: str, options: WarcOptions | None = None, *,
     o, path = options or WarcOptions(), on_default(spark, path)
     low = {k.lower(): k for k in more}
     begin = int(more.get(low.get("offset"), "0"))
-    if split_bytes:
-        more["cuts"] = stored(split_ranges(spark, list_files(path), o, begin=begin, split=split_bytes))
-    elif "index" in low:
-        size = int(more.get(low.get("rangebytes"), str(128 << 20)))
-        more["cuts"] = stored(index_ranges(spark, list_files(path), spark.read.parquet(more.pop(low["index"])), begin=begin, split=size))
+    if split_bytes or "index" in low:
+        files = list_files(path)
+        if split_bytes:
+            more["cuts"] = stored(split_ranges(spark, files, o, begin=begin, split=split_bytes))
+        else:
+            size = int(more.get(low.get("rangebytes"), str(128 << 20)))
+            more["cuts"] = stored(index_ranges(spark, files, spark.read.parquet(more.pop(low["index"])), begin=begin, split=size))
+        more.setdefault("tasks", str(tasks(spark, sum(n for _, n in files))))
     given = {k: str(getattr(o, k)) for k in ("syntax", "spec", "unknown_type", "max_block_bytes")}
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     more.setdefault("pushdown", "true")

@@ -27,6 +27,8 @@ from .commit import open_folder
 from .framing import PIECE, frames
 
 SPLIT_BYTES = 128 << 20
+#: The least that is read at once.
+NEAR = 1 << 16
 #: Bytes of a member that are looked at to see whether it inflates to a version line.
 _PROOF = 1 << 16
 #: How members and version lines begin.
@@ -34,15 +36,47 @@ _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
 
 class RawFile:
-    """A file of any store from some place on."""
+    """A file of any store from some place on, in pieces of `most` bytes."""
 
-    def __init__(self, path: str, start: int) -> None:
+    def __init__(self, path: str, start: int, most: int = PIECE) -> None:
         fs, at = open_folder(path)
-        self._in = fs.open_input_file(at)
+        self._in, self._most = fs.open_input_file(at), most
         self._in.seek(min(start, self._in.size()))
 
     def read(self, n: int) -> bytes:
-        return self._in.read(n)
+        return self._in.read(min(n, self._most))
+
+    def close(self) -> None:
+        self._in.close()
+
+
+class Window:
+    """A file that is read from one place after the other, mostly forward: places that are near share a piece."""
+
+    def __init__(self, path: str) -> None:
+        fs, at = open_folder(path)
+        self.path, self._in = path, fs.open_input_file(at)
+        self._data, self._base, self._at, self._size = b"", 0, 0, self._in.size()
+
+    def seek(self, place: int) -> None:
+        end = self._base + len(self._data)
+        if not self._base <= place <= (end if end >= self._size else max(self._base, end - 2 * NEAR)):
+            self._load(place, PIECE if self._base <= place <= end + NEAR else 2 * NEAR)
+        self._at = place
+
+    def _load(self, place: int, n: int) -> None:
+        self._in.seek(min(place, self._size))
+        self._data, self._base = self._in.read(n), place
+
+    def read(self, n: int) -> bytes:
+        if self._at >= self._size:
+            return b""
+        if not self._base <= self._at < self._base + len(self._data):
+            self._load(self._at, PIECE)
+        k = self._at - self._base
+        out = self._data[k : k + min(n, NEAR)]
+        self._at += len(out)
+        return out
 
     def close(self) -> None:
         self._in.close()
@@ -60,24 +94,25 @@ def _is_start(data: bytes, at: int) -> bool:
 def guess(path: str, begin: int, end: int) -> int | None:
     """The first place from begin on, and before end, where a record seems to start."""
     raw = RawFile(path, begin)
+    size = min(PIECE, max(end - begin, 1 << 12))
     try:
         data, base, over = b"", begin, False
         while base < end:
-            while not over and len(data) < PIECE + _PROOF:
-                piece = raw.read(PIECE)
+            while not over and len(data) < size + _PROOF:
+                piece = raw.read(size)
                 over = not piece
                 data += piece
             at = -1
             while True:
                 places = [p for p in (data.find(_MEMBER, at + 1), data.find(_VERSION, at + 1)) if p >= 0]
                 at = min(places, default=-1)
-                if at < 0 or base + at >= end or (at >= PIECE and not over):
+                if at < 0 or base + at >= end or (at >= size and not over):
                     break
                 if _is_start(data, at):
                     return base + at
             if over:
                 return None
-            data, base = data[PIECE - 1 :], base + PIECE - 1  # with the byte before the next place
+            data, base = data[size - 1 :], base + size - 1  # with the byte before the next place
         return None
     finally:
         raw.close()
@@ -86,7 +121,7 @@ def guess(path: str, begin: int, end: int) -> int | None:
 def walk(path: str, begin: int, until: int, options: WarcOptions) -> tuple[int, int | None, bool]:
     """From a place where reading can go on: where it goes on after the last record that starts before `until`, where the next one
     starts (None: nowhere), and whether an error ends the file before that."""
-    raw, resume = RawFile(path, begin), begin
+    raw, resume = RawFile(path, begin, max(NEAR, min(PIECE, until - begin))), begin
     try:
         for row in frames(raw, options, offset=begin, path=path, with_block=False):
             if row["record_offset"] >= until:
@@ -115,6 +150,11 @@ def chain(path: str, begin: int, split: int, walks: list[tuple[int, int | None,
     return out
 
 
+def tasks(spark: SparkSession, size: int) -> int:
+    """Tasks for so many bytes: a few for each core, and none with much more than SPLIT_BYTES."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES))
+
+
 def split_ranges(spark: SparkSession, files: list[tuple[str, int]], options: WarcOptions | None = None, *, begin: int = 0, split: int = SPLIT_BYTES) -> DataFrame:
     """path, start and end (null: to the end) of the ranges of files, given with their sizes."""
     options = (options or WarcOptions()).but(record_id=None)
@@ -137,7 +177,7 @@ def split_ranges(spark: SparkSession, files: list[tuple[str, int]], options: War
     named = spark.createDataFrame([(p, n) for p, n in files if n > begin], "path string, size long")
     parts = named.select("path", F.explode(F.sequence(F.lit(begin // split), F.floor((F.col("size") - 1) / split))).alias("k"))
     n = sum(-(-max(0, size - begin) // split) + 1 for _, size in files)
-    dealt = parts.repartition(max(1, min(n, 100_000)), F.xxhash64("path", "k"))
+    dealt = parts.repartition(max(1, min(n, tasks(spark, sum(size for _, size in files)))), F.xxhash64("path", "k"))
     walks = dealt.mapInArrow(look, "path string, k long, first long, resume long, next long, failed boolean")
     return walks.groupBy("path").applyInArrow(join, "path string, start long, end long")
 
