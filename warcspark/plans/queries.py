@@ -430,7 +430,7 @@ def q49_start_offset(spark: SparkSession, sf: str) -> DataFrame:
     """Reading from the place of the third record on."""
     folder, manifest = _in_order(spark, sf, "from-offset")
     third = manifest.orderBy("file_offset").limit(3).agg(F.max("file_offset")).first()[0]
-    return load(spark, folder, offset=str(third)).select(_page(), "record_type", "content_length")
+    return load(spark, folder, offset=str(third), split_bytes=RANGE).select(_page(), "record_type", "content_length")
 
 
 def q50_first_record(spark: SparkSession, sf: str) -> DataFrame:
