@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from warcspark.operators import analytics as A
 from warcspark.operators.build import build_records
 from warcspark.sources import sink as K
+from warcspark.sources import splits as S
 from warcspark.sources.datasource import Range, grouped, load
 
 TIME = datetime(2001, 9, 12, 5, 30, 20, tzinfo=UTC)
@@ -75,3 +76,29 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     cuts = [Range("f", k, k + 10) for k in range(0, 1000, 10)] + [Range("f", 1000, None)]
     groups = grouped(cuts, 8)
     assert len(groups) <= 10 and [r for g in groups for r in g.ranges] == cuts and len(grouped(cuts, 0)) == 101
+
+
+def test_places_in_order_read_a_file_once(tmp_path, monkeypatch):
+    """Records that stand side by side come from the same pieces; those far apart don't cost a whole piece each."""
+    f, loads, real = tmp_path / "f", [], S.Window._load
+    data = bytes(range(256)) * (3 << 12)
+    f.write_bytes(data)
+    monkeypatch.setattr(S.Window, "_load", lambda self, place, n: (loads.append(n), real(self, place, n)))
+    w = S.Window(str(f))
+
+    def read(at, n):
+        w.seek(at)
+        out = b""
+        while len(out) < n and (piece := w.read(n - len(out))):
+            out += piece
+        return out
+
+    for at in range(0, len(data), 1000):
+        assert read(at, 1000) == data[at : at + 1000]
+    assert sum(loads) < 2 * len(data) and len(loads) < 20
+    loads.clear()
+    for at in (5, 2 << 20, 100, len(data) - 3):
+        assert read(at, 70_000) == data[at : at + 70_000]
+    assert sum(loads) <= 4 * 2 * S.NEAR
+    assert read(len(data) + 5, 3) == b"" and read(7, 2 << 20) == data[7 : 7 + (2 << 20)]
+    w.close()

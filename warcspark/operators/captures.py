@@ -18,10 +18,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..options import WarcOptions
 from ..schema import FRAMED
 from ..sources.framing import frames
-from ..sources.splits import RawFile
+from ..sources.splits import Window
 from .analytics import as_of
 from .parse import batches_of, typed
 
+#: Bytes of a file whose places one task reads.
+STRETCH = 8 << 20
 INDEX = ["key", "captured", "file_path", "record_offset", "record_size", "record_type", "record_id", "target_uri", "payload_digest"]
 
 
@@ -73,21 +75,29 @@ def nearest(asks: DataFrame, index: DataFrame, *, key: str = "key", time: str =
 
 
 def read_at(spark: SparkSession, places: DataFrame, options: WarcOptions | None = None) -> DataFrame:
-    """The records at places (file_path, record_offset), each by itself, with all columns."""
+    """The records at places (file_path, record_offset), each by itself, with all columns. Places are dealt by stretches
+    of the files and read in order, so those that are near come from one piece of a file."""
     options = options or WarcOptions()
     plain, schema = options.but(record_id=None), to_arrow_schema(FRAMED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            for b in batches:
-                for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    raw = RawFile(path, at)
-                    try:
+            raw: Window | None = None
+            try:
+                for b in batches:
+                    for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        if raw is None or raw.path != path:
+                            if raw:
+                                raw.close()
+                            raw = Window(path)
+                        raw.seek(at)
                         yield from frames(raw, plain, offset=at, path=path, one=True)
-                    finally:
-                        raw.close()
+            finally:
+                if raw:
+                    raw.close()
 
         return batches_of(rows(), schema)
 
     wanted = places.where("file_path is not null and record_offset is not null").select("file_path", F.col("record_offset").cast("long"))
-    return typed(wanted.mapInArrow(run, FRAMED), options)
+    dealt = wanted.repartition("file_path", F.floor(F.col("record_offset") / STRETCH))
+    return typed(dealt.sortWithinPartitions("file_path", "record_offset").mapInArrow(run, FRAMED), options)

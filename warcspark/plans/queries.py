@@ -777,9 +777,12 @@ def q84_segment_digests(spark: SparkSession, sf: str) -> DataFrame:
 def q85_nearest_captures(spark: SparkSession, sf: str) -> DataFrame:
     """For each page the capture of its host that is nearest to seven seconds after its own, on either side, read from its place."""
     folder = _written(spark, sf, "captured")
-    index = captures_index.write_index(load(spark, folder), scratch(spark, "capture-index"), key=captures_index.host_key("target_uri"))
+    index = captures_index.write_index(load(spark, folder, split_bytes=RANGE), scratch(spark, "capture-index"), key=captures_index.host_key("target_uri"))
     asks = _t(spark, sf, "pages").select("page_id", captures_index.host_key("url").alias("key"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") + 7).alias("time"))
     found = captures_index.nearest(asks, index).select("page_id", "capture.file_path", "capture.record_offset", F.regexp_extract("capture.record_id", r"(\d+)$", 1).cast("long").alias("nearest"))
+    # written once, as it is needed twice
+    found.write.parquet(places := scratch(spark, "nearest"))
+    found = spark.read.schema(found.schema).parquet(places)
     read = captures_index.read_at(spark, found.select("file_path", "record_offset").distinct()).select(F.col("file_path").alias("_f"), F.col("record_offset").alias("_o"), "content_length")
     return found.join(read, (F.col("file_path") == F.col("_f")) & (F.col("record_offset") == F.col("_o")), "left").select("page_id", "nearest", "content_length")
 
