@@ -16,9 +16,11 @@ from .common import drop_staged, staged
 MAX_ROUNDS = 60
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    r = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return r["n"], int(r["h"])
+def _settled(links: DataFrame) -> bool:
+    """Whether links (u > v) are stars: no node has links to two nodes, or to one while another one links to it."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))))
+    seen = links.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
+    return seen.where("down > 1 or down = 1 and up = 1").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -41,13 +43,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     link to another one don't come out.
     """
     now = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    state = _state(now)
     for _ in range(MAX_ROUNDS):
+        if _settled(now):
+            break
         old, now = now, staged(_small_star(_large_star(now)), "links")
         drop_staged(now.sparkSession, old._staged)
-        before, state = state, _state(now)
-        if state == before:
-            break
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

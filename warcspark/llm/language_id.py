@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim_cache, crc_mod, hash_unit, kept_beside, mapped, sliced
+from .common import claim_cache, crc_mod, hash_unit, kept_beside, mapped, release, sliced
 
 ORDER, FIT_ROWS, FIT_CHARS, SEED = 4, 300, 64_000_000, 5
 #: Languages that a model holds at most; all labels beyond are an error, not a silent drop.
@@ -279,4 +279,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_documents(docs: DataFrame) -> Model:
-    return fit(sample(docs, ~held_out(F.col("doc_id"))))
+    try:
+        return fit(sample(docs, ~held_out(F.col("doc_id"))))
+    finally:
+        release()

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim_cache, crc_mod, hash_unit, kept_beside, mapped, sliced, staged, temporary
+from .common import claim_cache, crc_mod, hash_unit, kept_beside, mapped, release, sliced, staged, temporary
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, SEED = 1500, 4500, 64_000_000, 11
 MIN_DOCS, MIN_GAIN, MIN_PRECISION, MAX_TERMS = 3, 11.5, 0.95, 2000
@@ -304,7 +304,11 @@ def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
                 taken.append(r["doc_id"])
                 size += r["n"]
         got = sorted(rows.where(F.col("doc_id").isin(taken)).collect(), key=lambda r: (r["_h"], r["doc_id"]))
-    return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
+    try:
+        return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
+    finally:
+        got.clear()
+        release()
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
